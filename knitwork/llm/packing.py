@@ -12,10 +12,13 @@ ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ END_ID = 2
 #: Pieces in a randomised group; about half a sequence per group stays open.
 GROUP_PIECES = 2048
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,7 +45,8 @@ class WordIds:
 
     The vocabulary drops white space and never merges across it, so the ids of a
     text are those of its words in order. The library encodes each distinct word
-    once; the cache is emptied when full.
+    once. The first CACHE_WORDS words stay known, which are mostly the common
+    ones; later ones are encoded wherever they occur.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,23 +58,47 @@ class WordIds:
         self._known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
+        if "<|" not in text:  # special strings are looked for before letters are lowered
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")  # here str.lower lowers as the library does
+                text = text.lower()
         # str.split also splits at the four separators below, which are not white space to the library
         return _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
 
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        got = self._library.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in got)]
+
+    def _missing(self, words: set[str]) -> dict[str, bytes]:
+        known, out, rest = self._known, {}, []
+        for w in words:
+            # a mark after a letter is a token of its own
+            if w[-1] in ",." and (stem := known.get(w[:-1])) is not None and w[-2:-1].isalpha() and (mark := known.get(w[-1])):
+                out[w] = stem + mark
+            else:
+                rest.append(w)
+        if rest:
+            out.update(zip(rest, self._by_library(rest), strict=True))
+        if len(known) < CACHE_WORDS:
+            known.update(out)
+        return out
+
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self._known
         for text in batch:
             words = self.words(text)
-            try:
-                yield b"".join(map(known.__getitem__, words))
-            except KeyError:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                missing = list(set(words) - known.keys())
-                for word, got in zip(missing, self._library.encode_batch(missing, add_special_tokens=False), strict=True):
-                    known[word] = np.array(got.ids, "<u4").tobytes()
-                yield b"".join(map(known.__getitem__, words))
+            found = list(map(known.get, words))
+            if None in found:
+                fresh = self._missing({w for w, ids in zip(words, found, strict=True) if ids is None})
+                found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            yield b"".join(found)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordIds:
+    """One per worker process, shared by its tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -82,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
 
-        encoder = WordIds(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = _encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from knitwork.llm.common import texts
 
 LIMIT = 1024
 #: Distinct chunks whose prefix counts a worker keeps, and the longest chunk kept.
-CACHE_CHUNKS, CACHED_LENGTH = 400_000, 80
+CACHE_CHUNKS, CACHED_LENGTH = 1_000_000, 80
 
 _CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -60,7 +61,6 @@ class PrefixCounter:
         self._longest = max(map(len, self._vocab))
         self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._whole: dict[bytes, bool] = {}
         self._chunks: dict[str, bytes] = {}
         self._marks = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
 
@@ -74,29 +74,25 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stands(self, token: bytes) -> bool:
-        """Whether a vocabulary entry is the encoding of its own bytes."""
-        if (known := self._whole.get(token)) is None:
-            known = self._whole[token] = self._merge(token) == [token]
-        return known
-
     def _joins(self, left: bytes, right: bytes) -> bool:
-        if (known := self._pairs.get((left, right))) is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self._merge(left + right) == [left, right]
+        """Whether two tokens stay as they are side by side; with nothing on the left, whether the token encodes its own bytes."""
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        known = self._pairs[left, right] = self._merge(left + right) == ([left, right] if left else [right])
         return known
 
     def byte_prefixes(self, data: bytes) -> list[int]:
         """Token count of ``data[:k]`` for k = 0 ... len(data), for one pre-token."""
-        last, count = [b""], [0]
+        last, count, vocab, pairs, longest = [b""], [0], self._vocab, self._pairs, self._longest
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self._longest), end):
+            for start in range(max(0, end - longest), end):
                 token = data[start:end]
-                if token in self._vocab and (self._joins(last[start], token) if start else self._stands(token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+                if token in vocab:
+                    fits = pairs.get((last[start], token))
+                    if self._joins(last[start], token) if fits is None else fits:
+                        last.append(token)
+                        count.append(count[start] + 1)
+                        break
             else:
                 raise ValueError(f"no encoding of {data[:end]!r}")
         return count
@@ -127,12 +123,19 @@ class PrefixCounter:
         return out
 
     def _chunk(self, chunk: str) -> bytes | None:
-        counts = self._segment(chunk)
+        core = chunk[chunk[0] == " " :]
+        if core.isalpha() and max(core) < "\u0250":  # one pre-token
+            counts = np.array(self._fragment(chunk), np.int32)
+        elif chunk[-1] in ",." and core[-2:-1].isalpha() and (stem := self._chunks.get(chunk[:-1])):
+            counts = np.frombuffer(stem + b"\0", np.uint8).astype(np.int32)
+            counts[-1] = counts[-2] + 1
+        else:
+            counts = self._segment(chunk)
         if len(chunk) > CACHED_LENGTH or counts.max(initial=0) > 255:
             return None
-        if len(self._chunks) > CACHE_CHUNKS:
-            self._chunks.clear()
-        self._chunks[chunk] = got = counts.astype(np.uint8).tobytes()
+        got = counts.astype(np.uint8).tobytes()
+        if len(self._chunks) < CACHE_CHUNKS:
+            self._chunks[chunk] = got
         return got
 
     def prefixes(self, text: str) -> np.ndarray:
@@ -185,6 +188,12 @@ class PrefixCounter:
         return np.concatenate(out)
 
 
+@lru_cache(maxsize=2)
+def _counter(path: str) -> PrefixCounter:
+    """One per worker process, shared by its tasks."""
+    return PrefixCounter(path)
+
+
 def longest_within(prefixes: np.ndarray, budget: int) -> int:
     """Most characters that can be kept within ``budget`` tokens."""
     return int(np.flatnonzero(prefixes <= budget)[-1])
@@ -197,7 +206,7 @@ def prefix_counts(docs: DataFrame, tokenizer_path: str | None = None, budget: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        counter = PrefixCounter(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        counter = _counter(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
             for doc, text in zip(ids, texts(batch), strict=True):
