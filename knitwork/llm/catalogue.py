@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitwork.llm import decontamination, packing, token_counts
+from knitwork.llm import decontamination, langid, packing, token_counts, toxicity
 from knitwork.llm.common import fold, read
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    prototypes = langid.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    return langid.identify(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(read(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "n_chars_within")
@@ -50,7 +63,7 @@ FROM fold f LEFT JOIN covered c USING (doc_id) LEFT JOIN found d USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op9_packing, op10_decontamination]
+    found = [op2_toxicity, op3_language_id, op4_token_counts, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
