@@ -7,20 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitwork.llm import decontamination, langid, packing, token_counts, toxicity
+from knitwork.llm import decontamination, langid, packing, secrets, token_counts, toxicity
 from knitwork.llm.common import fold, read
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = fold("doc_id", 4) == 2
-    prototypes = langid.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    prototypes = langid.fit(docs.filter(~held_out))
     return langid.identify(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -29,6 +29,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "n_chars_within")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("findings", lambda x: x["kind"] != "learned")
+    number = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans")
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -63,7 +73,7 @@ FROM fold f LEFT JOIN covered c USING (doc_id) LEFT JOIN found d USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_language_id, op4_token_counts, op9_packing, op10_decontamination]
+    found = [op2_toxicity, op3_language_id, op4_token_counts, op6_secrets, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
