@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitwork.llm import decontamination, langid, packing, secrets, token_counts, toxicity
+from knitwork.llm import chat, decontamination, html_text, langid, packing, secrets, token_counts, toxicity
 from knitwork.llm.common import fold, read
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"))
@@ -39,6 +43,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -48,6 +56,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+OP1_SQL = r"""
+WITH placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, role, text FROM conversations
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY place) AS turns FROM placed GROUP BY conv_id
+), one AS (SELECT min(conv_id) AS conv_id, n_turns, turns, count(*) AS n_logged FROM whole GROUP BY n_turns, turns
+), begun AS (SELECT DISTINCT turns[1:k] AS turns FROM whole, unnest(range(1, n_turns)) AS t(k))
+SELECT conv_id, n_turns, n_logged,
+  array_to_string(list_transform(turns, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '')), chr(10)) AS rendered
+FROM one WHERE NOT EXISTS (SELECT 1 FROM begun WHERE begun.turns = one.turns)
+"""
+
 OP10_SQL = r"""
 WITH fold AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -73,9 +93,9 @@ FROM fold f LEFT JOIN covered c USING (doc_id) LEFT JOIN found d USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_language_id, op4_token_counts, op6_secrets, op9_packing, op10_decontamination]
+    found = [op1_chat, op2_toxicity, op3_language_id, op4_token_counts, op6_secrets, op8_html, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op1_chat": OP1_SQL, "op10_decontamination": OP10_SQL}
