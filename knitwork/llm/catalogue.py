@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitwork.llm import chat, decontamination, html_text, langid, packing, secrets, token_counts, toxicity
+from knitwork.llm import chat, decontamination, embedding_dedup, html_text, langid, ngram_join, packing, secrets, token_counts, toxicity
 from knitwork.llm.common import fold, read
 
 
@@ -33,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "n_chars_within")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -43,6 +47,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -68,6 +76,32 @@ SELECT conv_id, n_turns, n_logged,
 FROM one WHERE NOT EXISTS (SELECT 1 FROM begun WHERE begun.turns = one.turns)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE fold AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g
+  FROM fold, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), ok AS (SELECT vec_id, label, v, len(v) AS d FROM vecs WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.d = y.d AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT e.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(r.least, e.vec_id)) AS component_id, least(e.vec_id, coalesce(r.least, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = e.vec_id
+"""
+
 OP10_SQL = r"""
 WITH fold AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -93,9 +127,9 @@ FROM fold f LEFT JOIN covered c USING (doc_id) LEFT JOIN found d USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat, op2_toxicity, op3_language_id, op4_token_counts, op6_secrets, op8_html, op9_packing, op10_decontamination]
+    found = [op1_chat, op2_toxicity, op3_language_id, op4_token_counts, op5_ngram_join, op6_secrets, op7_embedding_dedup, op8_html, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_chat": OP1_SQL, "op5_ngram_join": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}

@@ -322,23 +322,23 @@ class Scorer:
         return self._model.score(sum(self._model.weights[f] for f in sorted(present)))
 
 
-def score(docs: DataFrame, model: Model, trigrams: np.ndarray) -> DataFrame:
-    """All columns of the documents, and their ``score`` (any column of that name is replaced)."""
+def score(docs: DataFrame, model: Model, trigrams: np.ndarray, column: str = "score") -> DataFrame:
+    """All columns of the documents, and their score (any column of that name is replaced)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    docs = docs.drop("score")
+    docs = docs.drop(column)
     sent = docs.sparkSession.sparkContext.broadcast((trigrams, model))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.score(t) for t in texts(batch)], pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.score(t) for t in texts(batch)], pa.float64())], names=[*names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
-    """``docs`` with a score, by a model learned on the labelled training fold of ``train_on`` (default: docs)."""
+def toxicity(docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
+    """``docs`` with a score, by a model learned on their labelled training fold."""
     trigrams = count_trigrams(docs)
-    return score(docs, fit(docs if train_on is None else train_on, labels, trigrams), trigrams)
+    return score(docs, fit(docs, labels, trigrams), trigrams, column)
