@@ -33,9 +33,10 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import stored, utf8
+from knitwork.llm.common import pieces_of, stored, utf8
 from knitwork.llm.components import components
 
 #: Counters of n-gram frequencies: a fixed table, whatever the input.
@@ -43,11 +44,13 @@ COUNTERS = 1 << 20
 #: Partial counter tables summed at a time, and slices of a table.
 FAN_IN, SLICES = 32, 16
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 1_000_000
-#: Ranges of the hash that the suffix filter counts by.
-RANGES = 16
+CACHE_WORDS = 250_000
+#: UTF-8 bytes of documents handled at a time, but for a single longer one.
+PIECE_BYTES = 8_000_000
+#: Ranges of the hash (by its first byte) that the suffix filter counts by.
+RANGES = 256
 #: Rounds that pair each node with one of its bucket before the rest is joined in full.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -66,14 +69,20 @@ def _word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    """Finaliser of splitmix64, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def ngram_hashes(text: bytes, width: int) -> np.ndarray:
-    """Hash of every n-gram of a text, in order."""
+    """Hash of every n-gram of a text, in order: a polynomial in the hashes of its words."""
     words = text.translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -82,11 +91,19 @@ def ngram_hashes(text: bytes, width: int) -> np.ndarray:
     n = len(w) - size + 1
     h = np.full(n, size, np.uint64)
     for k in range(size):
-        h = _mixed((h + w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15))
-    return h
+        h *= _MULTIPLIER
+        h += w[k : k + n]
+    return _mixed(h)
 
 
-_SIGNED = "kind int, doc_id long, n long, f1 long, f2 long, ranges array<int>, task long, slice int, counts binary"
+def ngram_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes, sorted."""
+    h = ngram_hashes(text, width)
+    h.sort()
+    return h if len(h) < 2 else h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+_SIGNED = "kind int, doc_id long, n long, f1 long, f2 long, ranges array<tinyint>, task long, slice int, counts binary"
 
 
 def signatures(docs: DataFrame, width: int, counters: int = COUNTERS) -> DataFrame:
@@ -95,14 +112,14 @@ def signatures(docs: DataFrame, width: int, counters: int = COUNTERS) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.uint32)
         names = ["kind", "doc_id", "n", "f1", "f2", "ranges", "task", "slice", "counts"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary()]
-        for batch in batches:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.int64(), pa.int32(), pa.binary()]
+        for batch in pieces_of(batches, PIECE_BYTES):
             rows, held, size = [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
-                own = np.unique(ngram_hashes(text, width))
+                own = ngram_set(text, width)
                 if len(own):
                     f = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-                    rows.append((0, doc, len(own), int(f[0]), int(f[1]), np.bincount(own >> np.uint64(60), minlength=RANGES)))
+                    rows.append((0, doc, len(own), int(f[0]), int(f[1]), np.minimum(np.bincount(own >> np.uint64(56), minlength=RANGES), 127).astype(np.int8)))
                     held.append((own & np.uint64(counters - 1)).astype(np.int64))
                     size += len(own)
                 else:
@@ -161,10 +178,10 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray
         counts = sent.value
         mask = np.uint64(len(counts) - 1)
         sent_before: set[bytes] = set()
-        for batch in batches:
+        for batch in pieces_of(batches, PIECE_BYTES):
             parts: list[tuple] = []
             for text in utf8(batch):
-                own = np.unique(ngram_hashes(text, width))
+                own = ngram_set(text, width)
                 if not len(own):
                     continue
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
@@ -256,10 +273,13 @@ def shared_buckets(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _possible(num: int, den: int) -> Column:
-    """Length and positional filter for entries (n, place) and (m, spot) with the same n-gram."""
-    length = (F.least("n", "m") * den >= F.greatest("n", "m") * num)
-    rest = F.least("place", "spot") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
-    return length & (rest >= overlap_needed(F.col("n"), F.col("m"), num, den))
+    """Length and positional filter for entries (n, place) and (m, spot) with the same n-gram.
+
+    Of sets that have c in common, the first common n-gram has at most n - c before it in one and m - c in the other.
+    """
+    length = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    needed = overlap_needed(F.col("n"), F.col("m"), num, den)
+    return length & (F.col("place") <= F.col("n") - needed) & (F.col("spot") <= F.col("m") - needed)
 
 
 class _Verifier:
@@ -275,8 +295,8 @@ class _Verifier:
         needed = pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [np.unique(ngram_hashes(text, width)).view(np.int64) for text in utf8(batch)]
+            for batch in pieces_of(batches, PIECE_BYTES):
+                sets = [ngram_set(text, width).view(np.int64) for text in utf8(batch)]
                 prints = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets], np.int64).reshape(-1, 2)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -295,7 +315,7 @@ class _Verifier:
             once = once.join(self._done, ["f1", "f2", "g1", "g2"], "left_anti")
         left = self._nodes.select("f1", "f2", F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"), F.col("rep").alias("rep_a"))
         right = self._nodes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"), F.col("rep").alias("rep_b"))
-        apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         needed = overlap_needed(F.col("n_a"), F.col("n_b"), num, den)
         suffix = apart <= F.col("n_a") + F.col("n_b") - 2 * needed
         known = once.join(left, ["f1", "f2"]).join(right, ["g1", "g2"]).filter(suffix).drop("ranges_a", "ranges_b")
@@ -329,9 +349,16 @@ def _star(entries: DataFrame, round_: int, num: int, den: int) -> DataFrame:
 
 
 def _all_pairs(entries: DataFrame) -> DataFrame:
-    """All entries of the same n-gram in different components."""
-    other = entries.select("h", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("component").alias("c2"))
-    return entries.join(other, "h").filter(F.col("component") < F.col("c2"))
+    """All pairs of nodes with a common n-gram in different components.
+
+    A pair is named by its first common n-gram, or nearly: where one of the few n-grams before is common too,
+    it was named there. All common n-grams of such a pair are among the entries.
+    """
+    order = W.partitionBy("f1", "f2").orderBy("place")
+    before = F.array_compact(F.array(*(F.lag("h", k).over(order) for k in range(1, 5))))
+    entries = entries.withColumn("before", before)
+    other = entries.select("h", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("component").alias("c2"), F.col("before").alias("before_2"))
+    return entries.join(other, "h").filter((F.col("component") < F.col("c2")) & ~F.arrays_overlap("before", "before_2"))
 
 
 def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, counters: int = COUNTERS) -> DataFrame:
@@ -352,9 +379,11 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, coun
         buckets = _remaining(buckets, nodes, labels)
         per = buckets.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
         pairs, size = per.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).collect()[0]
-        if not size or pairs <= 4 * size:
+        if not size or pairs <= 2 * size:  # mostly buckets of two
             break
         more = verifier.links(_star(buckets, round_, num, den).filter(_possible(num, den)))
+        if not more.take(1):
+            break
         links = links.unionByName(more)
         labels = components(links)
     rest = verifier.links(_all_pairs(buckets if "component" in buckets.columns else _remaining(buckets, nodes, labels)).filter(_possible(num, den)))
