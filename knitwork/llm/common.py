@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
+#: Rows that go to a Python worker at a time while a scratch table is written: texts can be long.
+ROWS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,7 +37,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to a Parquet table in the shared folder and read back: no lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/knitwork/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

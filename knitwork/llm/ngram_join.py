@@ -44,9 +44,9 @@ COUNTERS = 1 << 20
 #: Partial counter tables summed at a time, and slices of a table.
 FAN_IN, SLICES = 32, 16
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: UTF-8 bytes of documents handled at a time, but for a single longer one.
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 #: Ranges of the hash (by its first byte) that the suffix filter counts by.
 RANGES = 256
 #: Rounds that pair each node with one of its bucket before the rest is joined in full.
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, width: int, counters: int = COUNTERS) -> DataFra
                     size += len(own)
                 else:
                     rows.append((0, doc, 0, None, None, None))
-                if size > 2_000_000:
+                if size > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
                     held, size = [], 0
             if held:
