@@ -10,11 +10,10 @@
    the hash must not differ too much), and are verified once, on the whole sets.
 
 Nodes that share an n-gram are not paired all with all. Two rounds pair each
-with one node of its own bucket, components are formed from the verified links,
-and only pairs across different components are still to be looked at; rounds
-repeat while buckets hold many, then the rest is joined in full. So no link
-between components is lost, while a large group of copies costs a few pairs per
-document.
+with the likely original of its own bucket, components are formed from the
+verified links, and then all pairs across different components are looked at. So
+no link between components is lost, while a large group of copies costs a few
+pairs per document.
 
 Defined cases: null and empty texts have no n-grams and link with nothing; with
 fewer words than n the whole sequence is the one n-gram; a null id links with
@@ -49,8 +48,6 @@ CACHE_WORDS = 100_000
 PIECE_BYTES = 4_000_000
 #: Ranges of the hash (by its first byte) that the suffix filter counts by.
 RANGES = 256
-#: Rounds that pair each node with one of its bucket before the rest is joined in full.
-STAR_ROUNDS = 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -208,23 +205,22 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray
     return docs.select("text").mapInArrow(run, "h long, f1 long, f2 long, n long, place long")
 
 
+#: What a bucket's centre is the first in: a text from which others were copied with changes has the fewest
+#: n-grams of its own, so that the shared ones come earliest in its order.
+_FIRST = ["place", "f1", "f2"]
+
+
 def _length_class(round_: int, num: int, den: int) -> Column:
     """Classes of similar size, shifted by half a class in every second round."""
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(0.5 * (round_ % 2))).cast("long")
 
 
-def _turn(round_: int) -> Column:
-    """Pseudo-random order of a bucket's nodes, one of two, so that a group has few centres."""
-    return F.xxhash64("f1", "f2", F.pmod("h", F.lit(2)), F.lit(round_))
-
-
 def shared_buckets(entries: DataFrame, num: int, den: int) -> DataFrame:
     """kind 0: entries whose n-gram several nodes have; kind 1: each of them with the first node of its size class.
 
     One exchange by n-gram; a sorted stream sees the nodes of a bucket one after the other, so no bucket is held in memory.
     """
-    order = ["h", "cls", "turn", "f1", "f2"]
-    dealt = entries.withColumns({"cls": _length_class(0, num, den), "turn": _turn(0)}).repartition("h").sortWithinPartitions(*order)
+    dealt = entries.withColumn("cls", _length_class(0, num, den)).repartition("h").sortWithinPartitions("h", "cls", *_FIRST)
     names = ["h", "f1", "f2", "n", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +338,8 @@ def _remaining(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataF
 
 def _star(entries: DataFrame, round_: int, num: int, den: int) -> DataFrame:
     """Each entry with the first node of its bucket and size class, if that is in another component."""
-    placed = entries.withColumns({"cls": _length_class(round_, num, den), "turn": _turn(round_)})
-    centre = placed.groupBy("h", "cls").agg(F.min(F.struct("turn", "f1", "f2", "n", "place", "component")).alias("c"))
+    placed = entries.withColumn("cls", _length_class(round_, num, den))
+    centre = placed.groupBy("h", "cls").agg(F.min(F.struct(*_FIRST, "n", "component")).alias("c"))
     pairs = placed.join(centre, ["h", "cls"]).filter(F.col("component") != F.col("c.component"))
     return pairs.select("f1", "f2", "n", "place", F.col("c.f1").alias("g1"), F.col("c.f2").alias("g2"), F.col("c.n").alias("m"), F.col("c.place").alias("spot"))
 
@@ -361,6 +357,10 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
     return entries.join(other, "h").filter((F.col("component") < F.col("c2")) & ~F.arrays_overlap("before", "before_2"))
 
 
+def _as_links(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+
+
 def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, counters: int = COUNTERS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, for links where den * common >= num * union."""
     signed = stored(signatures(docs, width, counters), "signatures")
@@ -375,20 +375,11 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, coun
     verifier = _Verifier(usable_docs, nodes, width, num, den)
     links = verifier.links(found.filter("kind = 1").filter(_possible(num, den)))
     labels = components(links)
-    for round_ in range(1, STAR_ROUNDS):
-        buckets = _remaining(buckets, nodes, labels)
-        per = buckets.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        pairs, size = per.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).collect()[0]
-        if not size or pairs <= 2 * size:  # mostly buckets of two
-            break
-        more = verifier.links(_star(buckets, round_, num, den).filter(_possible(num, den)))
-        if not more.take(1):
-            break
-        links = links.unionByName(more)
-        labels = components(links)
-    rest = verifier.links(_all_pairs(buckets if "component" in buckets.columns else _remaining(buckets, nodes, labels)).filter(_possible(num, den)))
-    if rest.take(1):
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    buckets = _remaining(buckets, nodes, labels)
+    more = verifier.links(_star(buckets, 1, num, den).filter(_possible(num, den)))
+    labels = components(_as_links(labels).unionByName(more))
+    rest = verifier.links(_all_pairs(_remaining(buckets, nodes, labels)).filter(_possible(num, den)))
+    labels = components(_as_links(labels).unionByName(rest))
 
     named = nodes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = own.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
