@@ -1,11 +1,276 @@
-"""Registered queries of the hypergraph engine."""
+"""Registered queries of the hypergraph engine, and the same in SQL.
+
+Hypergraphs of the test tables: OP joins orders (hyperedges) and parts
+(vertices) through all line items; NC joins nations (hyperedges) and customers;
+BULK is OP with the largest quantities only, a sparse one with long paths.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from knitwork.functions.programs import ALPHA, PAGE_RANK, components_program, connected_components, label_program, label_propagation, page_rank, shortest_path, shortest_path_program
+from knitwork.operators import placement
+from knitwork.plans.supersteps import EDGE, HyperProgram, Side, _state, half_step, run
+from knitwork.sources import adjacency_text
+from knitwork.sources.hypergraph import Hypergraph, from_table
+
+PARTS, BULK_QUANTITY = 4, 46
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def order_part(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    return from_table(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
+
+
+def order_part_isolated(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    """OP with the orders that have no line item as isolated hyperedges."""
+    edges = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("weight"))
+    return from_table(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey", hyperedges=edges)
+
+
+def bulk(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    """Weights: a hyperedge is as long as the number of its line items that are not bulk, plus one."""
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    chosen = items.filter(F.col("l_quantity") >= BULK_QUANTITY)
+    weights = items.groupBy(F.col("l_orderkey").alias("id")).agg((F.count_if(F.col("l_quantity") < BULK_QUANTITY) + 1).cast("string").alias("weight"))
+    edges = chosen.select(F.col("l_orderkey").alias("id")).distinct().join(weights, "id")
+    return from_table(chosen, "l_orderkey", "l_partkey", hyperedges=edges)
+
+
+def nation_customer(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    return from_table(_table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey")
+
+
+# Incidence of each hypergraph in SQL, and its elements.
+_OP = "SELECT l_partkey AS v, l_orderkey AS e FROM lineitem"
+_BULK = f"SELECT l_partkey AS v, l_orderkey AS e FROM lineitem WHERE l_quantity >= {BULK_QUANTITY}"
+_NC = "SELECT c_custkey AS v, c_nationkey AS e FROM customer"
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("id", F.round("value", digits).alias("value"))
+
+
+def _values(df: DataFrame) -> DataFrame:
+    return df.select("id", "value")
+
+
+def _rank_sql(k: int, side: str = "v", inc: str = _OP, edges: str = "SELECT DISTINCT e AS id FROM inc", dual: bool = False) -> str:
+    """k supersteps, vertices damped and first to send (or, for the dual, the same with the sides exchanged)."""
+    ctes = [f"inc AS ({inc.replace('AS v', 'AS tmp').replace('AS e', 'AS v').replace('AS tmp', 'AS e') if dual else inc})", f"es AS ({edges})", "vd AS (SELECT v, count(*) AS d FROM inc GROUP BY v)", "ed AS (SELECT e, count(*) AS d FROM inc GROUP BY e)", "x0 AS (SELECT v, 1.0::DOUBLE AS x FROM vd)"]
+    for s in range(1, k + 1):
+        ctes.append(f"y{s} AS (SELECT inc.e, sum(({ALPHA} + (1 - {ALPHA}) * x) / d) AS y FROM x{s - 1} JOIN vd USING (v) JOIN inc USING (v) GROUP BY inc.e)")
+        ctes.append(f"x{s} AS (SELECT inc.v, sum(y / d) AS x FROM y{s} JOIN ed USING (e) JOIN inc USING (e) GROUP BY inc.v)")
+    last = f"SELECT v AS id, round(x, 6) AS value FROM x{k}" if side == "v" else "SELECT id, 0.0::DOUBLE AS value FROM es"
+    return "WITH " + ", ".join(ctes) + " " + last
+
+
+def _component_ctes(inc: str) -> str:
+    """cc(id, lab): largest hyperedge id reached; hyperedges have even and vertices odd node numbers."""
+    return f"""WITH RECURSIVE inc AS ({inc}), adj AS (SELECT DISTINCT 2 * e AS a, 2 * v + 1 AS b FROM inc UNION ALL SELECT DISTINCT 2 * v + 1, 2 * e FROM inc),
+cc(id, lab) USING KEY (id) AS (
+  SELECT DISTINCT a, CASE WHEN a % 2 = 0 THEN a // 2 ELSE -1 END FROM adj
+  UNION SELECT adj.b, max(cc.lab) FROM cc JOIN adj ON cc.id = adj.a JOIN recurring.cc AS r ON r.id = adj.b WHERE cc.lab > r.lab GROUP BY adj.b
+)"""
+
+
+def _path_ctes(source: str, inc: str = _BULK, unit: bool = False, swap: bool = False) -> str:
+    """sp(id, d): least cost of each vertex; the source is the smallest vertex unless given."""
+    length = "SELECT e, 1 AS len FROM inc GROUP BY e" if unit else f"SELECT l_orderkey AS e, 1 + count(*) FILTER (l_quantity < {BULK_QUANTITY}) AS len FROM lineitem GROUP BY l_orderkey"
+    inc = inc.replace("AS v", "AS tmp").replace("AS e", "AS v").replace("AS tmp", "AS e") if swap else inc
+    return f"""WITH RECURSIVE inc AS ({inc}), len AS ({length}),
+hop AS (SELECT DISTINCT x.v AS a, y.v AS b, x.e FROM inc x JOIN inc y USING (e) WHERE x.v <> y.v), step AS (SELECT a, b, min(len) AS len FROM hop JOIN len USING (e) GROUP BY a, b),
+sp(id, d) USING KEY (id) AS (
+  SELECT {source}, 0::BIGINT
+  UNION SELECT step.b, min(sp.d + step.len) FROM sp JOIN step ON step.a = sp.id LEFT JOIN recurring.sp AS r ON r.id = step.b WHERE r.d IS NULL OR sp.d + step.len < r.d GROUP BY step.b
+)"""
+
+
+def _label_sql(k: int) -> str:
+    ctes = [f"inc AS ({_OP})", "l0 AS (SELECT DISTINCT v, v AS lab FROM inc)"]
+    best = "SELECT {d}, lab FROM (SELECT {d}, lab, row_number() OVER (PARTITION BY {d} ORDER BY count(*) DESC, lab) AS r FROM {s} JOIN inc USING ({k}) GROUP BY {d}, lab) WHERE r = 1"
+    for s in range(1, k + 1):
+        ctes.append(f"m{s} AS ({best.format(d='e', s=f'l{s - 1}', k='v')})")
+        ctes.append(f"l{s} AS ({best.format(d='v', s=f'm{s}', k='e')})")
+    return "WITH " + ", ".join(ctes)
+
+
+def _first_half(spark: SparkSession, sf_dir: str, program: HyperProgram) -> DataFrame:
+    """Hyperedges after one half-step from the vertices of OP."""
+    g = order_part(spark, sf_dir)
+    inc = g.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst"))
+    back = g.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst"))
+    senders, receivers = _state(g.vertices, inc, program.vertex), _state(g.hyperedges, back, program.edge)
+    return half_step(senders, inc, receivers, program.vertex, program.edge, program)[1]
+
+
+def _relay(initial: str) -> Side:
+    return Side(
+        initial=lambda: F.col(initial), message=lambda _: F.col("value"), apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("inbox") < F.col("value"), after_send=lambda: F.col("value"), stays_active=False
+    )
+
+
+#: A program of a user: least vertex id within reach, where hyperedges start without a value of their own.
+_FAR = 1 << 62
+LEAST_LABEL = HyperProgram(
+    vertex=_relay("id"),
+    edge=Side(initial=lambda: F.lit(_FAR), message=lambda _: F.col("value"), apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("inbox") < F.col("value"), after_send=lambda: F.col("value"), stays_active=False, starts_active=lambda: F.lit(False)),
+    reduce=F.min,
+)
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[Hypergraph, DataFrame, DataFrame]:
+    g = order_part(spark, sf_dir)
+    inc = g.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst"))
+    where = placement.by_modulo(g.hyperedges, PARTS)
+    return g, where, placement.copies(g.vertices, inc, where, PARTS)
+
+
+def _by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A placement given by a table: orders by the first digit of their priority."""
+    given = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("long").alias("part"))
+    return placement.by_table(order_part(spark, sf_dir).hyperedges, given)
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NC written as text and read back, as (v, e)."""
+    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="knitwork-")).rstrip("/")
+    path = f"{root}/knitwork-text/{abs(hash(sf_dir))}"
+    g = nation_customer(spark, sf_dir)
+    all_nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit(None).cast("string").alias("weight"))
+    adjacency_text.write_adjacency(Hypergraph(g.vertices, all_nations, g.v2e, g.e2v), path)
+    return adjacency_text.read_adjacency(spark, path).v2e
+
+
+def _last_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of each order, if every line item carries one in the order of its line number, part and supplier: the last counts."""
+    items = _table(spark, sf_dir, "lineitem")
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return items.groupBy(F.col("l_orderkey").alias("id")).agg(F.max_by(F.col("l_quantity").cast("long"), at).alias("weight"))
+
+
+def _trace(result) -> DataFrame:
+    return result.trace
+
+
+_MEMBER_SQL = "SELECT id // 2 AS id, lab AS value FROM cc WHERE id % 2 = {odd}"
+_SOURCE = 0
+
+
+def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    op, part = order_part, _placed
+    copies_sql = f"held AS (SELECT v AS id, e % {PARTS} AS part, count(*) AS n_local FROM inc GROUP BY 1, 2), masters AS (SELECT id, min(part) AS master FROM held GROUP BY id)"
+    return {
+        "incidence_v2e": (lambda s, d: op(s, d).v2e, _OP),
+        "incidence_e2v": (lambda s, d: op(s, d).e2v, f"SELECT e, v FROM ({_OP})"),
+        "dual": (lambda s, d: op(s, d).dual().v2e, f"SELECT e AS v, v AS e FROM ({_OP})"),
+        "vertex_degree": (lambda s, d: op(s, d).vertex_degree(), f"SELECT v AS id, count(*) AS degree FROM ({_OP}) GROUP BY v"),
+        "hyperedge_degree": (lambda s, d: order_part_isolated(s, d).hyperedge_degree(), "SELECT o_orderkey AS id, count(l_orderkey) AS degree FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"),
+        "adjacency_lists": (
+            lambda s, d: op(s, d).adjacency().select("id", F.array_join("neighbours", ",").alias("neighbours")),
+            f"SELECT v AS id, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS neighbours FROM ({_OP}) GROUP BY v",
+        ),
+        "page_rank_k1": (lambda s, d: _rounded(page_rank(op(s, d), 1).vertices), _rank_sql(1)),
+        "page_rank_k3": (lambda s, d: _rounded(page_rank(op(s, d), 3).vertices), _rank_sql(3)),
+        "page_rank_k10": (lambda s, d: _rounded(page_rank(op(s, d), 10).vertices), _rank_sql(10)),
+        "page_rank_hyperedge_scores": (lambda s, d: _rounded(page_rank(op(s, d), 2).hyperedges), _rank_sql(2, "e")),
+        "page_rank_top20": (
+            lambda s, d: _rounded(page_rank(op(s, d), 3).vertices).orderBy(F.desc("value"), "id").limit(20),
+            f"SELECT * FROM ({_rank_sql(3)}) ORDER BY value DESC, id LIMIT 20",
+        ),
+        "page_rank_dual": (lambda s, d: _rounded(page_rank(op(s, d).dual(), 2).vertices), _rank_sql(2, dual=True)),
+        "page_rank_isolated": (lambda s, d: _rounded(page_rank(order_part_isolated(s, d).dual(), 2).vertices), f"SELECT o_orderkey AS id, coalesce(value, 1.0) AS value FROM orders LEFT JOIN ({_rank_sql(2, dual=True)}) ON id = o_orderkey"),
+        "cc_fixpoint": (lambda s, d: _values(connected_components(op(s, d)).vertices), _component_ctes(_OP) + _MEMBER_SQL.format(odd=1)),
+        "cc_bulk": (lambda s, d: _values(connected_components(bulk(s, d)).vertices), _component_ctes(_BULK) + _MEMBER_SQL.format(odd=1)),
+        "cc_bulk_hyperedges": (lambda s, d: _values(connected_components(bulk(s, d)).hyperedges), _component_ctes(_BULK) + _MEMBER_SQL.format(odd=0)),
+        "cc_k2": (
+            lambda s, d: _values(connected_components(bulk(s, d), 1).vertices),
+            f"WITH inc AS ({_BULK}), r AS (SELECT v, max(e) AS x FROM inc GROUP BY v), u AS (SELECT e, max(x) AS x FROM r JOIN inc USING (v) GROUP BY e) SELECT v AS id, max(x) AS value FROM u JOIN inc USING (e) GROUP BY v",
+        ),
+        "cc_component_sizes": (
+            lambda s, d: connected_components(nation_customer(s, d)).vertices.groupBy("value").agg(F.count("*").alias("n")),
+            "SELECT c_nationkey AS value, count(*) AS n FROM customer GROUP BY 1",
+        ),
+        "cc_dual": (lambda s, d: _values(connected_components(bulk(s, d).dual()).hyperedges), _component_ctes(f"SELECT v AS e, e AS v FROM ({_BULK})") + _MEMBER_SQL.format(odd=0)),
+        "sssp_hops": (
+            lambda s, d: _values(shortest_path(op(s, d), _SOURCE).vertices),
+            _path_ctes(str(_SOURCE), _OP, unit=True) + " SELECT v AS id, d AS value FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v",
+        ),
+        "sssp_weighted": (
+            lambda s, d: _values(shortest_path(bulk(s, d), _SOURCE).vertices),
+            _path_ctes(str(_SOURCE)) + " SELECT v AS id, d AS value FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)",
+        ),
+        "sssp_limit": (
+            lambda s, d: _values(shortest_path(bulk(s, d), _SOURCE, 2).vertices),
+            f"WITH inc AS ({_BULK}), len AS (SELECT l_orderkey AS e, 1 + count(*) FILTER (l_quantity < {BULK_QUANTITY}) AS len FROM lineitem GROUP BY 1), "
+            f"near AS (SELECT y.v, min(len) AS d FROM inc x JOIN inc y USING (e) JOIN len USING (e) WHERE x.v = {_SOURCE} GROUP BY y.v) "
+            f"SELECT i.v AS id, CASE WHEN i.v = {_SOURCE} THEN 0 ELSE d END AS value FROM (SELECT DISTINCT v FROM inc) i LEFT JOIN near USING (v)",
+        ),
+        "sssp_unreachable": (
+            lambda s, d: shortest_path(bulk(s, d), _SOURCE).vertices.agg(F.count_if(F.col("value").isNull()).alias("unreachable"), F.max("value").alias("furthest")),
+            _path_ctes(str(_SOURCE)) + " SELECT count(*) FILTER (d IS NULL) AS unreachable, max(d) AS furthest FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)",
+        ),
+        "sssp_dual": (
+            lambda s, d: _values(shortest_path(nation_customer(s, d).dual(), _SOURCE).vertices),
+            "SELECT DISTINCT c_nationkey::BIGINT AS id, CASE WHEN c_nationkey = 0 THEN 0::BIGINT END AS value FROM customer",
+        ),
+        "lp_k1": (lambda s, d: _values(label_propagation(op(s, d), 1).vertices), _label_sql(1) + " SELECT v AS id, lab AS value FROM l1"),
+        "lp_k3": (lambda s, d: _values(label_propagation(op(s, d), 3).vertices), _label_sql(3) + " SELECT v AS id, lab AS value FROM l3"),
+        "lp_community_sizes": (
+            lambda s, d: label_propagation(op(s, d), 3).vertices.groupBy("value").agg(F.count("*").alias("n")),
+            _label_sql(3) + " SELECT lab AS value, count(*) AS n FROM l3 GROUP BY lab",
+        ),
+        "half_step_sum": (
+            lambda s, d: _rounded(_first_half(s, d, PAGE_RANK)),
+            f"WITH inc AS ({_OP}), vd AS (SELECT v, count(*) AS d FROM inc GROUP BY v) SELECT e AS id, round(sum(1.0::DOUBLE / d), 6) AS value FROM inc JOIN vd USING (v) GROUP BY e",
+        ),
+        "half_step_max": (lambda s, d: _values(_first_half(s, d, components_program(EDGE))), f"WITH inc AS ({_OP}), r AS (SELECT v, max(e) AS x FROM inc GROUP BY v) SELECT e AS id, max(x) AS value FROM inc JOIN r USING (v) GROUP BY e"),
+        "half_step_min": (lambda s, d: _values(_first_half(s, d, shortest_path_program(_SOURCE))), f"SELECT e AS id, min(CASE WHEN v = {_SOURCE} THEN 0::BIGINT END) AS value FROM ({_OP}) GROUP BY e"),
+        "half_step_hist": (lambda s, d: _values(_first_half(s, d, label_program(EDGE))), _label_sql(1) + " SELECT e AS id, lab AS value FROM m1"),
+        "active_trace_sssp": (
+            lambda s, d: _trace(shortest_path(nation_customer(s, d), _SOURCE, trace=True)),
+            f"WITH n AS (SELECT count(DISTINCT c_nationkey) AS e, count(*) AS v, (SELECT count(*) FROM customer WHERE c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = {_SOURCE})) AS k FROM customer) "
+            "SELECT 0::INT AS superstep, 0::BIGINT AS active_replicas, e AS total_replicas, 1::BIGINT AS active_uniques, v AS total_uniques FROM n UNION ALL SELECT 1, 1, e, k - 1, v FROM n UNION ALL SELECT 2, 0, e, 0, v FROM n WHERE FALSE",
+        ),
+        "active_trace_cc": (
+            lambda s, d: _trace(connected_components(nation_customer(s, d), 1, trace=True)),
+            "SELECT 0::INT AS superstep, count(*) AS active_replicas, count(*) AS total_replicas, count(DISTINCT c_nationkey) AS active_uniques, count(DISTINCT c_nationkey) AS total_uniques FROM customer",
+        ),
+        "partition_mod": (lambda s, d: part(s, d)[1], f"SELECT DISTINCT l_orderkey AS id, l_orderkey % {PARTS} AS part FROM lineitem"),
+        "partition_user": (_by_priority, "SELECT DISTINCT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey"),
+        "replicas_by_partition": (lambda s, d: part(s, d)[2], f"WITH inc AS ({_OP}), {copies_sql} SELECT * FROM held"),
+        "master_assignment": (lambda s, d: placement.masters(part(s, d)[2]), f"WITH inc AS ({_OP}), {copies_sql} SELECT * FROM masters"),
+        "servant_map": (lambda s, d: placement.servants(part(s, d)[2]), f"WITH inc AS ({_OP}), {copies_sql} SELECT id, part FROM held JOIN masters USING (id) WHERE part <> master"),
+        "new_ids": (lambda s, d: placement.new_ids(part(s, d)[2], PARTS), f"WITH inc AS ({_OP}), {copies_sql} SELECT id, (row_number() OVER (PARTITION BY master ORDER BY id) - 1) * {PARTS} + master AS new_id FROM masters"),
+        "replication_factor": (
+            lambda s, d: placement.replication(part(s, d)[2]).withColumn("factor", F.round("factor", 6)),
+            f"WITH inc AS ({_OP}), {copies_sql} SELECT count(DISTINCT id) AS replicas, count(*) AS copies, round(count(*) / count(DISTINCT id), 6) AS factor FROM held",
+        ),
+        "weights_last_wins": (_last_weights, "SELECT l_orderkey AS id, CAST(arg_max(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS BIGINT) AS weight FROM lineitem GROUP BY 1"),
+        "csr_offsets": (
+            lambda s, d: adjacency_text.csr_offsets((g := order_part_isolated(s, d)).hyperedges, g.e2v, "e"),
+            "WITH n AS (SELECT o_orderkey AS id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n",
+        ),
+        "csr_roundtrip": (_round_trip, "SELECT c_custkey AS v, CAST(c_nationkey AS BIGINT) AS e FROM customer"),
+        "custom_program": (
+            lambda s, d: _values(run(bulk(s, d), LEAST_LABEL, EDGE).vertices),
+            f"WITH RECURSIVE inc AS ({_BULK}), hop AS (SELECT DISTINCT x.v AS a, y.v AS b FROM inc x JOIN inc y USING (e)), least(id, lab) USING KEY (id) AS (SELECT DISTINCT v, v FROM inc UNION "
+            "SELECT hop.b, min(least.lab) FROM least JOIN hop ON hop.a = least.id JOIN recurring.least AS r ON r.id = hop.b WHERE least.lab < r.lab GROUP BY hop.b) SELECT id, lab AS value FROM least",
+        ),
+    }
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _catalogue().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _catalogue().items()}
