@@ -32,11 +32,12 @@ END_ID = 2
 #: Pieces in a randomised group; about half a sequence per group stays open.
 GROUP_PIECES = 2048
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_MARKS = ".,;:!?%*#&$@=+/|\\()[]{}<>~^`\"_-"
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
@@ -70,15 +71,20 @@ class WordIds:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in got)]
 
     def _missing(self, words: set[str]) -> dict[str, bytes]:
-        known, out, rest = self._known, {}, []
+        """Ids of words not yet known. Marks that follow a last letter are a token run of their own, so both parts are looked up."""
+        known, parts, need = self._known, {}, set()
         for w in words:
-            # a mark after a letter is a token of its own
-            if w[-1] in ",." and (stem := known.get(w[:-1])) is not None and w[-2:-1].isalpha() and (mark := known.get(w[-1])):
-                out[w] = stem + mark
+            stem = w.rstrip(_MARKS)
+            if stem and len(stem) < len(w) and stem[-1].isalpha() and "<|" not in w:
+                parts[w] = stem, w[len(stem) :]
+                need.update(x for x in parts[w] if x not in known)
             else:
-                rest.append(w)
-        if rest:
-            out.update(zip(rest, self._by_library(rest), strict=True))
+                need.add(w)
+        need = list(need)
+        fresh = dict(zip(need, self._by_library(need), strict=True)) if need else {}
+        out = dict(fresh)
+        for w, halves in parts.items():
+            out[w] = b"".join(fresh[x] if x in fresh else known[x] for x in halves)
         if len(known) < CACHE_WORDS:
             known.update(out)
         return out
