@@ -37,7 +37,7 @@ WINDOW = 10
 #: UTF-8 bytes of test items in one block: the bound of what is collected and broadcast at a time.
 BLOCK_BYTES = 16_000_000
 #: UTF-8 bytes of documents in one shard, but for a single longer document.
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 
 #: Lower-cases A-Z and blanks out what is not part of a word: ASCII but letters and digits.
 _FOLD = bytes(
@@ -170,8 +170,8 @@ def search(shard: Shard, tests: TestWindows, slop: int = 0) -> tuple[np.ndarray,
 _FOUND = "doc_id long, row_key string, n_words long, hit binary, items array<string>, n_near long"
 
 
-def _found(shards: DataFrame, tests: TestWindows, slop: int) -> DataFrame:
-    """A row per document: its hit words as a bit string (empty without hits), and the items found."""
+def _found(shards: DataFrame, tests: TestWindows, slop: int, final: bool) -> DataFrame:
+    """A row per document: its hit words as a bit string (empty without hits), and the items found; with ``final`` the summary of that."""
     sent = shards.sparkSession.sparkContext.broadcast(tests)
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = sent.value
@@ -208,21 +208,21 @@ def _found(shards: DataFrame, tests: TestWindows, slop: int) -> DataFrame:
                     pa.array(ids, pa.int64()), pa.array([f"{key}/{k}" for k in range(len(ids))]), pa.array(n_words), pa.array(bits, pa.binary()),
                     pa.array([sorted(items.get(k, ())) for k in range(len(ids))], pa.list_(pa.string())), pa.array(near),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "n_words", "hit", "items", "n_near"])
+                found = pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "n_words", "hit", "items", "n_near"])
+                yield _summary(found) if final else found
 
-    return shards.mapInArrow(match, _FOUND)
+    return shards.mapInArrow(match, _SUMMARY if final else _FOUND)
 
 
-def _digest(found: DataFrame) -> DataFrame:
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [sum(x.bit_count() for x in h) for h in batch.column("hit").to_pylist()]
-            items = batch.column("items").to_pylist()
-            sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sums, pa.string()), pa.array([h > 0 for h in hits]), batch.column("items"), batch.column("n_near")]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "n_near"])
+_SUMMARY = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, n_near long"
+
 
-    return found.mapInArrow(summarise, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, n_near long")
+def _summary(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hits = [sum(x.bit_count() for x in h) for h in batch.column("hit").to_pylist()]
+    items = batch.column("items").to_pylist()
+    sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sums, pa.string()), pa.array([h > 0 for h in hits]), batch.column("items"), batch.column("n_near")]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "n_near"])
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -252,6 +252,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         tests = TestWindows(list(zip(rows.column("item_id").to_pylist(), texts, strict=True)), window)
         shards = stored(index(docs, tests, window), "postings")
         tests.rarest_first(term_counts(shards, len(tests.terms)))
-        here = _found(shards, tests, slop)
+        here = _found(shards, tests, slop, blocks == 1)
         found = here if found is None else found.unionByName(here)
-    return _digest(found if blocks == 1 else _merged(found))
+    return found if blocks == 1 else _merged(found).mapInArrow(lambda batches: map(_summary, batches), _SUMMARY)

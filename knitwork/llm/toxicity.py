@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import fold, stored, texts
+from knitwork.llm.common import fold, pieces_of, stored, texts
 
 THRESHOLD = 0.7
 #: Labelled documents that the classifier is fitted on, at most (by hash of the id), and the features it keeps.
 TRAIN_DOCS, FEATURES = 20_000, 512
 #: Lengths of word beginnings that are features beside whole words, and fewest documents of a feature.
 BEGINNINGS, LEAST_DOCS = (4, 5, 6, 7), 4
-#: Distinct words a worker remembers.
-CACHE_WORDS = 500_000
+#: Distinct words a worker remembers: what they add to a score, and their readings.
+CACHE_WORDS, CACHE_READINGS = 150_000, 20_000
+#: UTF-8 bytes of documents handled at a time, but for a single longer one.
+PIECE_BYTES = 4_000_000
 #: Characters decoded at a time.
 STRETCH = 200
 
@@ -75,8 +77,8 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     """Trigram counts over all documents: partial counts per batch, summed by Spark into at most 64**3 rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, held, size = np.zeros(_CLASSES**3, np.int64), [], 0
+        total, held, size = np.zeros(_CLASSES**3, np.int64), [], 0
+        for batch in pieces_of(batches, PIECE_BYTES):
             for text in texts(batch):
                 c = class_codes(" " + text + " ").astype(np.int32)
                 held.append((c[:-2] << 12) + (c[1:-1] << 6) + c[2:])
@@ -84,10 +86,10 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
                 if size > 1_000_000:  # counted together, since one count touches the whole table
                     total += np.bincount(np.concatenate(held), minlength=len(total))
                     held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-            code = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
     rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(_CLASSES**3, np.int64)
@@ -172,7 +174,7 @@ class Restorer:
             got = tuple(dict.fromkeys((*self._decoder.decode(core).split(), *plain)))
         else:
             got = (core,)
-        if len(self._known) < CACHE_WORDS:
+        if len(self._known) < CACHE_READINGS:
             self._known[token] = got
         return got
 
@@ -213,7 +215,7 @@ def restore(docs: DataFrame, trigrams: np.ndarray | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent.value)
-        for batch in batches:
+        for batch in pieces_of(batches, PIECE_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([restorer.text(t) for t in texts(batch)], pa.string())], names=[*names, "restored"])
 
     from pyspark.sql.types import StringType, StructField, StructType
@@ -248,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, most: int = TR
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent.value)
-        for batch in batches:
+        for batch in pieces_of(batches, PIECE_BYTES):
             found = [sorted(features(restorer.words(t))) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
 
@@ -332,7 +334,7 @@ def score(docs: DataFrame, model: Model, trigrams: np.ndarray, column: str = "sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
-        for batch in batches:
+        for batch in pieces_of(batches, PIECE_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.score(t) for t in texts(batch)], pa.float64())], names=[*names, column])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
