@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +35,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on in this session, at most ROWS_PER_BATCH rows go to a Python worker at a time."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+
+
+def trim() -> None:
+    """Give freed memory of this worker process back, since workers stay alive between stages."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to a Parquet table in the shared folder and read back: no lineage, survives lost executors."""
     spark = df.sparkSession

@@ -152,7 +152,7 @@ class Prototypes:
             codes = np.flatnonzero(counts[lang])
             own = counts[lang][codes].astype(np.float32) @ space.vectors(codes)
             rows.append(own / np.linalg.norm(own))
-        self.vectors = np.array(rows, np.float32).reshape(len(rows), -1)
+        self.vectors = np.array(rows, np.float32)
         self.common = self.vectors.mean(0) if rows else np.zeros(0, np.float32)
         if len(rows) > 1:
             self.vectors = self.vectors - self.common

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import pieces_of, stored, utf8
+from knitwork.llm.common import pieces_of, stored, trim, utf8
 from knitwork.llm.components import components
 
 #: Counters of n-gram frequencies: a fixed table, whatever the input.
@@ -129,6 +129,7 @@ def signatures(docs: DataFrame, width: int, counters: int = COUNTERS) -> DataFra
             cols = list(zip(*rows, strict=True)) or [()] * 6
             cols += [[None] * len(rows)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        trim()
         if total.any():
             task = TaskContext.get().partitionId()
             for k, part in enumerate(np.split(total, SLICES)):
@@ -201,6 +202,8 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray
             h, place = np.concatenate([p[0] for p in parts]), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             f1, f2, n = each(1), each(2), each(3)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, f1, f2, n, place)], names=["h", "f1", "f2", "n", "place"])
+        sent_before.clear()
+        trim()
 
     return docs.select("text").mapInArrow(run, "h long, f1 long, f2 long, n long, place long")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import fold, pieces_of, stored, texts
+from knitwork.llm.common import fold, pieces_of, stored, texts, trim
 
 THRESHOLD = 0.7
 #: Labelled documents that the classifier is fitted on, at most (by hash of the id), and the features it keeps.
@@ -253,6 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, most: int = TR
         for batch in pieces_of(batches, PIECE_BYTES):
             found = [sorted(features(restorer.words(t))) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
+        del restorer
+        trim()
 
     rows = stored(_sample(docs, labels, most).mapInArrow(extract, "toxic int, found array<string>"), "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -336,6 +338,8 @@ def score(docs: DataFrame, model: Model, trigrams: np.ndarray, column: str = "sc
         scorer = Scorer(*sent.value)
         for batch in pieces_of(batches, PIECE_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.score(t) for t in texts(batch)], pa.float64())], names=[*names, column])
+        del scorer
+        trim()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
