@@ -16,17 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knitwork.llm import decontamination, ngram_join, packing, secrets, toxicity
-from knitwork.llm.common import read, stored
+from knitwork.llm.common import bounded_batches, read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
+    bounded_batches(spark)
     scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), "toxicity_score_")
     return scored.filter(F.col("toxicity_score_") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of five-word shingle sets linked at 0.8."""
+    bounded_batches(spark)
     classes = ngram_join.classes(docs, width=5, num=80, den=100)
     kept = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id_")).distinct()
     known = docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").dropDuplicates(["doc_id", "text"])
@@ -35,6 +37,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window. A document without an id goes by its text."""
+    bounded_batches(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
     keyed = docs.select(key.alias("doc_id"), "text")
     found = decontamination.contamination(keyed, read(spark, sf_dir, "benchmark"))
@@ -44,11 +47,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with what looks like a secret replaced."""
+    bounded_batches(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 4096 tokens, a row per piece of a document."""
+    bounded_batches(spark)
     return packing.pack_documents(docs)
 
 
