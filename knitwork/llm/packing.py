@@ -82,12 +82,12 @@ class WordIds:
                 need.add(w)
         need = list(need)
         fresh = dict(zip(need, self._by_library(need), strict=True)) if need else {}
-        out = dict(fresh)
-        for w, halves in parts.items():
-            out[w] = b"".join(fresh[x] if x in fresh else known[x] for x in halves)
+        made = {w: b"".join(fresh[x] if x in fresh else known[x] for x in halves) for w, halves in parts.items()}
         if len(known) < CACHE_WORDS:
-            known.update(out)
-        return out
+            known.update(fresh)
+        if len(known) < CACHE_WORDS // 4:  # only the common words with marks are worth a place
+            known.update(made)
+        return fresh | made
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
