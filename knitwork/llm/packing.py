@@ -32,7 +32,7 @@ END_ID = 2
 #: Pieces in a randomised group; about half a sequence per group stays open.
 GROUP_PIECES = 2048
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,17 +46,18 @@ class WordIds:
 
     The vocabulary drops white space and never merges across it, so the ids of a
     text are those of its words in order. The library encodes each distinct word
-    once. The first CACHE_WORDS words stay known, which are mostly the common
+    once. The first ``most`` words stay known, which are mostly the common
     ones; later ones are encoded wherever they occur.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._library.no_padding()
         self._library.no_truncation()
         self._known: dict[str, bytes] = {}
+        self._most = most
 
     def words(self, text: str) -> list[str]:
         if "<|" not in text:  # special strings are looked for before letters are lowered
@@ -82,12 +83,10 @@ class WordIds:
                 need.add(w)
         need = list(need)
         fresh = dict(zip(need, self._by_library(need), strict=True)) if need else {}
-        made = {w: b"".join(fresh[x] if x in fresh else known[x] for x in halves) for w, halves in parts.items()}
-        if len(known) < CACHE_WORDS:
-            known.update(fresh)
-        if len(known) < CACHE_WORDS // 4:  # only the common words with marks are worth a place
-            known.update(made)
-        return fresh | made
+        out = fresh | {w: b"".join(fresh[x] if x in fresh else known[x] for x in halves) for w, halves in parts.items()}
+        if len(known) < self._most:
+            known.update(out)
+        return out
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -102,12 +101,12 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordIds:
+def _encoder(path: str, most: int) -> WordIds:
     """One per worker process, shared by its tasks."""
-    return WordIds(path)
+    return WordIds(path, most)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Token pieces of at most ``capacity`` ids: one row per piece, with the checksum of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
 
-        encoder = _encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = _encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), cache_words)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
@@ -181,6 +180,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     return cut.withColumn("grp", group).groupBy("grp").applyInArrow(fit, _PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise once, keep only the small piece rows, and pack those."""
-    return pack(stored(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Tokenise once, keep only the small piece rows, and pack those. ``cache_words`` trades a worker's memory for time."""
+    return pack(stored(pieces(docs, tokenizer_path, capacity, cache_words), "pieces"), capacity)
