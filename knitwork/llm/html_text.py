@@ -39,10 +39,11 @@ _CONTAINERS = set("div section ul ol p span table aside details dl blockquote fi
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark boilerplate.
 _MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notice|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-]|\d)"
+    r"(?:^|[\s_-])(?:ad|ads|adbox|adsbygoogle|advert\w*|alerts?|banner|breadcrumbs?|comment\w*|contentinfo|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|\w*nav|navbar|"
+    r"navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sharing|sidebar\w*|sign-?up|social|sponsor\w*|subscribe|toolbar|"
+    r"trending|widget)(?=$|[\s_-]|\d)"
 )
-_ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|entry-content|post-content|post-body|story|main-content)(?=$|[\s])")
+_ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|content|entry|entry-content|post|post-content|post-body|story|main-content)(?=$|[\s])")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

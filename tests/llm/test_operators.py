@@ -288,6 +288,17 @@ def test_differencing_deletes_shared_lines():
     assert html_text.main_text(blocks[0], blocks[0]) == "Top\nmine 0\nmore 0\nBottom"
 
 
+@pytest.mark.parametrize("mark", ["topnav", "commentlist", "sidebar2", "side sidebar", "pagination", "recommended", "sign-up", "site-alert", "adsbygoogle"])
+def test_marked_blocks_go(mark):
+    page = f'<body><div class="{mark}"><p>Away</p></div><div class="content"><p>Stays</p><div id="{mark}">Away</div><p>too</p></div><p>Doubt</p></body>'
+    assert html_text.main_text(html_text.blocks(page), None) == "Stays\ntoo"
+
+
+@pytest.mark.parametrize("name", ["addresses", "navy", "contents-of-the-day", "headers-and-hats", "postal", "searching"])
+def test_like_names_stay(name):
+    assert html_text.main_text(html_text.blocks(f'<article><div class="{name}">Stays</div></article>'), None) == "Stays"
+
+
 def test_longest_common_against_table():
     rng = np.random.default_rng(2)
     for _ in range(60):
