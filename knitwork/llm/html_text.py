@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knitwork.llm.common import bounded_batches, trim
+
 # Tags of HTML.
 _BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -179,6 +181,7 @@ def _common_length(a: str, b: str) -> int:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text. Pages are dealt by ranges of (host, path), so that a large host is spread over many tasks."""
+    bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
@@ -204,6 +207,8 @@ def extract(pages: DataFrame) -> DataFrame:
             yield _batch(out)
         if here is not None:
             yield _batch([settle(here, before, None)])
+        del before, here
+        trim()
 
     return dealt.mapInArrow(difference, "page_id long, url string, text string")
 
