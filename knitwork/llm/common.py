@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
-#: Rows that go to a Python worker at a time while a scratch table is written: texts can be long.
-ROWS_PER_BATCH = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that go to a Python worker at a time, but for a single longer row: texts can be long.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 16_000_000
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_PER_BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_PER_BATCH}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the input; Arrow batches of the session are bounded from then on."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -35,10 +37,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """From now on in this session, at most ROWS_PER_BATCH rows go to a Python worker at a time."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS_PER_BATCH:
-        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+def _number(value: str) -> int:
+    return int(value.rstrip("b"))
+
+
+def bounded_batches(spark: SparkSession) -> dict[str, str]:
+    """From now on in this session, a batch for a Python worker is no larger than the limits; returns the settings before."""
+    before = {key: spark.conf.get(key) for key in _LIMITS}
+    for key, most in _LIMITS.items():
+        if not 0 < _number(before[key]) <= most:
+            spark.conf.set(key, str(most))
+    return before
 
 
 def trim() -> None:
@@ -52,12 +61,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to a Parquet table in the shared folder and read back: no lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/knitwork/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
+    before = bounded_batches(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
