@@ -2,7 +2,9 @@
 
 Hypergraphs of the test tables: OP joins orders (hyperedges) and parts
 (vertices) through all line items; NC joins nations (hyperedges) and customers;
-BULK is OP with the largest quantities only, a sparse one with long paths.
+BULK is OP with the largest quantities only, a sparse one with long paths: a
+tenth of the line items. What it is used for is also registered over all of
+them, under names that end in _whole (cc_bulk over all line items is cc_fixpoint).
 """
 
 from __future__ import annotations
@@ -36,11 +38,20 @@ def order_part_isolated(spark: SparkSession, sf_dir: str) -> Hypergraph:
     return from_table(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey", hyperedges=edges)
 
 
+def _weights(items: DataFrame) -> DataFrame:
+    """A hyperedge is as long as the number of its line items that are not bulk, plus one."""
+    return items.groupBy(F.col("l_orderkey").alias("id")).agg((F.count_if(F.col("l_quantity") < BULK_QUANTITY) + 1).cast("string").alias("weight"))
+
+
+def order_part_weighted(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    """OP with the weights of BULK."""
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return from_table(items, "l_orderkey", "l_partkey", hyperedges=_weights(items))
+
+
 def bulk(spark: SparkSession, sf_dir: str) -> Hypergraph:
-    """Weights: a hyperedge is as long as the number of its line items that are not bulk, plus one."""
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    chosen = items.filter(F.col("l_quantity") >= BULK_QUANTITY)
-    weights = items.groupBy(F.col("l_orderkey").alias("id")).agg((F.count_if(F.col("l_quantity") < BULK_QUANTITY) + 1).cast("string").alias("weight"))
+    chosen, weights = items.filter(F.col("l_quantity") >= BULK_QUANTITY), _weights(items)
     edges = chosen.select(F.col("l_orderkey").alias("id")).distinct().join(weights, "id")
     return from_table(chosen, "l_orderkey", "l_partkey", hyperedges=edges)
 
@@ -165,6 +176,36 @@ _MEMBER_SQL = "SELECT id // 2 AS id, lab AS value FROM cc WHERE id % 2 = {odd}"
 _SOURCE = 0
 
 
+def _whole() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    """What is registered over BULK, over all line items."""
+    op, weighted = order_part, order_part_weighted
+    reached = " FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)"
+    return {
+        "cc_hyperedges_whole": (lambda s, d: _values(connected_components(op(s, d)).hyperedges), _component_ctes(_OP) + _MEMBER_SQL.format(odd=0)),
+        "cc_k2_whole": (
+            lambda s, d: _values(connected_components(op(s, d), 1).vertices),
+            f"WITH inc AS ({_OP}), r AS (SELECT v, max(e) AS x FROM inc GROUP BY v), u AS (SELECT e, max(x) AS x FROM r JOIN inc USING (v) GROUP BY e) SELECT v AS id, max(x) AS value FROM u JOIN inc USING (e) GROUP BY v",
+        ),
+        "cc_dual_whole": (lambda s, d: _values(connected_components(op(s, d).dual()).hyperedges), _component_ctes(f"SELECT v AS e, e AS v FROM ({_OP})") + _MEMBER_SQL.format(odd=0)),
+        "sssp_weighted_whole": (lambda s, d: _values(shortest_path(weighted(s, d), _SOURCE).vertices), _path_ctes(str(_SOURCE), _OP) + " SELECT v AS id, d AS value" + reached),
+        "sssp_limit_whole": (
+            lambda s, d: _values(shortest_path(weighted(s, d), _SOURCE, 2).vertices),
+            f"WITH inc AS ({_OP}), len AS (SELECT l_orderkey AS e, 1 + count(*) FILTER (l_quantity < {BULK_QUANTITY}) AS len FROM lineitem GROUP BY 1), "
+            f"near AS (SELECT y.v, min(len) AS d FROM inc x JOIN inc y USING (e) JOIN len USING (e) WHERE x.v = {_SOURCE} GROUP BY y.v) "
+            f"SELECT i.v AS id, CASE WHEN i.v = {_SOURCE} THEN 0 ELSE d END AS value FROM (SELECT DISTINCT v FROM inc) i LEFT JOIN near USING (v)",
+        ),
+        "sssp_unreachable_whole": (
+            lambda s, d: shortest_path(weighted(s, d), _SOURCE).vertices.agg(F.count_if(F.col("value").isNull()).alias("unreachable"), F.max("value").alias("furthest")),
+            _path_ctes(str(_SOURCE), _OP) + " SELECT count(*) FILTER (d IS NULL) AS unreachable, max(d) AS furthest" + reached,
+        ),
+        "custom_program_whole": (
+            lambda s, d: _values(run(op(s, d), LEAST_LABEL, EDGE).vertices),
+            f"WITH RECURSIVE inc AS ({_OP}), hop AS (SELECT DISTINCT x.v AS a, y.v AS b FROM inc x JOIN inc y USING (e)), least(id, lab) USING KEY (id) AS (SELECT DISTINCT v, v FROM inc UNION "
+            "SELECT hop.b, min(least.lab) FROM least JOIN hop ON hop.a = least.id JOIN recurring.least AS r ON r.id = hop.b WHERE least.lab < r.lab GROUP BY hop.b) SELECT id, lab AS value FROM least",
+        ),
+    }
+
+
 def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     op, part = order_part, _placed
     copies_sql = f"held AS (SELECT v AS id, e % {PARTS} AS part, count(*) AS n_local FROM inc GROUP BY 1, 2), masters AS (SELECT id, min(part) AS master FROM held GROUP BY id)"
@@ -269,8 +310,8 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in _catalogue().items()}
+    return {name: query for name, (query, _) in (_catalogue() | _whole()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _catalogue().items()}
+    return {name: sql for name, (_, sql) in (_catalogue() | _whole()).items()}

@@ -178,6 +178,17 @@ def test_against_sql(spark, name):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(expected.fetchall(), key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["cc_hyperedges_whole", "cc_k2_whole", "cc_dual_whole", "sssp_weighted_whole", "sssp_limit_whole", "sssp_unreachable_whole", "custom_program_whole"])
+def test_whole_tables_against_sql(spark, name):
+    test_against_sql(spark, name)
+    con = duckdb.connect()
+    side = "l_orderkey" if name == "cc_hyperedges_whole" else "l_partkey"
+    n = con.sql(f"SELECT count(DISTINCT {side}) FROM '{SF}/lineitem.parquet'").fetchall()[0][0]
+    if name != "sssp_unreachable_whole":
+        assert catalogue.queries()[name](spark, SF).count() == n
+
+
 def test_unknown_names(spark):
     with pytest.raises(ValueError):
         run_algorithm("other", f1(spark))
