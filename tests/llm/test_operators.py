@@ -215,6 +215,26 @@ def test_network_learns_and_keeps_recall():
     assert secrets.train([], []).threshold > 1
 
 
+def test_network_stays_on(spark):
+    rng = np.random.default_rng(8)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, mixed = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [f'{prose(rng, 9)} token = "{run(low, 40)}" {prose(rng, 9)}' for _ in range(80)]
+    numbers = [f"{prose(rng, 9)} {rng.integers(10**15, 10**16)} {prose(rng, 9)}" for _ in range(40)]
+    # keys that the patterns lack, in a corpus that holds more of them than of labelled ones
+    lacking = [f"{prose(rng, 9)} {key} {prose(rng, 9)}" for k in range(60) for key in (run(low, 22), run(low.upper(), 40), "ghp_" + run(mixed, 36))]
+    net = secrets.train(*secrets.labelled_findings(docs(spark, texts + numbers + lacking)))
+    assert net.threshold <= 1 and net.recall >= secrets.RECALL
+    found = secrets.find_all(net, lacking + numbers)
+    learned = [any(kind == "learned" for *_, kind in spans) for spans in found]
+    shares = [np.mean(learned[k : len(lacking) : 3]) for k in range(3)]
+    assert shares[0] > 0.7 and shares[1] > 0.7 and shares[2] > 0 and np.mean(learned[len(lacking) :]) < 0.1
+    # a handful of findings, of one class only
+    few = secrets.train(*secrets.labelled_findings(docs(spark, texts[:3])))
+    assert few.threshold <= 1
+    assert secrets.train(*secrets.labelled_findings(docs(spark, ["plain words only"]))).threshold > 1
+
+
 # 7 embeddings
 
 
