@@ -1,15 +1,16 @@
 """Toxicity scores of texts restored from a noisy channel.
 
 Writers hide words by look-alike characters, spaced or dotted letters and
-repeated letters. Each suspicious stretch becomes a lattice: at every character
-the letters it may stand for, the choice to drop a separator, and the choice to
+repeated letters. Each token for which there is a choice, and each stretch of
+spaced-out letters, becomes a lattice: at every character the letters it may stand for, the choice to drop a separator, and the choice to
 drop a repetition. A Viterbi search under a character trigram model, counted
 over the whole corpus, picks the most likely letters; a logistic model over the
 restored words and their beginnings gives the score.
 
 Defined cases: a null or empty text has no words and gets the score of a text
-without features; restored texts keep clean words as they are (lower-cased);
-very long stretches are decoded in windows; repeated documents score alike;
+without features; words without doubled letters stay as they are (lower-cased), other
+tokens are scored both as read and as they stand; stretches are decoded whole,
+whatever their length; repeated documents score alike;
 labels that are null or of unknown documents are not learned; an empty label
 table gives the score 0 for all.
 """
@@ -36,8 +37,6 @@ BEGINNINGS, LEAST_DOCS = (4, 5, 6, 7), 4
 CACHE_WORDS, CACHE_READINGS = 150_000, 20_000
 #: UTF-8 bytes of documents handled at a time, but for a single longer one.
 PIECE_BYTES = 4_000_000
-#: Characters decoded at a time.
-STRETCH = 200
 
 # The letters that characters are used for.
 LOOK_ALIKES = {
@@ -54,8 +53,8 @@ _CLASS[248:256] = np.arange(51, 59)
 _CLASSES = 64
 _TABLE = bytes(_CLASS)
 
-_SPACED = re.compile(r"(?<!\S)(?:[^\s\w]*[^\W_][^\s\w]* ){3,}[^\s\w]*[^\W_](?!\w)")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
+_SPACED = re.compile(r"(?<!\S)(?:[^\s\w]*[^\W_][^\s\w]*\s+)+[^\s\w]*[^\W_](?!\w)")
+_REPEAT = re.compile(r"([^\W\d_])\1")
 _EDGE = "%*#&.,;:?\"“”'()[]{}<>=~^`"
 
 
@@ -129,13 +128,11 @@ class Decoder:
 
     def decode(self, text: str) -> str:
         """The likeliest reading of a lower-case stretch."""
-        return "".join(self._window(text[k : k + STRETCH]) for k in range(0, len(text), STRETCH))
-
-    def _window(self, text: str) -> str:
         cost = self._cost
-        known: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a reading is its last letter and the reading before; those of all states share what they have in common
+        known: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for at in range(len(text)):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple]] = {}
             options = self._options(text, at)
             for (a, b), (so_far, read) in known.items():
                 for letter, price in options:
@@ -146,9 +143,14 @@ class Decoder:
                     else:
                         state, total = (a, b), so_far + price
                     if state not in step or total < step[state][0]:
-                        step[state] = (total, read + letter)
+                        step[state] = (total, (letter, read) if letter else read)
             known = step
-        return min((total + cost[a, b, 0], read) for (a, b), (total, read) in known.items())[1]
+        read = min(((total + cost[a, b, 0], read) for (a, b), (total, read) in known.items()), key=lambda x: x[0])[1]
+        out = []
+        while read:
+            letter, read = read
+            out.append(letter)
+        return "".join(reversed(out))
 
 
 class Restorer:
@@ -173,7 +175,7 @@ class Restorer:
             plain = re.findall(r"[^\W\d_]+", core)
             got = tuple(dict.fromkeys((*self._decoder.decode(core).split(), *plain)))
         else:
-            got = (core,)
+            got = tuple(dict.fromkeys((*self._decoder.decode(core).split(), core)))
         if len(self._known) < CACHE_READINGS:
             self._known[token] = got
         return got
@@ -183,13 +185,13 @@ class Restorer:
         out = []
         for m in _SPACED.finditer(text):
             stretch = m[0]
-            if len(set(stretch)) > 3:
+            if len(set(stretch)) > 2:
                 out += self._decoder.decode(stretch).split()
         return out
 
     def text(self, text: str) -> str:
         """The text with each word replaced by its first reading and spaced-out stretches joined."""
-        low = _SPACED.sub(lambda m: self._decoder.decode(m[0]) if len(set(m[0])) > 3 else m[0], text.lower())
+        low = _SPACED.sub(lambda m: self._decoder.decode(m[0]) if len(set(m[0])) > 2 else m[0], text.lower())
         return " ".join((self.word(w) or (w,))[0] for w in low.split())
 
     def words(self, text: str) -> set[str]:
@@ -197,8 +199,7 @@ class Restorer:
         out = set()
         for w in set(low.split()):
             out.update(self.word(w))
-        if "  " in low or re.search(r"(?<!\S)\S \S \S \S", low):
-            out.update(self.spaced(low))
+        out.update(self.spaced(low))
         return out
 
 
@@ -320,9 +321,8 @@ class Scorer:
             found = [self._relevant(w) if f is None else f for w, f in zip(words, found, strict=True)]
         for f in filter(None, found):
             present.update(f)
-        if re.search(r"(?<!\S)\S{1,2} \S{1,2} \S{1,2} \S", low):
-            for w in set(self._restorer.spaced(low)):
-                present.update(f for f in features({w}) if f in self._model.weights)
+        for w in set(self._restorer.spaced(low)):
+            present.update(f for f in features({w}) if f in self._model.weights)
         return self._model.score(sum(self._model.weights[f] for f in sorted(present)))
 
 

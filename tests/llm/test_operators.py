@@ -70,6 +70,19 @@ def test_decoder(spark):
     assert "idiot" in restorer.text("an i d i o t here")
 
 
+def test_decoder_has_no_gates(spark):
+    tri = toxicity.count_trigrams(docs(spark, ["the idiot and the moron were an ass and trash losers " * 50]))
+    restorer = toxicity.Restorer(tri)
+    for noisy in ("iddiot", "idiiot", "idiott"):
+        assert "idiot" in restorer.word(noisy), noisy
+    assert set(restorer.word("455")) >= {"455"} and "ass" in restorer.word("455")
+    assert "ass" in restorer.words("an a s s here") and "idiot" in restorer.words("an i  d i   o t here")
+    # a word at every place of a long stretch, so that some lie where windows used to end
+    for shift in range(0, 12, 3):
+        stretch = " ".join("x" * shift + "idiot" * 60)
+        assert restorer.text(stretch).count("idiot") == 60, shift
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     texts, labels = [], []
