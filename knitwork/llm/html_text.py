@@ -10,17 +10,18 @@ without an article container. Inside an article a line that a neighbour repeats
 is kept, because copies and reprints of an article under other URLs would
 otherwise lose it, and on these pages menus and footers differ from page to
 page, so that differencing alone can neither find them nor spare the article.
-Two pages whose undecided lines are the same nearly throughout are copies, and
-nothing is deleted.
+Two pages whose undecided lines are the same throughout are copies: they say
+nothing about each other's menus, and nothing is deleted.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags
-are tolerated; a null URL pairs with nothing; repeated rows are copies; pages on
-either side of a partition border pair with the neighbour on their own side.
+are tolerated; a null URL pairs with nothing; repeated rows are copies; the page
+on either side of a partition border is also sent to the other side.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -156,10 +157,6 @@ def longest_common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-#: Share of common lines from which two pages are copies of each other.
-COPY = 0.8
-
-
 def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
     """Article lines; without an article container, undecided lines that the neighbouring page does not share."""
     kept = [line for line, mark in own if mark == ARTICLE]
@@ -168,8 +165,8 @@ def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -
     lines = [line for line, mark in own if mark == UNDECIDED]
     if other and lines:
         theirs = [line for line, mark in other if mark == UNDECIDED]
-        shared = longest_common(lines, theirs)
-        if len(shared) < COPY * len(lines):
+        if lines != theirs:
+            shared = longest_common(lines, theirs)
             lines = [line for k, line in enumerate(lines) if k not in shared]
     return "\n".join(lines)
 
@@ -179,33 +176,77 @@ def _common_length(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
+#: Keys for each range from which its borders are chosen, and the order of pages.
+_KEYS, _ORDER = 50, ("host", "path", "page_key")
+
+
+def _placed(keyed: DataFrame, bounds: list[tuple], also: dict[tuple, list[int]]) -> DataFrame:
+    """With the range of each page; the pages in ``also`` once more for other ranges, where they are not ``own``."""
+    from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+    names = keyed.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in _ORDER), strict=True))
+            rows, parts = list(range(len(keys))), [bisect_right(bounds, k) for k in keys]
+            for row, key in enumerate(keys):
+                if key in also and key not in sent:
+                    sent.add(key)
+                    rows += [row] * len(also[key])
+                    parts += also[key]
+            own = [k < len(keys) for k in range(len(rows))]
+            if len(rows) > len(keys):
+                batch = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32()), pa.array(own, pa.bool_())], names=[*names, "part", "own"])
+
+    return keyed.mapInArrow(place, StructType([*keyed.schema.fields, StructField("part", IntegerType()), StructField("own", BooleanType())]))
+
+
+def _dealt(keyed: DataFrame, parts: int) -> DataFrame:
+    """Pages in ranges of nearly equal numbers, each with the nearest page before and after it."""
+    keys = keyed.select(*_ORDER)
+    sample = sorted(tuple(r) for r in keys.orderBy(F.xxhash64(*_ORDER)).limit(_KEYS * parts).collect())
+    bounds = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+    ends = _placed(keys, bounds, {}).groupBy("part").agg(F.min(F.struct(*_ORDER)).alias("first"), F.max(F.struct(*_ORDER)).alias("last")).orderBy("part").collect()
+    also: dict[tuple, list[int]] = {}
+    for left, right in zip(ends, ends[1:], strict=False):
+        if left["last"]["host"] and left["last"]["host"] == right["first"]["host"]:
+            also.setdefault(tuple(left["last"]), []).append(right["part"])
+            also.setdefault(tuple(right["first"]), []).append(left["part"])
+    return _placed(keyed, bounds, also).repartitionById(parts, "part").sortWithinPartitions("part", *_ORDER)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text. Pages are dealt by ranges of (host, path), so that a large host is spread over many tasks."""
     bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    page = F.col("page_id").cast("long")
+    keyed = pages.select(page.alias("page_id"), "url", "html", *(F.coalesce(x, F.lit("")).alias(n) for n, x in (("host", host), ("path", path))), F.coalesce(page, F.lit(-(1 << 63))).alias("page_key"))
+    dealt = _dealt(keyed, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = here = None
 
         def settle(page, left, right):
-            _, _, host, path, own = page
+            _, _, host, path, own, _ = page
             near = [n for n in (left, right) if n is not None and host and n[2] == host and not all(m == ARTICLE for _, m in own)]
+            # a copy is a neighbour only where there is no other page
+            near = [n for n in near if n[4] != own] or near
             best = max(near, key=lambda n: _common_length(path, n[3]), default=None)
             return page[0], page[1], main_text(own, best and best[4])
 
         for batch in batches:
             out = []
-            for page, url, html, host, path in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path")), strict=True):
-                after = (page, url, host or "", path or "", blocks(html or ""))
-                if here is not None:
+            for page, url, html, host, path, mine in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path", "own")), strict=True):
+                after = (page, url, host, path, blocks(html or ""), mine)
+                if here is not None and here[5]:
                     out.append(settle(here, before, after))
                 before, here = here, after
             yield _batch(out)
-        if here is not None:
+        if here is not None and here[5]:
             yield _batch([settle(here, before, None)])
         del before, here
         trim()

@@ -321,6 +321,20 @@ def test_differencing_deletes_shared_lines():
     assert html_text.main_text(blocks[0], blocks[0]) == "Top\nmine 0\nmore 0\nBottom"
 
 
+def test_every_page_meets_its_neighbour(spark):
+    menu = "".join(f"<div>Menu {k}</div>" for k in range(10))
+    rows = [(k, f"http://a.example/p/{k:03}", f"<body>{menu}<div>own {k}</div></body>") for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 4, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = sorted((r["page_id"], r["text"]) for r in html_text.extract(df).collect())
+            assert got == [(k, f"own {k}") for k in range(12)], parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("mark", ["topnav", "commentlist", "sidebar2", "side sidebar", "pagination", "recommended", "sign-up", "site-alert", "adsbygoogle"])
 def test_marked_blocks_go(mark):
     page = f'<body><div class="{mark}"><p>Away</p></div><div class="content"><p>Stays</p><div id="{mark}">Away</div><p>too</p></div><p>Doubt</p></body>'
