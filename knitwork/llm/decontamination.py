@@ -14,7 +14,7 @@ nothing is shuffled but one row per document with hits.
 
 Defined cases: null has no words; empty items and documents match nothing; items
 with the same words are each counted, and a repeated item id once; repeated
-documents are reported once per row; null item ids are ignored in the item list;
+documents are reported once per row; items without an id count together as one that is not in the item list;
 an empty table on either side gives documents without hits.
 """
 
@@ -57,15 +57,16 @@ class TestWindows:
     def __init__(self, items: list[tuple[object, bytes]], window: int) -> None:
         self.terms: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[int]] = {}
-        self.items: list[str] = []
-        numbers: dict[str, int] = {}
+        self.items: list[str | None] = []
+        numbers: dict[str | None, int] = {}
         for item, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            if not ids or item is None:
+            if not ids:
                 continue
-            k = numbers.setdefault(str(item), len(self.items))
+            name = None if item is None else str(item)
+            k = numbers.setdefault(name, len(self.items))
             if k == len(self.items):
-                self.items.append(str(item))
+                self.items.append(name)
             for at in range(max(1, len(ids) - window + 1)):
                 rows.setdefault(tuple(ids[at : at + window]), set()).add(k)
         self.windows = np.full((len(rows), window), -1, np.int32)
@@ -167,6 +168,10 @@ def search(shard: Shard, tests: TestWindows, slop: int = 0) -> tuple[np.ndarray,
     return which, start
 
 
+def _null_first(item: str | None) -> tuple[bool, str]:
+    return item is not None, item or ""
+
+
 _FOUND = "doc_id long, row_key string, n_words long, hit binary, items array<string>, n_near long"
 
 
@@ -206,7 +211,7 @@ def _found(shards: DataFrame, tests: TestWindows, slop: int, final: bool) -> Dat
                 key = value("shard").as_py()
                 cols = [
                     pa.array(ids, pa.int64()), pa.array([f"{key}/{k}" for k in range(len(ids))]), pa.array(n_words), pa.array(bits, pa.binary()),
-                    pa.array([sorted(items.get(k, ())) for k in range(len(ids))], pa.list_(pa.string())), pa.array(near),
+                    pa.array([sorted(items.get(k, ()), key=_null_first) for k in range(len(ids))], pa.list_(pa.string())), pa.array(near),
                 ]
                 found = pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "n_words", "hit", "items", "n_near"])
                 yield _summary(found) if final else found
@@ -220,8 +225,9 @@ _SUMMARY = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 st
 def _summary(batch: pa.RecordBatch) -> pa.RecordBatch:
     hits = [sum(x.bit_count() for x in h) for h in batch.column("hit").to_pylist()]
     items = batch.column("items").to_pylist()
-    sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-    cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sums, pa.string()), pa.array([h > 0 for h in hits]), batch.column("items"), batch.column("n_near")]
+    named = [[k for k in x if k is not None] for x in items]
+    sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
+    cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sums, pa.string()), pa.array([h > 0 for h in hits]), pa.array(named, pa.list_(pa.string())), batch.column("n_near")]
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "n_near"])
 
 
@@ -231,7 +237,7 @@ def _merged(found: DataFrame) -> DataFrame:
     def unite(table: pa.Table) -> pa.Table:
         hits = [np.frombuffer(h, np.uint8) for h in table.column("hit").to_pylist() if h]
         bits = np.bitwise_or.reduce(hits).tobytes() if hits else b""
-        items = sorted({x for row in table.column("items").to_pylist() for x in row})
+        items = sorted({x for row in table.column("items").to_pylist() for x in row}, key=_null_first)
         near = sum(table.column("n_near").to_pylist())
         first = table.slice(0, 1)
         return pa.table({"doc_id": first.column("doc_id"), "row_key": first.column("row_key"), "n_words": first.column("n_words"), "hit": pa.array([bits], pa.binary()), "items": pa.array([items], pa.list_(pa.string())), "n_near": pa.array([near], pa.int64())})

@@ -441,6 +441,23 @@ def test_decontamination_edges(spark):
     assert decontamination.contamination(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [16_000_000, 70])
+def test_items_without_id_against_sql(spark, block_bytes):
+    import duckdb
+
+    from knitwork.llm import catalogue
+
+    items, texts = [(None, "alpha beta gamma"), (None, "delta eta"), (5, "beta gamma"), (6, "zeta")], ["x alpha beta gamma delta eta", "delta eta", "zeta", "none"]
+    got = decontamination.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = con.sql(catalogue.OP10_SQL)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert {r["doc_id"]: r["items"] for r in got.collect()} == {0: ["5"], 1: [], 2: ["6"], 3: []}
+
+
 # pipeline
 
 
