@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from knitwork.llm.common import pieces_of, stored, utf8
 
 WINDOW = 10
+#: Words by which a term may be off its place in a proximity match of the query.
+SLOP = 4
 #: UTF-8 bytes of test items in one block: the bound of what is collected and broadcast at a time.
 BLOCK_BYTES = 16_000_000
 #: UTF-8 bytes of documents in one shard, but for a single longer document.
@@ -82,8 +84,8 @@ class TestWindows:
         self.order = np.argsort(cost, axis=1, kind="stable")
 
 
-def index(docs: DataFrame, windows: TestWindows, window: int = WINDOW) -> DataFrame:
-    """One shard per batch of documents. Positions run through the shard, with a gap after each document."""
+def index(docs: DataFrame, windows: TestWindows, gap: int = WINDOW) -> DataFrame:
+    """One shard per batch of documents. Positions run through the shard, with a gap after each document that no match spans."""
     terms = docs.sparkSession.sparkContext.broadcast(windows.terms)
     schema = "shard string, doc_ids array<long>, starts array<long>, n_words array<long>, terms array<int>, counts array<long>, postings binary"
 
@@ -94,10 +96,10 @@ def index(docs: DataFrame, windows: TestWindows, window: int = WINDOW) -> DataFr
             for text in utf8(batch):
                 own = words(text)
                 found.append(np.fromiter(map(number.get, own, repeat(-1)), np.int32, len(own)))
-                found.append(np.full(window, -1, np.int32))
+                found.append(np.full(gap, -1, np.int32))
                 n_words.append(len(own))
                 starts.append(at)
-                at += len(own) + window
+                at += len(own) + gap
             stream = np.concatenate(found) if found else np.zeros(0, np.int32)
             positions = np.flatnonzero(stream >= 0)
             order = np.argsort(stream[positions], kind="stable")
@@ -256,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         rows = part.toArrow()
         texts = [b"" if x is None else x.encode() for x in rows.column("text").to_pylist()]
         tests = TestWindows(list(zip(rows.column("item_id").to_pylist(), texts, strict=True)), window)
-        shards = stored(index(docs, tests, window), "postings")
+        shards = stored(index(docs, tests, window + slop), "postings")
         tests.rarest_first(term_counts(shards, len(tests.terms)))
         here = _found(shards, tests, slop, blocks == 1)
         found = here if found is None else found.unionByName(here)

@@ -458,6 +458,20 @@ def test_items_without_id_against_sql(spark, block_bytes):
     assert {r["doc_id"]: r["items"] for r in got.collect()} == {0: ["5"], 1: [], 2: ["6"], 3: []}
 
 
+def test_query_returns_proximity_matches(spark, tmp_path):
+    from knitwork.llm import catalogue
+
+    item = "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1"
+    # the last two hold the item only together, which is no match
+    texts = [item, item.replace("a5", "x a5"), "none", "y a1 a2 a3 a4 a5", "a6 a7 a8 a9 b1 y"]
+    docs(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["contaminated"], r["n_near"]) for r in catalogue.op10_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {0: (True, 1), 1: (False, 1), 2: (False, 0), 3: (False, 0), 4: (False, 0)}
+    df, bench = docs(spark, ["a1 a2", "a3"]).coalesce(1), spark.createDataFrame([(1, "a1 a2 a3")], "item_id long, text string")
+    assert [r["n_near"] for r in decontamination.contamination(df, bench, window=3, slop=4).collect()] == [0, 0]
+
+
 # pipeline
 
 
