@@ -9,7 +9,6 @@ them, under names that end in _whole (cc_bulk over all line items is cc_fixpoint
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +16,10 @@ from pyspark.sql import functions as F
 
 from knitwork.functions.programs import ALPHA, PAGE_RANK, components_program, connected_components, label_program, label_propagation, page_rank, shortest_path, shortest_path_program
 from knitwork.operators import placement
-from knitwork.plans.supersteps import EDGE, HyperProgram, Side, _state, half_step, run
+from knitwork.plans.supersteps import EDGE, HyperProgram, Incidence, Side, half_step, initial_state, run
 from knitwork.sources import adjacency_text
 from knitwork.sources.hypergraph import Hypergraph, from_table
+from knitwork.sources.shared import shared_root
 
 PARTS, BULK_QUANTITY = 4, 46
 
@@ -119,8 +119,8 @@ def _first_half(spark: SparkSession, sf_dir: str, program: HyperProgram) -> Data
     g = order_part(spark, sf_dir)
     inc = g.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst"))
     back = g.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst"))
-    senders, receivers = _state(g.vertices, inc, program.vertex), _state(g.hyperedges, back, program.edge)
-    return half_step(senders, inc, receivers, program.vertex, program.edge, program)[1]
+    senders, receivers = initial_state(g.vertices, inc, program.vertex), initial_state(g.hyperedges, back, program.edge)
+    return half_step(senders, Incidence(inc), receivers, program.vertex, program.edge, program)[1]
 
 
 def _relay(initial: str) -> Side:
@@ -153,8 +153,7 @@ def _by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NC written as text and read back, as (v, e)."""
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="knitwork-")).rstrip("/")
-    path = f"{root}/knitwork-text/{abs(hash(sf_dir))}"
+    path = f"{shared_root(spark)}/knitwork-text/{abs(hash(sf_dir))}"
     g = nation_customer(spark, sf_dir)
     all_nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit(None).cast("string").alias("weight"))
     adjacency_text.write_adjacency(Hypergraph(g.vertices, all_nations, g.v2e, g.e2v), path)

@@ -8,21 +8,31 @@ in the second half active uniques send back. A half-step is
 
 with a pre-aggregated (map-side combined) reduction, so hot receivers get one row
 per task. Programs are column expressions and stay inside Catalyst.
+
+The states of both sides and the incidences are dealt by id once, and stay so
+through all supersteps: a checkpoint keeps the partitioning, so a half-step has
+one exchange, of one row per receiver and task, and what it moves follows the
+active set. A few senders with a large part of all incidences (hubs) would each
+fill one task; their incidences stay spread out, and their few messages are
+broadcast instead.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from knitwork.sources.hypergraph import Hypergraph
+from knitwork.sources.shared import delete, shared_root
 
 VERTEX, EDGE = "hypervertex", "hyperedge"
+#: A sender is a hub if it has more incidences than this and than an even share of a partition; so hubs are no more than partitions.
+HUB_INCIDENCES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -68,26 +78,76 @@ class Result:
     converged: bool
     trace: DataFrame | None
 
+    def write(self, path: str, mode: str = "errorifexists") -> None:
+        """Both sides, and the trace if there is one, as Parquet."""
+        for name in ("vertices", "hyperedges", "trace"):
+            if (table := getattr(self, name)) is not None:
+                table.write.mode(mode).parquet(f"{path}/{name}")
+
+
+@contextmanager
+def _fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans made here keep the partitioning that they start from: it is chosen once, for states and incidences alike."""
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder; a temporary folder only where none is configured."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="knitwork-")
-        context.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
 
+class _Kept:
+    """A table checkpointed in the shared folder, with two sums over it that came with the writing."""
 
-def _both_checkpointed(replicas: DataFrame, uniques: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides in one job, so that what they share is computed once."""
-    both = _checkpointed(replicas.withColumn("side_", F.lit(0)).unionByName(uniques.withColumn("side_", F.lit(1))))
-    return both.filter("side_ = 0").drop("side_"), both.filter("side_ = 1").drop("side_")
+    def __init__(self, table: DataFrame, first: Column, second: Column) -> None:
+        seen = Observation()
+        self.table = table.observe(seen, F.coalesce(first, F.lit(0)).alias("a"), F.coalesce(second, F.lit(0)).alias("b")).checkpoint(eager=True)
+        self.sums = (seen.get["a"], seen.get["b"])
 
+    def drop(self) -> None:
+        file = self.table._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(self.table.sparkSession, file.get())
 
-def half_step(senders: DataFrame, incidence: DataFrame, receivers: DataFrame, sender: Side, receiver: Side, program: HyperProgram, superstep: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Senders and receivers after the active senders have sent along ``incidence`` (src, dst)."""
+
+@dataclass(frozen=True)
+class Incidence:
+    """(src, dst) dealt by sender, but for those of hubs."""
+
+    dealt: DataFrame
+    hubs: tuple[int, ...] = ()
+    spread: DataFrame | None = None
+
+    @staticmethod
+    def of(rows: DataFrame, state: DataFrame, total: int, parts: int, floor: int) -> Incidence:
+        """Kept in memory and on disk, recomputed from the source if an executor is lost. ``state`` has the degrees."""
+        most = max(floor, total // parts)
+        hubs = tuple(r["id"] for r in state.filter(F.col("degree") > most).select("id").collect()) if total > floor else ()
+        own = F.col("src").isin(*hubs) if hubs else F.lit(False)
+        keep = lambda x: x.persist(StorageLevel.MEMORY_AND_DISK)
+        return Incidence(keep(rows.filter(~own).repartition(parts, "src").sortWithinPartitions("src")), hubs, keep(rows.filter(own).repartition(parts)) if hubs else None)
+
+    def deliver(self, speaking: DataFrame) -> DataFrame:
+        """(dst, message) for (src, message)."""
+        sent = speaking.join(self.dealt, "src").select("dst", "message")
+        if self.spread is None:
+            return sent
+        few = F.broadcast(speaking.filter(F.col("src").isin(*self.hubs)))
+        return sent.unionByName(self.spread.join(few, "src").select("dst", "message"))
+
+    def release(self) -> None:
+        for x in (self.dealt, self.spread):
+            if x is not None:
+                x.unpersist()
+
+
+def half_step(senders: DataFrame, incidence: Incidence, receivers: DataFrame, sender: Side, receiver: Side, program: HyperProgram, superstep: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Senders and receivers after the active senders have sent along ``incidence``."""
     speaking = senders.filter("active").filter(sender.can_send()).select(F.col("id").alias("src"), sender.message(F.lit(superstep)).alias("message"))
-    sent = speaking.join(incidence, "src").select("dst", "message")
+    sent = incidence.deliver(speaking)
     inbox = program.combine(sent) if program.combine else sent.groupBy("dst").agg(program.reduce(F.col("message")).alias("inbox"))
     joined = receivers.join(inbox.withColumnRenamed("dst", "id"), "id", "left")
     heard = F.col("inbox").isNotNull()
@@ -98,52 +158,59 @@ def half_step(senders: DataFrame, incidence: DataFrame, receivers: DataFrame, se
     return senders.withColumns({"value": after, "active": F.col("active") & F.lit(sender.stays_active)}), received
 
 
-def _state(elements: DataFrame, incidence: DataFrame, side: Side) -> DataFrame:
+def initial_state(elements: DataFrame, incidence: DataFrame, side: Side) -> DataFrame:
+    """id, weight, degree, high, value and active of every element; ``incidence`` is (src, dst) with these as senders."""
     out = incidence.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.max("dst").alias("high"))
     state = elements.join(out, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return state.withColumns({"value": side.initial(), "active": side.starts_active()})
 
 
-def _activity(state: DataFrame) -> list:
-    return list(state.agg(F.count_if("active"), F.count("*")).collect()[0])
+def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, hub_incidences: int = HUB_INCIDENCES) -> Result:
+    """Run supersteps until nothing is active or ``limit`` of them are done; programs that never settle need a limit.
 
-
-def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, checkpoint_every: int | None = None) -> Result:
-    """Run supersteps until nothing is active or ``limit`` of them are done.
-
-    Programs that never settle need a limit; they run lazily between checkpoints. Others are probed by one small
-    aggregate over the checkpointed state of each superstep.
+    A superstep is two jobs, each of which checkpoints the side that received and counts its active elements on the way.
+    The checkpoint before that of the same side is deleted, and the incidences are given back at the end.
     """
     if unique_side not in (VERTEX, EDGE):
         raise ValueError(f"unique_side must be {VERTEX!r} or {EDGE!r}")
     if program.needs_limit and limit is None:
         raise ValueError("this program never settles: give a superstep limit")
+    spark = graph.v2e.sparkSession
+    shared_root(spark)
     v2e = graph.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst"))
     e2v = graph.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst"))
-    probing = trace or not program.needs_limit
-    every = checkpoint_every or 1
-    # read once per superstep and direction, dealt by the join key; recomputed from the source if an executor is lost
-    v2e, e2v = (x.repartition("src").persist(StorageLevel.MEMORY_AND_DISK) for x in (v2e, e2v))
-    v = _state(graph.vertices, v2e, program.vertex)
-    e = _state(graph.hyperedges, e2v, program.edge)
-    replicas, uniques, rep_side, uni_side, to_unique, to_replica = (v, e, program.vertex, program.edge, v2e, e2v) if unique_side == EDGE else (e, v, program.edge, program.vertex, e2v, v2e)
-    rows, done, settled = [], 0, False
-    while limit is None or done < limit:
-        before = _activity(replicas) if probing else None
-        replicas, uniques = half_step(replicas, to_unique, uniques, rep_side, uni_side, program, done)
-        if probing:
-            uniques = _checkpointed(uniques)
-            middle = _activity(uniques)
-            rows.append((done, *before, *middle))
-        uniques, replicas = half_step(uniques, to_replica, replicas, uni_side, rep_side, program, done)
-        done += 1
-        if done % every == 0 and not (done == limit and not probing):
-            replicas, uniques = _both_checkpointed(replicas, uniques)
-        if probing and not (_activity(replicas)[0] or _activity(uniques)[0]):
-            settled = True
-            break
+    v, e = (graph.vertices, v2e, program.vertex), (graph.hyperedges, e2v, program.edge)
+    (rep, rep_inc, rep_side), (uni, uni_inc, uni_side) = (v, e) if unique_side == EDGE else (e, v)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    active, everything = F.count_if("active"), F.count("*")
+    rows, done, settled, held = [], 0, False, []
+    with _fixed_plans(spark):
+        try:
+            first = [_Kept(initial_state(x.repartition(parts, "id"), inc, side), F.sum("degree"), active) for x, inc, side in ((rep, rep_inc, rep_side), (uni, uni_inc, uni_side))]
+            (replicas, uniques), (n_active, n_waiting) = (k.table for k in first), (k.sums[1] for k in first)
+            kept_rep, kept_uni = first
+            held += [Incidence.of(inc, k.table, k.sums[0], parts, hub_incidences) for inc, k in zip((rep_inc, uni_inc), first, strict=True)]
+            to_unique, to_replica = held
+            total_rep = kept_rep.table.count() if trace else None
+            while limit is None or done < limit:
+                replicas, uniques = half_step(replicas, to_unique, uniques, rep_side, uni_side, program, done)
+                now = _Kept(uniques, active, everything)
+                kept_uni.drop()
+                kept_uni, uniques = now, now.table
+                rows.append((done, n_active, total_rep, *now.sums))
+                uniques, replicas = half_step(uniques, to_replica, replicas, uni_side, rep_side, program, done)
+                now = _Kept(replicas, active, everything)
+                kept_rep.drop()
+                kept_rep, replicas = now, now.table
+                done += 1
+                n_active, n_waiting = now.sums[0], kept_uni.sums[0] if uni_side.stays_active else 0
+                if not (n_active or n_waiting):
+                    settled = True
+                    break
+        finally:
+            for incidence in held:
+                incidence.release()
     vertices, hyperedges = (replicas, uniques) if unique_side == EDGE else (uniques, replicas)
     shown = ["id", "value", "active"]
-    spark = graph.v2e.sparkSession
-    counts = spark.createDataFrame(rows, "superstep int, active_replicas long, total_replicas long, active_uniques long, total_uniques long") if probing else None
+    counts = spark.createDataFrame(rows, "superstep int, active_replicas long, total_replicas long, active_uniques long, total_uniques long") if trace else None
     return Result(vertices.select(shown), hyperedges.select(shown), done, settled, counts)
