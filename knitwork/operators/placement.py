@@ -62,9 +62,4 @@ def replication(held: DataFrame) -> DataFrame:
     return held.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("replicas"), F.sum("n").alias("copies"), (F.sum("n") / F.count("*")).alias("factor"))
 
 
-def write_layout(held: DataFrame, path: str) -> None:
-    """Copies by partition, as Parquet."""
-    held.repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
-
-
-__all__ = ["by_modulo", "by_table", "copies", "masters", "new_ids", "replication", "running_total", "servants", "write_layout"]
+__all__ = ["by_modulo", "by_table", "copies", "masters", "new_ids", "replication", "running_total", "servants"]

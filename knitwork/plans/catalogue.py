@@ -9,15 +9,16 @@ them, under names that end in _whole (cc_bulk over all line items is cc_fixpoint
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitwork.functions.programs import ALPHA, PAGE_RANK, components_program, connected_components, label_program, label_propagation, page_rank, shortest_path, shortest_path_program
-from knitwork.operators import placement
-from knitwork.plans.supersteps import EDGE, HyperProgram, Incidence, Side, half_step, initial_state, run
-from knitwork.sources import adjacency_text
+from knitwork.functions.programs import ALPHA, PAGE_RANK, components_program, connected_components, label_program, label_propagation, page_rank, run_algorithm, shortest_path, shortest_path_program
+from knitwork.operators import layout, placement
+from knitwork.plans.supersteps import EDGE, VERTEX, HyperProgram, Incidence, Side, half_step, initial_state, run
+from knitwork.sources import adjacency_text, placement_files
 from knitwork.sources.hypergraph import Hypergraph, from_table
 from knitwork.sources.shared import shared_root
 
@@ -74,13 +75,13 @@ def _values(df: DataFrame) -> DataFrame:
     return df.select("id", "value")
 
 
-def _rank_sql(k: int, side: str = "v", inc: str = _OP, edges: str = "SELECT DISTINCT e AS id FROM inc", dual: bool = False) -> str:
+def _rank_sql(k: int, side: str = "v", inc: str = _OP, dual: bool = False) -> str:
     """k supersteps, vertices damped and first to send (or, for the dual, the same with the sides exchanged)."""
-    ctes = [f"inc AS ({inc.replace('AS v', 'AS tmp').replace('AS e', 'AS v').replace('AS tmp', 'AS e') if dual else inc})", f"es AS ({edges})", "vd AS (SELECT v, count(*) AS d FROM inc GROUP BY v)", "ed AS (SELECT e, count(*) AS d FROM inc GROUP BY e)", "x0 AS (SELECT v, 1.0::DOUBLE AS x FROM vd)"]
+    ctes = [f"inc AS ({inc.replace('AS v', 'AS tmp').replace('AS e', 'AS v').replace('AS tmp', 'AS e') if dual else inc})", "vd AS (SELECT v, count(*) AS d FROM inc GROUP BY v)", "ed AS (SELECT e, count(*) AS d FROM inc GROUP BY e)", "x0 AS (SELECT v, 1.0::DOUBLE AS x FROM vd)"]
     for s in range(1, k + 1):
         ctes.append(f"y{s} AS (SELECT inc.e, sum(({ALPHA} + (1 - {ALPHA}) * x) / d) AS y FROM x{s - 1} JOIN vd USING (v) JOIN inc USING (v) GROUP BY inc.e)")
         ctes.append(f"x{s} AS (SELECT inc.v, sum(y / d) AS x FROM y{s} JOIN ed USING (e) JOIN inc USING (e) GROUP BY inc.v)")
-    last = f"SELECT v AS id, round(x, 6) AS value FROM x{k}" if side == "v" else "SELECT id, 0.0::DOUBLE AS value FROM es"
+    last = f"SELECT v AS id, round(x, 6) AS value FROM x{k}" if side == "v" else f"SELECT e AS id, round(y, 6) AS value FROM y{k}"
     return "WITH " + ", ".join(ctes) + " " + last
 
 
@@ -146,25 +147,89 @@ def _placed(spark: SparkSession, sf_dir: str) -> tuple[Hypergraph, DataFrame, Da
 
 
 def _by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A placement given by a table: orders by the first digit of their priority."""
+    """A placement given by files: orders by the first digit of their priority."""
     given = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("long").alias("part"))
-    return placement.by_table(order_part(spark, sf_dir).hyperedges, given)
+    folder = _scratch(spark, "placement", sf_dir)
+    placement_files.write_placement(given, folder)
+    return placement.by_table(order_part(spark, sf_dir).hyperedges, placement_files.read_placement(spark, folder))
 
 
-def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NC written as text and read back, as (v, e)."""
-    path = f"{shared_root(spark)}/knitwork-text/{abs(hash(sf_dir))}"
+def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
+    return f"{shared_root(spark)}/knitwork-{kind}/{uuid.uuid5(uuid.NAMESPACE_URL, sf_dir).hex}"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    """NC with all nations, each as heavy as its number."""
     g = nation_customer(spark, sf_dir)
-    all_nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit(None).cast("string").alias("weight"))
-    adjacency_text.write_adjacency(Hypergraph(g.vertices, all_nations, g.v2e, g.e2v), path)
-    return adjacency_text.read_adjacency(spark, path).v2e
+    nation = _table(spark, sf_dir, "nation")
+    return Hypergraph(g.vertices, nation.select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") + 3).cast("string").alias("weight")), g.v2e, g.e2v)
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NC written as weighted text and read back: both incidences and the weights of nations."""
+    path = _scratch(spark, "text", sf_dir)
+    adjacency_text.write_adjacency(_nations(spark, sf_dir), path, weighted=True)
+    back = adjacency_text.read_adjacency(spark, path)
+    row = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).cast("long").alias("b"))
+    return row(back.v2e, "v2e", "v", "e").unionByName(row(back.e2v, "e2v", "e", "v")).unionByName(row(back.hyperedges, "weight", "id", "weight"))
 
 
 def _last_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight of each order, if every line item carries one in the order of its line number, part and supplier: the last counts."""
-    items = _table(spark, sf_dir, "lineitem")
-    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return items.groupBy(F.col("l_orderkey").alias("id")).agg(F.max_by(F.col("l_quantity").cast("long"), at).alias("weight"))
+    """NC written with a weight of its own on every incidence, and read back: the last line of a nation is that of its largest customer."""
+    g, customers = _nations(spark, sf_dir), _table(spark, sf_dir, "customer")
+    own = F.round(F.abs("c_acctbal")).cast("long").cast("string").alias("weight")
+    there = customers.select(F.col("c_custkey").cast("long").alias("v"), F.col("c_nationkey").cast("long").alias("e"), own)
+    path = _scratch(spark, "weighted-text", sf_dir)
+    adjacency_text.write_adjacency(Hypergraph(g.vertices, g.hyperedges, there, g.e2v.withColumn("weight", F.lit("1"))), path, weighted=True)
+    back = adjacency_text.read_adjacency(spark, path)
+    return back.hyperedges.select("id", F.col("weight").cast("long").alias("weight"))
+
+
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, F.array_join("neighbours", ",").alias("neighbours"))
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> layout.Layout:
+    return layout.build(order_part(spark, sf_dir), PARTS)
+
+
+def _written(spark: SparkSession, sf_dir: str, graph: Hypergraph, kind: str) -> layout.Layout:
+    path = _scratch(spark, kind, sf_dir)
+    layout.write(layout.build(graph, PARTS), path, "overwrite")
+    return layout.read(spark, path)
+
+
+def _layout_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the uniques of a layout, through the text that it is exported to."""
+    path = _scratch(spark, "weights", sf_dir)
+    layout.write_weights(layout.build(order_part_weighted(spark, sf_dir), PARTS), path, "overwrite")
+    return layout.read_weights(spark, f"{path}/unique_weights").select(F.col("part").cast("long").alias("part"), "id", F.col("weight").cast("long").alias("weight"))
+
+
+def _partitioned(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    """NC written as text, cut by the ``partition`` command and read back."""
+    path = _scratch(spark, "commands", sf_dir)
+    adjacency_text.write_adjacency(_nations(spark, sf_dir), f"{path}/text", weighted=True)
+    return layout.to_hypergraph(layout.partition(spark, f"{path}/text", PARTS, f"{path}/layout", mode="overwrite"))
+
+
+def _layout_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = _written(spark, sf_dir, order_part(spark, sf_dir), "layout-meta").meta
+    return spark.createDataFrame([(meta["uniques_as_hyperedges"], meta["total_replica_elements"], meta["total_unique_elements"])], "uniques_as_hyperedges boolean, total_replica_elements long, total_unique_elements long")
+
+
+#: A program that uses the number of the superstep: the first one in which a vertex was reached from the source, plus one.
+FIRST_REACHED = HyperProgram(
+    vertex=Side(
+        initial=lambda: F.when(F.col("id") == 0, F.lit(0).cast("long")), message=lambda step: (step + 1).cast("long"), apply=lambda: F.coalesce("value", "inbox"),
+        activate=lambda: F.col("value").isNull(), after_send=lambda: F.col("value"), stays_active=False, starts_active=lambda: F.col("id") == 0,
+    ),
+    edge=Side(
+        initial=lambda: F.lit(None).cast("long"), message=lambda _: F.col("value"), apply=lambda: F.coalesce("value", "inbox"),
+        activate=lambda: F.col("value").isNull(), after_send=lambda: F.col("value"), stays_active=False, starts_active=lambda: F.lit(False),
+    ),
+    reduce=F.min,
+)
 
 
 def _trace(result) -> DataFrame:
@@ -208,6 +273,7 @@ def _whole() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
 def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     op, part = order_part, _placed
     copies_sql = f"held AS (SELECT v AS id, e % {PARTS} AS part, count(*) AS n_local FROM inc GROUP BY 1, 2), masters AS (SELECT id, min(part) AS master FROM held GROUP BY id)"
+    ids_sql = f"SELECT id, (row_number() OVER (PARTITION BY master ORDER BY id) - 1) * {PARTS} + master AS new_id FROM masters"
     return {
         "incidence_v2e": (lambda s, d: op(s, d).v2e, _OP),
         "incidence_e2v": (lambda s, d: op(s, d).e2v, f"SELECT e, v FROM ({_OP})"),
@@ -221,7 +287,7 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "page_rank_k1": (lambda s, d: _rounded(page_rank(op(s, d), 1).vertices), _rank_sql(1)),
         "page_rank_k3": (lambda s, d: _rounded(page_rank(op(s, d), 3).vertices), _rank_sql(3)),
         "page_rank_k10": (lambda s, d: _rounded(page_rank(op(s, d), 10).vertices), _rank_sql(10)),
-        "page_rank_hyperedge_scores": (lambda s, d: _rounded(page_rank(op(s, d), 2).hyperedges), _rank_sql(2, "e")),
+        "page_rank_hyperedge_scores": (lambda s, d: _rounded(page_rank(op(s, d), 2, unique_side=VERTEX).hyperedges), _rank_sql(2, "e")),
         "page_rank_top20": (
             lambda s, d: _rounded(page_rank(op(s, d), 3).vertices).orderBy(F.desc("value"), "id").limit(20),
             f"SELECT * FROM ({_rank_sql(3)}) ORDER BY value DESC, id LIMIT 20",
@@ -294,12 +360,52 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
             lambda s, d: placement.replication(part(s, d)[2]).withColumn("factor", F.round("factor", 6)),
             f"WITH inc AS ({_OP}), {copies_sql} SELECT count(DISTINCT id) AS replicas, count(*) AS copies, round(count(*) / count(DISTINCT id), 6) AS factor FROM held",
         ),
-        "weights_last_wins": (_last_weights, "SELECT l_orderkey AS id, CAST(arg_max(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS BIGINT) AS weight FROM lineitem GROUP BY 1"),
+        "weights_last_wins": (_last_weights, "SELECT c_nationkey::BIGINT AS id, arg_max(CAST(round(abs(c_acctbal)) AS BIGINT), c_custkey) AS weight FROM customer GROUP BY 1 UNION ALL SELECT n_nationkey::BIGINT, NULL FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)"),
+        "replicas_isolated": (
+            lambda s, d: placement.copies((g := order_part_isolated(s, d)).hyperedges, g.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst")), placement.by_modulo(g.vertices, PARTS), PARTS),
+            f"SELECT l_orderkey AS id, l_partkey % {PARTS} AS part, count(*) AS n_local FROM lineitem GROUP BY 1, 2 UNION ALL SELECT o_orderkey, o_orderkey % {PARTS}, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+        ),
+        "replica_layout": (
+            lambda s, d: _joined(_cut(s, d).replicas.withColumn("part", F.col("part").cast("long")), "part", "old_id", "new_id", "total_degree"),
+            f"WITH inc AS ({_OP}), {copies_sql}, ids AS ({ids_sql}), lists AS (SELECT v, e % {PARTS} AS part, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS neighbours FROM inc GROUP BY 1, 2) "
+            "SELECT part, v AS old_id, new_id, (SELECT count(*) FROM inc WHERE inc.v = lists.v) AS total_degree, neighbours FROM lists JOIN ids ON ids.id = v",
+        ),
+        "unique_layout": (
+            lambda s, d: _joined(_cut(s, d).uniques.withColumn("part", F.col("part").cast("long")), "part", "id"),
+            f"WITH inc AS ({_OP}), {copies_sql}, ids AS ({ids_sql}) SELECT e % {PARTS} AS part, e AS id, string_agg(CAST(new_id AS VARCHAR), ',' ORDER BY new_id) AS neighbours FROM inc JOIN ids ON ids.id = v GROUP BY 1, 2",
+        ),
+        "master_layout": (
+            lambda s, d: _cut(s, d).masters.select(F.col("part").cast("long").alias("part"), "new_id", F.array_join(F.col("servant_parts").cast("array<string>"), ",").alias("servant_parts")),
+            f"WITH inc AS ({_OP}), {copies_sql}, ids AS ({ids_sql}) SELECT master AS part, new_id, string_agg(CAST(part AS VARCHAR), ',' ORDER BY part) AS servant_parts FROM held JOIN masters USING (id) JOIN ids USING (id) WHERE part <> master GROUP BY 1, 2",
+        ),
+        "layout_meta": (_layout_meta, "SELECT true AS uniques_as_hyperedges, count(DISTINCT l_partkey) AS total_replica_elements, count(DISTINCT l_orderkey) AS total_unique_elements FROM lineitem"),
+        "layout_weights": (_layout_weights, f"SELECT l_orderkey % {PARTS} AS part, l_orderkey AS id, 1 + count(*) FILTER (l_quantity < {BULK_QUANTITY}) AS weight FROM lineitem GROUP BY 1, 2"),
+        "layout_roundtrip": (
+            lambda s, d: (g := layout.to_hypergraph(_written(s, d, op(s, d), "layout"))).v2e.withColumn("kind", F.lit("v2e")).unionByName(g.e2v.withColumn("kind", F.lit("e2v"))),
+            f"SELECT v, e, 'v2e' AS kind FROM ({_OP}) UNION ALL SELECT v, e, 'e2v' FROM ({_OP})",
+        ),
+        "layout_page_rank": (lambda s, d: _rounded(run_algorithm("page-rank", layout.to_hypergraph(_written(s, d, op(s, d), "layout-rank")), 3).vertices), _rank_sql(3)),
+        "command_components": (
+            lambda s, d: _values(run_algorithm("connected-component", _partitioned(s, d)).vertices),
+            "SELECT c_custkey::BIGINT AS id, c_nationkey::BIGINT AS value FROM customer",
+        ),
+        "command_shortest_paths": (
+            lambda s, d: _values(run_algorithm("shortest-path", _partitioned(s, d), source=_SOURCE).vertices),
+            f"WITH home AS (SELECT c_nationkey AS e FROM customer WHERE c_custkey = {_SOURCE}) SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey = {_SOURCE} THEN 0 WHEN c_nationkey = e THEN e + 3 END::BIGINT AS value FROM customer LEFT JOIN home ON true",
+        ),
+        "first_reached": (
+            lambda s, d: _values(run(op(s, d), FIRST_REACHED).vertices),
+            _path_ctes(str(_SOURCE), _OP, unit=True) + " SELECT v AS id, d AS value FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)",
+        ),
         "csr_offsets": (
             lambda s, d: adjacency_text.csr_offsets((g := order_part_isolated(s, d)).hyperedges, g.e2v, "e"),
             "WITH n AS (SELECT o_orderkey AS id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n",
         ),
-        "csr_roundtrip": (_round_trip, "SELECT c_custkey AS v, CAST(c_nationkey AS BIGINT) AS e FROM customer"),
+        "csr_roundtrip": (
+            _round_trip,
+            "SELECT 'v2e' AS kind, c_custkey::BIGINT AS a, c_nationkey::BIGINT AS b FROM customer UNION ALL SELECT 'e2v', c_nationkey, c_custkey FROM customer "
+            "UNION ALL SELECT 'weight', n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN n_nationkey + 3 END FROM nation",
+        ),
         "custom_program": (
             lambda s, d: _values(run(bulk(s, d), LEAST_LABEL, EDGE).vertices),
             f"WITH RECURSIVE inc AS ({_BULK}), hop AS (SELECT DISTINCT x.v AS a, y.v AS b FROM inc x JOIN inc y USING (e)), least(id, lab) USING KEY (id) AS (SELECT DISTINCT v, v FROM inc UNION "

@@ -94,9 +94,23 @@ def csr_offsets(elements: DataFrame, inc: DataFrame, side: str) -> DataFrame:
     return running_total(degrees, "id", "n").select("id", F.col("before").alias("first"))
 
 
-def write_adjacency(graph: Hypergraph, path: str, weighted: bool = False, parts: int = 1) -> None:
-    """Write the format; ids must be dense from 0. Lines are range-partitioned by number, so parts are read back in order."""
+def _places(inc: DataFrame, own: str, other: str, bucket: int = 65_536) -> DataFrame:
+    """Adds ``place``: the rank of an incidence among those of its element, by ranks within ranges of the other ids, so that hubs are split."""
+    dealt = inc.withColumn("range_", F.floor(F.col(other) / bucket))
+    sums = dealt.groupBy(own, "range_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(W.partitionBy(own).orderBy("range_").rowsBetween(W.unboundedPreceding, -1))
+    base = sums.select(own, "range_", F.coalesce(before, F.lit(0)).alias("base_"))
+    inside = F.row_number().over(W.partitionBy(own, "range_").orderBy(other)) - 1
+    return dealt.withColumn("inside_", inside).join(base, [own, "range_"]).withColumn("place", F.col("base_") + F.col("inside_")).drop("range_", "inside_", "base_")
+
+
+def write_adjacency(graph: Hypergraph, path: str, weighted: bool = False, parts: int | None = None) -> None:
+    """Write the format; ids must be dense from 0. Lines are range-partitioned by number, so parts are read back in order.
+
+    The weight of a line is that of the element pointed at, or, where the incidence has a column ``weight``, its own.
+    """
     spark = graph.v2e.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = [f.count() for f in (graph.vertices, graph.v2e, graph.hyperedges, graph.e2v)]
     nv, mv, ne, _ = sizes
     head = spark.createDataFrame([(k, str(t)) for k, t in enumerate([WEIGHTED if weighted else PLAIN, *sizes])], "line long, text string")
@@ -107,10 +121,10 @@ def write_adjacency(graph: Hypergraph, path: str, weighted: bool = False, parts:
     ):
         first = csr_offsets(elements, inc, own)
         out = out.unionByName(first.select((F.col("id") + begin).alias("line"), F.col("first").cast("string").alias("text")))
-        place = F.row_number().over(W.partitionBy(own).orderBy(other)) - 1
-        placed = inc.withColumn("place", place).join(first, inc[own] == first["id"]).select((F.col("first") + F.col("place")).alias("at"), F.col(other).alias("other"))
-        out = out.unionByName(placed.select((F.col("at") + begin + n).alias("line"), F.col("other").cast("string").alias("text")))
+        if weighted and "weight" not in inc.columns:
+            inc = inc.join(targets.select(F.col("id").alias(other), "weight"), other)
+        placed = _places(inc, own, other).join(first.withColumnRenamed("id", own), own).withColumn("at", F.col("first") + F.col("place"))
+        out = out.unionByName(placed.select((F.col("at") + begin + n).alias("line"), F.col(other).cast("string").alias("text")))
         if weighted:
-            notes = placed.join(targets, placed["other"] == targets["id"]).select((F.col("at") + begin + n + m).alias("line"), F.coalesce("weight", F.lit("1")).alias("text"))
-            out = out.unionByName(notes)
+            out = out.unionByName(placed.select((F.col("at") + begin + n + m).alias("line"), F.coalesce("weight", F.lit("1")).alias("text")))
     out.repartitionByRange(parts, "line").sortWithinPartitions("line").select("text").write.mode("overwrite").text(path)
