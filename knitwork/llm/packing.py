@@ -39,6 +39,9 @@ _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _MARKS = ".,;:!?%*#&$@=+/|\\()[]{}<>~^`\"_-"
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Letters that stay one letter when lowered and composed, so that marks after them begin a token of their own. Others may not: capital
+#: I with a dot becomes two characters, of which the second joins the marks.
+_SIMPLE_LETTERS = frozenset(chr(c) for c in range(256) if chr(c).isalpha())
 
 
 class WordIds:
@@ -72,11 +75,11 @@ class WordIds:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in got)]
 
     def _missing(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words not yet known. Marks that follow a last letter are a token run of their own, so both parts are looked up."""
+        """Ids of words not yet known. Marks that follow a simple letter are a token run of their own, so both parts are looked up."""
         known, parts, need = self._known, {}, set()
         for w in words:
             stem = w.rstrip(_MARKS)
-            if stem and len(stem) < len(w) and stem[-1].isalpha() and "<|" not in w:
+            if stem and len(stem) < len(w) and stem[-1] in _SIMPLE_LETTERS and "<|" not in w:
                 parts[w] = stem, w[len(stem) :]
                 need.update(x for x in parts[w] if x not in known)
             else:

@@ -387,6 +387,15 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_word_ids_equal_the_library():
+    library, ours = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(17)
+    alphabet = list("abIKés'’ ..,;!?-\"()[]<|>~`^_ \n\t0179ßµªİıΣςσжЖ漢ǅK\u0307\u0301\u0338\u037e\u1fef\x1c\x85\xa0🙂") + ["<|endoftext|>", "<|startoftext|>", "<|", "'s", "İ.", "İ"]
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(1, 14)))) for _ in range(20_000)] + ["BİRİ.", "İ,", "bİ", "İ̇.", "É.", "K."]
+    for text, got in zip(texts, ours.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_first_fit_decreasing_against_scan():
     rng = np.random.default_rng(5)
     for _ in range(30):
