@@ -1,21 +1,22 @@
 """Main text of web pages, by structure and by differencing with the nearest page.
 
-A page becomes an ordered list of text blocks, each with a mark: inside an
-article container, inside boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments), or undecided. Pages are ordered by
-host and URL path; each is paired with the neighbour whose path shares the
-longer beginning. The lines of both are aligned by longest common subsequence
-and shared lines are deleted where the structure leaves a doubt: in pages
-without an article container. Inside an article a line that a neighbour repeats
-is kept, because copies and reprints of an article under other URLs would
-otherwise lose it, and on these pages menus and footers differ from page to
-page, so that differencing alone can neither find them nor spare the article.
-Two pages whose undecided lines are the same throughout are copies: they say
-nothing about each other's menus, and nothing is deleted.
+A page becomes an ordered list of text blocks, each with a mark: in an article
+element, in one that is likely an article (by its class, id or role), in
+boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments), or undecided. Pages are ordered by host and URL path; each is paired
+with the neighbour whose path shares the longer beginning. The lines of both are
+aligned by longest common subsequence and shared lines are deleted where the
+structure leaves a doubt: in likely articles and in undecided text. Inside an
+article element a line that a neighbour repeats is kept, because copies and
+reprints of an article under other URLs, licence lines and quotations would
+otherwise lose it. Two pages whose lines are the same throughout are copies:
+they say nothing about each other's menus, and nothing is deleted.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags
 are tolerated; a null URL pairs with nothing; repeated rows are copies; the page
-on either side of a partition border is also sent to the other side.
+on either side of a partition border is also sent to the other side; very long
+pages are taken whole; an empty table gives an empty result; columns other than
+page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,34 +41,54 @@ _RAW = set("script style noscript template textarea title svg math iframe object
 _BOILERPLATE = set("nav header footer aside form menu dialog head button select fieldset".split())
 _CONTAINERS = set("div section ul ol p span table aside details dl blockquote figure li main article".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that mark boilerplate.
+#: Parts of a class, id or role that mark boilerplate, and parts that say nothing. A name marks boilerplate if it has one of the first
+#: and nothing but the two: cookie-notice, top_ad and newsletter-signup do, ad-free and social-science do not.
 _MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adbox|adsbygoogle|advert\w*|alerts?|banner|breadcrumbs?|comment\w*|contentinfo|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|\w*nav|navbar|"
-    r"navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sharing|sidebar\w*|sign-?up|social|sponsor\w*|subscribe|toolbar|"
-    r"trending|widget)(?=$|[\s_-]|\d)"
+    r"(?:ad|ads|adbox|adsbygoogle|advert\w*|alerts?|banner|breadcrumbs?|comments?|commentlist|contentinfo|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|\w*nav|navbar|"
+    r"navigation|newsletter|notices?|overlay|pager|pagination|popup|promos?|promotion|promoted|recommend|recommended|recommendations|related|replies|respond|search|share|sharing|sidebar|signup|social|"
+    r"sponsor|sponsored|sponsors|subscribe|toolbar|trending|widget)\d*"
 )
-_ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|content|entry|entry-content|post|post-content|post-body|story|main-content)(?=$|[\s])")
+_NEUTRAL = set(
+    "area aside bar block body bottom box btn button buttons card col column container content form global group icons inner item items js left link links list main message messages middle "
+    "module outer page panel posts primary right row secondary section side sign site slot sticky stories strip sub tools top under unit up user widgets wrap wrapper".split()
+)
+_PARTS = re.compile(r"[_-]+")
+# Names that sites give to the element that holds an article.
+_ARTICLE_NAMES = set("article article-body articlebody content entry entry-content post post-content post-body story main-content".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
-UNDECIDED, ARTICLE, BOILERPLATE = 0, 1, 2
+#: LIKELY: in an element that is called an article by its class, id or role only.
+UNDECIDED, LIKELY, ARTICLE, BOILERPLATE = 0, 1, 2, 3
+
+
+def _marks_boilerplate(name: str) -> bool:
+    parts = [x for x in _PARTS.split(name) if x and not x.isdigit()]
+    told = [x for x in parts if _MARKS.fullmatch(x)]
+    return (bool(told) or "sign-up" in name) and all(x in _NEUTRAL or _MARKS.fullmatch(x) for x in parts)
 
 
 def _mark(name: str, attributes: str) -> int:
     """What an element says about its content."""
     if name in _BOILERPLATE:
         return BOILERPLATE
+    own = ARTICLE if name in ("article", "main") else UNDECIDED
     if not attributes:
-        return ARTICLE if name in ("article", "main") else UNDECIDED
-    if _HIDDEN.search(attributes):
+        return own
+    known = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        known.setdefault(m[1].lower(), next((unescape(v) for v in m.groups()[1:] if v is not None), ""))
+    if "hidden" in known or known.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(known.get("style", "")):
         return BOILERPLATE
-    words = " ".join(next(v for v in m.groups()[1:] if v is not None) for m in _ATTRIBUTE.finditer(attributes)).lower()
-    if words and name not in ("body", "html", "article", "main") and _MARKS.search(words):
+    if own == ARTICLE or name in ("body", "html"):
+        return own
+    names = " ".join(known.get(k, "") for k in ("class", "id", "role")).lower().split()
+    if any(map(_marks_boilerplate, names)):
         return BOILERPLATE
-    return ARTICLE if name in ("article", "main") or (words and name not in ("body", "html") and _ARTICLE_MARKS.search(words)) else UNDECIDED
+    return LIKELY if any(x in _ARTICLE_NAMES for x in names) else UNDECIDED
 
 
 def blocks(html: str) -> list[tuple[str, int]]:
@@ -118,7 +139,7 @@ def blocks(html: str) -> list[tuple[str, int]]:
             continue
         if name in _BOILERPLATE or name in _CONTAINERS:
             own = _mark(name, m[3])
-            if name == "header" and mark == ARTICLE:
+            if name == "header" and mark in (LIKELY, ARTICLE):
                 own = UNDECIDED  # an article's own heading
             before = mark
             after = BOILERPLATE if BOILERPLATE in (mark, own) else max(mark, own)
@@ -158,13 +179,11 @@ def longest_common(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    """Article lines; without an article container, undecided lines that the neighbouring page does not share."""
-    kept = [line for line, mark in own if mark == ARTICLE]
-    if kept:
-        return "\n".join(kept)
-    lines = [line for line, mark in own if mark == UNDECIDED]
-    if other and lines:
-        theirs = [line for line, mark in other if mark == UNDECIDED]
+    """Lines of article elements; without any, those of likely or else of undecided ones that the neighbouring page does not share."""
+    best = max((mark for _, mark in own if mark != BOILERPLATE), default=UNDECIDED)
+    lines = [line for line, mark in own if mark == best]
+    if best != ARTICLE and other and lines:
+        theirs = [line for line, mark in other if mark != BOILERPLATE]
         if lines != theirs:
             shared = longest_common(lines, theirs)
             lines = [line for k, line in enumerate(lines) if k not in shared]
@@ -232,7 +251,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def settle(page, left, right):
             _, _, host, path, own, _ = page
-            near = [n for n in (left, right) if n is not None and host and n[2] == host and not all(m == ARTICLE for _, m in own)]
+            near = [n for n in (left, right) if n is not None and host and n[2] == host and not any(m == ARTICLE for _, m in own)]
             # a copy is a neighbour only where there is no other page
             near = [n for n in near if n[4] != own] or near
             best = max(near, key=lambda n: _common_length(path, n[3]), default=None)

@@ -341,6 +341,84 @@ def test_marked_blocks_go(mark):
     assert html_text.main_text(html_text.blocks(page), None) == "Stays\ntoo"
 
 
+@pytest.mark.parametrize("page", [
+    '<article title="The hidden valley"><p>Stays</p></article>', '<main><div class="ad-free"><p>Stays</p></div></main>', '<article><div class="social-science">Stays</div></article>',
+    '<article data-note="display:none"><p>Stays</p></article>', "<article class='post share'><p>Stays</p></article>", '<article><p hidden>x<div hidden>Away</div>Stays</article>'.replace("<p hidden>x", ""),
+    '<article>Stays<div style="color:red; display : none">Away</div><div aria-hidden=true>Away</div></article>',
+])
+def test_attributes_are_parsed(page):
+    assert html_text.main_text(html_text.blocks(page), None) == "Stays"
+
+
+def table_common(a, b):
+    """Size of a longest common subsequence, by the full table."""
+    t = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+    return t[-1, -1]
+
+
+@pytest.mark.parametrize("wrap", ["{}", '<div class="content">{}</div>'])
+def test_extract_against_full_tables(spark, wrap):
+    rng = np.random.default_rng(21)
+    rows, lines = [], {}
+    for k in range(60):
+        host = f"h{k % 3}.example"
+        menu = [f"menu {host} {j}" for j in range(40) if rng.random() < 0.9]
+        lines[k] = menu[:20] + [f"own {k} {j}" for j in range(5)] + menu[20:]
+        rows.append((k, f"http://{host}/{'ab'[k % 2]}/{k:03}", "<body>" + wrap.format("".join(f"<p>{x}</p>" for x in lines[k])) + "</body>"))
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in range(3):
+        order = sorted((r[1], r[0]) for r in rows if r[0] % 3 == host)
+        for at, (url, k) in enumerate(order):
+            near = [order[j] for j in (at - 1, at + 1) if 0 <= j < len(order)]
+            _, other = max(near, key=lambda n: next((j for j, (x, y) in enumerate(zip(url, n[0], strict=True)) if x != y), 99))  # noqa: B023
+            assert len(lines[k]) - len(got[k]) == table_common(lines[k], lines[other])
+            assert [x for x in got[k] if x.startswith("own")] == [f"own {k} {j}" for j in range(5)]
+            assert not set(got[k]) & set(lines[other])
+
+
+def test_template_of_forty_lines():
+    page = lambda k: html_text.blocks("<body>" + "".join(f"<div>Menu {j}</div>" for j in range(40)) + "".join(f"<p>own {k} {j}</p>" for j in range(5)))
+    assert html_text.main_text(page(0), page(1)) == "\n".join(f"own 0 {j}" for j in range(5))
+
+
+def test_pages_against_another_parser():
+    """Pages of the test tables: blocks inside the article element, by the parser of the standard library."""
+    import os
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag not in ("b", "a"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag not in ("b", "a"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth:
+                self.blocks[-1] += data
+
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        parser = Article()
+        parser.feed(html)
+        want = "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+        assert html_text.main_text(html_text.blocks(html), None) == want
+
+
 @pytest.mark.parametrize("name", ["addresses", "navy", "contents-of-the-day", "headers-and-hats", "postal", "searching"])
 def test_like_names_stay(name):
     assert html_text.main_text(html_text.blocks(f'<article><div class="{name}">Stays</div></article>'), None) == "Stays"
@@ -350,10 +428,7 @@ def test_longest_common_against_table():
     rng = np.random.default_rng(2)
     for _ in range(60):
         a, b = (list(rng.choice(list("abcd"), int(rng.integers(0, 9)))) for _ in range(2))
-        t = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i, j in itertools.product(range(len(a)), range(len(b))):
-            t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
-        assert len(html_text.longest_common(a, b)) == t[-1, -1]
+        assert len(html_text.longest_common(a, b)) == table_common(a, b)
 
 
 # 9 packing
