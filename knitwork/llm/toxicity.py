@@ -2,24 +2,31 @@
 
 Writers hide words by look-alike characters, spaced or dotted letters and
 repeated letters. Each token for which there is a choice, and each stretch of
-spaced-out letters, becomes a lattice: at every character the letters it may stand for, the choice to drop a separator, and the choice to
-drop a repetition. A Viterbi search under a character trigram model, counted
-over the whole corpus, picks the most likely letters; a logistic model over the
-restored words and their beginnings gives the score.
+spaced-out letters, becomes a lattice: at every character the letters it may
+stand for, the choice to drop a separator, and the choice to drop a repetition.
+A Viterbi search under a character trigram model, counted over the whole corpus,
+picks the most likely letters. A logistic model over the restored words, their
+beginnings, and how many different words share a beginning gives the score. It
+is fitted on whole documents and on their words dealt into parts, so that a text
+with few of the words that usually come together is recognised too.
 
 Defined cases: a null or empty text has no words and gets the score of a text
-without features; words without doubled letters stay as they are (lower-cased), other
-tokens are scored both as read and as they stand; stretches are decoded whole,
-whatever their length; repeated documents score alike;
-labels that are null or of unknown documents are not learned; an empty label
-table gives the score 0 for all.
+without features; words without doubled letters stay as they are (lower-cased),
+other tokens are scored both as read and as they stand; full-width letters count
+as plain ones and characters of no width are left out; stretches are decoded
+whole, whatever their length; repeated documents score alike; labels that are
+null or of unknown documents are not learned; an empty label table gives the
+score 0 for all; an empty document table gives an empty result; a column of the
+score's name is replaced, other columns are carried along.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +38,10 @@ from knitwork.llm.common import fold, pieces_of, stored, texts, trim
 THRESHOLD = 0.7
 #: Labelled documents that the classifier is fitted on, at most (by hash of the id), and the features it keeps.
 TRAIN_DOCS, FEATURES = 20_000, 512
-#: Lengths of word beginnings that are features beside whole words, and fewest documents of a feature.
-BEGINNINGS, LEAST_DOCS = (4, 5, 6, 7), 4
+#: Lengths of word beginnings that are features beside whole words, numbers of different words with one that are told apart, and fewest learned rows of a feature.
+BEGINNINGS, SHARED, LEAST_DOCS = (4, 5, 6, 7), 3, 4
+#: Parts that the words of a document are dealt into, to be learned beside the whole.
+PARTS = 2
 #: Distinct words a worker remembers: what they add to a score, and their readings.
 CACHE_WORDS, CACHE_READINGS = 150_000, 20_000
 #: UTF-8 bytes of documents handled at a time, but for a single longer one.
@@ -43,7 +52,15 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
+# Cyrillic and Greek letters that look like Latin ones.
+OTHER_SCRIPTS = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+}
 SEPARATORS = set(" .-_*~'’·,/\\")
+_LIKE = re.compile("[" + "".join(OTHER_SCRIPTS) + "]")
+#: Full-width forms of ASCII, characters of no width, and strokes laid over letters.
+_ODD = re.compile("[\uff01-\uff5e\u00ad\u200b-\u200f\u2060\ufeff\u0334-\u0338]")
 
 #: Character classes of the language model: 0 for all but letters, a-z, and the accented letters of Latin-1.
 _CLASS = np.zeros(256, np.uint8)
@@ -58,6 +75,13 @@ _REPEAT = re.compile(r"([^\W\d_])\1")
 _EDGE = "%*#&.,;:?\"“”'()[]{}<>=~^`"
 
 
+def lowered(text: str) -> str:
+    """Lower case, full-width letters as plain ones, without characters of no width."""
+    if not text.isascii() and _ODD.search(text):
+        text = _ODD.sub(lambda m: chr(ord(m[0]) - 0xFEE0) if m[0] >= "\uff01" and m[0] <= "\uff5e" else "", text)
+    return text.lower()
+
+
 class Letters:
     """Character trigram model: log2 probability of a class after two others, backed off by add-one bigrams."""
 
@@ -110,10 +134,11 @@ class Decoder:
         """What the character at ``at`` may stand for, and the channel's cost of that."""
         c = text[at]
         if c.isalpha():
+            own = [(c, 0.0), (OTHER_SCRIPTS[c], self.SWAP)] if c in OTHER_SCRIPTS else [(c, 0.0)]
             if not (at and text[at - 1] == c):
-                return [(c, 0.0)]
+                return own
             more = text[at + 1 : at + 2] == c or text[at - 2 : at - 1] == c
-            return [(c, 0.0), ("", self.ONCE if more else self.TWICE)]
+            return [*own, ("", self.ONCE if more else self.TWICE)]
         out = [(x, self.SWAP) for x in LOOK_ALIKES.get(c, "")]
         if c in SEPARATORS:
             out.append(("", self.DROP))
@@ -167,6 +192,8 @@ class Restorer:
         core = token.strip(_EDGE).rstrip("!")
         if not core:
             got = ()
+        elif not core.isascii() and _LIKE.search(core):
+            got = tuple(dict.fromkeys((*self._decoder.decode(core).split(), *re.findall(r"[^\W\d_]+", core))))
         elif core.isalpha() and not _REPEAT.search(core):
             got = (core,)
         elif core.rstrip("$").isalpha() and not _REPEAT.search(core):
@@ -191,11 +218,11 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """The text with each word replaced by its first reading and spaced-out stretches joined."""
-        low = _SPACED.sub(lambda m: self._decoder.decode(m[0]) if len(set(m[0])) > 2 else m[0], text.lower())
+        low = _SPACED.sub(lambda m: self._decoder.decode(m[0]) if len(set(m[0])) > 2 else m[0], lowered(text))
         return " ".join((self.word(w) or (w,))[0] for w in low.split())
 
     def words(self, text: str) -> set[str]:
-        low = text.lower()
+        low = lowered(text)
         out = set()
         for w in set(low.split()):
             out.update(self.word(w))
@@ -203,8 +230,25 @@ class Restorer:
         return out
 
 
+def beginnings(word: str) -> list[str]:
+    return [word[:k] for k in BEGINNINGS if len(word) > k]
+
+
+def shared(number: dict[str, int]) -> set[str]:
+    """Features for the numbers of different words with the same beginning: at least one, two, and so on up to SHARED."""
+    return {f"{b}*{k}" for b, n in number.items() for k in range(1, min(n, SHARED) + 1)}
+
+
 def features(words: set[str]) -> set[str]:
-    return words | {f"{w[:k]}*" for w in words for k in BEGINNINGS if len(w) > k}
+    return words | shared(Counter(b for w in words for b in beginnings(w)))
+
+
+def parts(words: set[str], doc: int) -> list[set[str]]:
+    """The words of a document, dealt by hash."""
+    out: list[set[str]] = [set() for _ in range(PARTS)]
+    for w in words:
+        out[zlib.crc32(f"{doc}/{w}".encode()) % PARTS].add(w)
+    return out
 
 
 def restore(docs: DataFrame, trigrams: np.ndarray | None = None) -> DataFrame:
@@ -252,8 +296,10 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, most: int = TR
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent.value)
         for batch in pieces_of(batches, PIECE_BYTES):
-            found = [sorted(features(restorer.words(t))) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
+            for doc, toxic, text in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), texts(batch), strict=True):
+                whole = restorer.words(text)
+                found = [sorted(features(words)) for words in (whole, *parts(whole, doc))]
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
         del restorer
         trim()
 
@@ -285,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, most: int = TR
     return Model(*_logistic(x, pos, n, names))
 
 
-def _logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, names: list[str], ridge: float = 0.05, rounds: int = 400) -> tuple[dict[str, float], float]:
+def _logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, names: list[str], ridge: float = 2.0, rounds: int = 400) -> tuple[dict[str, float], float]:
     """Non-negative weights by projected accelerated gradient descent on the penalised likelihood."""
     w, bias = np.zeros(x.shape[1]), math.log((pos.sum() + 1) / (n.sum() - pos.sum() + 1))
     rate = 1 / (0.25 * float(np.linalg.norm(x * np.sqrt(n)[:, None], 2) ** 2) + ridge)
@@ -305,25 +351,29 @@ class Scorer:
 
     def __init__(self, trigrams: np.ndarray, model: Model) -> None:
         self._restorer, self._model = Restorer(trigrams), model
-        self._known: dict[str, tuple[str, ...]] = {}
+        self._begun = {f.rpartition("*")[0] for f in model.weights if "*" in f}
+        self._known: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {}
+
+    def _relevant(self, words: Iterable[str]) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """Those of the words that have a say, with their beginnings that have one."""
+        own = ((w, tuple(b for b in beginnings(w) if b in self._begun)) for w in words)
+        return tuple((w, b) for w, b in own if b or w in self._model.weights)
 
-    def _relevant(self, token: str) -> tuple[str, ...]:
-        got = tuple(f for f in features(set(self._restorer.word(token))) if f in self._model.weights)
+    def _of_token(self, token: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        got = self._relevant(self._restorer.word(token))
         if len(self._known) < CACHE_WORDS:
             self._known[token] = got
         return got
 
     def score(self, text: str) -> float:
-        low, known, present = text.lower(), self._known, set()
-        words = set(low.split())
-        found = list(map(known.get, words))
+        low, known, weights = lowered(text), self._known, self._model.weights
+        tokens = set(low.split())
+        found = list(map(known.get, tokens))
         if None in found:
-            found = [self._relevant(w) if f is None else f for w, f in zip(words, found, strict=True)]
-        for f in filter(None, found):
-            present.update(f)
-        for w in set(self._restorer.spaced(low)):
-            present.update(f for f in features({w}) if f in self._model.weights)
-        return self._model.score(sum(self._model.weights[f] for f in sorted(present)))
+            found = [self._of_token(w) if f is None else f for w, f in zip(tokens, found, strict=True)]
+        words = dict(x for own in found if own for x in own) | dict(self._relevant(self._restorer.spaced(low)))
+        present = set(words) | shared(Counter(b for own in words.values() for b in own))
+        return self._model.score(sum(weights[f] for f in sorted(present) if f in weights))
 
 
 def score(docs: DataFrame, model: Model, trigrams: np.ndarray, column: str = "score") -> DataFrame:

@@ -83,6 +83,26 @@ def test_decoder_has_no_gates(spark):
         assert restorer.text(stretch).count("idiot") == 60, shift
 
 
+def test_letters_of_other_scripts(spark):
+    tri = toxicity.count_trigrams(docs(spark, ["the idiot and the moron were an ass and trash losers " * 50]))
+    restorer = toxicity.Restorer(tri)
+    for noisy in ("іdiоt", "ιdiοt", "ｉｄｉｏｔ", "i\u200bdi\u00adot", "i\u0336d\u0336i\u0336o\u0336t", "Ｉ d i ο t"):
+        assert "idiot" in restorer.words(f"an {noisy} here"), noisy
+
+
+def test_scorer_against_features(spark):
+    """The cached scorer equals the model on the features of all restored words."""
+    rng = np.random.default_rng(14)
+    tri = toxicity.count_trigrams(docs(spark, [prose(rng, 400)]))
+    names = ["kel*1", "kelt*1", "kelt*2", "vinm*3", "vinmes", "thal*1", "mortor", "duska"]
+    model = toxicity.Model({f: float(k + 1) / 7 for k, f in enumerate(names)}, -2.0)
+    scorer, restorer = toxicity.Scorer(tri, model), toxicity.Restorer(tri)
+    for _ in range(60):
+        text = prose(rng, int(rng.integers(0, 9))) + rng.choice(["", " kelt0r vinmess", " v i n m e s", " KELTOR keltorx keltory vinmesa vinmesb"])
+        want = model.score(sum(w for f, w in model.weights.items() if f in toxicity.features(restorer.words(text))))
+        assert abs(scorer.score(text) - want) < 1e-12
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     texts, labels = [], []
