@@ -13,7 +13,8 @@ vectors of the trigrams that occur, which is the same sum.
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 rows without a language are not learned; languages tie by name; with no training
 rows every text is ``und``; repeated rows count as often as they occur; very
-long texts are counted whole.
+long texts are counted whole; an empty table gives an empty result; columns
+``lang_pred`` and ``score`` are replaced, others are carried along.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ UNKNOWN = "und"
 CLASSES = 64
 #: Letters counted in one matrix product, but for a single longer text.
 BLOCK_LETTERS = 300_000
+#: Letters counted together in a task before their counts are passed on, but for a single longer text.
+COUNTED_LETTERS = 4_000_000
 #: Languages that a model may have; more are a sign of a wrong column.
 MOST_LANGUAGES = 2_000
 
@@ -111,52 +114,65 @@ class Profiler:
         return counts.reshape(len(block), len(codes)) @ self._vectors(codes)
 
 
-def count_by_language(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Trigram counts of each language over all the given rows: partial counts per batch, summed by Spark."""
+def count_by_language(docs: DataFrame) -> DataFrame:
+    """(lang, code, n): trigram counts of each language over all the given rows; partial counts per task, summed by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                total = np.bincount(np.concatenate(own), minlength=CLASSES**3)
+                codes = np.flatnonzero(total)
+                n = total[codes]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+            held.clear()
+
         for batch in batches:
-            langs: dict[str, list] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
-                # one count per million letters of a language, since each touches the whole table
-                own = langs.setdefault(lang, [[], 0, np.zeros(CLASSES**3, np.int64)])
-                own[0].append(trigrams(text))
-                own[1] += len(text)
-                if own[1] > 1_000_000:
-                    own[2] += np.bincount(np.concatenate(own[0]), minlength=CLASSES**3)
-                    own[0], own[1] = [], 0
-            for lang, (held, _, total) in langs.items():
-                if held:
-                    total = total + np.bincount(np.concatenate(held), minlength=CLASSES**3)
-                codes = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(total[codes], pa.int64())], names=["lang", "code", "n"])
+                own = trigrams(text)
+                held.setdefault(lang, []).append(own)
+                size += len(own)
+                if size > COUNTED_LETTERS:
+                    yield from settle()
+                    size = 0
+        yield from settle()
 
     known = docs.filter(F.col("lang").isNotNull()).select("lang", "text")
-    rows = known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    out: dict[str, np.ndarray] = {}
-    for row in rows.groupBy("lang").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns")).toLocalIterator():
+    return known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def bundles(counts: DataFrame, dimensions: int) -> dict[str, np.ndarray]:
+    """The bundled vector of each language, made where its counts are: a group has a row per trigram at most, the driver gets a vector per language."""
+
+    def bundle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("code")
+        codes, n = table.column("code").to_numpy(), table.column("n").to_numpy().astype(np.float32)
+        space, total = Space(dimensions), np.zeros(dimensions, np.float64)
+        for at in range(0, len(codes), 4096):
+            total += n[at : at + 4096] @ space.vectors(codes[at : at + 4096])
+        return pa.table({"lang": table.column("lang").slice(0, 1), "vector": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    out = {}
+    for row in counts.groupBy("lang").applyInArrow(bundle, "lang string, vector binary").toLocalIterator():
         if len(out) >= MOST_LANGUAGES:
             raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        out[row["lang"]] = np.zeros(CLASSES**3)
-        out[row["lang"]][row["codes"]] = row["ns"]
+        out[row["lang"]] = np.frombuffer(row["vector"], np.float32)
     return out
 
 
 class Prototypes:
     """Unit vectors of the languages, less their common part."""
 
-    def __init__(self, counts: dict[str, np.ndarray], space: Space) -> None:
-        self.languages = sorted(k for k, v in counts.items() if v.any())
-        rows = []
-        for lang in self.languages:
-            codes = np.flatnonzero(counts[lang])
-            own = counts[lang][codes].astype(np.float32) @ space.vectors(codes)
-            rows.append(own / np.linalg.norm(own))
+    def __init__(self, bundled: dict[str, np.ndarray]) -> None:
+        self.languages = sorted(k for k, v in bundled.items() if v.any())
+        rows = [bundled[k] / np.linalg.norm(bundled[k]) for k in self.languages]
         self.vectors = np.array(rows, np.float32)
         self.common = self.vectors.mean(0) if rows else np.zeros(0, np.float32)
         if len(rows) > 1:
             self.vectors = self.vectors - self.common
-            self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
+            self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-9)
 
     def nearest(self, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language number and cosine, moved from -1 ... 1 to 0 ... 1."""
@@ -170,7 +186,7 @@ class Prototypes:
 
 
 def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> Prototypes:
-    return Prototypes(count_by_language(docs), Space(dimensions))
+    return Prototypes(bundles(count_by_language(docs), dimensions))
 
 
 def identify(docs: DataFrame, prototypes: Prototypes, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -140,6 +140,37 @@ def test_language(spark):
     assert langid.identify(df.limit(2), langid.fit(df.limit(0))).first()["lang_pred"] == "und"
 
 
+def test_prediction_against_brute_force(spark):
+    """Every letter vector permuted, bound and added one trigram after the other."""
+    rng = np.random.default_rng(15)
+    make = {"aa": ["banu", "tolo", "mika"], "bb": ["strk", "pfelz", "grüm"], "cc": ["ñora", "llebo", "mika"]}
+    langs = ["aa", "bb", "cc"] * 6
+    texts = [" ".join(rng.choice(make[x], 12)) for x in langs] + ["Banu, tolo!", "strk llebo", "x", "漢字 пример"]
+    dims = 128
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.CLASSES, dims)).astype(float)
+
+    def profile(text):
+        total = np.zeros(dims)
+        for code in langid.trigrams(text).tolist():
+            total += np.roll(letters[code >> 12], 2) * np.roll(letters[(code >> 6) & 63], 1) * letters[code & 63]
+        return total
+
+    unit = lambda v: v / np.linalg.norm(v)
+    bundled = {lang: unit(sum(profile(t) for t, x in zip(texts, langs, strict=False) if x == lang)) for lang in make}
+    common = sum(bundled.values()) / 3
+    prototypes = {lang: unit(v - common) for lang, v in bundled.items()}
+    df = docs(spark, texts, [*langs, None, None, None, None])
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(df, dims), dims).collect()}
+    for k, text in enumerate(texts):
+        own = unit(unit(profile(text)) - common)
+        cosine = {lang: float(own @ v) for lang, v in prototypes.items()}
+        assert got[k]["lang_pred"] == max(cosine, key=cosine.get) and abs(got[k]["score"] - (1 + max(cosine.values())) / 2) < 1e-4
+    assert langid.identify(df.limit(0), langid.fit(df, dims), dims).count() == 0
+    # languages with the same texts tie: the first name wins
+    same = docs(spark, ["banu tolo", "banu tolo", "strk"], ["zz", "yy", "xx"])
+    assert langid.identify(same.filter("doc_id = 0"), langid.fit(same)).first()["lang_pred"] == "yy"
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     space = langid.Space(64)
     codes = langid.trigrams("Ab c")
