@@ -1,33 +1,36 @@
 """Benchmark passages in training documents, by a distributed positional inverted index.
 
 Every batch of documents becomes one index shard: for each term of the test set,
-the sorted positions at which it occurs. Shards are written to the shared
-folder. Corpus-wide term counts, summed over all shards, order the terms of each
+the sorted positions at which it occurs. Shards are written to the shared folder
+once. Corpus-wide term counts, summed over all shards, order the terms of each
 test window from the rarest; in each shard the posting list of the rarest term,
 shifted by its offset in the window, is intersected with the shifted lists of
 the rarer half and then the rest. A window is found where all ten lists agree
 (phrase), or where every term lies within a given distance (proximity).
 
-Test sets are handled in blocks of items of bounded size; what is broadcast is
-one block. Shards hold no document twice and are searched where they lie, so
-nothing is shuffled but one row per document with hits.
+Test windows are searched in blocks of bounded size: what is collected and
+broadcast at a time is one block, and the words of the test set. If those are
+too many, the items are dealt into groups with an index each. Shards hold no
+document twice and are searched where they lie; a row leaves them for each
+document with hits, and these rows are merged by document and joined to the
+list of all documents.
 
 Defined cases: null has no words; empty items and documents match nothing; items
 with the same words are each counted, and a repeated item id once; repeated
-documents are reported once per row; items without an id count together as one that is not in the item list;
-an empty table on either side gives documents without hits.
+documents, and documents without an id, are reported once per row; items without
+an id count together as one that is not in the item list; very long texts are
+indexed whole; an empty table on either side gives documents without hits; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,12 @@ from knitwork.llm.common import pieces_of, stored, utf8
 WINDOW = 10
 #: Words by which a term may be off its place in a proximity match of the query.
 SLOP = 4
-#: UTF-8 bytes of test items in one block: the bound of what is collected and broadcast at a time.
-BLOCK_BYTES = 16_000_000
+#: UTF-8 bytes of test items in one block, but for a single longer item: the bound of the windows that are collected and broadcast at a time.
+BLOCK_BYTES = 8_000_000
+#: Different words of test items that are broadcast at a time, but for a single item with more.
+MOST_TERMS = 2_000_000
+#: Postings followed at a time within a shard, but for those of a single window.
+CANDIDATES = 1_000_000
 #: UTF-8 bytes of documents in one shard, but for a single longer document.
 SHARD_BYTES = 8_000_000
 
@@ -52,47 +59,58 @@ def words(text: bytes) -> list[bytes]:
 
 
 class TestWindows:
-    """The windows of a block of items as rows of term numbers, -1 beyond the end of a short one."""
+    """The windows of a block of items as rows of term numbers, -1 beyond the end of a short one; ``terms`` numbers the words of all blocks."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[object, bytes]], window: int) -> None:
-        self.terms: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], set[int]] = {}
-        self.items: list[str | None] = []
-        numbers: dict[str | None, int] = {}
+    def __init__(self, items: list[tuple[object, bytes]], terms: dict[bytes, int], window: int) -> None:
+        names: dict[str | None, int] = {}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            if not ids:
+            ids = np.fromiter(map(terms.__getitem__, words(text)), np.int32)
+            if not len(ids):
                 continue
-            name = None if item is None else str(item)
-            k = numbers.setdefault(name, len(self.items))
-            if k == len(self.items):
-                self.items.append(name)
-            for at in range(max(1, len(ids) - window + 1)):
-                rows.setdefault(tuple(ids[at : at + window]), set()).add(k)
-        self.windows = np.full((len(rows), window), -1, np.int32)
-        for k, row in enumerate(rows):
-            self.windows[k, : len(row)] = row
+            k = names.setdefault(None if item is None else str(item), len(names))
+            if len(ids) < window:
+                ids = np.concatenate([ids, np.full(window - len(ids), -1, np.int32)])
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            owners.append(np.full(len(rows[-1]), k, np.int64))
+        self.items = list(names)
+        every = np.ascontiguousarray(np.concatenate(rows))
+        _, first, same = np.unique(every.view(f"V{every.itemsize * window}").ravel(), return_index=True, return_inverse=True)
+        self.windows = every[first]
         self.lengths = (self.windows >= 0).sum(1)
-        self.owners = np.concatenate([[0], np.cumsum([len(x) for x in rows.values()])]).astype(np.int64)
-        self.owned = np.array([k for x in rows.values() for k in sorted(x)], np.int64)
+        pairs = np.unique(same.ravel() * max(1, len(names)) + np.concatenate(owners))
+        which, self.owned = np.divmod(pairs, max(1, len(names)))
+        self.owners = np.searchsorted(which, np.arange(len(first) + 1))
 
     def rarest_first(self, counts: np.ndarray) -> None:
         """Offsets of each window's terms, by rising corpus count; ties in text order."""
         cost = np.where(self.windows >= 0, counts[self.windows] if len(counts) else 0, np.iinfo(np.int64).max)
-        self.order = np.argsort(cost, axis=1, kind="stable")
+        self.order = np.argsort(cost, axis=1, kind="stable").astype(np.int8)
 
 
-def index(docs: DataFrame, windows: TestWindows, gap: int = WINDOW) -> DataFrame:
-    """One shard per batch of documents. Positions run through the shard, with a gap after each document that no match spans."""
-    terms = docs.sparkSession.sparkContext.broadcast(windows.terms)
-    schema = "shard string, doc_ids array<long>, starts array<long>, n_words array<long>, terms array<int>, counts array<long>, postings binary"
+def term_list(items: DataFrame) -> DataFrame:
+    """(part, term): the different words of the items of each part."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in zip(batch.column("part").to_pylist(), utf8(batch), strict=True):
+                own = sorted(set(words(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int64()), pa.array(own, pa.binary())], names=["part", "term"])
+
+    return items.select("part", "text").mapInArrow(split, "part long, term binary").distinct()
+
+
+def index(docs: DataFrame, terms: dict[bytes, int], gap: int = WINDOW) -> DataFrame:
+    """One shard per batch of documents (row_key, doc_id, text). Positions run through the shard, with a gap after each document that no match spans."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    schema = "row_keys array<long>, doc_ids array<long>, starts array<long>, n_words array<long>, terms array<int>, counts array<long>, postings binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, partition = terms.value, TaskContext.get().partitionId()
-        for serial, batch in enumerate(pieces_of(batches, SHARD_BYTES)):
-            ids, n_words, found, starts, at = batch.column("doc_id").to_pylist(), [], [], [], 0
+        number = sent.value
+        for batch in pieces_of(batches, SHARD_BYTES):
+            keys, ids, n_words, found, starts, at = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist(), [], [], [], 0
             for text in utf8(batch):
                 own = words(text)
                 found.append(np.fromiter(map(number.get, own, repeat(-1)), np.int32, len(own)))
@@ -104,11 +122,11 @@ def index(docs: DataFrame, windows: TestWindows, gap: int = WINDOW) -> DataFrame
             positions = np.flatnonzero(stream >= 0)
             order = np.argsort(stream[positions], kind="stable")
             present, counts = np.unique(stream[positions], return_counts=True)
-            row = [f"{partition}/{serial}", ids, starts, n_words, present.tolist(), counts.tolist(), positions[order].astype("<u4").tobytes()]
-            kinds = [pa.string()] + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["shard", "doc_ids", "starts", "n_words", "terms", "counts", "postings"])
+            row = [keys, ids, starts, n_words, present.tolist(), counts.tolist(), positions[order].astype("<u4").tobytes()]
+            kinds = [pa.list_(pa.int64())] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["row_keys", "doc_ids", "starts", "n_words", "terms", "counts", "postings"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema)
+    return docs.select("row_key", "doc_id", "text").mapInArrow(build, schema)
 
 
 def term_counts(shards: DataFrame, n_terms: int) -> np.ndarray:
@@ -125,23 +143,34 @@ def term_counts(shards: DataFrame, n_terms: int) -> np.ndarray:
 
 
 class Shard:
-    """Posting lists of one shard: position ``p`` of term ``t`` is kept as t * span + p, in order."""
+    """Posting lists of one shard: position ``p`` of term ``t`` is kept as t * span + p, in order. ``terms`` are those that occur, rising."""
 
-    def __init__(self, terms: np.ndarray, counts: np.ndarray, postings: bytes, span: int, n_terms: int) -> None:
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, postings: bytes, span: int) -> None:
         self._span = span
         positions = np.frombuffer(postings, "<u4").astype(np.int64)
         self._keys = np.repeat(terms.astype(np.int64), counts) * span + positions
-        self._positions = positions
-        self._from = np.zeros(n_terms + 1, np.int64)
-        self._from[terms + 1] = counts
-        self._from = np.cumsum(self._from)
+        self._positions, self._terms, self._counts = positions, terms, counts
+        self._from = np.cumsum(counts) - counts
+
+    def _at(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each term among those that occur, and whether it does."""
+        if not len(self._terms):
+            return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+        at = np.minimum(np.searchsorted(self._terms, terms), len(self._terms) - 1)
+        return at, self._terms[at] == terms
+
+    def sizes(self, terms: np.ndarray) -> np.ndarray:
+        """Number of postings of each of ``terms``."""
+        at, known = self._at(terms)
+        return np.where(known, self._counts[at], 0) if len(self._terms) else np.zeros(len(terms), np.int64)
 
     def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row number and position for every posting of ``terms``."""
-        sizes = self._from[terms + 1] - self._from[terms]
+        """Row number and position for every posting of ``terms``, all of which occur."""
+        at, _ = self._at(terms)
+        sizes = self._counts[at] if len(terms) else np.zeros(0, np.int64)
         rows = np.repeat(np.arange(len(terms)), sizes)
         inside = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return rows, self._positions[self._from[terms][rows] + inside]
+        return rows, self._positions[self._from[at][rows] + inside]
 
     def has(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether each term has a posting in low ... high."""
@@ -153,42 +182,48 @@ class Shard:
         return (at < len(self._keys)) & (nearest <= terms.astype(np.int64) * self._span + high)
 
 
-def search(shard: Shard, tests: TestWindows, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) for each occurrence. With ``slop``, the start of the rarest term's shift, other terms within that distance of their place."""
-    if not len(tests.windows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    anchor = tests.order[:, 0]
-    which, position = shard.lists(tests.windows[np.arange(len(anchor)), anchor])
-    start = position - anchor[which]
+def _some_windows(shard: Shard, tests: TestWindows, own: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    order = tests.order[own].astype(np.int64)
+    which, position = shard.lists(tests.windows[own, order[:, 0]])
+    start = position - order[which, 0]
     for k in range(1, tests.windows.shape[1]):
-        offset = tests.order[which, k]
-        term = tests.windows[which, offset]
+        offset = order[which, k]
+        term = tests.windows[own[which], offset]
         here = term < 0
         if (~here).any():
             here[~here] = shard.has(term[~here], (start + offset - slop)[~here], (start + offset + slop)[~here])
         which, start = which[here], start[here]
-    return which, start
+    return own[which], start
 
 
-def _null_first(item: str | None) -> tuple[bool, str]:
-    return item is not None, item or ""
+def search(shard: Shard, tests: TestWindows, slop: int = 0, most: int = CANDIDATES) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) for each occurrence. With ``slop``, the start of the rarest term's shift, other terms within that distance of their place."""
+    which, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(tests.windows):
+        sizes = shard.sizes(tests.windows[np.arange(len(tests.windows)), tests.order[:, 0].astype(np.int64)])
+        present = np.flatnonzero(sizes)
+        for own in np.split(present, np.flatnonzero(np.diff(np.cumsum(sizes[present]) // most)) + 1):
+            w, s = _some_windows(shard, tests, own, slop)
+            which.append(w)
+            start.append(s)
+    return np.concatenate(which), np.concatenate(start)
 
 
-_FOUND = "doc_id long, row_key string, n_words long, hit binary, items array<string>, n_near long"
+_HITS = "row_key long, hit array<long>, items array<string>, unnamed boolean, n_near long"
 
 
-def _found(shards: DataFrame, tests: TestWindows, slop: int, final: bool) -> DataFrame:
-    """A row per document: its hit words as a bit string (empty without hits), and the items found; with ``final`` the summary of that."""
+def _hits(shards: DataFrame, tests: TestWindows, slop: int) -> DataFrame:
+    """A row per document with a match: the places of its words inside windows, and the items found."""
     sent = shards.sparkSession.sparkContext.broadcast(tests)
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = sent.value
         for batch in batches:
             for row in range(batch.num_rows):
                 value = lambda name: batch.column(name)[row]  # noqa: B023, E731
-                ids, n_words = value("doc_ids").as_py(), np.array(value("n_words").as_py(), np.int64)
-                starts = np.array(value("starts").as_py(), np.int64)
+                keys, n_words, starts = (np.array(value(name).as_py(), np.int64) for name in ("row_keys", "n_words", "starts"))
                 span = int(starts[-1] + n_words[-1]) + tests.windows.shape[1] if len(starts) else 1
-                shard = Shard(np.array(value("terms").as_py(), np.int64), np.array(value("counts").as_py(), np.int64), value("postings").as_py(), span, len(tests.terms))
+                shard = Shard(np.array(value("terms").as_py(), np.int64), np.array(value("counts").as_py(), np.int64), value("postings").as_py(), span)
                 which, start = search(shard, tests)
                 doc = np.searchsorted(starts, start, "right") - 1
                 # every word inside an occurrence, by the change of the number of open occurrences
@@ -200,66 +235,75 @@ def _found(shards: DataFrame, tests: TestWindows, slop: int, final: bool) -> Dat
                 inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 n_items = max(1, len(tests.items))
                 pairs = np.unique(np.repeat(doc, sizes) * n_items + tests.owned[np.repeat(tests.owners[which], sizes) + inside])
-                items: dict[int, list[str]] = {}
+                items: dict[int, list[str | None]] = {}
                 for d, k in zip(*(x.tolist() for x in np.divmod(pairs, n_items)), strict=True):
                     items.setdefault(d, []).append(tests.items[k])
-                near = np.zeros(len(ids), np.int64)
+                near: dict[int, int] = {}
                 if slop:
                     w, s = search(shard, tests, slop)
-                    d = np.clip(np.searchsorted(starts, s + tests.order[w, 0], "right") - 1, 0, None)
-                    np.add.at(near, d, 1)
-                touched = set(np.unique(doc).tolist())
-                bits = [np.packbits(hit[starts[k] : starts[k] + n_words[k]]).tobytes() if k in touched else b"" for k in range(len(ids))]
-                key = value("shard").as_py()
-                cols = [
-                    pa.array(ids, pa.int64()), pa.array([f"{key}/{k}" for k in range(len(ids))]), pa.array(n_words), pa.array(bits, pa.binary()),
-                    pa.array([sorted(items.get(k, ()), key=_null_first) for k in range(len(ids))], pa.list_(pa.string())), pa.array(near),
-                ]
-                found = pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "n_words", "hit", "items", "n_near"])
-                yield _summary(found) if final else found
-
-    return shards.mapInArrow(match, _SUMMARY if final else _FOUND)
-
-
-_SUMMARY = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, n_near long"
-
+                    at = np.searchsorted(starts, s + tests.order[w, 0], "right") - 1
+                    near = dict(zip(*(x.tolist() for x in np.unique(at, return_counts=True)), strict=True))
+                found = sorted(items.keys() | near.keys())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(keys[found], pa.int64()), pa.array([np.flatnonzero(hit[starts[k] : starts[k] + n_words[k]]) for k in found], pa.list_(pa.int64())),
+                    pa.array([[x for x in items.get(k, ()) if x is not None] for k in found], pa.list_(pa.string())), pa.array([None in items.get(k, ()) for k in found], pa.bool_()),
+                    pa.array([near.get(k, 0) for k in found], pa.int64()),
+                ], names=["row_key", "hit", "items", "unnamed", "n_near"])
 
-def _summary(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hits = [sum(x.bit_count() for x in h) for h in batch.column("hit").to_pylist()]
-    items = batch.column("items").to_pylist()
-    named = [[k for k in x if k is not None] for x in items]
-    sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
-    cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sums, pa.string()), pa.array([h > 0 for h in hits]), pa.array(named, pa.list_(pa.string())), batch.column("n_near")]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "n_near"])
+    return shards.mapInArrow(match, _HITS)
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    """One row per document from the rows of all blocks: bits or-ed, items united. A group holds as many rows as there are blocks."""
+def _dealt(items: DataFrame, parts: int) -> DataFrame:
+    return items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
 
-    def unite(table: pa.Table) -> pa.Table:
-        hits = [np.frombuffer(h, np.uint8) for h in table.column("hit").to_pylist() if h]
-        bits = np.bitwise_or.reduce(hits).tobytes() if hits else b""
-        items = sorted({x for row in table.column("items").to_pylist() for x in row}, key=_null_first)
-        near = sum(table.column("n_near").to_pylist())
-        first = table.slice(0, 1)
-        return pa.table({"doc_id": first.column("doc_id"), "row_key": first.column("row_key"), "n_words": first.column("n_words"), "hit": pa.array([bits], pa.binary()), "items": pa.array([items], pa.list_(pa.string())), "n_near": pa.array([near], pa.int64())})
 
-    return found.groupBy("row_key").applyInArrow(unite, _FOUND)
+def _groups(items: DataFrame, most: int) -> int:
+    """How many groups the items are dealt into, so that none has more than ``most`` different words, but for single items."""
+    groups, n_items = 1, None
+    while True:
+        largest = term_list(_dealt(items, groups)).groupBy("part").count().agg(F.max("count")).collect()[0][0] or 0
+        if largest <= most:
+            return groups
+        n_items = n_items or items.count()
+        if groups >= 8 * n_items:
+            return groups
+        groups *= 2
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, most_terms: int = MOST_TERMS) -> DataFrame:
     """Per document: words, words inside benchmark windows, items found, and (with ``slop``) proximity matches."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("n")).collect()[0]["n"] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    found = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = part.toArrow()
-        texts = [b"" if x is None else x.encode() for x in rows.column("text").to_pylist()]
-        tests = TestWindows(list(zip(rows.column("item_id").to_pylist(), texts, strict=True)), window)
-        shards = stored(index(docs, tests, window + slop), "postings")
-        tests.rarest_first(term_counts(shards, len(tests.terms)))
-        here = _found(shards, tests, slop, blocks == 1)
-        found = here if found is None else found.unionByName(here)
-    return found if blocks == 1 else _merged(found).mapInArrow(lambda batches: map(_summary, batches), _SUMMARY)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_key"))
+    groups = _groups(items, most_terms)
+    if groups > 1:  # every index has to see the same keys
+        keyed = stored(keyed, "keyed-documents")
+    every = hits = None
+    for group in range(groups):
+        own = items if groups == 1 else _dealt(items, groups).filter(F.col("part") == group).drop("part")
+        terms = {r["term"]: k for k, r in enumerate(term_list(own.withColumn("part", F.lit(0))).orderBy("term").toLocalIterator())}
+        terms = {bytes(k): v for k, v in terms.items()}
+        shards = stored(index(keyed, terms, window + slop), "postings")
+        counts = term_counts(shards, len(terms))
+        if every is None:
+            listed = F.explode(F.arrays_zip("row_keys", "doc_ids", "n_words")).alias("d")
+            every = shards.select(listed).select(F.col("d.row_keys").alias("row_key"), F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+        total = own.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("n")).collect()[0]["n"] or 0
+        blocks = max(1, math.ceil(total / block_bytes))
+        for block in range(blocks):
+            rows = (own if blocks == 1 else _dealt(own, groups * blocks).filter(F.col("part") == group + groups * block)).toArrow()
+            texts = [b"" if x is None else x.encode() for x in rows.column("text").to_pylist()]
+            tests = TestWindows(list(zip(rows.column("item_id").to_pylist(), texts, strict=True)), terms, window)
+            tests.rarest_first(counts)
+            here = _hits(shards, tests, slop)
+            hits = here if hits is None else hits.unionByName(here)
+    # all rows of a document together: as many as there are blocks in which it has a match
+    merged = hits.groupBy("row_key").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("unnamed").alias("unnamed"), F.sum("n_near").alias("n_near"),
+    )
+    none = F.array().cast("array<string>")
+    out = every.join(merged, "row_key", "left").withColumns({"items": F.coalesce("items", none), "n_hit": F.coalesce("n_hit", F.lit(0)), "n_near": F.coalesce("n_near", F.lit(0))})
+    return out.select(
+        "doc_id", "n_words", "n_hit", (F.size("items") + F.coalesce(F.col("unnamed").cast("int"), F.lit(0))).cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "n_near",
+    )

@@ -609,17 +609,40 @@ def brute_hits(text, items, window):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [16_000_000, 200])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "most_terms"), [(16_000_000, 10_000), (200, 10_000), (200, 25)])
+def test_decontamination(spark, block_bytes, most_terms):
     rng = np.random.default_rng(7)
     items = {k: prose(rng, 25) for k in range(12)} | {20: "kelka vintor", 21: "", 22: None, 23: "É-é 漢"}
     texts = [prose(rng, 60) + (" " + items[k % 12] if k % 3 == 0 else "") + " " + prose(rng, 10) for k in range(20)]
     texts += ["x Kelka, VINTOR! y kelka vintor", "É é 漢", " ".join(items[0].split()[3:14]).upper(), *odd_texts()]
     bench = spark.createDataFrame([(k, t, 1) for k, t in items.items()] + [(3, items[3], 1)], "item_id long, text string, doc_id int")
-    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontamination.contamination(docs(spark, texts), bench, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontamination.contamination(docs(spark, texts), bench, block_bytes=block_bytes, most_terms=most_terms).collect()}
     assert got == {k: brute_hits(t, items, 10) for k, t in enumerate(texts)}
 
 
+def test_search_in_chunks_and_against_scan():
+    rng = np.random.default_rng(16)
+    text = rng.choice(list("abcde"), 400)
+    terms = {x.encode(): k for k, x in enumerate("abcdef")}
+    tests = decontamination.TestWindows([(k, " ".join(rng.choice(list("abcdef"), int(rng.integers(1, 6)))).encode()) for k in range(40)], terms, 3)
+    tests.rarest_first(np.array([9, 1, 5, 5, 7, 0]))
+    stream = np.array([terms[x.encode()] for x in text])
+    order = np.argsort(stream, kind="stable")
+    present, counts = np.unique(stream, return_counts=True)
+    shard = decontamination.Shard(present, counts, order.astype("<u4").tobytes(), len(text) + 3)
+    want = {(k, at) for k, w in enumerate(tests.windows) for at in range(len(text) - tests.lengths[k] + 1) if list(stream[at : at + tests.lengths[k]]) == list(w[: tests.lengths[k]])}
+    for most in (1, 7, 10**6):
+        which, start = decontamination.search(shard, tests, most=most)
+        assert len(which) == len(want) and set(zip(which.tolist(), start.tolist(), strict=True)) == want
+
+
+def test_documents_without_id_or_repeated(spark):
+    item = "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1"
+    df = spark.createDataFrame([(None, item, 1), (None, "x", 1), (4, item, 1), (4, item, 1), (4, None, 1)], "doc_id long, text string, items int")
+    got = decontamination.contamination(df, spark.createDataFrame([(1, item, 2)], "item_id long, text string, row_key int")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_hit"], r["items"]) for r in got) == [(-1, 0, []), (-1, 10, ["1"]), (4, 0, []), (4, 10, ["1"]), (4, 10, ["1"])]
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     df = docs(spark, ["alpha x beta gamma", "gamma beta alpha", "nothing"])
