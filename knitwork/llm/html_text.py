@@ -226,7 +226,9 @@ def _placed(keyed: DataFrame, bounds: list[tuple], also: dict[tuple, list[int]])
 def _dealt(keyed: DataFrame, parts: int) -> DataFrame:
     """Pages in ranges of nearly equal numbers, each with the nearest page before and after it."""
     keys = keyed.select(*_ORDER)
-    sample = sorted(tuple(r) for r in keys.orderBy(F.xxhash64(*_ORDER)).limit(_KEYS * parts).collect())
+    n = max(1, keys.count())
+    # about that many keys in all, chosen where they lie; rows with the same key are one
+    sample = sorted(tuple(r) for r in keys.filter(F.pmod(F.xxhash64(*_ORDER), F.lit(n)) < _KEYS * parts).distinct().collect())
     bounds = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
     ends = _placed(keys, bounds, {}).groupBy("part").agg(F.min(F.struct(*_ORDER)).alias("first"), F.max(F.struct(*_ORDER)).alias("last")).orderBy("part").collect()
     also: dict[tuple, list[int]] = {}
