@@ -34,7 +34,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return ngram_join.classes(read(spark, sf_dir, "documents"), width=4, num=85, den=100).drop("text_key")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Every round rewires each node to the smallest id around it; the number of rounds
 grows with the logarithm of the component size, also for chains. Each round is a
-pre-aggregated minimum and one join, written to the shared folder.
+pre-aggregated minimum and one join, written to the shared folder. The minima
+are written before the join, so that Spark knows their size and can split the
+links of a node with very many.
 
 Defined cases: loops, repeated links and links given in both directions count
 once; an empty table gives an empty result.
@@ -23,13 +25,13 @@ def _both(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Connect all larger neighbours of a node to the smallest one around it."""
     around = _both(links)
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    least = stored(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
     return around.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Connect all smaller neighbours of a node, and the node, to the smallest of them. Links point from larger to smaller."""
-    least = links.groupBy("a").agg(F.min("b").alias("least"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = links.join(least, "a")
     rewired = moved.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
     return rewired.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
@@ -47,7 +49,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = stored(_small_star(_large_star(now)), "links")
+        now = stored(_small_star(stored(_large_star(now), "links")), "links")
         after = _state(now)
         if after == before:
             break

@@ -15,10 +15,16 @@ verified links, and then all pairs across different components are looked at. So
 no link between components is lost, while a large group of copies costs a few
 pairs per document.
 
+An n-gram that the counts show in many documents is dealt to several tasks, each
+with an original of its own; these are paired with the first of them. Elsewhere
+tables are written before they meet a table with a hot key, so that Spark knows
+their size and can split the key's rows.
+
 Defined cases: null and empty texts have no n-grams and link with nothing; with
 fewer words than n the whole sequence is the one n-gram; a null id links with
-nothing and has no component; repeated rows are copies; very long texts are
-taken whole; other columns are ignored.
+nothing and has no component; repeated rows are copies, and so are rows with one
+id and different texts if their texts link; very long texts are taken whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ FAN_IN, SLICES = 32, 16
 CACHE_WORDS = 100_000
 #: UTF-8 bytes of documents handled at a time, but for a single longer one.
 PIECE_BYTES = 4_000_000
+#: Documents with an n-gram that go to one task, about.
+BUCKET = 1024
 #: Ranges of the hash (by its first byte) that the suffix filter counts by.
 RANGES = 256
 
@@ -100,7 +108,7 @@ def ngram_set(text: bytes, width: int) -> np.ndarray:
     return h if len(h) < 2 else h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-_SIGNED = "kind int, doc_id long, n long, f1 long, f2 long, ranges array<tinyint>, task long, slice int, counts binary"
+_SIGNED = "kind int, doc_id long, text_key long, n long, f1 long, f2 long, ranges array<tinyint>, task long, slice int, counts binary"
 
 
 def signatures(docs: DataFrame, width: int, counters: int = COUNTERS) -> DataFrame:
@@ -108,35 +116,35 @@ def signatures(docs: DataFrame, width: int, counters: int = COUNTERS) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.uint32)
-        names = ["kind", "doc_id", "n", "f1", "f2", "ranges", "task", "slice", "counts"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.int64(), pa.int32(), pa.binary()]
+        names = ["kind", "doc_id", "text_key", "n", "f1", "f2", "ranges", "task", "slice", "counts"]
+        kinds = [pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int8()), pa.int64(), pa.int32(), pa.binary()]
         for batch in pieces_of(batches, PIECE_BYTES):
             rows, held, size = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
+            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), utf8(batch), strict=True):
                 own = ngram_set(text, width)
                 if len(own):
                     f = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-                    rows.append((0, doc, len(own), int(f[0]), int(f[1]), np.minimum(np.bincount(own >> np.uint64(56), minlength=RANGES), 127).astype(np.int8)))
+                    rows.append((0, doc, key, len(own), int(f[0]), int(f[1]), np.minimum(np.bincount(own >> np.uint64(56), minlength=RANGES), 127).astype(np.int8)))
                     held.append((own & np.uint64(counters - 1)).astype(np.int64))
                     size += len(own)
                 else:
-                    rows.append((0, doc, 0, None, None, None))
+                    rows.append((0, doc, key, 0, None, None, None))
                 if size > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
                     held, size = [], 0
             if held:
                 total += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+            cols = list(zip(*rows, strict=True)) or [()] * 7
             cols += [[None] * len(rows)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
         trim()
         if total.any():
             task = TaskContext.get().partitionId()
             for k, part in enumerate(np.split(total, SLICES)):
-                row = [1, None, None, None, None, None, task, k, part.tobytes()]
+                row = [1, *[None] * 6, task, k, part.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, _SIGNED)
 
 
 def frequencies(signed: DataFrame, counters: int = COUNTERS) -> np.ndarray:
@@ -168,8 +176,8 @@ def overlap_needed(n: Column, m: Column, num: int, den: int) -> Column:
     return F.ceil((n + m) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
 
 
-def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """The first n-grams of every set, rarest first: any two sets that reach the similarity share one."""
+def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray, bucket: int = BUCKET) -> DataFrame:
+    """The first n-grams of every set, rarest first: any two sets that reach the similarity share one. ``salt`` is -1 where one task can take all of an n-gram."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +209,13 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray
             each = lambda k: np.repeat(np.array([p[k] for p in parts], np.int64), sizes)  # noqa: B023, E731
             h, place = np.concatenate([p[0] for p in parts]), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             f1, f2, n = each(1), each(2), each(3)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, f1, f2, n, place)], names=["h", "f1", "f2", "n", "place"])
+            shares = -(-counts[h.view(np.uint64) & mask].astype(np.int64) // bucket)
+            salt = np.where(shares > 1, f1 % np.maximum(shares, 1), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, f1, f2, n, place, salt)], names=["h", "f1", "f2", "n", "place", "salt"])
         sent_before.clear()
         trim()
 
-    return docs.select("text").mapInArrow(run, "h long, f1 long, f2 long, n long, place long")
+    return docs.select("text").mapInArrow(run, "h long, f1 long, f2 long, n long, place long, salt long")
 
 
 #: What a bucket's centre is the first in: a text from which others were copied with changes has the fewest
@@ -219,56 +229,66 @@ def _length_class(round_: int, num: int, den: int) -> Column:
 
 
 def shared_buckets(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """kind 0: entries whose n-gram several nodes have; kind 1: each of them with the first node of its size class.
+    """kind 0: entries whose n-gram several nodes have; kind 1: each of them with the first node of its size class; kind 2: such first nodes, where an n-gram went to several tasks.
 
-    One exchange by n-gram; a sorted stream sees the nodes of a bucket one after the other, so no bucket is held in memory.
+    One exchange by n-gram and salt; a sorted stream sees the nodes of a bucket one after the other, so no bucket is held in memory.
     """
-    dealt = entries.withColumn("cls", _length_class(0, num, den)).repartition("h").sortWithinPartitions("h", "cls", *_FIRST)
-    names = ["h", "f1", "f2", "n", "place"]
+    dealt = entries.withColumn("cls", _length_class(0, num, den)).repartition("h", "salt").sortWithinPartitions("h", "salt", "cls", *_FIRST)
+    names = ["h", "f1", "f2", "n", "place", "cls"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # last row so far, whether the row before it has its n-gram, and the first of its class
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: batch.column(c).to_numpy() for c in (*names, "cls")}
+            cols = {c: batch.column(c).to_numpy() for c in (*names, "salt")}
             first_h, first_m = False, None
             if held is not None:
                 row, first_h, first_m = held
                 cols = {c: np.concatenate([[row[c]], v]) for c, v in cols.items()}
-            size = len(cols["h"])
-            same_h = np.concatenate([[False], cols["h"][1:] == cols["h"][:-1]])
-            again = same_h & np.concatenate([[False], (cols["f1"][1:] == cols["f1"][:-1]) & (cols["f2"][1:] == cols["f2"][:-1])])
+            same = lambda c: cols[c][1:] == cols[c][:-1]  # noqa: B023, E731
+            again = np.concatenate([[False], same("h") & same("salt") & same("f1") & same("f2")])
             if again.any():
                 cols = {c: v[~again] for c, v in cols.items()}
-                size = len(cols["h"])
-                same_h = np.concatenate([[False], cols["h"][1:] == cols["h"][:-1]])
-            same_cls = same_h & np.concatenate([[False], cols["cls"][1:] == cols["cls"][:-1]])
+            size = len(cols["h"])
+            same_h = np.concatenate([[False], same("h") & same("salt")])
+            same_cls = same_h & np.concatenate([[False], same("cls")])
             start = np.maximum.accumulate(np.where(same_cls, 0, np.arange(size)))
             centre = {c: cols[c][start] for c in names}
             if first_m is not None:
                 for c in names:
                     centre[c][start == 0] = first_m[c]
             same_h[0] = first_h
-            in_bucket = same_h | np.concatenate([same_h[1:], [False]])
+            in_bucket = same_h | np.concatenate([same_h[1:], [False]]) | (cols["salt"] >= 0)
             last = size - 1
             held = ({c: v[last] for c, v in cols.items()}, bool(same_h[last]), {c: v[last] for c, v in centre.items()})
             yield _bucket_rows(cols, centre, in_bucket[:last], last)
         if held is not None:
             row, before, centre = held
-            one = lambda d: {c: np.array([d[c]]) for c in names}
-            yield _bucket_rows(one(row), one(centre), np.array([before]), 1)
+            one = lambda d: {c: np.array([v]) for c, v in d.items()}
+            yield _bucket_rows(one(row), one(centre), np.array([before or row["salt"] >= 0]), 1)
 
     def _bucket_rows(cols: dict, centre: dict, keep: np.ndarray, size: int) -> pa.RecordBatch:
         rows = np.flatnonzero(keep)
-        pair = rows[(cols["f1"][:size][rows] != centre["f1"][:size][rows]) | (cols["f2"][:size][rows] != centre["f2"][:size][rows])]
-        out = [pa.array(np.concatenate([np.zeros(len(rows), np.int32), np.ones(len(pair), np.int32)]))]
-        out += [pa.array(np.concatenate([cols[c][:size][rows], cols[c][:size][pair]])) for c in names]
-        empty = pa.nulls(len(rows), pa.int64())
-        out += [pa.concat_arrays([empty, pa.array(centre[c][:size][pair])]) for c in names[1:]]
+        other = (cols["f1"][:size] != centre["f1"][:size]) | (cols["f2"][:size] != centre["f2"][:size])
+        pair, first = rows[other[rows]], rows[~other[rows] & (cols["salt"][:size][rows] >= 0)]
+        taken = np.concatenate([rows, pair, first])
+        out = [pa.array(np.repeat(np.array([0, 1, 2], np.int32), [len(rows), len(pair), len(first)]))]
+        out += [pa.array(cols[c][:size][taken]) for c in names]
+        out += [pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(centre[c][:size][pair]), pa.nulls(len(first), pa.int64())]) for c in ("f1", "f2", "n", "place")]
         return pa.RecordBatch.from_arrays(out, names=["kind", *names, "g1", "g2", "m", "spot"])
 
-    return dealt.mapInArrow(run, "kind int, h long, f1 long, f2 long, n long, place long, g1 long, g2 long, m long, spot long")
+    return dealt.mapInArrow(run, "kind int, h long, f1 long, f2 long, n long, place long, cls long, g1 long, g2 long, m long, spot long")
+
+
+def _first_pairs(found: DataFrame) -> DataFrame:
+    """Nodes with the first of their bucket, and the first nodes of the shares of one n-gram with the first of them."""
+    columns = ["f1", "f2", "n", "place", "g1", "g2", "m", "spot"]
+    firsts = found.filter("kind = 2").select("h", "cls", "f1", "f2", "n", "place")
+    centre = stored(firsts.groupBy("h", "cls").agg(F.min(F.struct(*_FIRST, "n")).alias("c")), "centres")
+    of_shares = firsts.join(centre, ["h", "cls"]).filter((F.col("f1") != F.col("c.f1")) | (F.col("f2") != F.col("c.f2")))
+    of_shares = of_shares.select("f1", "f2", "n", "place", F.col("c.f1").alias("g1"), F.col("c.f2").alias("g2"), F.col("c.n").alias("m"), F.col("c.place").alias("spot"))
+    return found.filter("kind = 1").select(*columns).unionByName(of_shares)
 
 
 def _possible(num: int, den: int) -> Column:
@@ -321,8 +341,9 @@ class _Verifier:
         known = stored(known, "candidates")
         done = known.select("f1", "f2", "g1", "g2")
         self._done = done if self._done is None else self._done.unionByName(done)
-        # a text whose document id occurs twice may come twice
-        sets = stored(self._sets(known), "sets").dropDuplicates(["f1", "f2"])
+        sets = stored(self._sets(known), "sets")
+        if sets.groupBy("f1", "f2").count().filter("count > 1").limit(1).collect():  # a text whose document id occurs twice may come twice
+            sets = stored(sets.dropDuplicates(["f1", "f2"]), "sets")
         other = sets.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("grams").alias("grams_b"))
         both = known.join(sets, ["f1", "f2"]).join(other, ["g1", "g2"])
         common = F.size(F.array_intersect("grams", "grams_b"))
@@ -335,14 +356,14 @@ def _remaining(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataF
     named = nodes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     entries = buckets.drop("component").join(named, ["f1", "f2"])
-    mixed = entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
+    mixed = stored(entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h"), "open-ngrams")
     return stored(entries.join(mixed, "h", "left_semi"), "open-buckets")
 
 
 def _star(entries: DataFrame, round_: int, num: int, den: int) -> DataFrame:
     """Each entry with the first node of its bucket and size class, if that is in another component."""
     placed = entries.withColumn("cls", _length_class(round_, num, den))
-    centre = placed.groupBy("h", "cls").agg(F.min(F.struct(*_FIRST, "n", "component")).alias("c"))
+    centre = stored(placed.groupBy("h", "cls").agg(F.min(F.struct(*_FIRST, "n", "component")).alias("c")), "centres")
     pairs = placed.join(centre, ["h", "cls"]).filter(F.col("component") != F.col("c.component"))
     return pairs.select("f1", "f2", "n", "place", F.col("c.f1").alias("g1"), F.col("c.f2").alias("g2"), F.col("c.n").alias("m"), F.col("c.place").alias("spot"))
 
@@ -364,19 +385,19 @@ def _as_links(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
 
 
-def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, counters: int = COUNTERS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, for links where den * common >= num * union."""
+def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, counters: int = COUNTERS, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, for links where den * common >= num * union; ``text_key`` is the xxhash64 of its text."""
     signed = stored(signatures(docs, width, counters), "signatures")
     own = signed.filter("kind = 0")
     usable = own.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("ranges").alias("ranges"))
     nodes = stored(nodes, "nodes")
     usable_docs = docs.filter(F.col("doc_id").isNotNull())
-    found = stored(shared_buckets(prefixes(usable_docs, width, num, den, frequencies(signed, counters)), num, den), "buckets")
+    found = stored(shared_buckets(prefixes(usable_docs, width, num, den, frequencies(signed, counters), bucket), num, den), "buckets")
     buckets = found.filter("kind = 0").select("h", "f1", "f2", "n", "place")
 
     verifier = _Verifier(usable_docs, nodes, width, num, den)
-    links = verifier.links(found.filter("kind = 1").filter(_possible(num, den)))
+    links = verifier.links(_first_pairs(found).filter(_possible(num, den)))
     labels = components(links)
     buckets = _remaining(buckets, nodes, labels)
     more = verifier.links(_star(buckets, 1, num, den).filter(_possible(num, den)))
@@ -385,6 +406,6 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, coun
     labels = components(_as_links(labels).unionByName(rest))
 
     named = nodes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = own.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
+    out = own.select("doc_id", "text_key", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key")

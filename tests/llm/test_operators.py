@@ -224,8 +224,8 @@ def brute_classes(texts, width, num, den):
     return {k: (len(sets[k]), find(k)) for k in texts}
 
 
-@pytest.mark.parametrize(("width", "num"), [(4, 85), (5, 80), (2, 60)])
-def test_ngram_join(spark, width, num):
+@pytest.mark.parametrize(("width", "num", "bucket"), [(4, 85, 1024), (5, 80, 3), (2, 60, 1)])
+def test_ngram_join(spark, width, num, bucket):
     rng = np.random.default_rng(width)
     texts = []
     passage = prose(rng, 60)
@@ -237,10 +237,30 @@ def test_ngram_join(spark, width, num):
                 w[int(rng.integers(len(w)))] = str(rng.choice(WORDS))
             texts.append(" ".join(w))
     texts += [passage + " " + prose(rng, int(rng.integers(1, 40))) for _ in range(10)] + ["A b", "a B", "a c", "Same Words here", "same words HERE"] + odd_texts()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs(spark, texts), width, num, 100).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs(spark, texts), width, num, 100, bucket=bucket).collect()}
     assert got == brute_classes(dict(enumerate(texts)), width, num, 100)
 
 
+def test_one_ngram_in_very_many_documents(spark):
+    """10,000 different documents share a passage, and 2,000 of them are near copies: no task gets the n-gram, and no pair of the rest is looked at."""
+    rng = np.random.default_rng(31)
+    passage, original = prose(rng, 12), [f"{w}{k}" for k, w in enumerate(rng.choice(WORDS, 80))]
+    texts = [f"{passage} {' '.join(f'{w}{k}' for w in rng.choice(WORDS, 30))}" for k in range(8_000)]
+    for k in range(2_000):
+        own = list(original)
+        own[k % 80] = f"changed{k}"
+        texts.append(passage + " " + " ".join(own))
+    df = docs(spark, texts).repartition(8)
+    counts = ngram_join.frequencies(ngram_join.signatures(df, 4))
+    entries = ngram_join.prefixes(df, 4, 85, 100, counts)
+    sizes = entries.groupBy("h", "salt").count().agg(F.max("count")).first()[0]
+    assert sizes <= 1.5 * ngram_join.BUCKET
+    pairs = ngram_join._first_pairs(ngram_join.shared_buckets(entries, 85, 100)).count()
+    assert pairs <= 2 * entries.count()
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(df, 4, 85, 100).collect()}
+    assert got == {k: k if k < 8_000 else 8_000 for k in range(10_000)}
+
+
 def test_ngram_join_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in ngram_join.classes(df).collect())
