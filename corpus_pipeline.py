@@ -27,12 +27,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of five-word shingle sets linked at 0.8."""
+    """The document with the smallest id of each group of five-word shingle sets linked at 0.8; of several rows with that id, one."""
     bounded_batches(spark)
     classes = ngram_join.classes(docs, width=5, num=80, den=100)
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id_")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id_")).agg(F.min("text_key").alias("kept_text_"), F.count("*").alias("rows_"))
+    kept = stored(kept, "kept-documents")
+    same = (F.col("doc_id") == F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_text_"))
+    single = docs.join(kept.filter("rows_ = 1"), same, "left_semi")
+    several = docs.join(kept.filter("rows_ > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
