@@ -1,29 +1,35 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
 Each unit vector is rotated at random and kept as its sign code with one
-correction factor, the inner product of code and vector. The inner product of a
-query with a code, divided by the factor, is an unbiased estimate of the cosine;
-a bound on its error decides which pairs are recomputed in double precision. The
-default bound is the certain one (vector, code and query obey the spherical
-triangle inequality), so no link is lost; ``epsilon`` selects the tighter
-confidence bound of the estimator.
+correction factor, the inner product of code and vector; both are computed once
+and stored. The inner product of a query with a code, divided by the factor, is
+an unbiased estimate of the cosine; a bound on its error decides which pairs are
+recomputed in double precision. The default bound is the certain one (vector,
+code and query obey the spherical triangle inequality), so no link is lost;
+``epsilon`` takes the confidence bound of the estimator where that is tighter.
 
 Equal vectors are collapsed first. The rest of a label is cut into cells around
-a bounded sample of pivots and cells into blocks; blocks are compared in pairs,
-but only those whose cones come within the angle of the threshold. A pair of
-blocks reports link counts and a spanning forest, never its links.
+a bounded sample of pivots, and cells into blocks; blocks are compared with
+larger blocks of codes, but only those whose cones come within the angle of the
+threshold. A first pass over rotated vectors on one side and codes on the other
+names the rows with an undecided pair; only those send their vectors to a second
+pass, which computes the cosines. It reports link counts and a spanning forest,
+never its links.
 
 Defined cases: null labels, null, empty or zero vectors, vectors with null or
 non-finite components, and vectors without an id link with nothing; vectors of
 different lengths are never compared; repeated rows are copies that link with
-each other; an empty table gives an empty result.
+each other; rows with one id and different vectors are in one component; an
+empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,10 @@ from knitwork.llm.common import stored
 from knitwork.llm.components import components
 
 THRESHOLD = 0.93
-#: Vectors of a block, and pivots at most.
-BLOCK, MOST_PIVOTS = 2048, 1024
+#: Vectors of a block, blocks whose codes are compared with one block at a time, and pivots at most.
+BLOCK, CODE_BLOCKS, MOST_PIVOTS = 2048, 16, 1024
+#: Rows of a block compared at a time, and distance from the threshold within which a cosine is summed again without rounding.
+SLAB, DOUBT = 128, 1e-9
 ROTATION_SEED = 17
 
 _ROWS = "vec_id long, grp string, key binary, vector array<double>"
@@ -73,92 +81,134 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, _ROWS)
 
 
+@lru_cache(maxsize=4)
+def _rotation(dimension: int, seed: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(dimension, dimension)))[0]
+
+
 class Codes:
     """Sign codes of rotated unit vectors with their correction factors."""
 
     def __init__(self, vectors: np.ndarray, seed: int = ROTATION_SEED) -> None:
-        d = vectors.shape[1]
-        rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
-        self.rotated = vectors @ rotation
+        self.dimension = vectors.shape[1]
+        self.rotated = vectors @ _rotation(self.dimension, seed)
         self.bits = np.packbits(self.rotated >= 0, axis=1)
-        self.factor = np.abs(self.rotated).sum(1) / math.sqrt(d)
+        self.factor = np.abs(self.rotated).sum(1) / math.sqrt(self.dimension)
+
+    @classmethod
+    def stored(cls, bits: np.ndarray, factor: np.ndarray, dimension: int) -> Codes:
+        """Codes without their vectors."""
+        codes = cls.__new__(cls)
+        codes.bits, codes.factor, codes.dimension = bits, factor, dimension
+        return codes
 
     def signs(self) -> np.ndarray:
-        d = self.rotated.shape[1]
-        return (np.unpackbits(self.bits, axis=1, count=d).astype(np.float32) * 2 - 1) / math.sqrt(d)
+        return (np.unpackbits(self.bits, axis=1, count=self.dimension).astype(np.float32) * 2 - 1) / math.sqrt(self.dimension)
 
 
 def estimates(queries: np.ndarray, codes: Codes, epsilon: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unbiased cosine estimates of rotated queries with coded vectors, and upper bounds of the cosines."""
     a = np.clip(queries.astype(np.float32) @ codes.signs().T, -1, 1)
     f = codes.factor.astype(np.float32)[None]
+    # no vector is further from the query than the detour over its code
+    upper = np.where(a > f, 1, f * a + np.sqrt(np.maximum(0, (1 - f * f) * (1 - a * a))))
     estimate = a / f
-    if epsilon is None:  # no vector is further from the query than the detour over its code
-        upper = f * a + np.sqrt(np.maximum(0, (1 - f * f) * (1 - a * a)))
-        upper = np.where(a > f, 1, upper)
-    else:
-        upper = estimate + epsilon * np.sqrt(np.maximum(0, 1 - f * f)) / f / math.sqrt(max(1, queries.shape[1] - 1))
+    if epsilon is not None:
+        upper = np.minimum(upper, estimate + epsilon * np.sqrt(np.maximum(0, 1 - f * f)) / f / math.sqrt(max(1, queries.shape[1] - 1)))
     return estimate, upper
 
 
-def block_links(left: np.ndarray, right: np.ndarray, threshold: float, epsilon: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row of left, row of right) of the pairs at or above the threshold, slab by slab."""
-    codes = Codes(right)
-    turned = Codes(left).rotated
-    for at in range(0, len(left), 256):
-        _, upper = estimates(turned[at : at + 256], codes, epsilon)
-        i, j = np.nonzero(upper >= threshold - 1e-5)
-        if len(i) > 0.05 * upper.size:
-            exact = (left[at : at + 256] @ right.T)[i, j]
-        else:
-            exact = np.concatenate([np.einsum("ij,ij->i", left[at + i[k : k + 65536]], right[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
-        keep = exact >= threshold
-        yield at + i[keep], j[keep]
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For nodes with links: each and the smallest id it reaches within these links."""
-    label = ids.copy()
+def undecided(queries: np.ndarray, codes: Codes, threshold: float, epsilon: float | None = None, allowed: Callable[[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries and which coded vectors are in a pair whose bound reaches the threshold; ``allowed`` masks the pairs of a slab."""
+    left, right = np.zeros(len(queries), bool), np.zeros(len(codes.bits), bool)
+    for at in range(0, len(queries), SLAB):
+        _, upper = estimates(queries[at : at + SLAB], codes, epsilon)
+        open_ = upper >= threshold - 1e-5
+        if allowed is not None:
+            open_ &= allowed(at, at + SLAB)
+        left[at : at + SLAB] = open_.any(1)
+        right |= open_.any(0)
+    return left, right
+
+
+def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of left, row of right) of the pairs with a cosine at or above the threshold, slab by slab."""
+    for at in range(0, len(left), SLAB):
+        cosine = left[at : at + SLAB] @ right.T
+        i, j = np.nonzero(cosine >= threshold - DOUBT)
+        close = np.flatnonzero(cosine[i, j] < threshold + DOUBT)
+        sure = np.ones(len(i), bool)
+        sure[close] = [math.fsum(left[at + x] * right[y]) >= threshold for x, y in zip(i[close], j[close], strict=True)]
+        yield at + i[sure], j[sure]
+
+
+def _spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after every linked pair has taken the smaller one, until nothing changes."""
     while True:
         least = np.minimum(label[i], label[j])
         after = label.copy()
         np.minimum.at(after, i, least)
         np.minimum.at(after, j, least)
         if (after == label).all():
-            break
+            return after
         label = after
-    moved = np.flatnonzero(label != ids)
-    return ids[moved], label[moved]
 
 
-def _compare(threshold: float, epsilon: float | None):
+#: A block and the codes that it is compared with.
+_PAIR = ["grp", "cell", "part", "r_cell", "r_sup"]
+
+
+def _first_pass(threshold: float, epsilon: float | None) -> Callable[[pa.Table], pa.Table]:
+    """The rows of a block (side 0) and of its codes (side 1) that are in an undecided pair."""
+
     def compare(table: pa.Table) -> pa.Table:
-        sides = []
+        table = table.sort_by("key")
         side = table.column("side").to_numpy()
-        ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        vectors = table.column("vector").combine_chunks()
-        vectors = vectors.flatten().to_numpy().reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        for s in (0, 1):
-            sides.append(order[side[order] == s])
-        own = not len(sides[1])
-        a, b = sides[0], sides[0] if own else sides[1]
-        links = np.zeros(len(ids), np.int64)
-        found_i, found_j = [], []
+        a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        rows = lambda t, name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, -1)
+        keep = np.zeros(0, bool), np.zeros(0, bool)
+        if a.num_rows and b.num_rows:
+            queries = rows(a, "rotated", "<f4")
+            codes = Codes.stored(rows(b, "bits", np.uint8), b.column("factor").to_numpy(), queries.shape[1])
+            allowed = None
+            if table.column("cell")[0] == table.column("r_cell")[0] and table.column("part")[0].as_py() // CODE_BLOCKS == table.column("r_sup")[0].as_py():
+                # the rows of the block are among the codes, and keys are sorted: each meets those after its own
+                known = {k: n for n, k in enumerate(b.column("key").to_pylist())}
+                place, n = np.array([known[k] for k in a.column("key").to_pylist()]), len(known)
+                allowed = lambda x, y: place[x:y, None] < np.arange(n)[None]
+            keep = undecided(queries, codes, threshold, epsilon, allowed)
+        out = pa.concat_tables([t.filter(pa.array(k)) if len(k) else t.slice(0, 0) for t, k in zip((a, b), keep, strict=True)])
+        return out.select([*_PAIR, "side", "key"])
+
+    return compare
+
+
+def _second_pass(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Link counts by key, and a spanning forest of (a, b), of the pairs between two sets of rows."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        side, copies, ids = (table.column(c).to_numpy() for c in ("side", "copies", "rep"))
+        keys = np.array(table.column("key").to_pylist(), object)
+        vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        within = table.column("cell")[0] == table.column("r_cell")[0] and table.column("part")[0].as_py() // CODE_BLOCKS == table.column("r_sup")[0].as_py()
+        links, label = np.zeros(len(ids), np.int64), ids.copy()
         if len(a) and len(b):
-            for i, j in block_links(vectors[a], vectors[b], threshold, epsilon):
-                if own:
-                    i, j = i[i < j], j[i < j]
-                np.add.at(links, a[i], copies[b[j]])
-                np.add.at(links, b[j], copies[a[i]])
-                found_i.append(a[i])
-                found_j.append(b[j])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
-        from_id, to_id = _forest(len(ids), i, j, ids)
-        linked = np.flatnonzero(links)
-        return pa.table(
-            {"a": pa.array(np.concatenate([ids[linked], from_id])), "b": pa.array(np.concatenate([ids[linked], to_id])), "links": pa.array(np.concatenate([links[linked], np.zeros(len(from_id), np.int64)]))}
-        )
+            for i, j in linked(vectors[a], vectors[b], threshold):
+                i, j = a[i], b[j]
+                if within:  # both rows may be on both sides
+                    once = keys[i] < keys[j]
+                    i, j = i[once], j[once]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                label = _spread(label, i, j)
+        at, moved = np.flatnonzero(links), np.flatnonzero(label != ids)
+        empty = lambda n: [None] * n
+        return pa.table({
+            "key": pa.array([*keys[at], *empty(len(moved))], pa.binary()), "links": pa.array([*links[at], *empty(len(moved))], pa.int64()),
+            "a": pa.array([*empty(len(at)), *ids[moved]], pa.int64()), "b": pa.array([*empty(len(at)), *label[moved]], pa.int64()),
+        })
 
     return compare
 
@@ -172,27 +222,52 @@ def _pivots(reps: DataFrame, number: int) -> np.ndarray | None:
     return np.array([r["vector"] for r in rows if len(r["vector"]) == width])
 
 
-def _with_cells(reps: DataFrame, pivots: np.ndarray | None) -> DataFrame:
-    """Nearest pivot and the angle to it."""
-    if pivots is None:
-        return reps.withColumns({"cell": F.lit(0), "angle": F.lit(math.pi)})
+_CODED = "key binary, grp string, rep long, cell int, angle double, rotated binary, bits binary, factor float"
+
+
+def coded(reps: DataFrame, pivots: np.ndarray | None, seed: int = ROTATION_SEED) -> DataFrame:
+    """Rotated vector, code and correction factor of every distinct vector, its nearest pivot and the angle to that."""
     sent = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = sent.value
         for batch in batches:
-            cells, angles = [], []
-            for v in batch.column("vector").to_pylist():
-                if len(v) != centres.shape[1]:
-                    cells.append(0)
-                    angles.append(math.pi)
-                    continue
-                cosine = centres @ np.array(v)
-                cells.append(int(cosine.argmax()))
-                angles.append(float(np.arccos(np.clip(cosine.max(), -1, 1))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(angles, pa.float64())], names=[*batch.schema.names, "cell", "angle"])
+            vectors = batch.column("vector").to_pylist()
+            sizes = np.array([len(v) for v in vectors])
+            out = [None] * len(vectors)
+            for d in np.unique(sizes):
+                rows = np.flatnonzero(sizes == d)
+                own = np.array([vectors[k] for k in rows])
+                codes = Codes(own, seed)
+                cells, angles = np.zeros(len(rows), np.int64), np.full(len(rows), math.pi)
+                if centres is not None and centres.shape[1] == d:
+                    cosine = own @ centres.T
+                    cells, angles = cosine.argmax(1), np.arccos(np.clip(cosine.max(1), -1, 1))
+                for k, *row in zip(rows, cells, angles, codes.rotated.astype("<f4"), codes.bits, codes.factor, strict=True):
+                    out[k] = (int(row[0]), float(row[1]), row[2].tobytes(), row[3].tobytes(), float(row[4]))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.float32()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("key", "grp", "rep")), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", "grp", "rep", "cell", "angle", "rotated", "bits", "factor"]
+            )
+
+    return reps.select("key", "grp", "rep", "vector").mapInArrow(run, _CODED)
+
+
+def _near(pairs: DataFrame, pivots: np.ndarray | None, threshold: float) -> DataFrame:
+    """Pairs (cell, radius, r_cell, r_radius) whose cones come within the angle of the threshold."""
+    if pivots is None:
+        return pairs
+    sent = pairs.sparkSession.sparkContext.broadcast(np.arccos(np.clip(pivots @ pivots.T, -1, 1)).astype(np.float32))
+    most = math.acos(threshold) + 1e-5
 
-    return reps.mapInArrow(run, "key binary, grp string, rep long, copies long, vector array<double>, cell int, angle double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = sent.value
+        for batch in batches:
+            cell, radius, r_cell, r_radius = (batch.column(c).to_numpy() for c in ("cell", "radius", "r_cell", "r_radius"))
+            yield batch.filter(pa.array(apart[cell, r_cell] - radius - r_radius <= most))
+
+    return pairs.mapInArrow(run, pairs.schema)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, epsilon: float | None = None) -> DataFrame:
@@ -203,35 +278,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     reps = stored(reps, "distinct-vectors")
     most = reps.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] or 0
     pivots = _pivots(reps, min(MOST_PIVOTS, math.ceil(most / block)))
-    reps = _with_cells(reps, pivots)
-    parts = reps.groupBy("grp", "cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
-    placed = stored(reps.join(parts, ["grp", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(5)), "parts")).drop("parts", "key"), "cells")
-
+    codes = stored(coded(reps, pivots), "codes")
+    parts = stored(codes.groupBy("grp", "cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"), F.max("angle").alias("radius")), "cells")
+    placed = codes.join(parts.drop("radius"), ["grp", "cell"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), "parts"))
+    placed = stored(placed.withColumn("sup", F.floor(F.col("part") / CODE_BLOCKS)).drop("parts"), "placed-codes")
+
+    # cells with cells, then blocks of near cells with blocks of codes
+    cells = parts.select("grp", "cell", "radius")
+    meeting = _near(cells.join(cells.select("grp", F.col("cell").alias("r_cell"), F.col("radius").alias("r_radius")), "grp").filter("cell <= r_cell"), pivots, threshold)
+    meeting = stored(meeting.select("grp", "cell", "r_cell"), "near-cells")
     blocks = placed.groupBy("grp", "cell", "part").agg(F.max("angle").alias("radius"))
-    right = blocks.select("grp", *(F.col(c).alias(f"r_{c}") for c in ("cell", "part", "radius")))
-    ordered = (F.col("cell") < F.col("r_cell")) | ((F.col("cell") == F.col("r_cell")) & (F.col("part") <= F.col("r_part")))
-    near = F.lit(True)
-    if pivots is not None:
-        angles = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-        apart = blocks.sparkSession.createDataFrame([(i, j, float(angles[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "cell int, r_cell int, apart double")
-        pairs = blocks.join(right, "grp").filter(ordered).join(apart, ["cell", "r_cell"])
-        near = F.col("apart") - F.col("radius") - F.col("r_radius") <= math.acos(threshold) + 1e-6
-    else:
-        pairs = blocks.join(right, "grp").filter(ordered)
-    pairs = pairs.filter(near).select("grp", "cell", "part", "r_cell", "r_part")
-    same = (F.col("cell") == F.col("r_cell")) & (F.col("part") == F.col("r_part"))
-    ids = [F.col("cell").alias("c1"), F.col("part").alias("p1"), F.col("r_cell").alias("c2"), F.col("r_part").alias("p2")]
-    one = pairs.select("grp", *ids, "cell", "part", F.lit(0).alias("side"))
-    two = pairs.filter(~same).select("grp", *ids, F.col("r_cell").alias("cell"), F.col("r_part").alias("part"), F.lit(1).alias("side"))
-    dealt = placed.drop("angle").join(one.unionByName(two), ["grp", "cell", "part"]).drop("cell", "part")
-    found = dealt.groupBy("grp", "c1", "p1", "c2", "p2").applyInArrow(_compare(threshold, epsilon), "a long, b long, links long")
+    sups = placed.groupBy("grp", F.col("cell").alias("r_cell"), F.col("sup").alias("r_sup")).agg(F.max("angle").alias("r_radius"))
+    pairs = meeting.join(blocks, ["grp", "cell"]).join(sups, ["grp", "r_cell"])
+    pairs = pairs.filter((F.col("cell") < F.col("r_cell")) | (F.floor(F.col("part") / CODE_BLOCKS) <= F.col("r_sup")))
+    pairs = stored(_near(pairs, pivots, threshold).select(*_PAIR), "block-pairs")
+
+    queries = placed.select("grp", "cell", "part", "key", "rotated").join(pairs, ["grp", "cell", "part"])
+    queries = queries.select(*_PAIR, F.lit(0).alias("side"), "key", "rotated", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("float").alias("factor"))
+    others = placed.select("grp", F.col("cell").alias("r_cell"), F.col("sup").alias("r_sup"), "key", "bits", "factor").join(pairs, ["grp", "r_cell", "r_sup"])
+    others = others.select(*_PAIR, F.lit(1).alias("side"), "key", F.lit(None).cast("binary").alias("rotated"), "bits", "factor")
+    kinds = "grp string, cell int, part long, r_cell int, r_sup long, side int, key binary"
+    named = stored(queries.unionByName(others).groupBy(*_PAIR).applyInArrow(_first_pass(threshold, epsilon), kinds), "undecided")
+    found = named.join(reps.select("key", "rep", "copies", "vector"), "key").groupBy(*_PAIR).applyInArrow(_second_pass(threshold), "key binary, links long, a long, b long")
     found = stored(found, "vector-links")
 
-    counts = found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = components(found.filter("a <> b").select("a", "b"))
-    known = placed.select("rep", "copies").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    known = stored(known.select("rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "vector-classes")
-    keyed = stored(usable.groupBy("key").agg(F.min("vec_id").alias("rep")), "vector-keys").join(known, "rep").select(F.col("key").alias("k"), "copies", "links", "component")
-    out = rows.select("vec_id", "key").join(keyed, F.col("key") == F.col("k"), "left")
+    counts = found.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("links").alias("links"))
+    labels = components(found.filter(F.col("key").isNull()).select("a", "b"))
+    known = reps.select("key", "rep", "copies").join(counts, "key", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = rows.select("vec_id", "key").join(known, F.col("key") == F.col("k"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -396,7 +396,7 @@ def brute_vectors(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 24])
+@pytest.mark.parametrize("block", [2048, 24, 3])
 def test_embeddings(spark, block):
     rng = np.random.default_rng(6)
     rows = []
@@ -411,6 +411,38 @@ def test_embeddings(spark, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_id_and_without(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [1.0, 0.05]
+    df = spark.createDataFrame([(None, a, 1, 0), (5, a, 1, 0), (5, b, 1, 0), (7, c, 1, 0), (8, c, 1, 0), (8, c, 1, 0)], "vec_id long, embedding array<double>, label int, key int")
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(-1, 0, -1), (5, 0, 5), (5, 3, 5), (7, 3, 5), (8, 3, 5), (8, 3, 5)]
+
+
+def test_confidence_bounds_and_stored_codes(spark):
+    """Recall of the confidence bound against brute force, and codes and factors that are stored once."""
+    rng = np.random.default_rng(41)
+    base = rng.normal(size=(60, 64))
+    rows = [(k, (base[k % 60] + 0.2 * rng.normal(size=64)).tolist(), 1) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.93).sum(1) - 1).tolist()
+    for epsilon, least in ((None, 1.0), (4.0, 0.999), (1.9, 0.9)):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, block=128, epsilon=epsilon).collect()}
+        assert all(got[k] <= want[k] for k in got)
+        assert sum(got.values()) >= least * sum(want), epsilon
+    one = embedding_dedup.coded(embedding_dedup.prepared(df).withColumnRenamed("vec_id", "rep"), None).filter("rep = 7").first()
+    codes = embedding_dedup.Codes(unit[7:8])
+    assert one["bits"] == codes.bits[0].tobytes() and abs(one["factor"] - codes.factor[0]) < 1e-6
+
+
+def test_cosines_near_the_threshold_are_summed_exactly():
+    left = np.array([[0.93, np.sqrt(1 - 0.93**2)]])
+    right = np.array([[1.0, 0.0], [1 - 1e-12, 0.0], [0.5, 0.5]])
+    (i, j), = embedding_dedup.linked(left, right, 0.93)
+    assert (i.tolist(), j.tolist()) == ([0], [0])
+
+
 def test_code_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(8)
     v = rng.normal(size=(60, 64))
