@@ -119,12 +119,28 @@ WITH fold AS (
 ), found AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits JOIN win USING (size, words)) GROUP BY doc_id
+), terms AS (SELECT size, words, k, string_split(words, ' ')[k] AS term FROM distinct_win, unnest(range(1, size + 1)) AS t(k)
+), places AS (
+  SELECT doc_id, p, term FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS term FROM fold) WHERE term IN (SELECT term FROM terms)
+), freq AS (SELECT term, count(*) AS c FROM places GROUP BY term
+), rarest AS (
+  SELECT * FROM (SELECT size, words, k, term, row_number() OVER (PARTITION BY size, words ORDER BY coalesce(c, 0), k) AS r FROM terms LEFT JOIN freq USING (term)) WHERE r = 1
+), starts AS (SELECT size, words, doc_id, p - k AS start FROM rarest JOIN places USING (term)
+), near AS (
+  SELECT doc_id, count(*) AS n_near FROM (
+    SELECT s.doc_id, s.size, s.words, s.start FROM starts s JOIN terms t USING (size, words) JOIN places o ON o.doc_id = s.doc_id AND o.term = t.term
+    WHERE o.p BETWEEN s.start + t.k - {slop} * CAST(t.k <> (SELECT k FROM rarest x WHERE x.size = t.size AND x.words = t.words) AS INT)
+      AND s.start + t.k + {slop} * CAST(t.k <> (SELECT k FROM rarest x WHERE x.size = t.size AND x.words = t.words) AS INT)
+    GROUP BY ALL HAVING count(DISTINCT t.k) = s.size
+  ) GROUP BY doc_id
 )
 SELECT f.doc_id, CAST(coalesce(len(f.w), 0) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(d.n_items, 0) AS BIGINT) AS n_items, coalesce(d.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM fold f LEFT JOIN covered c USING (doc_id) LEFT JOIN found d USING (doc_id)
+  CAST(coalesce(d.n_items, 0) AS BIGINT) AS n_items, coalesce(d.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, CAST(coalesce(n.n_near, 0) AS BIGINT) AS n_near
+FROM fold f LEFT JOIN covered c USING (doc_id) LEFT JOIN found d USING (doc_id) LEFT JOIN near n USING (doc_id)
 """
 
+OP10_SQL = OP10_SQL.replace("{slop}", str(decontamination.SLOP))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_chat, op2_toxicity, op3_language_id, op4_token_counts, op5_ngram_join, op6_secrets, op7_embedding_dedup, op8_html, op9_packing, op10_decontamination]

@@ -688,6 +688,31 @@ def test_search_in_chunks_and_against_scan():
         assert len(which) == len(want) and set(zip(which.tolist(), start.tolist(), strict=True)) == want
 
 
+def test_proximity_against_sql(spark):
+    import duckdb
+
+    from knitwork.llm import catalogue
+
+    rng = np.random.default_rng(18)
+    items = [(k, " ".join(rng.choice(WORDS, int(rng.integers(1, 14))))) for k in range(15)]
+    texts = []
+    for k in range(60):
+        own = items[k % 15][1].split()
+        for _ in range(int(rng.integers(0, 4))):
+            own.insert(int(rng.integers(len(own) + 1)), "x")
+        if k % 3 == 0:
+            own = list(rng.permutation(own))
+        texts.append(" ".join([*rng.choice(WORDS, 4), *own, *rng.choice(WORDS, 4)]))
+    got = decontamination.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), slop=decontamination.SLOP)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = con.sql(catalogue.OP10_SQL)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert got.filter("n_near > 0 AND NOT contaminated").count() > 0
+
+
 def test_documents_without_id_or_repeated(spark):
     item = "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1"
     df = spark.createDataFrame([(None, item, 1), (None, "x", 1), (4, item, 1), (4, item, 1), (4, None, 1)], "doc_id long, text string, items int")
@@ -711,7 +736,7 @@ def test_items_without_id_against_sql(spark, block_bytes):
     from knitwork.llm import catalogue
 
     items, texts = [(None, "alpha beta gamma"), (None, "delta eta"), (5, "beta gamma"), (6, "zeta")], ["x alpha beta gamma delta eta", "delta eta", "zeta", "none"]
-    got = decontamination.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = decontamination.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), slop=decontamination.SLOP, block_bytes=block_bytes)
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
