@@ -55,6 +55,11 @@ def test_chat(spark):
         2: (2, 2, "<|user|>\na\n<|assistant|>\nb"), 4: (1, 1, "<|user|>\n"), 5: (1, 1, "<|user|>\n"), 6: (2, 1, "<|user|>\nz\n<|user|>\nz"), None: (1, 1, "<||>\nn"),
     }
     assert chat.render(df.limit(0)).count() == 0
+    long = [(9, None, None, "y" * 200_000), (9, 0, "user", "after"), (8, None, None, "y" * 200_000), (7, 3, "a", "p"), (7, 3, "a", "b")]
+    got = {r["conv_id"]: (r["n_turns"], len(r["rendered"])) for r in chat.render(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {9: (2, 200_000 + len("<||>\n\n<|user|>\nafter")), 7: (2, len("<|a|>\nb\n<|a|>\np"))}
+    named = chat.render(spark.createDataFrame([("x", 0, "u", "a"), (None, 0, "u", "b")], "conv_id string, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"] or "", r["rendered"]) for r in named) == [("", "<|u|>\nb"), ("x", "<|u|>\na")]
     plan = chat.render(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
