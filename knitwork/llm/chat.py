@@ -32,7 +32,7 @@ def _null_mark(name: str) -> Column:
     return F.col(name).isNull()
 
 
-#: A conversation, also one without an id: all steps deal rows by these two columns, so texts are exchanged once.
+#: A conversation, also one without an id: all steps deal rows by these two columns, so that a text moves to its conversation and stays there.
 _WHOLE = ["nameless", "name"]
 
 
