@@ -53,6 +53,7 @@ def bounded_batches(spark: SparkSession) -> dict[str, str]:
 def trim() -> None:
     """Give freed memory of this worker process back, since workers stay alive between stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -296,19 +296,24 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, most: int = TR
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent.value)
         for batch in pieces_of(batches, PIECE_BYTES):
-            for doc, toxic, text in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), texts(batch), strict=True):
-                whole = restorer.words(text)
-                found = [sorted(features(words)) for words in (whole, *parts(whole, doc))]
-                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
+            found = [sorted(restorer.words(t)) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
         del restorer
         trim()
 
-    rows = stored(_sample(docs, labels, most).mapInArrow(extract, "toxic int, found array<string>"), "toxic-sample")
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic, words in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                own = list(features(set(words)))
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(own), pa.int32()), pa.array(own, pa.string())], names=["toxic", "feature"])
+
+    rows = stored(_sample(docs, labels, most).mapInArrow(extract, "doc_id long, toxic int, words array<string>"), "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n1 or not n0:
         return Model({}, 30.0 if n1 else -30.0)
-    counts = rows.select("toxic", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
+    # features are chosen by whole documents, their weights fitted on parts as well
+    counts = rows.select("toxic", "words").mapInArrow(flat, "toxic int, feature string").groupBy("feature").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
     expected = F.col("n") * n1 / (n0 + n1)
     gain = F.col("pos") * F.log((F.col("pos") + 0.01) / expected) - (F.col("pos") - expected)
     best = counts.filter((F.col("n") >= LEAST_DOCS) & (F.col("pos") > 2 * expected)).orderBy(gain.desc(), "feature").limit(FEATURES)
@@ -320,8 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, most: int = TR
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = wanted.value
         for batch in batches:
-            own = [sorted({number[f] for f in row if f in number}) for row in batch.column("found").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
+            for doc, toxic, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "words")), strict=True):
+                own = [sorted(number[f] for f in features(x) if f in number) for x in (set(words), *parts(set(words), doc))]
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(own), pa.int32()), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
 
     kinds = rows.mapInArrow(select, "toxic int, own array<int>").groupBy("own").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
     x = np.zeros((len(kinds), len(names)))
