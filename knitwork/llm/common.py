@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knitwork.sources.shared import delete, shared_root
+
 _WRITTEN: list[str] = []
 #: Rows and bytes that go to a Python worker at a time, but for a single longer row: texts can be long.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 16_000_000
@@ -28,13 +29,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="knitwork-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    """The shared folder named by spark.checkpoint.dir; on a cluster that does not name one, this raises."""
+    return shared_root(spark)
 
 
 def _number(value: str) -> int:
@@ -74,11 +70,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables written so far; call it once their results have been consumed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _WRITTEN.pop())
 
 
 @atexit.register

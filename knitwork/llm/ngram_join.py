@@ -325,15 +325,15 @@ class _Verifier:
         return wanted.select("text").mapInArrow(run, "f1 long, f2 long, grams array<long>")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Links (rep_a, rep_b) among candidate pairs (f1, f2, g1, g2)."""
+        """Links (a, b) between nodes among candidate pairs (f1, f2, g1, g2)."""
         num, den = self._num, self._den
         ends = F.struct("f1", "f2"), F.struct(F.col("g1").alias("f1"), F.col("g2").alias("f2"))
         a, b = F.least(*ends), F.greatest(*ends)
         once = pairs.select(a["f1"].alias("f1"), a["f2"].alias("f2"), b["f1"].alias("g1"), b["f2"].alias("g2")).distinct()
         if self._done is not None:
             once = once.join(self._done, ["f1", "f2", "g1", "g2"], "left_anti")
-        left = self._nodes.select("f1", "f2", F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"), F.col("rep").alias("rep_a"))
-        right = self._nodes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"), F.col("rep").alias("rep_b"))
+        left = self._nodes.select("f1", "f2", F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"), F.col("rep").alias("rep_a"), F.col("node").alias("a"))
+        right = self._nodes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"), F.col("rep").alias("rep_b"), F.col("node").alias("b"))
         apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         needed = overlap_needed(F.col("n_a"), F.col("n_b"), num, den)
         suffix = apart <= F.col("n_a") + F.col("n_b") - 2 * needed
@@ -348,13 +348,13 @@ class _Verifier:
         both = known.join(sets, ["f1", "f2"]).join(other, ["g1", "g2"])
         common = F.size(F.array_intersect("grams", "grams_b"))
         similar = common * F.lit(den) >= (F.col("n_a") + F.col("n_b") - common) * F.lit(num)
-        return stored(both.filter(similar).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "verified")
+        return stored(both.filter(similar).select("a", "b"), "verified")
 
 
 def _remaining(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of buckets that still hold nodes of different components, with the component."""
-    named = nodes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    named = nodes.select("f1", "f2", "node").join(labels, "node", "left")
+    named = named.select("f1", "f2", F.coalesce("component", "node").alias("component"))
     entries = buckets.drop("component").join(named, ["f1", "f2"])
     mixed = stored(entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h"), "open-ngrams")
     return stored(entries.join(mixed, "h", "left_semi"), "open-buckets")
@@ -392,6 +392,10 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, coun
     usable = own.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("ranges").alias("ranges"))
     nodes = stored(nodes, "nodes")
+    # a node goes by its smallest document id, unless that id has other texts too
+    doubled = stored(nodes.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("twice")), "doubled")
+    surrogate = -1 - F.pmod("f1", F.lit(1 << 62))
+    nodes = nodes.join(doubled, "rep", "left").withColumn("node", F.when(F.col("twice"), surrogate).otherwise(F.col("rep"))).drop("twice")
     usable_docs = docs.filter(F.col("doc_id").isNotNull())
     found = stored(shared_buckets(prefixes(usable_docs, width, num, den, frequencies(signed, counters), bucket), num, den), "buckets")
     buckets = found.filter("kind = 0").select("h", "f1", "f2", "n", "place")
@@ -405,7 +409,11 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, coun
     rest = verifier.links(_all_pairs(_remaining(buckets, nodes, labels)).filter(_possible(num, den)))
     labels = components(_as_links(labels).unionByName(rest))
 
-    named = nodes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    named = nodes.select("f1", "f2", "rep", "node").join(labels, "node", "left").select("f1", "f2", "rep", F.coalesce("component", "node").alias("component"))
+    if doubled.take(1):
+        smallest = stored(named.groupBy("component").agg(F.min("rep").alias("smallest")), "smallest-ids")
+        named = named.join(smallest, "component").select("f1", "f2", F.col("smallest").alias("component"))
+    named = named.select("f1", "f2", "component")
     out = own.select("doc_id", "text_key", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key")

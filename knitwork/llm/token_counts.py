@@ -11,7 +11,8 @@ Prefix counts need not be monotone: a longer prefix can merge into fewer tokens.
 
 Defined cases: null counts as empty (0 tokens); the special string inside a text
 is one token; very long words are handled in linear time; repeated rows and null
-ids give one row per row; other columns are ignored.
+ids give one row per row; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

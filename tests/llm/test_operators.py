@@ -206,6 +206,13 @@ def test_counts(spark):
             assert got[k]["two"] == len(library.encode(t[:2]).ids)
 
 
+def test_count_edges(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (4, "a b", 1), (4, "a b", 1), (5, None, 1)], "doc_id long, text string, n_tokens int")
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["n_bytes"]) for r in token_counts.prefix_counts(df).collect())
+    assert got == [(-1, 2, 3), (4, 2, 3), (4, 2, 3), (5, 0, 0)]
+    assert token_counts.prefix_counts(df.limit(0)).count() == 0
+
+
 # 5 n-gram join
 
 
@@ -623,6 +630,13 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_packing_edges(spark):
+    df = spark.createDataFrame([(None, "a b", 1)] + [(4, "a b", 1)] * 3 + [(5, None, 1)], "doc_id long, text string, start int")
+    rows = packing.pack_documents(df).collect()
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in rows) == [(-1, 3), (4, 3), (4, 3), (4, 3), (5, 1)]
+    assert sorted(r["offset"] for r in rows) == [0, 3, 6, 9, 12] and len({r["sequence_id"] for r in rows}) == 1
+
+
 def test_word_ids_equal_the_library():
     library, ours = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     rng = np.random.default_rng(17)
@@ -791,3 +805,19 @@ def test_pipeline(spark, tmp_path):
     assert "[redacted]" in changed["text"] and changed["n_chars"] == len(changed["text"])
     assert {r["doc_id"] for r in now.select("doc_id").collect()} == set(left)
     assert corpus_pipeline.run(spark, root).count() == now.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(WORDS)
+    rows = [(3, words), (5, words + " end"), (5, "quite " + " ".join(reversed(WORDS))), (7, words), (9, "x"), (9, "x")]
+    for name, own in (("some", rows), ("none", [])):
+        root = f"file://{tmp_path}/{name}"
+        spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in own], kinds).write.parquet(f"{root}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{root}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    # of two texts with one id, the copy goes and the other stays; of repeated rows, one
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.read.parquet(f"file://{tmp_path}/some/documents.parquet"), f"file://{tmp_path}/some")
+    assert sorted((r["doc_id"], r["text"][:5]) for r in kept.collect()) == [(3, words[:5]), (5, "quite"), (9, "x")]
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
