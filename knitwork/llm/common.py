@@ -18,7 +18,7 @@ from knitwork.sources.shared import delete, shared_root
 
 _WRITTEN: list[str] = []
 #: Rows and bytes that go to a Python worker at a time, but for a single longer row: texts can be long.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 16_000_000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 4_000_000
 _LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_PER_BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_PER_BATCH}
 
 
