@@ -70,7 +70,7 @@ class _WordHashes(dict):
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> _WordHashes:
-    """One per worker process, shared by its tasks."""
+    """One per worker process; given back at the end of a task."""
     return _WordHashes()
 
 
@@ -137,6 +137,7 @@ def signatures(docs: DataFrame, width: int, counters: int = COUNTERS) -> DataFra
             cols = list(zip(*rows, strict=True)) or [()] * 7
             cols += [[None] * len(rows)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        _word_hashes.cache_clear()
         trim()
         if total.any():
             task = TaskContext.get().partitionId()
@@ -213,6 +214,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray
             salt = np.where(shares > 1, f1 % np.maximum(shares, 1), -1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, f1, f2, n, place, salt)], names=["h", "f1", "f2", "n", "place", "salt"])
         sent_before.clear()
+        _word_hashes.cache_clear()
         trim()
 
     return docs.select("text").mapInArrow(run, "h long, f1 long, f2 long, n long, place long, salt long")

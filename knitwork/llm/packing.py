@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import stored, texts
+from knitwork.llm.common import stored, texts, trim
 
 CAPACITY = 4096
 END_ID = 2
@@ -109,8 +109,8 @@ def _encoder(path: str, most: int) -> WordIds:
     return WordIds(path, most)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Token pieces of at most ``capacity`` ids: one row per piece, with the checksum of its ids."""
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, keep: bool = True) -> DataFrame:
+    """Token pieces of at most ``capacity`` ids: one row per piece, with the checksum of its ids. Without ``keep`` a worker forgets its words after each task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -128,6 +128,10 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                 out += [(doc, at, min(capacity, total - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), total, salt) for at in range(0, total, capacity)]
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        if not keep:
+            del encoder
+            _encoder.cache_clear()
+            trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 
@@ -183,6 +187,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     return cut.withColumn("grp", group).groupBy("grp").applyInArrow(fit, _PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Tokenise once, keep only the small piece rows, and pack those. ``cache_words`` trades a worker's memory for time."""
-    return pack(stored(pieces(docs, tokenizer_path, capacity, cache_words), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, keep: bool = True) -> DataFrame:
+    """Tokenise once, keep only the small piece rows, and pack those. ``cache_words`` and ``keep`` trade a worker's memory for time."""
+    return pack(stored(pieces(docs, tokenizer_path, capacity, cache_words, keep), "pieces"), capacity)
