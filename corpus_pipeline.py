@@ -57,8 +57,8 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 4096 tokens, a row per piece of a document."""
     bounded_batches(spark)
-    # workers still hold what earlier stages keep, so fewer words here
-    return packing.pack_documents(docs, cache_words=300_000)
+    # workers still hold what earlier stages keep, and serve later runs, so fewer words here, and only within a task
+    return packing.pack_documents(docs, cache_words=300_000, keep=False)
 
 
 STAGES = [
