@@ -52,8 +52,8 @@ FAN_IN, SLICES = 32, 16
 CACHE_WORDS = 100_000
 #: UTF-8 bytes of documents handled at a time, but for a single longer one.
 PIECE_BYTES = 4_000_000
-#: Documents with an n-gram that go to one task, about.
-BUCKET = 1024
+#: Documents with an n-gram that go to one task, about, and how far above the mean a counter has to be for its n-grams to be split.
+BUCKET, HOT_FACTOR = 1024, 8
 #: Ranges of the hash (by its first byte) that the suffix filter counts by.
 RANGES = 256
 
@@ -184,6 +184,8 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         mask = np.uint64(len(counts) - 1)
+        # a counter far above the mean holds an n-gram of many documents; the mean itself grows with the corpus
+        unit = max(bucket, HOT_FACTOR * int(counts.mean()))
         sent_before: set[bytes] = set()
         for batch in pieces_of(batches, PIECE_BYTES):
             parts: list[tuple] = []
@@ -210,7 +212,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray
             each = lambda k: np.repeat(np.array([p[k] for p in parts], np.int64), sizes)  # noqa: B023, E731
             h, place = np.concatenate([p[0] for p in parts]), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             f1, f2, n = each(1), each(2), each(3)
-            shares = -(-counts[h.view(np.uint64) & mask].astype(np.int64) // bucket)
+            shares = -(-counts[h.view(np.uint64) & mask].astype(np.int64) // unit)
             salt = np.where(shares > 1, f1 % np.maximum(shares, 1), -1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, f1, f2, n, place, salt)], names=["h", "f1", "f2", "n", "place", "salt"])
         sent_before.clear()
@@ -288,7 +290,7 @@ def _first_pairs(found: DataFrame) -> DataFrame:
     columns = ["f1", "f2", "n", "place", "g1", "g2", "m", "spot"]
     firsts = found.filter("kind = 2").select("h", "cls", "f1", "f2", "n", "place")
     centre = stored(firsts.groupBy("h", "cls").agg(F.min(F.struct(*_FIRST, "n")).alias("c")), "centres")
-    of_shares = firsts.join(centre, ["h", "cls"]).filter((F.col("f1") != F.col("c.f1")) | (F.col("f2") != F.col("c.f2")))
+    of_shares = firsts.join(centre.hint("merge"), ["h", "cls"]).filter((F.col("f1") != F.col("c.f1")) | (F.col("f2") != F.col("c.f2")))
     of_shares = of_shares.select("f1", "f2", "n", "place", F.col("c.f1").alias("g1"), F.col("c.f2").alias("g2"), F.col("c.n").alias("m"), F.col("c.place").alias("spot"))
     return found.filter("kind = 1").select(*columns).unionByName(of_shares)
 
@@ -359,14 +361,14 @@ def _remaining(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataF
     named = named.select("f1", "f2", F.coalesce("component", "node").alias("component"))
     entries = buckets.drop("component").join(named, ["f1", "f2"])
     mixed = stored(entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h"), "open-ngrams")
-    return stored(entries.join(mixed, "h", "left_semi"), "open-buckets")
+    return stored(entries.join(mixed.hint("merge"), "h", "left_semi"), "open-buckets")
 
 
 def _star(entries: DataFrame, round_: int, num: int, den: int) -> DataFrame:
     """Each entry with the first node of its bucket and size class, if that is in another component."""
     placed = entries.withColumn("cls", _length_class(round_, num, den))
     centre = stored(placed.groupBy("h", "cls").agg(F.min(F.struct(*_FIRST, "n", "component")).alias("c")), "centres")
-    pairs = placed.join(centre, ["h", "cls"]).filter(F.col("component") != F.col("c.component"))
+    pairs = placed.join(centre.hint("merge"), ["h", "cls"]).filter(F.col("component") != F.col("c.component"))
     return pairs.select("f1", "f2", "n", "place", F.col("c.f1").alias("g1"), F.col("c.f2").alias("g2"), F.col("c.n").alias("m"), F.col("c.place").alias("spot"))
 
 
