@@ -1,10 +1,8 @@
 """Registered queries of the hypergraph engine, and the same in SQL.
 
 Hypergraphs of the test tables: OP joins orders (hyperedges) and parts
-(vertices) through all line items; NC joins nations (hyperedges) and customers;
-BULK is OP with the largest quantities only, a sparse one with long paths: a
-tenth of the line items. What it is used for is also registered over all of
-them, under names that end in _whole (cc_bulk over all line items is cc_fixpoint).
+(vertices) through all line items; NC joins nations (hyperedges) and customers.
+All queries read their tables whole.
 """
 
 from __future__ import annotations
@@ -45,25 +43,17 @@ def _weights(items: DataFrame) -> DataFrame:
 
 
 def order_part_weighted(spark: SparkSession, sf_dir: str) -> Hypergraph:
-    """OP with the weights of BULK."""
+    """OP with a length for every order."""
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     return from_table(items, "l_orderkey", "l_partkey", hyperedges=_weights(items))
 
 
-def bulk(spark: SparkSession, sf_dir: str) -> Hypergraph:
-    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    chosen, weights = items.filter(F.col("l_quantity") >= BULK_QUANTITY), _weights(items)
-    edges = chosen.select(F.col("l_orderkey").alias("id")).distinct().join(weights, "id")
-    return from_table(chosen, "l_orderkey", "l_partkey", hyperedges=edges)
-
-
 def nation_customer(spark: SparkSession, sf_dir: str) -> Hypergraph:
     return from_table(_table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey")
 
 
 # Incidence of each hypergraph in SQL, and its elements.
 _OP = "SELECT l_partkey AS v, l_orderkey AS e FROM lineitem"
-_BULK = f"SELECT l_partkey AS v, l_orderkey AS e FROM lineitem WHERE l_quantity >= {BULK_QUANTITY}"
 _NC = "SELECT c_custkey AS v, c_nationkey AS e FROM customer"
 
 
@@ -94,7 +84,7 @@ cc(id, lab) USING KEY (id) AS (
 )"""
 
 
-def _path_ctes(source: str, inc: str = _BULK, unit: bool = False, swap: bool = False) -> str:
+def _path_ctes(source: str, inc: str = _OP, unit: bool = False, swap: bool = False) -> str:
     """sp(id, d): least cost of each vertex; the source is the smallest vertex unless given."""
     length = "SELECT e, 1 AS len FROM inc GROUP BY e" if unit else f"SELECT l_orderkey AS e, 1 + count(*) FILTER (l_quantity < {BULK_QUANTITY}) AS len FROM lineitem GROUP BY l_orderkey"
     inc = inc.replace("AS v", "AS tmp").replace("AS e", "AS v").replace("AS tmp", "AS e") if swap else inc
@@ -240,29 +230,29 @@ _MEMBER_SQL = "SELECT id // 2 AS id, lab AS value FROM cc WHERE id % 2 = {odd}"
 _SOURCE = 0
 
 
-def _whole() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
-    """What is registered over BULK, over all line items."""
+def _long_paths() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    """Components, paths and a program of a user over all line items."""
     op, weighted = order_part, order_part_weighted
     reached = " FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)"
     return {
-        "cc_hyperedges_whole": (lambda s, d: _values(connected_components(op(s, d)).hyperedges), _component_ctes(_OP) + _MEMBER_SQL.format(odd=0)),
-        "cc_k2_whole": (
+        "cc_hyperedges": (lambda s, d: _values(connected_components(op(s, d)).hyperedges), _component_ctes(_OP) + _MEMBER_SQL.format(odd=0)),
+        "cc_k2": (
             lambda s, d: _values(connected_components(op(s, d), 1).vertices),
             f"WITH inc AS ({_OP}), r AS (SELECT v, max(e) AS x FROM inc GROUP BY v), u AS (SELECT e, max(x) AS x FROM r JOIN inc USING (v) GROUP BY e) SELECT v AS id, max(x) AS value FROM u JOIN inc USING (e) GROUP BY v",
         ),
-        "cc_dual_whole": (lambda s, d: _values(connected_components(op(s, d).dual()).hyperedges), _component_ctes(f"SELECT v AS e, e AS v FROM ({_OP})") + _MEMBER_SQL.format(odd=0)),
-        "sssp_weighted_whole": (lambda s, d: _values(shortest_path(weighted(s, d), _SOURCE).vertices), _path_ctes(str(_SOURCE), _OP) + " SELECT v AS id, d AS value" + reached),
-        "sssp_limit_whole": (
+        "cc_dual": (lambda s, d: _values(connected_components(op(s, d).dual()).hyperedges), _component_ctes(f"SELECT v AS e, e AS v FROM ({_OP})") + _MEMBER_SQL.format(odd=0)),
+        "sssp_weighted": (lambda s, d: _values(shortest_path(weighted(s, d), _SOURCE).vertices), _path_ctes(str(_SOURCE), _OP) + " SELECT v AS id, d AS value" + reached),
+        "sssp_limit": (
             lambda s, d: _values(shortest_path(weighted(s, d), _SOURCE, 2).vertices),
             f"WITH inc AS ({_OP}), len AS (SELECT l_orderkey AS e, 1 + count(*) FILTER (l_quantity < {BULK_QUANTITY}) AS len FROM lineitem GROUP BY 1), "
             f"near AS (SELECT y.v, min(len) AS d FROM inc x JOIN inc y USING (e) JOIN len USING (e) WHERE x.v = {_SOURCE} GROUP BY y.v) "
             f"SELECT i.v AS id, CASE WHEN i.v = {_SOURCE} THEN 0 ELSE d END AS value FROM (SELECT DISTINCT v FROM inc) i LEFT JOIN near USING (v)",
         ),
-        "sssp_unreachable_whole": (
+        "sssp_unreachable": (
             lambda s, d: shortest_path(weighted(s, d), _SOURCE).vertices.agg(F.count_if(F.col("value").isNull()).alias("unreachable"), F.max("value").alias("furthest")),
             _path_ctes(str(_SOURCE), _OP) + " SELECT count(*) FILTER (d IS NULL) AS unreachable, max(d) AS furthest" + reached,
         ),
-        "custom_program_whole": (
+        "custom_program": (
             lambda s, d: _values(run(op(s, d), LEAST_LABEL, EDGE).vertices),
             f"WITH RECURSIVE inc AS ({_OP}), hop AS (SELECT DISTINCT x.v AS a, y.v AS b FROM inc x JOIN inc y USING (e)), least(id, lab) USING KEY (id) AS (SELECT DISTINCT v, v FROM inc UNION "
             "SELECT hop.b, min(least.lab) FROM least JOIN hop ON hop.a = least.id JOIN recurring.least AS r ON r.id = hop.b WHERE least.lab < r.lab GROUP BY hop.b) SELECT id, lab AS value FROM least",
@@ -295,35 +285,14 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "page_rank_dual": (lambda s, d: _rounded(page_rank(op(s, d).dual(), 2).vertices), _rank_sql(2, dual=True)),
         "page_rank_isolated": (lambda s, d: _rounded(page_rank(order_part_isolated(s, d).dual(), 2).vertices), f"SELECT o_orderkey AS id, coalesce(value, 1.0) AS value FROM orders LEFT JOIN ({_rank_sql(2, dual=True)}) ON id = o_orderkey"),
         "cc_fixpoint": (lambda s, d: _values(connected_components(op(s, d)).vertices), _component_ctes(_OP) + _MEMBER_SQL.format(odd=1)),
-        "cc_bulk": (lambda s, d: _values(connected_components(bulk(s, d)).vertices), _component_ctes(_BULK) + _MEMBER_SQL.format(odd=1)),
-        "cc_bulk_hyperedges": (lambda s, d: _values(connected_components(bulk(s, d)).hyperedges), _component_ctes(_BULK) + _MEMBER_SQL.format(odd=0)),
-        "cc_k2": (
-            lambda s, d: _values(connected_components(bulk(s, d), 1).vertices),
-            f"WITH inc AS ({_BULK}), r AS (SELECT v, max(e) AS x FROM inc GROUP BY v), u AS (SELECT e, max(x) AS x FROM r JOIN inc USING (v) GROUP BY e) SELECT v AS id, max(x) AS value FROM u JOIN inc USING (e) GROUP BY v",
-        ),
         "cc_component_sizes": (
             lambda s, d: connected_components(nation_customer(s, d)).vertices.groupBy("value").agg(F.count("*").alias("n")),
             "SELECT c_nationkey AS value, count(*) AS n FROM customer GROUP BY 1",
         ),
-        "cc_dual": (lambda s, d: _values(connected_components(bulk(s, d).dual()).hyperedges), _component_ctes(f"SELECT v AS e, e AS v FROM ({_BULK})") + _MEMBER_SQL.format(odd=0)),
         "sssp_hops": (
             lambda s, d: _values(shortest_path(op(s, d), _SOURCE).vertices),
             _path_ctes(str(_SOURCE), _OP, unit=True) + " SELECT v AS id, d AS value FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v",
         ),
-        "sssp_weighted": (
-            lambda s, d: _values(shortest_path(bulk(s, d), _SOURCE).vertices),
-            _path_ctes(str(_SOURCE)) + " SELECT v AS id, d AS value FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)",
-        ),
-        "sssp_limit": (
-            lambda s, d: _values(shortest_path(bulk(s, d), _SOURCE, 2).vertices),
-            f"WITH inc AS ({_BULK}), len AS (SELECT l_orderkey AS e, 1 + count(*) FILTER (l_quantity < {BULK_QUANTITY}) AS len FROM lineitem GROUP BY 1), "
-            f"near AS (SELECT y.v, min(len) AS d FROM inc x JOIN inc y USING (e) JOIN len USING (e) WHERE x.v = {_SOURCE} GROUP BY y.v) "
-            f"SELECT i.v AS id, CASE WHEN i.v = {_SOURCE} THEN 0 ELSE d END AS value FROM (SELECT DISTINCT v FROM inc) i LEFT JOIN near USING (v)",
-        ),
-        "sssp_unreachable": (
-            lambda s, d: shortest_path(bulk(s, d), _SOURCE).vertices.agg(F.count_if(F.col("value").isNull()).alias("unreachable"), F.max("value").alias("furthest")),
-            _path_ctes(str(_SOURCE)) + " SELECT count(*) FILTER (d IS NULL) AS unreachable, max(d) AS furthest FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)",
-        ),
         "sssp_dual": (
             lambda s, d: _values(shortest_path(nation_customer(s, d).dual(), _SOURCE).vertices),
             "SELECT DISTINCT c_nationkey::BIGINT AS id, CASE WHEN c_nationkey = 0 THEN 0::BIGINT END AS value FROM customer",
@@ -406,17 +375,12 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
             "SELECT 'v2e' AS kind, c_custkey::BIGINT AS a, c_nationkey::BIGINT AS b FROM customer UNION ALL SELECT 'e2v', c_nationkey, c_custkey FROM customer "
             "UNION ALL SELECT 'weight', n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN n_nationkey + 3 END FROM nation",
         ),
-        "custom_program": (
-            lambda s, d: _values(run(bulk(s, d), LEAST_LABEL, EDGE).vertices),
-            f"WITH RECURSIVE inc AS ({_BULK}), hop AS (SELECT DISTINCT x.v AS a, y.v AS b FROM inc x JOIN inc y USING (e)), least(id, lab) USING KEY (id) AS (SELECT DISTINCT v, v FROM inc UNION "
-            "SELECT hop.b, min(least.lab) FROM least JOIN hop ON hop.a = least.id JOIN recurring.least AS r ON r.id = hop.b WHERE least.lab < r.lab GROUP BY hop.b) SELECT id, lab AS value FROM least",
-        ),
     }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in (_catalogue() | _whole()).items()}
+    return {name: query for name, (query, _) in (_catalogue() | _long_paths()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (_catalogue() | _whole()).items()}
+    return {name: sql for name, (_, sql) in (_catalogue() | _long_paths()).items()}
