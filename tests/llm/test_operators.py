@@ -345,6 +345,24 @@ def test_labelled_findings_do_not_depend_on_the_dealing_of_rows(spark):
     assert one == many and len(one[0]) == 1 and len(one[2]) > 0
 
 
+def test_network_learns_from_all_findings(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 28)) for _ in range(2300)]
+    corpus = docs(spark, [f"{prose(rng, 9)} {' x '.join(keys[k : k + 23])} {prose(rng, 9)}" for k in range(0, 2300, 23)] + odd_texts())
+    positive, _, words = secrets.labelled_findings(corpus)
+    assert sorted(body for _, body, _ in positive) == sorted(keys) and len(words) > 0
+    monkeypatch.setattr(secrets, "PART_ROWS", 900)
+    made = secrets.examples(secrets.labels(corpus), 3).collect()
+    shapes = len(secrets.Shapes([]).keys()) * secrets.TRAIN_GENERATED
+    assert sum(r["label"] for r in made) == 2300 + 3 * shapes and {r["part"] for r in made} == {0, 1, 2}
+    for part in range(3):
+        own = Counter((r["label"], r["held"]) for r in made if r["part"] == part)
+        assert own[1, True] == (own[1, True] + own[1, False]) // 4 and own[1, False] > shapes // 2 and own[0, True] > 0
+    one, many = (secrets.fit(x) for x in (corpus.coalesce(1), corpus.repartition(7)))
+    assert (one.state() == many.state()).all() and one.threshold == many.threshold
+    assert secrets.RECALL - 0.01 <= one.recall <= 1 and one.precision > 0.95
+
+
 def test_network_against_loops():
     rng = np.random.default_rng(12)
     net = secrets.Network()
