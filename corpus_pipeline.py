@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knitwork.llm import decontamination, ngram_join, packing, secrets, toxicity
-from knitwork.llm.common import bounded_batches, read, stored
+from knitwork.llm.common import bounded_batches, give_back, read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
     bounded_batches(spark)
+    give_back(spark)
     scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), "toxicity_score_")
     return scored.filter(F.col("toxicity_score_") < toxicity.THRESHOLD).select(*docs.columns)
 
@@ -41,6 +42,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window. A document without an id goes by its text."""
     bounded_batches(spark)
+    give_back(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
     keyed = docs.select(key.alias("doc_id"), "text")
     found = decontamination.contamination(keyed, read(spark, sf_dir, "benchmark"))
@@ -51,12 +53,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with what looks like a secret replaced."""
     bounded_batches(spark)
+    give_back(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 4096 tokens, a row per piece of a document."""
     bounded_batches(spark)
+    give_back(spark)
     # workers still hold what earlier stages keep, and serve later runs, so fewer words here, and only within a task
     return packing.pack_documents(docs, cache_words=300_000, keep=False)
 

@@ -54,6 +54,12 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have executors collect garbage and give free heap back: a heap that one step filled otherwise stays as large beside the Python workers of the next."""
+    tasks = 2 * spark.sparkContext.defaultParallelism  # an executor that gets none keeps its heap, nothing else depends on it
+    spark.range(0, tasks, 1, tasks).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to a Parquet table in the shared folder and read back: no lineage, survives lost executors."""
     spark = df.sparkSession

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import pieces_of, stored, trim, utf8
+from knitwork.llm.common import give_back, pieces_of, stored, trim, utf8
 from knitwork.llm.components import components
 
 #: Counters of n-gram frequencies: a fixed table, whatever the input.
@@ -391,6 +391,8 @@ def _as_links(labels: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, counters: int = COUNTERS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, for links where den * common >= num * union; ``text_key`` is the xxhash64 of its text."""
+    spark = docs.sparkSession
+    give_back(spark)
     signed = stored(signatures(docs, width, counters), "signatures")
     own = signed.filter("kind = 0")
     usable = own.filter("n > 0 AND doc_id IS NOT NULL")
@@ -404,12 +406,15 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, coun
     found = stored(shared_buckets(prefixes(usable_docs, width, num, den, frequencies(signed, counters), bucket), num, den), "buckets")
     buckets = found.filter("kind = 0").select("h", "f1", "f2", "n", "place")
 
+    give_back(spark)
     verifier = _Verifier(usable_docs, nodes, width, num, den)
     links = verifier.links(_first_pairs(found).filter(_possible(num, den)))
     labels = components(links)
+    give_back(spark)
     buckets = _remaining(buckets, nodes, labels)
     more = verifier.links(_star(buckets, 1, num, den).filter(_possible(num, den)))
     labels = components(_as_links(labels).unionByName(more))
+    give_back(spark)
     rest = verifier.links(_all_pairs(_remaining(buckets, nodes, labels)).filter(_possible(num, den)))
     labels = components(_as_links(labels).unionByName(rest))
 

@@ -800,6 +800,14 @@ def test_query_returns_proximity_matches(spark, tmp_path):
 # pipeline
 
 
+def test_executors_give_heap_back(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert ngram_join.classes(docs(spark, ["a b c d e f", "a b c d e f", "x"])).count() == 3
+    assert full() >= before + 4
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(12)
