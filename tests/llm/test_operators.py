@@ -213,6 +213,72 @@ def test_count_edges(spark):
     assert token_counts.prefix_counts(df.limit(0)).count() == 0
 
 
+def invented(rng, n):
+    """Words of which hardly any two are the same: letters of one and more bytes, marks, digits, signs, long ones."""
+    bits = ["th", "ing", "ción", "é", "ß", "漢", "🙂", "'re", "'", "7", "31", "&&&", ",", ".", "Qu", "OU", "zx", "_", "'ve", "ñ"]
+    return [" " + "".join(rng.choice(bits, rng.integers(2, 9))) + str(k % 7) * (k % 2) + "ab" * (k % 50 == 0) * 20 for k in range(n)]
+
+
+def test_new_words_are_not_counted_one_by_one(monkeypatch):
+    stepped, alone = [], token_counts.PrefixCounter.byte_prefixes
+    monkeypatch.setattr(token_counts.PrefixCounter, "byte_prefixes", lambda self, data: stepped.append(len(data)) or alone(self, data))
+    text = "".join(invented(np.random.default_rng(3), 3_000))
+    got = token_counts.PrefixCounter(path := public_tokenizers.path("byte_bpe_50k.json")).prefixes(text)
+    assert got[-1] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    assert sum(n <= 32 for n in stepped) == 0  # a word of that length by itself costs some 30 microseconds
+
+
+def test_odd_white_space_and_long_words_leave_the_rest_together(monkeypatch):
+    stepped, alone = [], token_counts.PrefixCounter.byte_prefixes
+    monkeypatch.setattr(token_counts.PrefixCounter, "byte_prefixes", lambda self, data: stepped.append(len(data)) or alone(self, data))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library = token_counts.PrefixCounter(path), Tokenizer.from_file(path)
+    words = invented(np.random.default_rng(4), 1_500)
+    texts = ["\n\n".join(words[:500]), "\t ".join(words[500:1000]) + "\u3000 ", "".join(words[1000:]) + " x" * 30 + "q" * 600]
+    cut = [counter.chunks_of(t) for t in texts]
+    counter.learn(cut)
+    for text, chunks in zip(texts, cut, strict=True):
+        want = [len(e.ids) for e in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+        assert counter.prefixes(text, chunks).tolist() == want
+        for budget in (0, 2, 500, want[-1]):
+            assert counter.within(text, chunks, budget) == (want[-1], max(k for k, n in enumerate(want) if n <= budget))
+    assert sum(4 < n <= 32 for n in stepped) == 0  # of the short ones only runs of white space
+
+
+def test_new_words_are_counted_together(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library = token_counts.PrefixCounter(path), Tokenizer.from_file(path)
+    words = invented(np.random.default_rng(3), 6_000)
+    texts = ["".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    cut = [counter.chunks_of(t) for t in texts]
+    new = counter.learn(cut)
+    assert len(new) > 5_000
+    for text, chunks in zip(texts, cut, strict=True):
+        want = [len(e.ids) for e in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+        assert counter.prefixes(text, chunks).tolist() == want
+        for budget in (0, 1, 7, 100, want[-1] - 1, want[-1], want[-1] + 1):
+            assert counter.within(text, chunks, budget) == (want[-1], max(k for k, n in enumerate(want) if n <= budget))
+    one_by_one = token_counts.PrefixCounter(path)
+    monkeypatch.setattr(token_counts, "FEW", 1 << 30)
+    one_by_one.learn(cut)
+    assert one_by_one._chunks == counter._chunks
+
+
+def test_full_caches(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_CHUNKS", 500)
+    monkeypatch.setattr(token_counts, "PAIR_BITS", 8)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library = token_counts.PrefixCounter(path), Tokenizer.from_file(path)
+    for seed in range(3):
+        texts = ["".join(invented(np.random.default_rng([seed, k]), 300)) for k in range(3)]
+        cut = [counter.chunks_of(t) for t in texts]
+        new = counter.learn(cut)
+        assert [counter.within(t, c, 50)[0] for t, c in zip(texts, cut, strict=True)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        counter.forget(new)
+        assert len(counter._chunks) <= 500
+        assert [counter.within(t, c, 50)[0] for t, c in zip(texts, cut, strict=True)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 # 5 n-gram join
 
 
