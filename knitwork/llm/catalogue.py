@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitwork.llm import chat, decontamination, embedding_dedup, html_text, langid, ngram_join, packing, secrets, token_counts, toxicity
+from knitwork.llm import alignment, chat, decontamination, embedding_dedup, html_text, langid, ngram_join, packing, secrets, token_counts, toxicity, vantage_trees, vector_codes
 from knitwork.llm.common import fold, read
 
 
@@ -64,6 +64,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    coded = vector_codes.with_label_errors(codes).withColumn("codebooks_sha256", F.lit(vector_codes.codebooks_digest(books)))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_trees.neighbours(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH placed AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, role, text FROM conversations
@@ -142,10 +156,50 @@ FROM fold f LEFT JOIN covered c USING (doc_id) LEFT JOIN found d USING (doc_id)
 OP10_SQL = OP10_SQL.replace("{slop}", str(decontamination.SLOP))
 
 
+def _op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Assignments a0, a1, ... and codebooks b0, b1, ... in turn; sums of products of integers are exact in doubles here."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT r, parts.p, x, e, list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c) AS d FROM parts JOIN b{k} ON parts.p = b{k}.p) GROUP BY r, p
+)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(x[i]) / count(*)) AS m FROM a{k}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY p, e, i) GROUP BY p, e
+), b{k + 1} AS MATERIALIZED (SELECT b{k}.p, b{k}.e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} ON b{k}.p = m{k}.p AND b{k}.e = m{k}.e)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, vec_id, p, v[p * (len(v) // {vector_codes.PARTS}) + 1 : (p + 1) * (len(v) // {vector_codes.PARTS})] AS x FROM kept, unnest(range({vector_codes.PARTS})) AS t(p)
+), first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {vector_codes.ENTRIES}
+), b0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN first USING (vec_id)
+), {", ".join(steps)}
+, coded AS (
+  SELECT r, string_agg(lower(printf('%02x', CAST(e AS BIGINT))), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r
+), digest AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b{rounds}, unnest(range(1, len(c) + 1)) AS t(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest
+"""
+
+
+OP11_SQL = _op11_sql()
+
+OP12_SQL = """
+WITH vecs AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM vecs q JOIN vecs c ON q.r <> c.r WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat, op2_toxicity, op3_language_id, op4_token_counts, op5_ngram_join, op6_secrets, op7_embedding_dedup, op8_html, op9_packing, op10_decontamination]
+    found = [op1_chat, op2_toxicity, op3_language_id, op4_token_counts, op5_ngram_join, op6_secrets, op7_embedding_dedup, op8_html, op9_packing, op10_decontamination, op11_vector_codes, op12_vantage_trees, op13_alignment]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op5_ngram_join": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_chat": OP1_SQL, "op5_ngram_join": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op10_decontamination": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_vantage_trees": OP12_SQL}
