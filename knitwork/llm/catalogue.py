@@ -29,7 +29,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.prefix_counts(read(spark, sf_dir, "documents"))
+    counted = token_counts.within(token_counts.prefix_table(read(spark, sf_dir, "documents")), token_counts.LIMIT)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "n_chars_within")
 
 

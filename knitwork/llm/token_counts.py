@@ -1,8 +1,10 @@
 """Exact token counts at every prefix of a text, by dynamic programming.
 
 For each character position i the operator knows how many tokens the library
-would give for ``text[:i]``, so truncation and budget questions need no further
-encoding. Within a pre-token the last token of every prefix is found from the
+would give for ``text[:i]``. These counts are stored for every text, so that
+truncation and budget questions need neither the text nor its encoding again: a
+count every few characters, and a byte for each character with what is to be
+added, about 1.1 bytes a character before compression. Within a pre-token the last token of every prefix is found from the
 last tokens of shorter prefixes: a byte-pair encoding is the encoding of a text
 exactly when each two neighbouring tokens are the encoding of their own
 concatenation, and only one last token of a prefix satisfies that. All new words
@@ -22,20 +24,21 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import texts
+from knitwork.llm.common import stored, texts
 
 LIMIT = 1024
 #: Distinct chunks whose prefix counts a worker keeps, and the longest chunk kept.
 CACHE_CHUNKS, CACHED_LENGTH = 1_000_000, 80
 #: Most bytes of a pre-token that is counted together with others, how many are at a time, and how few are better counted one by one.
 TOGETHER, AT_ONCE, FEW = 32, 20_000, 200
+#: Characters that share a stored count, to which bytes are added; texts whose counts differ by more than a byte holds share fewer.
+SHARED_BY = 32
 #: Slots, as a power of two, for what is known of pairs of tokens; they are forgotten when half of the slots are taken.
 PAIR_BITS = 21
 
@@ -322,25 +325,6 @@ class PrefixCounter:
                     out[ends[k] + 1] = before[k] + self._fragment(run + c[0])[-1]
         return out
 
-    def within(self, text: str, chunks: list[str] | None, budget: int) -> tuple[int, int]:
-        """Tokens of the text, and most characters of it within ``budget`` tokens; the same as by ``prefixes``, which are looked at in one chunk only."""
-        parts = [None] if chunks is None else list(map(self._chunks.get, chunks))
-        if None in parts:
-            counts = self.prefixes(text, chunks)
-            return int(counts[-1]), longest_within(counts, budget)
-        totals = list(map(itemgetter(-1), parts))
-        if (n := sum(totals)) <= budget:
-            return n, len(text)
-        if self._odd(text):
-            return n, longest_within(self.prefixes(text, chunks), budget)
-        before = np.cumsum(totals) - totals
-        # every chunk has a token in each prefix: those with the budget or more before them do not fit, and the ends of those before the last other one do
-        k = int(np.searchsorted(before, budget)) - 1
-        if k < 0:
-            return n, 0
-        fit = np.flatnonzero(np.frombuffer(parts[k], np.uint8) <= budget - int(before[k]))
-        return n, sum(map(len, chunks[:k])) + (int(fit[-1]) + 1 if fit.size else 0)
-
     def _with_special(self, text: str) -> np.ndarray:
         out, base = [np.zeros(1, np.int32)], 0
         parts = self._marks.split(text)
@@ -366,9 +350,29 @@ def longest_within(prefixes: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(prefixes <= budget)[-1])
 
 
-def prefix_counts(docs: DataFrame, tokenizer_path: str | None = None, budget: int = LIMIT, keep_prefixes: bool = False) -> DataFrame:
-    """Per document: bytes, tokens, characters that fit the budget, and on request the count at every prefix."""
-    schema = "doc_id long, n_bytes long, n_tokens long, n_chars_within long" + (", prefix_tokens array<int>" if keep_prefixes else "")
+def packed(counts: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Counts as (characters that share one, shared counts, what is to be added for each character)."""
+    share, n = SHARED_BY, len(counts)
+    while True:
+        rows = np.pad(counts, (0, -n % share), "edge").reshape(-1, share)
+        shared = rows.min(1)
+        more = rows - shared[:, None]
+        if more.max() < 256:
+            return share, shared.astype(np.int32).tobytes(), more.ravel()[:n].astype(np.uint8).tobytes()
+        share //= 2  # one character at most adds its own count to nothing
+
+
+def unpacked(share: int, shared: bytes, more: bytes) -> np.ndarray:
+    """The counts at all prefixes, from the empty one to the whole text."""
+    out = np.frombuffer(more, np.uint8).astype(np.int32)
+    return out + np.repeat(np.frombuffer(shared, np.int32), share)[: len(out)]
+
+
+_TABLE = "doc_id long, n_bytes long, share int, shared binary, more binary"
+
+
+def prefix_table(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """The stored table: per document its bytes and, packed, the token count at every prefix. Written; texts are not needed afterwards."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -379,17 +383,47 @@ def prefix_counts(docs: DataFrame, tokenizer_path: str | None = None, budget: in
             cut = [counter.chunks_of(t) for t in whole]
             new = counter.learn(cut)
             for doc, text, chunks in zip(ids, whole, cut, strict=True):
-                out.append((doc, len(text.encode()), *counter.within(text, chunks, budget), *([counter.prefixes(text, chunks).tolist()] if keep_prefixes else [])))
+                out.append((doc, len(text.encode()), *packed(counter.prefixes(text, chunks))))
             counter.forget(new)
-            cols = list(zip(*out, strict=True)) or [()] * (4 + keep_prefixes)
+            cols, kinds = list(zip(*out, strict=True)) or [()] * 5, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _TABLE.split(", ")])
+
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, _TABLE), "prefix-counts")
+
+
+def within(table: DataFrame, budget: int = LIMIT, keep_prefixes: bool = False) -> DataFrame:
+    """From a stored table: bytes, tokens, most characters that fit the budget, and on request the count at every prefix."""
+    schema = "doc_id long, n_bytes long, n_tokens long, n_chars_within long" + (", prefix_tokens array<int>" if keep_prefixes else "")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            out = []
+            for doc, n_bytes, *own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                counts = unpacked(*own)
+                out.append((doc, n_bytes, int(counts[-1]), longest_within(counts, budget), *([counts.tolist()] if keep_prefixes else [])))
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * keep_prefixes
-            names = ["doc_id", "n_bytes", "n_tokens", "n_chars_within", "prefix_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names[: len(kinds)])
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, schema)
+    return table.select("doc_id", "n_bytes", "share", "shared", "more").mapInArrow(answer, schema)
+
+
+def count_at(position: str | int) -> Column:
+    """Column over a stored table: tokens of the first ``position`` characters, all of a shorter text; without Python."""
+    at = F.least(F.col(position) if isinstance(position, str) else F.lit(position), F.length("more") - 1).cast("int")
+    number = lambda data: F.conv(F.hex(data), 16, 10).cast("long")
+    place = F.floor(at / F.col("share")).cast("int") * 4
+    low_first = F.concat(*(F.substring(F.col("shared"), place + k, F.lit(1)) for k in (4, 3, 2, 1)))
+    return number(low_first) + number(F.substring(F.col("more"), at + 1, F.lit(1)))
+
+
+def prefix_counts(docs: DataFrame, tokenizer_path: str | None = None, budget: int = LIMIT, keep_prefixes: bool = False) -> DataFrame:
+    """``within`` over a table that is stored for it."""
+    return within(prefix_table(docs, tokenizer_path), budget, keep_prefixes)
 
 
-def tokens_at(position: str | int, prefixes: str = "prefix_tokens"):
-    """Column: tokens of the first ``position`` characters, from stored prefix counts."""
+def tokens_at(position: str | int, prefixes: str = "prefix_tokens") -> Column:
+    """Column: tokens of the first ``position`` characters, from an array of counts."""
     at = F.col(position) if isinstance(position, str) else F.lit(position)
     return F.element_at(prefixes, F.least(at, F.size(prefixes) - 1).cast("int") + 1)

@@ -213,6 +213,29 @@ def test_count_edges(spark):
     assert token_counts.prefix_counts(df.limit(0)).count() == 0
 
 
+def test_budgets_are_answered_from_the_stored_table(spark):
+    """Any budget and any position, after the texts are gone; the table has no text and is read in place of one."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for t in odd_texts() if t is None or len(t) < 100] + ["One sentence, \u6f22\u5b57 and  more\n\n of <|endoftext|> it.", "thing. " * 40]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = token_counts.prefix_table(given)
+    assert "text" not in table.columns and "MapInArrow" not in table._jdf.queryExecution().toString()
+    want = {k: [len(library.encode((t or "")[:j], add_special_tokens=False).ids) for j in range(len(t or "") + 1)] for k, t in enumerate(texts)}
+    for budget in (0, 1, 4, 1024):
+        got = {r["doc_id"]: (r["n_tokens"], r["n_chars_within"]) for r in token_counts.within(table, budget).collect()}
+        assert got == {k: (w[-1], max(j for j, n in enumerate(w) if n <= budget)) for k, w in want.items()}
+    for at in (0, 1, 2, 31, 32, 33, 64, 5000):
+        got = {r["doc_id"]: r["n"] for r in table.select("doc_id", token_counts.count_at(at).alias("n")).collect()}
+        assert got == {k: w[min(at, len(w) - 1)] for k, w in want.items()}
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(2)
+    for counts in ([0], [0, 3, 2, 900, 901, 5], rng.integers(0, 5000, 700).tolist(), list(range(0, 4000, 4)), [70_000] * 65):
+        share, shared, more = token_counts.packed(np.array(counts, np.int32))
+        assert token_counts.unpacked(share, shared, more).tolist() == counts and len(more) == len(counts)
+
+
 def invented(rng, n):
     """Words of which hardly any two are the same: letters of one and more bytes, marks, digits, signs, long ones."""
     bits = ["th", "ing", "ción", "é", "ß", "漢", "🙂", "'re", "'", "7", "31", "&&&", ",", ".", "Qu", "OU", "zx", "_", "'ve", "ñ"]
@@ -240,8 +263,7 @@ def test_odd_white_space_and_long_words_leave_the_rest_together(monkeypatch):
     for text, chunks in zip(texts, cut, strict=True):
         want = [len(e.ids) for e in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
         assert counter.prefixes(text, chunks).tolist() == want
-        for budget in (0, 2, 500, want[-1]):
-            assert counter.within(text, chunks, budget) == (want[-1], max(k for k, n in enumerate(want) if n <= budget))
+        assert token_counts.unpacked(*token_counts.packed(counter.prefixes(text, chunks))).tolist() == want
     assert sum(4 < n <= 32 for n in stepped) == 0  # of the short ones only runs of white space
 
 
@@ -256,8 +278,10 @@ def test_new_words_are_counted_together(monkeypatch):
     for text, chunks in zip(texts, cut, strict=True):
         want = [len(e.ids) for e in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
         assert counter.prefixes(text, chunks).tolist() == want
+        stored = token_counts.unpacked(*token_counts.packed(counter.prefixes(text, chunks)))
+        assert stored.tolist() == want
         for budget in (0, 1, 7, 100, want[-1] - 1, want[-1], want[-1] + 1):
-            assert counter.within(text, chunks, budget) == (want[-1], max(k for k, n in enumerate(want) if n <= budget))
+            assert token_counts.longest_within(stored, budget) == max(k for k, n in enumerate(want) if n <= budget)
     one_by_one = token_counts.PrefixCounter(path)
     monkeypatch.setattr(token_counts, "FEW", 1 << 30)
     one_by_one.learn(cut)
@@ -273,10 +297,10 @@ def test_full_caches(monkeypatch):
         texts = ["".join(invented(np.random.default_rng([seed, k]), 300)) for k in range(3)]
         cut = [counter.chunks_of(t) for t in texts]
         new = counter.learn(cut)
-        assert [counter.within(t, c, 50)[0] for t, c in zip(texts, cut, strict=True)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert [counter.prefixes(t, c)[-1] for t, c in zip(texts, cut, strict=True)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
         counter.forget(new)
         assert len(counter._chunks) <= 500
-        assert [counter.within(t, c, 50)[0] for t, c in zip(texts, cut, strict=True)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert [counter.prefixes(t, c)[-1] for t, c in zip(texts, cut, strict=True)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 # 5 n-gram join
