@@ -11,7 +11,6 @@ from knitwork.sources.hypergraph import Hypergraph
 # Fixed value: the share of a vertex's importance that does not depend on its neighbours.
 ALPHA = 0.15
 
-_value = lambda: F.col("value")
 _inbox = lambda: F.col("inbox")
 _yes = lambda: F.lit(True)
 
@@ -31,7 +30,7 @@ PAGE_RANK = HyperProgram(vertex=_rank_side(1.0, True), edge=_rank_side(0.0, Fals
 def _component_side(initial: str) -> Side:
     return Side(
         initial=lambda: F.col(initial), message=lambda _: F.col("value"), apply=lambda: F.when(F.col("value").isNotNull(), F.greatest("value", "inbox")),
-        activate=lambda: F.col("inbox") > F.col("value"), after_send=_value, stays_active=False, can_send=lambda: F.col("value").isNotNull(),
+        activate=lambda: F.col("inbox") > F.col("value"), can_send=lambda: F.col("value").isNotNull(),
     )
 
 
@@ -47,7 +46,7 @@ def _distance_side(length: Column | None, source: int | None) -> Side:
     cost = F.col("value") if length is None else F.col("value") + length
     return Side(
         initial=lambda: start, message=lambda _: cost, apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("value").isNull() | (F.col("inbox") < F.col("value")),
-        after_send=_value, stays_active=False, starts_active=lambda: at_source,
+        starts_active=lambda: at_source,
     )
 
 
@@ -107,7 +106,7 @@ def run_algorithm(name: str, graph: Hypergraph, superstep_limit: int | None = No
         raise ValueError(f"unknown algorithm {name!r}; one of {', '.join(ALGORITHMS)}")
     if compat and name in ("page-rank", "shortest-path"):
         found = run_algorithm(name, graph.dual(), superstep_limit, source, unique_side or VERTEX, False, trace)
-        return Result(found.hyperedges, found.vertices, found.supersteps, found.converged, found.trace)
+        return Result(found.hyperedges, found.vertices, found.supersteps, found.converged, found.trace, found.written)
     kwargs = {"trace": trace} | ({"unique_side": unique_side} if unique_side else {})
     if name in ("page-rank", "label-propagation"):
         if superstep_limit is None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def _first_half(spark: SparkSession, sf_dir: str, program: HyperProgram) -> Data
 
 def _relay(initial: str) -> Side:
     return Side(
-        initial=lambda: F.col(initial), message=lambda _: F.col("value"), apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("inbox") < F.col("value"), after_send=lambda: F.col("value"), stays_active=False
+        initial=lambda: F.col(initial), message=lambda _: F.col("value"), apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("inbox") < F.col("value")
     )
 
 
@@ -124,7 +126,7 @@ def _relay(initial: str) -> Side:
 _FAR = 1 << 62
 LEAST_LABEL = HyperProgram(
     vertex=_relay("id"),
-    edge=Side(initial=lambda: F.lit(_FAR), message=lambda _: F.col("value"), apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("inbox") < F.col("value"), after_send=lambda: F.col("value"), stays_active=False, starts_active=lambda: F.lit(False)),
+    edge=Side(initial=lambda: F.lit(_FAR), message=lambda _: F.col("value"), apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("inbox") < F.col("value"), starts_active=lambda: F.lit(False)),
     reduce=F.min,
 )
 
@@ -212,16 +214,72 @@ def _layout_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST_REACHED = HyperProgram(
     vertex=Side(
         initial=lambda: F.when(F.col("id") == 0, F.lit(0).cast("long")), message=lambda step: (step + 1).cast("long"), apply=lambda: F.coalesce("value", "inbox"),
-        activate=lambda: F.col("value").isNull(), after_send=lambda: F.col("value"), stays_active=False, starts_active=lambda: F.col("id") == 0,
+        activate=lambda: F.col("value").isNull(), starts_active=lambda: F.col("id") == 0,
     ),
     edge=Side(
         initial=lambda: F.lit(None).cast("long"), message=lambda _: F.col("value"), apply=lambda: F.coalesce("value", "inbox"),
-        activate=lambda: F.col("value").isNull(), after_send=lambda: F.col("value"), stays_active=False, starts_active=lambda: F.lit(False),
+        activate=lambda: F.col("value").isNull(), starts_active=lambda: F.lit(False),
     ),
     reduce=F.min,
 )
 
 
+#: Addressed messages: hyperedges tell how large they are, and every vertex writes to the smallest of its hyperedges only (of equals, the one
+#: with the smaller id), once for each incidence with it.
+PROPOSALS = HyperProgram(
+    vertex=Side(
+        state="choice_degree long, choice long", initial=lambda: {"choice_degree": F.lit(None), "choice": F.lit(None)}, starts_active=lambda: F.lit(False),
+        inbox=lambda: {"smallest": F.min(F.struct("size", "edge"))}, apply=lambda: {"choice_degree": F.col("smallest.size"), "choice": F.col("smallest.edge")}, activate=lambda: F.lit(True),
+        message=lambda _: {"proposer": F.col("id")}, to=lambda: F.when(F.col("dst") == F.col("choice"), F.col("dst")),
+    ),
+    edge=Side(
+        state="n long, least long", initial=lambda: {"n": F.lit(0), "least": F.lit(None)}, message=lambda _: {"size": F.col("degree"), "edge": F.col("id")},
+        inbox=lambda: {"n_heard": F.count("*"), "least_heard": F.min("proposer")}, apply=lambda: {"n": F.col("n") + F.col("n_heard"), "least": F.least("least", "least_heard")}, activate=lambda: F.lit(False),
+    ),
+)
+
+
+def _range_side(**start) -> Side:
+    return Side(
+        state="low long, high long, n long", initial=lambda: {k: F.col(v) if isinstance(v, str) else F.lit(v) for k, v in start.items()},
+        message=lambda _: {k: F.col(k) for k in ("low", "high", "n")}, inbox=lambda: {"low_heard": F.min("low"), "high_heard": F.max("high"), "n_heard": F.sum("n")},
+        apply=lambda: {"low": F.least("low", "low_heard"), "high": F.greatest("high", "high_heard"), "n": F.col("n_heard")}, activate=lambda: F.lit(True),
+    )
+
+
+#: States of three fields: the smallest and the largest vertex id around, and along how many paths they were heard of.
+RANGES = HyperProgram(vertex=_range_side(low="id", high="id", n=1), edge=_range_side(low=None, high=None, n=0), needs_limit=True)
+
+
+def largest_three(table: pa.Table) -> pa.Table:
+    """Of lists of (degree, id), the three with the largest degrees for each receiver, the smaller id of equals first."""
+    lists = table.column("message").combine_chunks()
+    dst = np.repeat(table.column("dst").to_numpy(), lists.value_lengths().to_numpy())
+    degree, own = (lists.flatten().field(k).to_numpy() for k in ("degree", "id"))
+    order = np.lexsort((own, -degree, dst))
+    starts = np.flatnonzero(np.diff(dst[order], prepend=dst[order][:1] - 1))
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    order = order[rank < 3]
+    heard, sizes = np.unique(dst[order], return_counts=True)
+    values = pa.StructArray.from_arrays([pa.array(degree[order]), pa.array(own[order])], names=["degree", "id"])
+    merged = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+    return pa.table([pa.array(heard), merged], schema=table.schema)
+
+
+_LARGEST = "array<struct<degree:long,id:long>>"
+
+#: A reduction in Python: the three largest vertices of every hyperedge.
+LARGEST_MEMBERS = HyperProgram(
+    vertex=Side(
+        initial=lambda: F.lit(None).cast(_LARGEST), message=lambda _: F.array(F.struct("degree", "id")), apply=lambda: F.col("inbox"), activate=lambda: F.lit(False),
+    ),
+    edge=Side(
+        initial=lambda: F.lit(None).cast(_LARGEST), message=lambda _: F.col("value"), apply=lambda: F.col("inbox"), activate=lambda: F.lit(False), starts_active=lambda: F.lit(False),
+    ),
+    reduce=F.first, merge=largest_three,
+)
+
+
 def _trace(result) -> DataFrame:
     return result.trace
 
@@ -366,6 +424,20 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
             lambda s, d: _values(run(op(s, d), FIRST_REACHED).vertices),
             _path_ctes(str(_SOURCE), _OP, unit=True) + " SELECT v AS id, d AS value FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)",
         ),
+        "proposals": (
+            lambda s, d: run(op(s, d), PROPOSALS).hyperedges.select("id", "n", "least"),
+            f"WITH inc AS ({_OP}), ed AS (SELECT e, count(*) AS d FROM inc GROUP BY e), choice AS (SELECT v, arg_min(e, (d, e)) AS e FROM inc JOIN ed USING (e) GROUP BY v), "
+            "heard AS (SELECT e, count(*) AS n, min(v) AS least FROM inc JOIN choice USING (v, e) GROUP BY e) SELECT e AS id, coalesce(n, 0) AS n, least FROM ed LEFT JOIN heard USING (e)",
+        ),
+        "two_hop_ranges": (
+            lambda s, d: run(op(s, d), RANGES, limit=1).vertices.select("id", "low", "high", "n"),
+            f"WITH inc AS ({_OP}), ed AS (SELECT e, min(v) AS low, max(v) AS high, count(*) AS n FROM inc GROUP BY e) SELECT v AS id, min(low) AS low, max(high) AS high, CAST(sum(n) AS BIGINT) AS n FROM inc JOIN ed USING (e) GROUP BY v",
+        ),
+        "largest_members": (
+            lambda s, d: run(op(s, d), LARGEST_MEMBERS).hyperedges.select("id", F.array_join(F.transform("value", lambda x: x["id"].cast("string")), ",").alias("members")),
+            f"WITH inc AS ({_OP}), vd AS (SELECT v, count(*) AS d FROM inc GROUP BY v), ranked AS (SELECT e, v, row_number() OVER (PARTITION BY e ORDER BY d DESC, v) AS r FROM inc JOIN vd USING (v)) "
+            "SELECT e AS id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY r) AS members FROM ranked WHERE r <= 3 GROUP BY e",
+        ),
         "csr_offsets": (
             lambda s, d: adjacency_text.csr_offsets((g := order_part_isolated(s, d)).hyperedges, g.e2v, "e"),
             "WITH n AS (SELECT o_orderkey AS id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n",

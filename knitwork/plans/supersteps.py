@@ -7,7 +7,13 @@ in the second half active uniques send back. A half-step is
     active senders JOIN incidence -> GROUP BY receiver -> LEFT JOIN receivers
 
 with a pre-aggregated (map-side combined) reduction, so hot receivers get one row
-per task. Programs are column expressions and stay inside Catalyst.
+per task. Programs are column expressions and stay inside Catalyst; a reduction
+that has no such expression may be a Python function over Arrow columns, which is
+applied before and after the exchange.
+
+A state has any number of fields, a message too, and an inbox any number of
+aggregates over messages. Messages usually go to all neighbours; a side that
+names a receiver chooses, for each of its incidences, whom to write to and what.
 
 The states of both sides and the incidences are dealt by id once, and stay so
 through all supersteps: a checkpoint keeps the partitioning, so a half-step has
@@ -15,16 +21,30 @@ one exchange, of one row per receiver and task, and what it moves follows the
 active set. A few senders with a large part of all incidences (hubs) would each
 fill one task; their incidences stay spread out, and their few messages are
 broadcast instead.
+
+While few elements are active, states are not written anew: a half-step looks up
+those that heard something in the state so far and writes only what changed. The
+changes lie over the last full state, a few tables deep; deeper ones are merged,
+and once they are a large part of it, the full state is written again.
+
+Incidences are kept as chunks, sorted lists of neighbours of one sender, sorted
+by sender within partitions. Spark keeps the least and the largest sender of some
+chunks together; a small active set names a bounded number of ranges of senders,
+and chunks beyond these are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce as fold
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knitwork.sources.hypergraph import Hypergraph
@@ -33,32 +53,76 @@ from knitwork.sources.shared import delete, shared_root
 VERTEX, EDGE = "hypervertex", "hyperedge"
 #: A sender is a hub if it has more incidences than this and than an even share of a partition; so hubs are no more than partitions.
 HUB_INCIDENCES = 1_000_000
+#: Neighbours in a chunk, and chunks whose range of senders is kept together.
+CHUNK, CHUNKS_TOGETHER = 1024, 1000
+#: Share of active elements below which only changes are written, tables of changes at most, and their share of the full state at most.
+SPARSE, DEEPEST, GROWTH = 0.05, 3, 0.25
+#: Active senders whose ids are looked at to choose ranges of chunks, and ranges at most.
+FEW_SENDERS, RANGES = 4096, 32
+#: Rows that a Python reduction holds before it reduces them.
+MERGED_AT = 200_000
+
+Fields = Column | Mapping[str, Column]
+
+
+def _named(given: Fields, name: str) -> dict[str, Column]:
+    return dict(given) if isinstance(given, Mapping) else {name: given}
 
 
 @dataclass(frozen=True)
 class Side:
-    """What the elements of one side do. Expressions may use id, weight, degree (out), high (largest out-neighbour), value, and in
-    ``apply`` and ``activate`` also inbox.
-
-    ``can_send`` says whether an active element has anything to say; ``after_send`` is its value afterwards.
+    """What the elements of one side do. Expressions may use id, weight, degree (out), high (largest out-neighbour), what ``around`` adds, the
+    fields of the state, and in ``apply`` and ``activate`` also those of the inbox.
+
+    ``initial`` gives the fields of the state by name, or one column, which is then called value; ``state`` may declare names and types.
+    ``message`` likewise gives the fields of a message, or one called message. ``apply`` gives the new values of fields, of value if it is one
+    column; other fields stay. ``can_send`` says whether an active element has anything to say; ``after_send`` gives values of fields
+    afterwards, and without it nothing changes.
+
+    ``around`` adds aggregates over an element's own incidences, of dst and of attributes that incidences have. ``to`` makes messages addressed:
+    it and ``message`` are evaluated for each incidence, with dst and its attributes in scope, and ``to`` is the id of the receiver, of any
+    element of the other side, or null for no message. Messages to ids that do not exist are lost. ``inbox`` gives what this side hears as
+    several aggregates by name, over the fields of the messages that it gets; their names are not those of its state.
     """
 
-    initial: Callable[[], Column]
-    message: Callable[[Column], Column]
-    apply: Callable[[], Column]
+    initial: Callable[[], Fields]
+    message: Callable[[Column], Fields]
+    apply: Callable[[], Fields]
     activate: Callable[[], Column]
-    after_send: Callable[[], Column]
-    stays_active: bool
+    after_send: Callable[[], Fields] | None = None
+    stays_active: bool = False
     starts_active: Callable[[], Column] = field(default=lambda: F.lit(True))
     can_send: Callable[[], Column] = field(default=lambda: F.lit(True))
+    to: Callable[[], Column] | None = None
+    around: Callable[[], Mapping[str, Column]] = field(default=dict)
+    state: str | None = None
+    inbox: Callable[[], Mapping[str, Column]] | None = None
+
+    def starting(self) -> dict[str, Column]:
+        """Start values by field, with the declared types."""
+        values = _named(self.initial(), "value")
+        if self.state is None:
+            return values
+        declared = {f.name: f.dataType for f in _struct(self.state)}
+        if list(declared) != list(values):
+            raise ValueError(f"declared fields {list(declared)}, start values for {list(values)}")
+        return {name: value.cast(declared[name]) for name, value in values.items()}
+
+
+def _struct(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
 
 
 @dataclass(frozen=True)
 class HyperProgram:
     """A pair of sides and the reduction of the messages to one receiver.
 
-    ``reduce`` turns the column ``message`` into an aggregate; ``combine``, where given, replaces the whole grouping of
-    (dst, message) rows into (dst, inbox).
+    ``reduce`` turns the column ``message`` into an aggregate, which is called inbox, for sides that do not name an inbox of their own.
+    ``combine``, where given, replaces the whole grouping of (dst, message) rows into (dst, inbox). ``merge`` is a Python function from an
+    Arrow table of dst and message fields to one with the same columns and one row for each dst; it has to be associative, as it is applied
+    to parts of the rows before the exchange and to their results after it. The aggregates then see its rows.
     """
 
     vertex: Side
@@ -66,17 +130,20 @@ class HyperProgram:
     reduce: Callable[[Column], Column] | None = None
     combine: Callable[[DataFrame], DataFrame] | None = None
     needs_limit: bool = False
+    merge: Callable[[pa.Table], pa.Table] | None = None
 
 
 @dataclass(frozen=True)
 class Result:
-    """Final (id, value, active) of both sides, the number of supersteps, whether nothing was active at the end, and activity counts."""
+    """Final (id, fields of the state, active) of both sides, the number of supersteps, whether nothing was active at the end, activity
+    counts, and how many rows of states each superstep wrote."""
 
     vertices: DataFrame
     hyperedges: DataFrame
     supersteps: int
     converged: bool
     trace: DataFrame | None
+    written: tuple[int, ...] = ()
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Both sides, and the trace if there is one, as Parquet."""
@@ -88,7 +155,7 @@ class Result:
 @contextmanager
 def _fixed_plans(spark: SparkSession) -> Iterator[None]:
     """Plans made here keep the partitioning that they start from: it is chosen once, for states and incidences alike."""
-    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.inMemoryColumnarStorage.batchSize": str(CHUNKS_TOGETHER)}
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -100,12 +167,13 @@ def _fixed_plans(spark: SparkSession) -> Iterator[None]:
 
 
 class _Kept:
-    """A table checkpointed in the shared folder, with two sums over it that came with the writing."""
+    """A table checkpointed in the shared folder, with the number of its rows and other sums over it that came with the writing."""
 
-    def __init__(self, table: DataFrame, first: Column, second: Column) -> None:
+    def __init__(self, table: DataFrame, **sums: Column) -> None:
         seen = Observation()
-        self.table = table.observe(seen, F.coalesce(first, F.lit(0)).alias("a"), F.coalesce(second, F.lit(0)).alias("b")).checkpoint(eager=True)
-        self.sums = (seen.get["a"], seen.get["b"])
+        wanted = {"rows": F.count("*"), **{k: F.coalesce(v, F.lit(0)) for k, v in sums.items()}}
+        self.table = table.observe(seen, *(v.alias(k) for k, v in wanted.items())).checkpoint(eager=True)
+        self.sums: dict[str, int] = {k: seen.get[k] for k in wanted}
 
     def drop(self) -> None:
         file = self.table._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
@@ -113,13 +181,30 @@ class _Kept:
             delete(self.table.sparkSession, file.get())
 
 
+def ranges_of(ids: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that hold all ids, apart where the gaps between ids are widest."""
+    ids = sorted(set(ids))
+    gaps = sorted(range(1, len(ids)), key=lambda k: ids[k - 1] - ids[k])[: most - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def _chunks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows that are dealt by ``by`` as (src, neighbours): sorted lists of at most ``CHUNK`` structs of dst and attributes."""
+    rest = [F.col(c) for c in rows.columns if c not in ("src", *by)]
+    place = F.row_number().over(W.partitionBy(*by).orderBy("dst"))
+    cut = rows.withColumn("chunk_", F.floor((place - 1) / CHUNK).cast("int"))
+    return cut.groupBy(*by, "chunk_").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("neighbours")).select("src", "neighbours")
+
+
 @dataclass(frozen=True)
 class Incidence:
-    """(src, dst) dealt by sender, but for those of hubs."""
+    """(src, dst) and attributes: plain rows, or chunks of them dealt by sender, but for those of hubs."""
 
     dealt: DataFrame
     hubs: tuple[int, ...] = ()
     spread: DataFrame | None = None
+    chunked: bool = False
 
     @staticmethod
     def of(rows: DataFrame, state: DataFrame, total: int, parts: int, floor: int) -> Incidence:
@@ -128,15 +213,27 @@ class Incidence:
         hubs = tuple(r["id"] for r in state.filter(F.col("degree") > most).select("id").collect()) if total > floor else ()
         own = F.col("src").isin(*hubs) if hubs else F.lit(False)
         keep = lambda x: x.persist(StorageLevel.MEMORY_AND_DISK)
-        return Incidence(keep(rows.filter(~own).repartition(parts, "src").sortWithinPartitions("src")), hubs, keep(rows.filter(own).repartition(parts)) if hubs else None)
-
-    def deliver(self, speaking: DataFrame) -> DataFrame:
-        """(dst, message) for (src, message)."""
-        sent = speaking.join(self.dealt, "src").select("dst", "message")
+        dealt = _chunks(rows.filter(~own).repartition(parts, "src"), ["src"]).sortWithinPartitions("src")
+        shared = rows.filter(own).withColumn("share_", F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int"))
+        return Incidence(keep(dealt), hubs, keep(_chunks(shared.repartition(parts, "src", "share_"), ["src", "share_"])) if hubs else None, True)
+
+    def deliver(self, speaking: DataFrame, ids: list[int] | None = None) -> DataFrame:
+        """Columns of ``speaking``, which has src, by the receivers dst of each, with the attributes of incidences. ``ids``, where given, are
+        all senders; chunks of others are left out where they lie together."""
+        dealt = self.dealt
+        if ids is not None:
+            dealt = dealt.filter(fold(lambda x, y: x | y, [F.col("src").between(a, b) for a, b in ranges_of(ids)], F.lit(False)))
+        sent = self._opened(speaking.join(dealt, "src"))
         if self.spread is None:
             return sent
         few = F.broadcast(speaking.filter(F.col("src").isin(*self.hubs)))
-        return sent.unionByName(self.spread.join(few, "src").select("dst", "message"))
+        return sent.unionByName(self._opened(self.spread.join(few, "src")))
+
+    def _opened(self, joined: DataFrame) -> DataFrame:
+        if not self.chunked:
+            return joined
+        rest = [c for c in joined.columns if c != "neighbours"]
+        return joined.select(*rest, F.inline("neighbours"))
 
     def release(self) -> None:
         for x in (self.dealt, self.spread):
@@ -144,32 +241,221 @@ class Incidence:
                 x.unpersist()
 
 
+def _merging(merge: Callable[[pa.Table], pa.Table], sorted_rows: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Applies ``merge`` to some rows at a time. Of rows sorted by dst, those of the last dst wait for the next ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, limit = 0, MERGED_AT
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < limit:
+                continue
+            table = merge(pa.Table.from_batches(held)).combine_chunks()
+            if sorted_rows:
+                last = pc.max(table.column("dst")).as_py()
+                done = pc.less(table.column("dst"), last)
+                yield from table.filter(done).to_batches()
+                table = table.filter(pc.invert(done))
+            elif table.num_rows > MERGED_AT // 2:  # little to merge here: what is left to do is done after the exchange
+                yield from table.to_batches()
+                table = table.slice(0, 0)
+            held, rows = table.to_batches(), table.num_rows
+            limit = max(MERGED_AT, 2 * rows)
+        if rows:
+            yield from merge(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def gather(sent: DataFrame, program: HyperProgram, receiver: Side) -> tuple[DataFrame, Column]:
+    """(dst, inbox fields), one row for each receiver, and whether a receiver heard anything, for use after a left join."""
+    if program.combine is not None:
+        return program.combine(sent), F.col("inbox").isNotNull()
+    if program.merge is not None:
+        # the first pass works on what each task has, so the exchange moves a row for each receiver and task at most
+        part = sent.mapInArrow(_merging(program.merge, False), sent.schema)
+        sent = part.repartition("dst").sortWithinPartitions("dst").mapInArrow(_merging(program.merge, True), sent.schema)
+    if receiver.inbox is None:
+        return sent.groupBy("dst").agg(program.reduce(F.col("message")).alias("inbox")), F.col("inbox").isNotNull()
+    return sent.groupBy("dst").agg(F.lit(True).alias("heard_"), *(v.alias(k) for k, v in receiver.inbox().items())), F.col("heard_").isNotNull()
+
+
+def messages(active: DataFrame, incidence: Incidence, sender: Side, superstep: int = 0, ids: list[int] | None = None) -> DataFrame:
+    """(dst, message fields) of the active elements."""
+    speaking = active.filter(sender.can_send())
+    if sender.to is None:
+        said = _named(sender.message(F.lit(superstep)), "message")
+        sent = incidence.deliver(speaking.select(F.col("id").alias("src"), *(v.alias(k) for k, v in said.items())), ids)
+        return sent.select("dst", *said)
+    each = incidence.deliver(speaking.withColumns({"src": F.col("id")}), ids)
+    said = _named(sender.message(F.lit(superstep)), "message")
+    return each.select(sender.to().alias("dst"), *(v.alias(k) for k, v in said.items())).filter("dst IS NOT NULL")
+
+
+def _received(joined: DataFrame, receiver: Side, heard: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of elements beside their inboxes, with the new values of fields and the active mark."""
+    new = {name: F.when(heard, value).otherwise(F.col(name)) for name, value in _named(receiver.apply(), "value").items()}
+    new["active"] = F.col("active") | (heard & F.coalesce(receiver.activate(), F.lit(False)))
+    return joined.withColumns(new).select(*columns)
+
+
 def half_step(senders: DataFrame, incidence: Incidence, receivers: DataFrame, sender: Side, receiver: Side, program: HyperProgram, superstep: int = 0) -> tuple[DataFrame, DataFrame]:
     """Senders and receivers after the active senders have sent along ``incidence``."""
-    speaking = senders.filter("active").filter(sender.can_send()).select(F.col("id").alias("src"), sender.message(F.lit(superstep)).alias("message"))
-    sent = incidence.deliver(speaking)
-    inbox = program.combine(sent) if program.combine else sent.groupBy("dst").agg(program.reduce(F.col("message")).alias("inbox"))
-    joined = receivers.join(inbox.withColumnRenamed("dst", "id"), "id", "left")
-    heard = F.col("inbox").isNotNull()
-    received = joined.withColumns(
-        {"value": F.when(heard, receiver.apply()).otherwise(F.col("value")), "active": F.col("active") | (heard & F.coalesce(receiver.activate(), F.lit(False)))}
-    ).drop("inbox")
-    after = F.when(F.col("active") & sender.can_send(), sender.after_send()).otherwise(F.col("value"))
-    return senders.withColumns({"value": after, "active": F.col("active") & F.lit(sender.stays_active)}), received
+    inbox, heard = gather(messages(senders.filter("active"), incidence, sender, superstep), program, receiver)
+    received = _received(receivers.join(inbox.withColumnRenamed("dst", "id"), "id", "left"), receiver, heard, receivers.columns)
+    return _sent(senders, sender), received
 
 
-def initial_state(elements: DataFrame, incidence: DataFrame, side: Side) -> DataFrame:
-    """id, weight, degree, high, value and active of every element; ``incidence`` is (src, dst) with these as senders."""
-    out = incidence.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.max("dst").alias("high"))
-    state = elements.join(out, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return state.withColumns({"value": side.initial(), "active": side.starts_active()})
+def _sent(senders: DataFrame, sender: Side) -> DataFrame:
+    """Senders afterwards."""
+    after = {} if sender.after_send is None else _named(sender.after_send(), "value")
+    after = {name: F.when(F.col("active") & sender.can_send(), value).otherwise(F.col(name)) for name, value in after.items()}
+    return senders.withColumns({**after, "active": F.col("active") & F.lit(sender.stays_active)})
 
 
-def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, hub_incidences: int = HUB_INCIDENCES) -> Result:
+def initial_state(elements: DataFrame, incidence: DataFrame, side: Side) -> DataFrame:
+    """id, weight, degree, high, aggregates around, fields and active of every element; ``incidence`` is (src, dst) with these as senders."""
+    around = {"degree": F.count("*"), "high": F.max("dst"), **side.around()}
+    out = incidence.groupBy(F.col("src").alias("id")).agg(*(v.alias(k) for k, v in around.items()))
+    state = elements.join(out, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return state.withColumns({**side.starting(), "active": side.starts_active()})
+
+
+class _Population:
+    """The elements of one side while a program runs: a full state, and while few are active the changes since and the active ones."""
+
+    def __init__(self, elements: DataFrame, incidence: DataFrame, side: Side, parts: int) -> None:
+        self.side = side
+        self.base = _Kept(initial_state(elements.repartition(parts, "id"), incidence, side), degrees=F.sum("degree"), active=F.count_if("active"))
+        self.total, self.active = self.base.sums["rows"], self.base.sums["active"]
+        self.table: DataFrame | None = self.base.table  # full state; None while only changes are written
+        self.changes: list[_Kept] = []
+        self.front: DataFrame | None = None  # active elements, while only changes are written
+
+    @property
+    def columns(self) -> list[str]:
+        return self.base.table.columns
+
+    def speakers(self) -> DataFrame:
+        return self.front if self.table is None else self.table.filter("active")
+
+    def whole(self) -> DataFrame:
+        """The full state, put together if need be."""
+        if self.table is not None:
+            return self.table
+        found = self.base.table.select("id", self._packed().alias("base_"))
+        state = self._with_changes(found).drop("active").join(self.front.select("id", F.lit(True).alias("active")), "id", "left")
+        return state.withColumn("active", F.coalesce("active", F.lit(False))).select(*self.columns)
+
+    def _packed(self) -> Column:
+        return F.struct(*(c for c in self.columns if c != "id"))
+
+    def _with_changes(self, found: DataFrame) -> DataFrame:
+        """``found`` has id and the packed state ``base_``; of several changes the last one holds."""
+        states = []
+        for k, change in enumerate(reversed(self.changes)):
+            found = found.join(change.table.select("id", self._packed().alias(f"change_{k}_")), "id", "left")
+            states.append(F.col(f"change_{k}_"))
+        found = found.withColumn("base_", F.coalesce(*states, F.col("base_")))
+        rest = [c for c in found.columns if not (c.startswith("change_") and c.endswith("_")) and c != "base_"]
+        return found.select(*rest, *(F.col("base_")[c].alias(c) for c in self.columns if c != "id"))
+
+    def narrow(self) -> None:
+        """From now on only changes are written."""
+        if self.table is None:
+            return
+        if self.table is not self.base.table:  # has sent since it was written
+            if self.side.after_send is not None and self.sent:
+                self._keep(self.table)
+            else:
+                self.table = self.base.table.withColumn("active", F.lit(False)) if self.sent else self.base.table
+        self.front, self.table = self.table.filter("active"), None
+
+    def widen(self) -> None:
+        """Full states again."""
+        if self.table is None:
+            changes, full = self.changes, self.whole()
+            self._keep(full)
+            for change in changes:
+                change.drop()
+            self.changes, self.front = [], None
+
+    #: Whether the side has sent since its state was written, and whether the active ones are read from several tables of changes.
+    sent = quiet = False
+
+    def _keep(self, table: DataFrame) -> int:
+        before, self.base = self.base, _Kept(table, active=F.count_if("active"))
+        before.drop()
+        self.table, self.sent = self.base.table, False
+        self.active = self.base.sums["active"]
+        return self.total
+
+    def hear_all(self, inbox: DataFrame, heard: Column) -> int:
+        """Rows written: all."""
+        return self._keep(_received(self.table.join(inbox.withColumnRenamed("dst", "id"), "id", "left"), self.side, heard, self.columns))
+
+    def hear_few(self, inbox: DataFrame, heard: Column) -> int:
+        """Rows written: those that changed or became active, and at times all changes merged."""
+        inbox = inbox.withColumnRenamed("dst", "id")
+        found = self._with_changes(inbox.join(self.base.table.select("id", self._packed().alias("base_")), "id")).drop("active")
+        if self.active:
+            found = found.join(self.front.select("id", F.lit(True).alias("active")), "id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        else:
+            found = found.withColumn("active", F.lit(False))
+        fields = list(_named(self.side.apply(), "value"))
+        before = found.withColumns({"before_": F.struct(*fields), "was_": F.col("active")})
+        new = _received(before, self.side, heard, [*self.columns, "before_", "was_"])
+        changed = _Kept(new.filter(F.col("active") | ~F.struct(*fields).eqNullSafe(F.col("before_"))).drop("before_"), active=F.count_if("active"), was=F.count_if("was_"))
+        self.quiet = self.active > 0
+        if self.quiet:  # those that were active and heard nothing stay so
+            quiet = self.front.join(changed.table.select("id"), "id", "left_anti").select(*self.columns)
+            self.front = quiet.unionByName(changed.table.filter("active").select(*self.columns))
+        else:
+            self.front = changed.table.filter("active").select(*self.columns)
+        self.active += changed.sums["active"] - changed.sums["was"]
+        return self._add(changed)
+
+    def _add(self, change: _Kept) -> int:
+        if not (written := change.sums["rows"]):
+            return 0
+        self.changes.append(change)
+        if sum(c.sums["rows"] for c in self.changes) > GROWTH * self.total:
+            self.widen()
+            self.front, self.table = self.table.filter("active"), None
+            return written + self.total
+        if len(self.changes) > DEEPEST:
+            parts = [c.table.select("id", F.lit(k).alias("turn_"), self._packed().alias("state_")) for k, c in enumerate(self.changes)]
+            last = fold(DataFrame.unionByName, parts).groupBy("id").agg(F.max_by("state_", "turn_").alias("state_"))
+            merged = _Kept(last.select(*(F.col("state_")[c].alias(c) if c != "id" else F.col("id") for c in self.columns)))
+            if not self.quiet:
+                for change in self.changes[:-1]:
+                    change.drop()
+            # the active ones are read from the table that was written last, so that one stays
+            self.changes = [merged, self.changes[-1]]
+            return written + merged.sums["rows"]
+        return written
+
+    def has_sent(self) -> int:
+        """Active elements have sent. Rows written."""
+        if self.table is not None:
+            self.table, self.sent = _sent(self.table, self.side), True
+            self.active = self.active if self.side.stays_active else 0
+            return 0
+        written = 0
+        if self.side.after_send is not None and self.active:
+            written = self._add(_Kept(_sent(self.front, self.side)))
+        self.front, self.active = self.base.table.limit(0) if self.front is None else self.front.filter(F.lit(False)), 0
+        return written
+
+
+def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, hub_incidences: int = HUB_INCIDENCES, sparse: float = SPARSE) -> Result:
     """Run supersteps until nothing is active or ``limit`` of them are done; programs that never settle need a limit.
 
-    A superstep is two jobs, each of which checkpoints the side that received and counts its active elements on the way.
-    The checkpoint before that of the same side is deleted, and the incidences are given back at the end.
+    A superstep is two jobs, each of which checkpoints the side that received, all of it or what changed, and counts its active elements on
+    the way. Checkpoints that are no longer needed are deleted, and the incidences are given back at the end. Only changes are written while
+    less than ``sparse`` of all elements are active, and again until twice as many are; not by programs whose elements stay active.
     """
     if unique_side not in (VERTEX, EDGE):
         raise ValueError(f"unique_side must be {VERTEX!r} or {EDGE!r}")
@@ -177,40 +463,49 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
         raise ValueError("this program never settles: give a superstep limit")
     spark = graph.v2e.sparkSession
     shared_root(spark)
-    v2e = graph.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst"))
-    e2v = graph.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst"))
+    v2e = graph.v2e.withColumnsRenamed({"v": "src", "e": "dst"})
+    e2v = graph.e2v.withColumnsRenamed({"e": "src", "v": "dst"})
     v, e = (graph.vertices, v2e, program.vertex), (graph.hyperedges, e2v, program.edge)
-    (rep, rep_inc, rep_side), (uni, uni_inc, uni_side) = (v, e) if unique_side == EDGE else (e, v)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    active, everything = F.count_if("active"), F.count("*")
-    rows, done, settled, held = [], 0, False, []
+    settles = not (program.vertex.stays_active or program.edge.stays_active)
+    rows, done, settled, held, written = [], 0, False, [], []
     with _fixed_plans(spark):
         try:
-            first = [_Kept(initial_state(x.repartition(parts, "id"), inc, side), F.sum("degree"), active) for x, inc, side in ((rep, rep_inc, rep_side), (uni, uni_inc, uni_side))]
-            (replicas, uniques), (n_active, n_waiting) = (k.table for k in first), (k.sums[1] for k in first)
-            kept_rep, kept_uni = first
-            held += [Incidence.of(inc, k.table, k.sums[0], parts, hub_incidences) for inc, k in zip((rep_inc, uni_inc), first, strict=True)]
-            to_unique, to_replica = held
-            total_rep = kept_rep.table.count() if trace else None
+            rep, uni = (_Population(x, inc, side, parts) for x, inc, side in ((v, e) if unique_side == EDGE else (e, v)))
+            for population, (_, inc, side) in zip((rep, uni), (v, e) if unique_side == EDGE else (e, v), strict=True):
+                inc = inc.select("src", "dst") if side.to is None else inc
+                held.append(Incidence.of(inc, population.base.table, population.base.sums["degrees"], parts, hub_incidences))
+            narrow = False
             while limit is None or done < limit:
-                replicas, uniques = half_step(replicas, to_unique, uniques, rep_side, uni_side, program, done)
-                now = _Kept(uniques, active, everything)
-                kept_uni.drop()
-                kept_uni, uniques = now, now.table
-                rows.append((done, n_active, total_rep, *now.sums))
-                uniques, replicas = half_step(uniques, to_replica, replicas, uni_side, rep_side, program, done)
-                now = _Kept(replicas, active, everything)
-                kept_rep.drop()
-                kept_rep, replicas = now, now.table
+                counts, wrote = [], 0
+                for sender, receiver, incidence in ((rep, uni, held[0]), (uni, rep, held[1])):
+                    share = (rep.active + uni.active) / max(1, rep.total + uni.total)
+                    if settles and share < (2 * sparse if narrow else sparse):
+                        narrow = True
+                        rep.narrow()
+                        uni.narrow()
+                    else:
+                        narrow = False
+                        rep.widen()
+                        uni.widen()
+                    counts.append(sender.active)
+                    if sender.active:
+                        active = sender.speakers()
+                        ids = [r["id"] for r in active.select("id").collect()] if narrow and sender.active <= FEW_SENDERS else None
+                        inbox, heard = gather(messages(active, incidence, sender.side, done, ids), program, receiver.side)
+                        wrote += receiver.hear_few(inbox, heard) if narrow else receiver.hear_all(inbox, heard)
+                        wrote += sender.has_sent()
+                rows.append((done, counts[0], rep.total, counts[1], uni.total))
+                written.append(wrote)
                 done += 1
-                n_active, n_waiting = now.sums[0], kept_uni.sums[0] if uni_side.stays_active else 0
-                if not (n_active or n_waiting):
+                if not (rep.active or uni.active):
                     settled = True
                     break
+            replicas, uniques = rep.whole(), uni.whole()
         finally:
             for incidence in held:
                 incidence.release()
-    vertices, hyperedges = (replicas, uniques) if unique_side == EDGE else (uniques, replicas)
-    shown = ["id", "value", "active"]
+    of = {VERTEX: (uniques, uni) if unique_side == VERTEX else (replicas, rep), EDGE: (uniques, uni) if unique_side == EDGE else (replicas, rep)}
+    shown = {side: table.select("id", *population.side.starting(), "active") for side, (table, population) in of.items()}
     counts = spark.createDataFrame(rows, "superstep int, active_replicas long, total_replicas long, active_uniques long, total_uniques long") if trace else None
-    return Result(vertices.select(shown), hyperedges.select(shown), done, settled, counts)
+    return Result(shown[VERTEX], shown[EDGE], done, settled, counts, tuple(written))
