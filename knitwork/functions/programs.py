@@ -46,13 +46,18 @@ def _distance_side(length: Column | None, source: int | None) -> Side:
     cost = F.col("value") if length is None else F.col("value") + length
     return Side(
         initial=lambda: start, message=lambda _: cost, apply=lambda: F.least("value", "inbox"), activate=lambda: F.col("value").isNull() | (F.col("inbox") < F.col("value")),
-        starts_active=lambda: at_source,
+        starts_active=lambda: at_source, due=lambda: cost,
     )
 
 
-def shortest_path_program(source: int = 0) -> HyperProgram:
-    """Least sum of the lengths of hyperedges crossed; a hyperedge's own value is what it costs to reach it."""
-    return HyperProgram(vertex=_distance_side(None, source), edge=_distance_side(F.coalesce(F.col("weight").cast("long"), F.lit(1)), None), reduce=F.min)
+def shortest_path_program(source: int = 0, delta: int | None = None) -> HyperProgram:
+    """Least sum of the lengths of hyperedges crossed; a hyperedge's own value is what it costs to reach it.
+
+    With ``delta``, lengths are taken in buckets of that width (delta-stepping): nothing is sent whose length lies beyond the bucket of the
+    least one. So incidences of light hyperedges are followed within a bucket, heavy ones once their bucket comes, when their start has
+    usually become final.
+    """
+    return HyperProgram(bucket=delta, vertex=_distance_side(None, source), edge=_distance_side(F.coalesce(F.col("weight").cast("long"), F.lit(1)), None), reduce=F.min)
 
 
 def _most_frequent(sent: DataFrame) -> DataFrame:
@@ -84,8 +89,8 @@ def connected_components(graph: Hypergraph, limit: int | None = None, unique_sid
     return run(graph, components_program(unique_side), unique_side, limit, trace)
 
 
-def shortest_path(graph: Hypergraph, source: int = 0, limit: int | None = None, unique_side: str = VERTEX, trace: bool = False) -> Result:
-    return run(graph, shortest_path_program(source), unique_side, limit, trace)
+def shortest_path(graph: Hypergraph, source: int = 0, limit: int | None = None, unique_side: str = VERTEX, trace: bool = False, delta: int | None = None) -> Result:
+    return run(graph, shortest_path_program(source, delta), unique_side, limit, trace)
 
 
 def label_propagation(graph: Hypergraph, supersteps: int, unique_side: str = EDGE, strict: bool = False, trace: bool = False) -> Result:

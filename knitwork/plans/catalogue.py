@@ -7,7 +7,6 @@ All queries read their tables whole.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knitwork.functions.programs import ALPHA, PAGE_RANK, components_program, connected_components, label_program, label_propagation, page_rank, run_algorithm, shortest_path, shortest_path_program
-from knitwork.operators import layout, placement
+from knitwork.operators import forests, layout, placement
 from knitwork.plans.supersteps import EDGE, VERTEX, HyperProgram, Incidence, Side, half_step, initial_state, run
 from knitwork.sources import adjacency_text, placement_files
 from knitwork.sources.hypergraph import Hypergraph, from_table
-from knitwork.sources.shared import shared_root
+from knitwork.sources.shared import scratch
 
 PARTS, BULK_QUANTITY = 4, 46
+#: Links that one task takes all of in components by forests, so few that these tables go through levels too; width of a bucket of path lengths.
+FOREST_LINKS, BUCKET = 20_000, 4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,15 +142,11 @@ def _placed(spark: SparkSession, sf_dir: str) -> tuple[Hypergraph, DataFrame, Da
 def _by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A placement given by files: orders by the first digit of their priority."""
     given = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("long").alias("part"))
-    folder = _scratch(spark, "placement", sf_dir)
+    folder = scratch(spark, "placement")
     placement_files.write_placement(given, folder)
     return placement.by_table(order_part(spark, sf_dir).hyperedges, placement_files.read_placement(spark, folder))
 
 
-def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
-    return f"{shared_root(spark)}/knitwork-{kind}/{uuid.uuid5(uuid.NAMESPACE_URL, sf_dir).hex}"
-
-
 def _nations(spark: SparkSession, sf_dir: str) -> Hypergraph:
     """NC with all nations, each as heavy as its number."""
     g = nation_customer(spark, sf_dir)
@@ -159,7 +156,7 @@ def _nations(spark: SparkSession, sf_dir: str) -> Hypergraph:
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NC written as weighted text and read back: both incidences and the weights of nations."""
-    path = _scratch(spark, "text", sf_dir)
+    path = scratch(spark, "text")
     adjacency_text.write_adjacency(_nations(spark, sf_dir), path, weighted=True)
     back = adjacency_text.read_adjacency(spark, path)
     row = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).cast("long").alias("b"))
@@ -171,7 +168,7 @@ def _last_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, customers = _nations(spark, sf_dir), _table(spark, sf_dir, "customer")
     own = F.round(F.abs("c_acctbal")).cast("long").cast("string").alias("weight")
     there = customers.select(F.col("c_custkey").cast("long").alias("v"), F.col("c_nationkey").cast("long").alias("e"), own)
-    path = _scratch(spark, "weighted-text", sf_dir)
+    path = scratch(spark, "weighted-text")
     adjacency_text.write_adjacency(Hypergraph(g.vertices, g.hyperedges, there, g.e2v.withColumn("weight", F.lit("1"))), path, weighted=True)
     back = adjacency_text.read_adjacency(spark, path)
     return back.hyperedges.select("id", F.col("weight").cast("long").alias("weight"))
@@ -186,21 +183,21 @@ def _cut(spark: SparkSession, sf_dir: str) -> layout.Layout:
 
 
 def _written(spark: SparkSession, sf_dir: str, graph: Hypergraph, kind: str) -> layout.Layout:
-    path = _scratch(spark, kind, sf_dir)
+    path = scratch(spark, kind)
     layout.write(layout.build(graph, PARTS), path, "overwrite")
     return layout.read(spark, path)
 
 
 def _layout_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the uniques of a layout, through the text that it is exported to."""
-    path = _scratch(spark, "weights", sf_dir)
+    path = scratch(spark, "weights")
     layout.write_weights(layout.build(order_part_weighted(spark, sf_dir), PARTS), path, "overwrite")
     return layout.read_weights(spark, f"{path}/unique_weights").select(F.col("part").cast("long").alias("part"), "id", F.col("weight").cast("long").alias("weight"))
 
 
 def _partitioned(spark: SparkSession, sf_dir: str) -> Hypergraph:
     """NC written as text, cut by the ``partition`` command and read back."""
-    path = _scratch(spark, "commands", sf_dir)
+    path = scratch(spark, "commands")
     adjacency_text.write_adjacency(_nations(spark, sf_dir), f"{path}/text", weighted=True)
     return layout.to_hypergraph(layout.partition(spark, f"{path}/text", PARTS, f"{path}/layout", mode="overwrite"))
 
@@ -343,6 +340,15 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "page_rank_dual": (lambda s, d: _rounded(page_rank(op(s, d).dual(), 2).vertices), _rank_sql(2, dual=True)),
         "page_rank_isolated": (lambda s, d: _rounded(page_rank(order_part_isolated(s, d).dual(), 2).vertices), f"SELECT o_orderkey AS id, coalesce(value, 1.0) AS value FROM orders LEFT JOIN ({_rank_sql(2, dual=True)}) ON id = o_orderkey"),
         "cc_fixpoint": (lambda s, d: _values(connected_components(op(s, d)).vertices), _component_ctes(_OP) + _MEMBER_SQL.format(odd=1)),
+        "cc_forests": (lambda s, d: _values(forests.connected(op(s, d), FOREST_LINKS).vertices), _component_ctes(_OP) + _MEMBER_SQL.format(odd=1)),
+        "cc_forests_isolated": (
+            lambda s, d: _values(forests.connected(order_part_isolated(s, d), FOREST_LINKS).hyperedges),
+            _component_ctes(_OP) + f" SELECT o_orderkey AS id, coalesce(value, o_orderkey) AS value FROM orders LEFT JOIN ({_MEMBER_SQL.format(odd=0)}) ON id = o_orderkey",
+        ),
+        "sssp_buckets": (
+            lambda s, d: _values(shortest_path(order_part_weighted(s, d), _SOURCE, delta=BUCKET).vertices),
+            _path_ctes(str(_SOURCE), _OP) + " SELECT v AS id, d AS value FROM (SELECT DISTINCT v FROM inc) LEFT JOIN sp ON sp.id = v AND EXISTS (SELECT 1 FROM inc WHERE v = 0)",
+        ),
         "cc_component_sizes": (
             lambda s, d: connected_components(nation_customer(s, d)).vertices.groupBy("value").agg(F.count("*").alias("n")),
             "SELECT c_nationkey AS value, count(*) AS n FROM customer GROUP BY 1",

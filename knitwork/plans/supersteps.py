@@ -82,7 +82,8 @@ class Side:
     ``around`` adds aggregates over an element's own incidences, of dst and of attributes that incidences have. ``to`` makes messages addressed:
     it and ``message`` are evaluated for each incidence, with dst and its attributes in scope, and ``to`` is the id of the receiver, of any
     element of the other side, or null for no message. Messages to ids that do not exist are lost. ``inbox`` gives what this side hears as
-    several aggregates by name, over the fields of the messages that it gets; their names are not those of its state.
+    several aggregates by name, over the fields of the messages that it gets; their names are not those of its state. ``due`` is a number that
+    says when an active element sends, in programs with buckets.
     """
 
     initial: Callable[[], Fields]
@@ -97,6 +98,7 @@ class Side:
     around: Callable[[], Mapping[str, Column]] = field(default=dict)
     state: str | None = None
     inbox: Callable[[], Mapping[str, Column]] | None = None
+    due: Callable[[], Column] | None = None
 
     def starting(self) -> dict[str, Column]:
         """Start values by field, with the declared types."""
@@ -123,6 +125,9 @@ class HyperProgram:
     ``combine``, where given, replaces the whole grouping of (dst, message) rows into (dst, inbox). ``merge`` is a Python function from an
     Arrow table of dst and message fields to one with the same columns and one row for each dst; it has to be associative, as it is applied
     to parts of the rows before the exchange and to their results after it. The aggregates then see its rows.
+
+    With ``bucket``, a superstep lets only those active elements send that are due within the bucket, of that width, of the least one due;
+    the others stay active.
     """
 
     vertex: Side
@@ -131,12 +136,13 @@ class HyperProgram:
     combine: Callable[[DataFrame], DataFrame] | None = None
     needs_limit: bool = False
     merge: Callable[[pa.Table], pa.Table] | None = None
+    bucket: float | None = None
 
 
 @dataclass(frozen=True)
 class Result:
     """Final (id, fields of the state, active) of both sides, the number of supersteps, whether nothing was active at the end, activity
-    counts, and how many rows of states each superstep wrote."""
+    counts, and for each superstep how many rows of states it wrote and, if they were counted, how many messages it sent."""
 
     vertices: DataFrame
     hyperedges: DataFrame
@@ -144,6 +150,7 @@ class Result:
     converged: bool
     trace: DataFrame | None
     written: tuple[int, ...] = ()
+    messages: tuple[int, ...] = ()
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Both sides, and the trace if there is one, as Parquet."""
@@ -308,11 +315,12 @@ def half_step(senders: DataFrame, incidence: Incidence, receivers: DataFrame, se
     return _sent(senders, sender), received
 
 
-def _sent(senders: DataFrame, sender: Side) -> DataFrame:
-    """Senders afterwards."""
+def _sent(senders: DataFrame, sender: Side, bound: float | None = None) -> DataFrame:
+    """Senders afterwards. Those that are due later have not sent."""
+    now = F.lit(True) if bound is None else sender.due() < bound
     after = {} if sender.after_send is None else _named(sender.after_send(), "value")
-    after = {name: F.when(F.col("active") & sender.can_send(), value).otherwise(F.col(name)) for name, value in after.items()}
-    return senders.withColumns({**after, "active": F.col("active") & F.lit(sender.stays_active)})
+    after = {name: F.when(F.col("active") & now & sender.can_send(), value).otherwise(F.col(name)) for name, value in after.items()}
+    return senders.withColumns({**after, "active": F.col("active") & (~now | F.lit(sender.stays_active))})
 
 
 def initial_state(elements: DataFrame, incidence: DataFrame, side: Side) -> DataFrame:
@@ -332,6 +340,7 @@ class _Population:
         self.total, self.active = self.base.sums["rows"], self.base.sums["active"]
         self.table: DataFrame | None = self.base.table  # full state; None while only changes are written
         self.changes: list[_Kept] = []
+        self.retired: list[_Kept] = []  # merged into others, but active elements may still be read from them
         self.front: DataFrame | None = None  # active elements, while only changes are written
 
     @property
@@ -366,21 +375,17 @@ class _Population:
         """From now on only changes are written."""
         if self.table is None:
             return
-        if self.table is not self.base.table:  # has sent since it was written
-            if self.side.after_send is not None and self.sent:
-                self._keep(self.table)
-            else:
-                self.table = self.base.table.withColumn("active", F.lit(False)) if self.sent else self.base.table
+        if self.sent and self.side.after_send is not None:
+            self._keep(self.table)
         self.front, self.table = self.table.filter("active"), None
 
     def widen(self) -> None:
         """Full states again."""
         if self.table is None:
-            changes, full = self.changes, self.whole()
-            self._keep(full)
-            for change in changes:
+            self._keep(self.whole())
+            for change in (*self.changes, *self.retired):
                 change.drop()
-            self.changes, self.front = [], None
+            self.changes, self.retired, self.front = [], [], None
 
     #: Whether the side has sent since its state was written, and whether the active ones are read from several tables of changes.
     sent = quiet = False
@@ -429,28 +434,36 @@ class _Population:
             parts = [c.table.select("id", F.lit(k).alias("turn_"), self._packed().alias("state_")) for k, c in enumerate(self.changes)]
             last = fold(DataFrame.unionByName, parts).groupBy("id").agg(F.max_by("state_", "turn_").alias("state_"))
             merged = _Kept(last.select(*(F.col("state_")[c].alias(c) if c != "id" else F.col("id") for c in self.columns)))
+            # the active ones are read from the table that was written last, so that one stays, and if some heard nothing, from any
+            self.retired += self.changes[:-1]
             if not self.quiet:
-                for change in self.changes[:-1]:
+                for change in self.retired:
                     change.drop()
-            # the active ones are read from the table that was written last, so that one stays
+                self.retired = []
             self.changes = [merged, self.changes[-1]]
             return written + merged.sums["rows"]
         return written
 
-    def has_sent(self) -> int:
-        """Active elements have sent. Rows written."""
+    def due(self) -> float | None:
+        """When the first of the active ones is due."""
+        return self.speakers().agg(F.min(self.side.due())).collect()[0][0] if self.active else None
+
+    def has_sent(self, bound: float | None = None) -> int:
+        """Active elements have sent, if they were due. Rows written."""
+        waiting = 0 if bound is None else self.speakers().filter(self.side.due() >= bound).count()
         if self.table is not None:
-            self.table, self.sent = _sent(self.table, self.side), True
-            self.active = self.active if self.side.stays_active else 0
+            self.table, self.sent = _sent(self.table, self.side, bound), True
+            self.active = self.active if self.side.stays_active else waiting
             return 0
         written = 0
-        if self.side.after_send is not None and self.active:
-            written = self._add(_Kept(_sent(self.front, self.side)))
-        self.front, self.active = self.base.table.limit(0) if self.front is None else self.front.filter(F.lit(False)), 0
+        front = self.front if bound is None else self.front.filter(self.side.due() < bound)
+        if self.side.after_send is not None and self.active > waiting:
+            written = self._add(_Kept(_sent(front, self.side)))
+        self.front, self.active = self.front.filter(F.lit(False) if bound is None else self.side.due() >= bound), waiting
         return written
 
 
-def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, hub_incidences: int = HUB_INCIDENCES, sparse: float = SPARSE) -> Result:
+def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, hub_incidences: int = HUB_INCIDENCES, sparse: float = SPARSE, count_messages: bool = False) -> Result:
     """Run supersteps until nothing is active or ``limit`` of them are done; programs that never settle need a limit.
 
     A superstep is two jobs, each of which checkpoints the side that received, all of it or what changed, and counts its active elements on
@@ -468,7 +481,7 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
     v, e = (graph.vertices, v2e, program.vertex), (graph.hyperedges, e2v, program.edge)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     settles = not (program.vertex.stays_active or program.edge.stays_active)
-    rows, done, settled, held, written = [], 0, False, [], []
+    rows, done, settled, held, written, n_sent = [], 0, False, [], [], []
     with _fixed_plans(spark):
         try:
             rep, uni = (_Population(x, inc, side, parts) for x, inc, side in ((v, e) if unique_side == EDGE else (e, v)))
@@ -477,7 +490,9 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
                 held.append(Incidence.of(inc, population.base.table, population.base.sums["degrees"], parts, hub_incidences))
             narrow = False
             while limit is None or done < limit:
-                counts, wrote = [], 0
+                counts, wrote, said, bound = [], 0, 0, None
+                if program.bucket is not None and (first := [t for t in (rep.due(), uni.due()) if t is not None]):
+                    bound = (min(first) // program.bucket + 1) * program.bucket
                 for sender, receiver, incidence in ((rep, uni, held[0]), (uni, rep, held[1])):
                     share = (rep.active + uni.active) / max(1, rep.total + uni.total)
                     if settles and share < (2 * sparse if narrow else sparse):
@@ -489,14 +504,19 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
                         rep.widen()
                         uni.widen()
                     counts.append(sender.active)
-                    if sender.active:
-                        active = sender.speakers()
+                    if sender.active and (bound is None or sender.due() < bound):
+                        active = sender.speakers() if bound is None else sender.speakers().filter(sender.side.due() < bound)
                         ids = [r["id"] for r in active.select("id").collect()] if narrow and sender.active <= FEW_SENDERS else None
-                        inbox, heard = gather(messages(active, incidence, sender.side, done, ids), program, receiver.side)
+                        sent = messages(active, incidence, sender.side, done, ids)
+                        if count_messages:
+                            sent = sent.observe(seen := Observation(), F.count("*").alias("n"))
+                        inbox, heard = gather(sent, program, receiver.side)
                         wrote += receiver.hear_few(inbox, heard) if narrow else receiver.hear_all(inbox, heard)
-                        wrote += sender.has_sent()
+                        said += seen.get["n"] if count_messages else 0
+                        wrote += sender.has_sent(bound)
                 rows.append((done, counts[0], rep.total, counts[1], uni.total))
                 written.append(wrote)
+                n_sent.append(said)
                 done += 1
                 if not (rep.active or uni.active):
                     settled = True
@@ -508,4 +528,4 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
     of = {VERTEX: (uniques, uni) if unique_side == VERTEX else (replicas, rep), EDGE: (uniques, uni) if unique_side == EDGE else (replicas, rep)}
     shown = {side: table.select("id", *population.side.starting(), "active") for side, (table, population) in of.items()}
     counts = spark.createDataFrame(rows, "superstep int, active_replicas long, total_replicas long, active_uniques long, total_uniques long") if trace else None
-    return Result(shown[VERTEX], shown[EDGE], done, settled, counts, tuple(written))
+    return Result(shown[VERTEX], shown[EDGE], done, settled, counts, tuple(written), tuple(n_sent) if count_messages else ())

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_SCRATCH: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,3 +31,30 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any file system that Spark reaches."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, deleted by ``release`` or at exit."""
+    path = f"{shared_root(spark)}/knitwork-{label}/{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: without lineage, and there when executors are lost."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``scratch`` and ``written`` made so far, once it has been used."""
+    while _SCRATCH:
+        delete(spark, _SCRATCH.pop())
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    with contextlib.suppress(Exception):
+        if spark := SparkSession.getActiveSession():
+            release(spark)
