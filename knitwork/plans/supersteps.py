@@ -160,9 +160,11 @@ class Result:
 
 
 @contextmanager
-def _fixed_plans(spark: SparkSession) -> Iterator[None]:
+def _fixed_plans(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
     """Plans made here keep the partitioning that they start from: it is chosen once, for states and incidences alike."""
     wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.inMemoryColumnarStorage.batchSize": str(CHUNKS_TOGETHER)}
+    if parts is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(parts)
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -214,13 +216,15 @@ class Incidence:
     chunked: bool = False
 
     @staticmethod
-    def of(rows: DataFrame, state: DataFrame, total: int, parts: int, floor: int) -> Incidence:
-        """Kept in memory and on disk, recomputed from the source if an executor is lost. ``state`` has the degrees."""
+    def of(rows: DataFrame, state: DataFrame, total: int, parts: int, floor: int, stored: bool = False) -> Incidence:
+        """Kept in memory and on disk, recomputed from the source if an executor is lost. ``state`` has the degrees. ``stored`` rows already
+        lie in ``parts`` buckets by sender."""
         most = max(floor, total // parts)
         hubs = tuple(r["id"] for r in state.filter(F.col("degree") > most).select("id").collect()) if total > floor else ()
         own = F.col("src").isin(*hubs) if hubs else F.lit(False)
         keep = lambda x: x.persist(StorageLevel.MEMORY_AND_DISK)
-        dealt = _chunks(rows.filter(~own).repartition(parts, "src"), ["src"]).sortWithinPartitions("src")
+        others = rows.filter(~own) if hubs else rows
+        dealt = _chunks(others if stored else others.repartition(parts, "src"), ["src"]).sortWithinPartitions("src")
         shared = rows.filter(own).withColumn("share_", F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int"))
         return Incidence(keep(dealt), hubs, keep(_chunks(shared.repartition(parts, "src", "share_"), ["src", "share_"])) if hubs else None, True)
 
@@ -479,15 +483,15 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
     v2e = graph.v2e.withColumnsRenamed({"v": "src", "e": "dst"})
     e2v = graph.e2v.withColumnsRenamed({"e": "src", "v": "dst"})
     v, e = (graph.vertices, v2e, program.vertex), (graph.hyperedges, e2v, program.edge)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = graph.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     settles = not (program.vertex.stays_active or program.edge.stays_active)
     rows, done, settled, held, written, n_sent = [], 0, False, [], [], []
-    with _fixed_plans(spark):
+    with _fixed_plans(spark, parts):
         try:
             rep, uni = (_Population(x, inc, side, parts) for x, inc, side in ((v, e) if unique_side == EDGE else (e, v)))
             for population, (_, inc, side) in zip((rep, uni), (v, e) if unique_side == EDGE else (e, v), strict=True):
                 inc = inc.select("src", "dst") if side.to is None else inc
-                held.append(Incidence.of(inc, population.base.table, population.base.sums["degrees"], parts, hub_incidences))
+                held.append(Incidence.of(inc, population.base.table, population.base.sums["degrees"], parts, hub_incidences, graph.buckets > 0))
             narrow = False
             while limit is None or done < limit:
                 counts, wrote, said, bound = [], 0, 0, None

@@ -5,6 +5,10 @@ incidences, hyperedges and hyperedge incidences; then the start offset of each
 vertex, its neighbours, in the weighted kind a weight per neighbour, and the
 same for hyperedges. A weight belongs to the element that the incidence points
 at; of several the one on the last line counts.
+
+The text is scanned twice, once to count the lines of each split and once to number
+them; the numbered lines are written as a table in order of lines, and each section
+is read from it by its range of lines, of which other row groups are skipped.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knitwork.sources.hypergraph import MOST_ID, Hypergraph
+from knitwork.sources.shared import written
 
 # The two kinds of file.
 PLAIN, WEIGHTED = "AdjacencyHypergraph", "WeightedAdjacencyHypergraph"
@@ -61,7 +66,7 @@ def _side(lines: DataFrame, begin: int, n: int, m: int, weighted: bool, own: str
 
 def read_adjacency(spark: SparkSession, path: str, strict: bool = True) -> Hypergraph:
     """Read the format; ``strict`` raises on anything but unsigned 32-bit numbers, else such entries become null."""
-    lines = numbered_lines(spark, path)
+    lines = written(numbered_lines(spark, path), "lines")
     head = {r["line"]: r["text"] for r in lines.filter("line < 5").collect()}
     kind = (head.get(0) or "").strip()
     if kind not in (PLAIN, WEIGHTED):

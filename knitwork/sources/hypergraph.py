@@ -13,18 +13,22 @@ MOST_ID = 4294967294
 
 @dataclass(frozen=True)
 class Hypergraph:
-    """``vertices`` and ``hyperedges`` (id, weight); ``v2e`` (v, e) and ``e2v`` (e, v), both multisets."""
+    """``vertices`` and ``hyperedges`` (id, weight); ``v2e`` (v, e) and ``e2v`` (e, v), both multisets.
+
+    ``buckets`` is the number of buckets by sender that the incidences are stored in, 0 if they are not.
+    """
 
     vertices: DataFrame
     hyperedges: DataFrame
     v2e: DataFrame
     e2v: DataFrame
+    buckets: int = 0
 
     def dual(self) -> Hypergraph:
         """Vertices and hyperedges change places."""
         return Hypergraph(
             self.hyperedges, self.vertices,
-            self.e2v.select(F.col("e").alias("v"), F.col("v").alias("e")), self.v2e.select(F.col("v").alias("e"), F.col("e").alias("v")),
+            self.e2v.select(F.col("e").alias("v"), F.col("v").alias("e")), self.v2e.select(F.col("v").alias("e"), F.col("e").alias("v")), self.buckets,
         )
 
     def vertex_degree(self) -> DataFrame:
@@ -52,6 +56,21 @@ class Hypergraph:
         for name in ("vertices", "hyperedges", "v2e", "e2v"):
             getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
 
+    def save_bucketed(self, name: str, buckets: int | None = None, mode: str = "errorifexists") -> Hypergraph:
+        """Tables ``name_vertices`` and so on, with incidences in sorted buckets by sender. Programs that run over what is returned, or what
+        ``bucketed`` reads, use the buckets as they are: incidences are not exchanged again."""
+        n = buckets or int(self.v2e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        for part, rows, sender in (("v2e", self.v2e, "v"), ("e2v", self.e2v, "e")):
+            rows.repartition(n, sender).write.mode(mode).bucketBy(n, sender).sortBy(sender).saveAsTable(f"{name}_{part}")
+        for part in ("vertices", "hyperedges"):
+            getattr(self, part).write.mode(mode).saveAsTable(f"{name}_{part}")
+        return bucketed(self.v2e.sparkSession, name, n)
+
+
+def bucketed(spark: SparkSession, name: str, buckets: int) -> Hypergraph:
+    """What ``save_bucketed`` stored, in so many buckets."""
+    return Hypergraph(*(spark.table(f"{name}_{part}") for part in ("vertices", "hyperedges", "v2e", "e2v")), buckets)
+
 
 def _degree(elements: DataFrame, inc: DataFrame, side: str) -> DataFrame:
     counts = inc.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("degree"))

@@ -8,6 +8,7 @@ from knitwork.functions.programs import components_program, shortest_path_progra
 from knitwork.plans import catalogue
 from knitwork.plans.supersteps import EDGE, VERTEX, HyperProgram, Incidence, Side, gather, initial_state, messages, ranges_of, run
 from knitwork.plans.supersteps import _fixed_plans as fixed_plans
+from knitwork.sources import adjacency_text
 from knitwork.sources.hypergraph import Hypergraph, from_table
 
 
@@ -155,3 +156,39 @@ def test_python_reduction_is_associative():
     assert whole.to_pylist() == catalogue.largest_three(parts).to_pylist()
     assert [[x["id"] for x in r["message"]] for r in whole.to_pylist()] == [[3, 0, 1], [2]]
 
+
+def exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Exchange" in line and "hashpartitioning(" in line]
+
+
+def test_stored_buckets_are_not_exchanged_again(spark):
+    g = chain(spark, 4, 3)
+    stored = g.save_bucketed("chain_of_test", 3, mode="overwrite")
+    inc = stored.v2e.withColumnsRenamed({"v": "src", "e": "dst"})
+    with fixed_plans(spark, 3):
+        state = initial_state(stored.vertices.repartition(3, "id"), inc, shortest_path_program(0).vertex)
+        assert not [x for x in exchanges(state) if "src" in x or "v#" in x]
+        kept = Incidence.of(inc, state, 60, 3, 1_000_000, stored=True)
+        assert exchanges(kept.dealt) == []
+        joined = messages(state.filter("active"), kept, shortest_path_program(0).vertex)
+        assert len(exchanges(joined)) == 1  # that of the elements
+        kept.release()
+    found = run(stored, shortest_path_program(0), VERTEX)
+    assert by_id(found.vertices, "value") == {k: (k,) for k in range(5)} | {14 + k: (None,) for k in range(3)}
+    for part in ("vertices", "hyperedges", "v2e", "e2v"):
+        spark.sql(f"DROP TABLE chain_of_test_{part}")
+
+
+def test_text_is_scanned_twice(spark, tmp_path):
+    g = chain(spark, 12)
+    path = f"file://{tmp_path}/text"
+    adjacency_text.write_adjacency(g, path)
+    numbered = adjacency_text.numbered_lines(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert numbered.count("text") and numbered.count("Relation [") + numbered.count("Relation[") == 2
+    back = adjacency_text.read_adjacency(spark, path)
+    for table in (back.v2e, back.e2v, back.vertices, back.hyperedges):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" not in plan
+    assert "PushedFilters: [IsNotNull(line), GreaterThanOrEqual(line" in back.v2e._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, back.v2e.collect())) == sorted(map(tuple, g.v2e.collect()))
