@@ -34,7 +34,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(read(spark, sf_dir, "documents"), width=4, num=85, den=100).drop("text_key")
+    return ngram_join.classes(read(spark, sf_dir, "documents"), width=4, num=85, den=100, count_links=True).drop("text_key")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ WITH RECURSIVE fold AS (
 ), links AS (
   SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)
 ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = d.doc_id LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
 OP7_SQL = r"""

@@ -15,6 +15,11 @@ verified links, and then all pairs across different components are looked at. So
 no link between components is lost, while a large group of copies costs a few
 pairs per document.
 
+Links within components are counted afterwards, each pair of nodes once: all nodes
+of a component are compared with each other by products of their incidence with
+n-grams, in blocks of bounded size, a large component in pairs of blocks. That
+names no pair, only numbers; n-grams of a few nodes are paired directly.
+
 An n-gram that the counts show in many documents is dealt to several tasks, each
 with an original of its own; these are paired with the first of them. Elsewhere
 tables are written before they meet a table with a hot key, so that Spark knows
@@ -30,7 +35,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +59,8 @@ CACHE_WORDS = 100_000
 PIECE_BYTES = 4_000_000
 #: Documents with an n-gram that go to one task, about, and how far above the mean a counter has to be for its n-grams to be split.
 BUCKET, HOT_FACTOR = 1024, 8
+#: Nodes and n-grams of a block within which links are counted, about; n-grams counted by one product; and nodes up to which an n-gram's are paired.
+BLOCK_NODES, BLOCK_GRAMS, COLUMNS, RARE = 1024, 1_000_000, 2048, 8
 #: Ranges of the hash (by its first byte) that the suffix filter counts by.
 RANGES = 256
 
@@ -313,9 +320,12 @@ class _Verifier:
         self._done: DataFrame | None = None
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
-        """Whole sets of the nodes that occur in pairs, made again from the texts of one document each."""
+        """Whole sets of the nodes that occur in pairs."""
+        return self.sets_of(pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct())
+
+    def sets_of(self, needed: DataFrame) -> DataFrame:
+        """Whole sets of documents, made again from their texts."""
         width = self._width
-        needed = pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces_of(batches, PIECE_BYTES):
@@ -389,14 +399,107 @@ def _as_links(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
 
 
-def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, counters: int = COUNTERS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, for links where den * common >= num * union; ``text_key`` is the xxhash64 of its text."""
+def common_ngrams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams the sets at ``left`` and those at ``right`` have in common, as a matrix."""
+    node = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, node = flat[order], node[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    sizes = np.diff(np.append(starts, len(flat)))
+    row, col = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros(len(left) * len(right), np.int64)
+    for d in range(2, RARE + 1):
+        of = node[starts[sizes == d][:, None] + np.arange(d)]
+        for a in range(d):
+            for b in range(d):
+                r, c = row[of[:, a]], col[of[:, b]]
+                fine = (r >= 0) & (c >= 0)
+                out += np.bincount(r[fine] * len(right) + c[fine], minlength=len(out))
+    out = out.reshape(len(left), len(right))
+    frequent = np.flatnonzero(sizes > RARE)
+    column = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(frequent), COLUMNS):
+        some = frequent[at : at + COLUMNS]
+        place = np.full(len(sizes), -1)
+        place[some] = np.arange(len(some))
+        lo, hi = starts[some[0]], starts[some[-1]] + sizes[some[-1]]
+        of, where = node[lo:hi], place[column[lo:hi]]
+        of, where = of[where >= 0], where[where >= 0]
+        has = np.zeros((len(sets), len(some)), np.float32)  # sums below 2^24 are exact
+        has[of, where] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _block_links(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, whole: bool, num: int, den: int) -> np.ndarray:
+    """Documents that each set links to: within one block, or between those of the first block and the others."""
+    left, right = (np.arange(len(sets)),) * 2 if whole else (np.flatnonzero(first), np.flatnonzero(~first))
+    links = np.zeros(len(sets), np.int64)
+    if not (left.size and right.size):
+        return links
+    n = np.array(list(map(len, sets)), np.int64)
+    common = common_ngrams(sets, left, right)
+    linked = common * den >= (n[left][:, None] + n[right] - common) * num
+    if whole:
+        linked &= left[:, None] != right
+        links += linked @ copies
+    else:
+        links[left] += linked @ copies[right]
+        links[right] += linked.T @ copies[left]
+    return links
+
+
+def link_numbers(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(f1, f2, links): documents of other nodes that a node links to. ``nodes`` have f1, f2, rep, n, copies and component; ``sets`` gives
+    (f1, f2, grams) of nodes by their rep."""
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_grams")).filter("n_nodes > 1")
+    blocks = F.ceil(F.greatest(F.col("n_nodes") / BLOCK_NODES, F.col("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    sizes = stored(sizes.select("component", blocks), "component-sizes")
+    placed = nodes.join(sizes, "component").select("f1", "f2", "rep", "copies", "component", "blocks", F.pmod("f1", "blocks").cast("int").alias("own"))
+    placed = stored(placed, "members")
+    whole = stored(sets(placed.select("rep")).dropDuplicates(["f1", "f2"]), "member-sets")
+    met = placed.drop("rep").join(whole, ["f1", "f2"]).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "f1", "f2", "copies", "grams")
+    dealt = met.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            lo, hi = rows[0][1:3]
+            first = np.array([r[3] == lo for r in rows])
+            links = _block_links([r[7] for r in rows], np.array([r[6] for r in rows], np.int64), first, lo == hi, num, den)
+            return pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows]), pa.array([r[5] for r in rows]), pa.array(links)], names=["f1", "f2", "links"])
+
+        for batch in batches:
+            grams = batch.column("grams")
+            cuts, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+            # a copy, so that a batch is not held for one of its rows
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("component", "lo", "hi", "own", "f1", "f2", "copies")), strict=True)):
+                if held and held[0][:3] != row[:3]:
+                    yield told(held)
+                    held = []
+                held.append((*row, flat[cuts[k] : cuts[k + 1]].copy()))
+        if held:
+            yield told(held)
+        trim()
+
+    return dealt.mapInArrow(run, "f1 long, f2 long, links long").groupBy("f1", "f2").agg(F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, counters: int = COUNTERS, bucket: int = BUCKET, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, for links where den * common >= num * union; ``text_key`` is the xxhash64 of its text.
+
+    With ``count_links`` also n_links, the number of other documents that it links to; copies count each.
+    """
     spark = docs.sparkSession
     give_back(spark)
     signed = stored(signatures(docs, width, counters), "signatures")
     own = signed.filter("kind = 0")
     usable = own.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("ranges").alias("ranges"))
+    nodes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("ranges").alias("ranges"), F.count("*").alias("copies"))
     nodes = stored(nodes, "nodes")
     # a node goes by its smallest document id, unless that id has other texts too
     doubled = stored(nodes.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("twice")), "doubled")
@@ -418,11 +521,18 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, coun
     rest = verifier.links(_all_pairs(_remaining(buckets, nodes, labels)).filter(_possible(num, den)))
     labels = components(_as_links(labels).unionByName(rest))
 
-    named = nodes.select("f1", "f2", "rep", "node").join(labels, "node", "left").select("f1", "f2", "rep", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("f1", "f2", "rep", "node", "n", "copies").join(labels, "node", "left").select("f1", "f2", "rep", "n", "copies", F.coalesce("component", "node").alias("component"))
+    if count_links:
+        numbers = link_numbers(named, lambda reps: verifier.sets_of(reps.select(F.col("rep").alias("doc_id")).distinct()), num, den)
+        copies = nodes.select("f1", "f2", "copies").join(numbers, ["f1", "f2"], "left").select("f1", "f2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     if doubled.take(1):
         smallest = stored(named.groupBy("component").agg(F.min("rep").alias("smallest")), "smallest-ids")
         named = named.join(smallest, "component").select("f1", "f2", F.col("smallest").alias("component"))
     named = named.select("f1", "f2", "component")
     out = own.select("doc_id", "text_key", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key")
+    shown = ["doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key"]
+    if not count_links:
+        return out.select(*shown)
+    known = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    return out.join(stored(copies, "link-numbers"), ["f1", "f2"], "left").select(*shown, F.coalesce(known, F.lit(0)).alias("n_links"))

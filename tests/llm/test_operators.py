@@ -323,11 +323,13 @@ def brute_classes(texts, width, num, den):
         if x and y and den * len(x & y) >= num * len(x | y):
             ra, rb = sorted((find(a), find(b)))
             root[rb] = ra
-    return {k: (len(sets[k]), find(k)) for k in texts}
+    return {k: (len(sets[k]), find(k)) for k in texts}, sets
 
 
 @pytest.mark.parametrize(("width", "num", "bucket"), [(4, 85, 1024), (5, 80, 3), (2, 60, 1)])
-def test_ngram_join(spark, width, num, bucket):
+def test_ngram_join(spark, width, num, bucket, monkeypatch):
+    """With small buckets also small blocks, so that components are counted in pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", bucket)
     rng = np.random.default_rng(width)
     texts = []
     passage = prose(rng, 60)
@@ -339,8 +341,25 @@ def test_ngram_join(spark, width, num, bucket):
                 w[int(rng.integers(len(w)))] = str(rng.choice(WORDS))
             texts.append(" ".join(w))
     texts += [passage + " " + prose(rng, int(rng.integers(1, 40))) for _ in range(10)] + ["A b", "a B", "a c", "Same Words here", "same words HERE"] + odd_texts()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs(spark, texts), width, num, 100, bucket=bucket).collect()}
-    assert got == brute_classes(dict(enumerate(texts)), width, num, 100)
+    rows = ngram_join.classes(docs(spark, texts), width, num, 100, bucket=bucket, count_links=True).collect()
+    want, sets = brute_classes(dict(enumerate(texts)), width, num, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= num * len(x | y)
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {a: sum(linked(x, y) for b, y in sets.items() if a != b) for a, x in sets.items()}
+
+
+def test_common_ngrams(monkeypatch):
+    """Rare n-grams by pairs and frequent ones by products, in slices of columns, against sets."""
+    rng = np.random.default_rng(12)
+    sets = [np.unique(np.concatenate([rng.integers(-500, 500, 40), rng.integers(0, 30, 25)])) for _ in range(30)]
+    whole = np.array([[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets])
+    every, left, right = np.arange(30), np.arange(0, 30, 3), np.arange(1, 30, 3)
+    for rare, columns in ((8, 2048), (2, 5), (1, 7), (30, 2)):
+        monkeypatch.setattr(ngram_join, "RARE", rare)
+        monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+        got = ngram_join.common_ngrams(sets, every, every)
+        assert (got - np.diag(np.diag(got)) == whole - np.diag(np.diag(whole))).all()
+        assert (ngram_join.common_ngrams(sets, left, right) == whole[np.ix_(left, right)]).all()
 
 
 def test_one_ngram_in_very_many_documents(spark):
@@ -359,8 +378,14 @@ def test_one_ngram_in_very_many_documents(spark):
     assert sizes <= 1.5 * ngram_join.BUCKET
     pairs = ngram_join._first_pairs(ngram_join.shared_buckets(entries, 85, 100)).count()
     assert pairs <= 2 * entries.count()
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(df, 4, 85, 100).collect()}
-    assert got == {k: k if k < 8_000 else 8_000 for k in range(10_000)}
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.classes(df, 4, 85, 100, count_links=True).collect()}
+    assert {k: c for k, (c, _) in got.items()} == {k: k if k < 8_000 else 8_000 for k in range(10_000)}
+    assert {got[k][1] for k in range(8_000)} == {0}
+    # what two of them have in common depends on the places of their changes only, and 25 have theirs at each place
+    grams = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts[8_000:8_160])]
+    linked = [[100 * len(x & y) >= 85 * len(x | y) for y in grams[80:]] for x in grams[:80]]
+    assert all(got[8_000 + k][1] == 25 * sum(linked[k % 80]) - linked[k % 80][k % 80] for k in range(2_000))
+
 
 
 def test_ngram_join_edges(spark):
