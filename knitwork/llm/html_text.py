@@ -9,7 +9,8 @@ aligned by longest common subsequence and shared lines are deleted where the
 structure leaves a doubt: in likely articles and in undecided text. Inside an
 article element a line that a neighbour repeats is kept, because copies and
 reprints of an article under other URLs, licence lines and quotations would
-otherwise lose it. Two pages whose lines are the same throughout are copies:
+otherwise lose it. Where more text is only called an article than article
+elements hold, these are teasers: both are kept, and only the former differenced. Two pages whose lines are the same throughout are copies:
 they say nothing about each other's menus, and nothing is deleted.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags
@@ -22,10 +23,12 @@ page_id, url and html are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,13 +156,34 @@ def blocks(html: str) -> list[tuple[str, int]]:
     return out
 
 
+#: Pairs of equal lines, as a multiple of the lines, from which on the alignment works on whole rows of bits.
+MANY_PAIRS = 20
+
+
 def longest_common(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt-Szymanski: fast where few lines are shared)."""
+    """Positions in ``a`` of a longest common subsequence with ``b``, in memory that grows with the lines.
+
+    Lines that only one page has, then the common beginning and end, are set aside. What is left is aligned pair by pair where few lines are
+    equal (Hunt-Szymanski), else half by half (Hirschberg) with rows of bits.
+    """
+    theirs, ours = set(b), set(a)
+    mine, other = [k for k, line in enumerate(a) if line in theirs], [line for line in b if line in ours]
+    least = min(len(mine), len(other))
+    head = next((k for k in range(least) if a[mine[k]] != other[k]), least)
+    tail = next((k for k in range(least - head) if a[mine[-1 - k]] != other[-1 - k]), least - head)
+    out = {*mine[:head], *mine[len(mine) - tail :]}
+    mine, other = mine[head : len(mine) - tail], other[head : len(other) - tail]
+    left, counts = [a[k] for k in mine], Counter(other)
+    if sum(map(counts.__getitem__, left)) <= MANY_PAIRS * (len(mine) + len(other)):
+        return out | {mine[k] for k in _by_pairs(left, other)}
+    numbers = {line: k for k, line in enumerate({*left, *other})}
+    return out | {mine[k] for k in _by_halves([numbers[x] for x in left], [numbers[x] for x in other])}
+
+
+def _by_pairs(a: list[str], b: list[str]) -> set[int]:
     places: dict[str, list[int]] = {}
     for k, line in enumerate(b):
         places.setdefault(line, []).append(k)
-    from bisect import bisect_left
-
     ends: list[int] = []
     links: list[tuple | None] = []
     for i, line in enumerate(a):
@@ -178,16 +202,58 @@ def longest_common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of longest common subsequences of ``a`` with each beginning of ``b``: a bit per line of b, cleared where the length goes up."""
+    width = len(b) // 8 + 1
+    places: dict[int, bytearray] = {x: bytearray(width) for x in set(a)}
+    for k, x in enumerate(b):
+        if x in places:
+            places[x][k >> 3] |= 1 << (k & 7)
+    masks = {x: int.from_bytes(bits, "little") for x, bits in places.items()}
+    whole = row = (1 << len(b)) - 1
+    for x in a:
+        both = row & masks[x]
+        row = ((row + both) | (row - both)) & whole
+    up = 1 - np.unpackbits(np.frombuffer(row.to_bytes(width, "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64)
+    return np.append(0, np.cumsum(up))
+
+
+def _by_halves(a: list[int], b: list[int]) -> set[int]:
+    out, todo = set(), [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.add(a0)
+            continue
+        half = (a0 + a1) // 2
+        cut = b0 + int((_lengths(a[a0:half], b[b0:b1]) + _lengths(a[half:a1][::-1], b[b0:b1][::-1])[::-1]).argmax())
+        todo += [(a0, half, b0, cut), (half, a1, cut, b1)]
+    return out
+
+
+def _kept_marks(own: list[tuple[str, int]]) -> set[int]:
+    """Marks of the blocks that are the main text: the surest there are. Where more text is only called an article than is in article
+    elements, these are teasers, and both are kept."""
+    best = max((mark for _, mark in own if mark != BOILERPLATE), default=UNDECIDED)
+    size = Counter()
+    for line, mark in own:
+        size[mark] += len(line)
+    return {ARTICLE, LIKELY} if best == ARTICLE and size[LIKELY] > size[ARTICLE] else {best}
+
+
 def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
     """Lines of article elements; without any, those of likely or else of undecided ones that the neighbouring page does not share."""
-    best = max((mark for _, mark in own if mark != BOILERPLATE), default=UNDECIDED)
-    lines = [line for line, mark in own if mark == best]
-    if best != ARTICLE and other and lines:
-        theirs = [line for line, mark in other if mark != BOILERPLATE]
-        if lines != theirs:
-            shared = longest_common(lines, theirs)
-            lines = [line for k, line in enumerate(lines) if k not in shared]
-    return "\n".join(lines)
+    kept = _kept_marks(own)
+    lines = [(line, mark) for line, mark in own if mark in kept]
+    if kept != {ARTICLE} and other and lines:
+        mine, theirs = [line for line, _ in lines], [line for line, mark in other if mark != BOILERPLATE]
+        if mine != theirs:
+            shared = longest_common(mine, theirs)
+            lines = [x for k, x in enumerate(lines) if k not in shared or x[1] == ARTICLE]
+    return "\n".join(line for line, _ in lines)
 
 
 def _common_length(a: str, b: str) -> int:
@@ -253,7 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def settle(page, left, right):
             _, _, host, path, own, _ = page
-            near = [n for n in (left, right) if n is not None and host and n[2] == host and not any(m == ARTICLE for _, m in own)]
+            near = [n for n in (left, right) if n is not None and host and n[2] == host and _kept_marks(own) != {ARTICLE}]
             # a copy is a neighbour only where there is no other page
             near = [n for n in near if n[4] != own] or near
             best = max(near, key=lambda n: _common_length(path, n[3]), default=None)

@@ -729,7 +729,43 @@ def test_longest_common_against_table():
     rng = np.random.default_rng(2)
     for _ in range(60):
         a, b = (list(rng.choice(list("abcd"), int(rng.integers(0, 9)))) for _ in range(2))
-        assert len(html_text.longest_common(a, b)) == table_common(a, b)
+        found = html_text.longest_common(a, b)
+        assert len(found) == table_common(a, b)
+        rest = iter(b)
+        assert all(a[k] in rest for k in sorted(found))
+
+
+def test_longest_common_by_halves(monkeypatch):
+    """The other way of aligning, on all of the same cases."""
+    monkeypatch.setattr(html_text, "MANY_PAIRS", 0)
+    test_longest_common_against_table()
+
+
+def test_many_equal_lines_are_aligned_quickly():
+    """Long tables of the same few rows: seconds and memory must not follow the number of pairs of equal rows, 10^9 here."""
+    import time
+
+    began = time.process_time()
+    same = ["row"] * 50_000
+    assert len(html_text.longest_common(same, same)) == 50_000
+    assert len(html_text.longest_common(["a", *same, "b"], ["c", *same[:40_000], "d"])) == 40_000
+    assert time.process_time() - began < 2
+    rng = np.random.default_rng(6)
+    a, b = (list(rng.choice(list("pq"), n)) for n in (20_000, 19_000))
+    began = time.process_time()
+    found = sorted(html_text.longest_common(a, b))
+    rest = iter(b)
+    assert len(found) > 14_000 and all(a[k] in rest for k in found)
+    assert time.process_time() - began < 20
+
+
+def test_a_teaser_does_not_replace_the_text():
+    page = '<article><p>teaser</p></article><nav>menu</nav><div class="story"><p>long body text</p><p>Share this</p></div>'
+    assert html_text.main_text(html_text.blocks(page), None) == "teaser\nlong body text\nShare this"
+    near = html_text.blocks('<div class="story"><p>another one</p><p>Share this</p></div>')
+    assert html_text.main_text(html_text.blocks(page), near) == "teaser\nlong body text"
+    longer = '<article><p>a much longer text of an article</p></article><div class="story"><p>more stories</p></div>'
+    assert html_text.main_text(html_text.blocks(longer), None) == "a much longer text of an article"
 
 
 # 9 packing
