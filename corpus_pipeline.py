@@ -73,7 +73,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A trained model decides in two stages, which SQL cannot express; tests compare with a brute-force version.
+#: A trained model decides in two stages, which SQL cannot express; tests hold a fixture with the documents that each stage has to keep.
 ORACLE_SQL = None
 
 
