@@ -57,6 +57,8 @@ HUB_INCIDENCES = 1_000_000
 CHUNK, CHUNKS_TOGETHER = 1024, 1000
 #: Share of active elements below which only changes are written, tables of changes at most, and their share of the full state at most.
 SPARSE, DEEPEST, GROWTH = 0.05, 3, 0.25
+#: Elements below which full states are always written: looking changes up takes longer than writing so few rows.
+MANY_ELEMENTS = 1_000_000
 #: Active senders whose ids are looked at to choose ranges of chunks, and ranges at most.
 FEW_SENDERS, RANGES = 4096, 32
 #: Rows that a Python reduction holds before it reduces them.
@@ -467,12 +469,13 @@ class _Population:
         return written
 
 
-def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, hub_incidences: int = HUB_INCIDENCES, sparse: float = SPARSE, count_messages: bool = False) -> Result:
+def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit: int | None = None, trace: bool = False, hub_incidences: int = HUB_INCIDENCES, sparse: float | None = None, count_messages: bool = False) -> Result:
     """Run supersteps until nothing is active or ``limit`` of them are done; programs that never settle need a limit.
 
     A superstep is two jobs, each of which checkpoints the side that received, all of it or what changed, and counts its active elements on
     the way. Checkpoints that are no longer needed are deleted, and the incidences are given back at the end. Only changes are written while
-    less than ``sparse`` of all elements are active, and again until twice as many are; not by programs whose elements stay active.
+    less than ``sparse`` of all elements are active, and again until twice as many are; not by programs whose elements stay active. Without
+    it, that is ``SPARSE`` from ``MANY_ELEMENTS`` on, and never with fewer.
     """
     if unique_side not in (VERTEX, EDGE):
         raise ValueError(f"unique_side must be {VERTEX!r} or {EDGE!r}")
@@ -493,6 +496,8 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
                 inc = inc.select("src", "dst") if side.to is None else inc
                 held.append(Incidence.of(inc, population.base.table, population.base.sums["degrees"], parts, hub_incidences, graph.buckets > 0))
             narrow = False
+            if sparse is None:
+                sparse = SPARSE if rep.total + uni.total >= MANY_ELEMENTS else 0.0
             while limit is None or done < limit:
                 counts, wrote, said, bound = [], 0, 0, None
                 if program.bucket is not None and (first := [t for t in (rep.due(), uni.due()) if t is not None]):

@@ -49,7 +49,7 @@ def test_stops_at_limit_with_active_elements(spark):
 def test_written_rows_follow_the_active_ones(spark):
     """A path crosses a long chain: each superstep reaches one more vertex, and writes a few rows out of a thousand."""
     g = chain(spark, 500)
-    found = run(g, shortest_path_program(0), VERTEX, limit=9, trace=True)
+    found = run(g, shortest_path_program(0), VERTEX, limit=9, trace=True, sparse=0.05)
     active = [r["active_uniques"] + r["active_replicas"] for r in found.trace.orderBy("superstep").collect()]
     assert max(active) <= 4
     assert len(found.written) == 9 and sum(found.written) <= 8 * sum(active)  # each row once, and again when changes are merged
