@@ -79,7 +79,7 @@ def test_paths_by_buckets_send_less(spark):
     length = {e: 1 if e < 100 else 3 * abs(a - b) + 2 for e in {e for e, _ in rows} for a, b in [[v for x, v in rows if x == e]]}
     edges = spark.createDataFrame([(e, str(n)) for e, n in length.items()], "id long, weight string")
     g = from_table(spark.createDataFrame(rows, "e long, v long"), "e", "v", hyperedges=edges)
-    plainly, bucketed = (run(g, shortest_path_program(0, delta), VERTEX, count_messages=True) for delta in (None, 4))
+    plainly, bucketed = (run(g, shortest_path_program(0, delta), VERTEX, count_messages=True, sparse=0.05) for delta in (None, 4))
     want = {k: (k,) for k in range(31)}
     for found in (plainly, bucketed):
         assert found.converged and {r["id"]: (r["value"],) for r in found.vertices.collect()} == want
