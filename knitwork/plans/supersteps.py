@@ -6,8 +6,9 @@ in the second half active uniques send back. A half-step is
 
     active senders JOIN incidence -> GROUP BY receiver -> LEFT JOIN receivers
 
-with a pre-aggregated (map-side combined) reduction, so hot receivers get one row
-per task. Programs are column expressions and stay inside Catalyst; a reduction
+with a pre-aggregated (map-side combined) reduction where a receiver may be hot, so
+that it gets one row per task. Where none is, and each task has messages for nearly
+as many receivers as messages, they are dealt first and reduced once. Programs are column expressions and stay inside Catalyst; a reduction
 that has no such expression may be a Python function over Arrow columns, which is
 applied before and after the exchange.
 
@@ -17,8 +18,8 @@ names a receiver chooses, for each of its incidences, whom to write to and what.
 
 The states of both sides and the incidences are dealt by id once, and stay so
 through all supersteps: a checkpoint keeps the partitioning, so a half-step has
-one exchange, of one row per receiver and task, and what it moves follows the
-active set. A few senders with a large part of all incidences (hubs) would each
+one exchange, of a row per message or per receiver and task, and what it moves
+follows the active set. A few senders with a large part of all incidences (hubs) would each
 fill one task; their incidences stay spread out, and their few messages are
 broadcast instead.
 
@@ -27,10 +28,10 @@ those that heard something in the state so far and writes only what changed. The
 changes lie over the last full state, a few tables deep; deeper ones are merged,
 and once they are a large part of it, the full state is written again.
 
-Incidences are kept as chunks, sorted lists of neighbours of one sender, sorted
-by sender within partitions. Spark keeps the least and the largest sender of some
-chunks together; a small active set names a bounded number of ranges of senders,
-and chunks beyond these are not read.
+Incidences are kept as columns, sorted by sender within partitions, in chunks of
+some rows. Spark keeps the least and the largest sender of each chunk; a small
+active set names a bounded number of ranges of senders, and chunks beyond these
+are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knitwork.sources.hypergraph import Hypergraph
@@ -53,8 +53,10 @@ from knitwork.sources.shared import delete, shared_root
 VERTEX, EDGE = "hypervertex", "hyperedge"
 #: A sender is a hub if it has more incidences than this and than an even share of a partition; so hubs are no more than partitions.
 HUB_INCIDENCES = 1_000_000
-#: Neighbours in a chunk, and chunks whose range of senders is kept together.
-CHUNK, CHUNKS_TOGETHER = 1024, 1000
+#: Incidences in a chunk, whose range of senders is kept.
+CHUNK = 1000
+#: Messages for each receiver and task, on average over all incidences, from which they are reduced before the exchange although no receiver is hot.
+REPEATED = 4
 #: Share of active elements below which only changes are written, tables of changes at most, and their share of the full state at most.
 SPARSE, DEEPEST, GROWTH = 0.05, 3, 0.25
 #: Elements below which full states are always written: looking changes up takes longer than writing so few rows.
@@ -164,7 +166,7 @@ class Result:
 @contextmanager
 def _fixed_plans(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
     """Plans made here keep the partitioning that they start from: it is chosen once, for states and incidences alike."""
-    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.inMemoryColumnarStorage.batchSize": str(CHUNKS_TOGETHER)}
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.inMemoryColumnarStorage.batchSize": str(CHUNK)}
     if parts is not None:
         wanted["spark.sql.shuffle.partitions"] = str(parts)
     before = {key: spark.conf.get(key) for key in wanted}
@@ -200,22 +202,13 @@ def ranges_of(ids: list[int], most: int = RANGES) -> list[tuple[int, int]]:
     return [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def _chunks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows that are dealt by ``by`` as (src, neighbours): sorted lists of at most ``CHUNK`` structs of dst and attributes."""
-    rest = [F.col(c) for c in rows.columns if c not in ("src", *by)]
-    place = F.row_number().over(W.partitionBy(*by).orderBy("dst"))
-    cut = rows.withColumn("chunk_", F.floor((place - 1) / CHUNK).cast("int"))
-    return cut.groupBy(*by, "chunk_").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("neighbours")).select("src", "neighbours")
-
-
 @dataclass(frozen=True)
 class Incidence:
-    """(src, dst) and attributes: plain rows, or chunks of them dealt by sender, but for those of hubs."""
+    """(src, dst) and attributes: plain rows, or sorted and dealt by sender, but for those of hubs."""
 
     dealt: DataFrame
     hubs: tuple[int, ...] = ()
     spread: DataFrame | None = None
-    chunked: bool = False
 
     @staticmethod
     def of(rows: DataFrame, state: DataFrame, total: int, parts: int, floor: int, stored: bool = False) -> Incidence:
@@ -226,9 +219,8 @@ class Incidence:
         own = F.col("src").isin(*hubs) if hubs else F.lit(False)
         keep = lambda x: x.persist(StorageLevel.MEMORY_AND_DISK)
         others = rows.filter(~own) if hubs else rows
-        dealt = _chunks(others if stored else others.repartition(parts, "src"), ["src"]).sortWithinPartitions("src")
-        shared = rows.filter(own).withColumn("share_", F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int"))
-        return Incidence(keep(dealt), hubs, keep(_chunks(shared.repartition(parts, "src", "share_"), ["src", "share_"])) if hubs else None, True)
+        dealt = (others if stored else others.repartition(parts, "src")).sortWithinPartitions("src")
+        return Incidence(keep(dealt), hubs, keep(rows.filter(own).repartition(parts, "src", "dst").sortWithinPartitions("src")) if hubs else None)
 
     def deliver(self, speaking: DataFrame, ids: list[int] | None = None) -> DataFrame:
         """Columns of ``speaking``, which has src, by the receivers dst of each, with the attributes of incidences. ``ids``, where given, are
@@ -236,17 +228,11 @@ class Incidence:
         dealt = self.dealt
         if ids is not None:
             dealt = dealt.filter(fold(lambda x, y: x | y, [F.col("src").between(a, b) for a, b in ranges_of(ids)], F.lit(False)))
-        sent = self._opened(speaking.join(dealt, "src"))
+        sent = dealt.join(speaking, "src")
         if self.spread is None:
             return sent
         few = F.broadcast(speaking.filter(F.col("src").isin(*self.hubs)))
-        return sent.unionByName(self._opened(self.spread.join(few, "src")))
-
-    def _opened(self, joined: DataFrame) -> DataFrame:
-        if not self.chunked:
-            return joined
-        rest = [c for c in joined.columns if c != "neighbours"]
-        return joined.select(*rest, F.inline("neighbours"))
+        return sent.unionByName(self.spread.join(few, "src"))
 
     def release(self) -> None:
         for x in (self.dealt, self.spread):
@@ -282,8 +268,11 @@ def _merging(merge: Callable[[pa.Table], pa.Table], sorted_rows: bool) -> Callab
     return run
 
 
-def gather(sent: DataFrame, program: HyperProgram, receiver: Side) -> tuple[DataFrame, Column]:
-    """(dst, inbox fields), one row for each receiver, and whether a receiver heard anything, for use after a left join."""
+def gather(sent: DataFrame, program: HyperProgram, receiver: Side, parts: int | None = None) -> tuple[DataFrame, Column]:
+    """(dst, inbox fields), one row for each receiver, and whether a receiver heard anything, for use after a left join. With ``parts``,
+    messages are dealt into so many partitions by receiver before anything is reduced; not for a ``merge``, which has passes of its own."""
+    if parts is not None and program.merge is None:
+        sent = sent.repartition(parts, "dst")
     if program.combine is not None:
         return program.combine(sent), F.col("inbox").isNotNull()
     if program.merge is not None:
@@ -295,6 +284,11 @@ def gather(sent: DataFrame, program: HyperProgram, receiver: Side) -> tuple[Data
     return sent.groupBy("dst").agg(F.lit(True).alias("heard_"), *(v.alias(k) for k, v in receiver.inbox().items())), F.col("heard_").isNotNull()
 
 
+def even(elements: int, incidences: int, most: int, parts: int, hub_incidences: int = HUB_INCIDENCES) -> bool:
+    """Whether no element has far more incidences than others, of which the largest number is ``most``, and tasks have few for any one of them."""
+    return most <= max(hub_incidences, incidences // parts) and incidences <= REPEATED * parts * elements
+
+
 def messages(active: DataFrame, incidence: Incidence, sender: Side, superstep: int = 0, ids: list[int] | None = None) -> DataFrame:
     """(dst, message fields) of the active elements."""
     speaking = active.filter(sender.can_send())
@@ -314,9 +308,9 @@ def _received(joined: DataFrame, receiver: Side, heard: Column, columns: list[st
     return joined.withColumns(new).select(*columns)
 
 
-def half_step(senders: DataFrame, incidence: Incidence, receivers: DataFrame, sender: Side, receiver: Side, program: HyperProgram, superstep: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Senders and receivers after the active senders have sent along ``incidence``."""
-    inbox, heard = gather(messages(senders.filter("active"), incidence, sender, superstep), program, receiver)
+def half_step(senders: DataFrame, incidence: Incidence, receivers: DataFrame, sender: Side, receiver: Side, program: HyperProgram, superstep: int = 0, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Senders and receivers after the active senders have sent along ``incidence``; ``parts`` as for ``gather``."""
+    inbox, heard = gather(messages(senders.filter("active"), incidence, sender, superstep), program, receiver, parts)
     received = _received(receivers.join(inbox.withColumnRenamed("dst", "id"), "id", "left"), receiver, heard, receivers.columns)
     return _sent(senders, sender), received
 
@@ -340,10 +334,11 @@ def initial_state(elements: DataFrame, incidence: DataFrame, side: Side) -> Data
 class _Population:
     """The elements of one side while a program runs: a full state, and while few are active the changes since and the active ones."""
 
-    def __init__(self, elements: DataFrame, incidence: DataFrame, side: Side, parts: int) -> None:
+    def __init__(self, elements: DataFrame, incidence: DataFrame, side: Side) -> None:
         self.side = side
-        self.base = _Kept(initial_state(elements.repartition(parts, "id"), incidence, side), degrees=F.sum("degree"), active=F.count_if("active"))
+        self.base = _Kept(initial_state(elements, incidence, side), degrees=F.sum("degree"), most=F.max("degree"), active=F.count_if("active"))
         self.total, self.active = self.base.sums["rows"], self.base.sums["active"]
+        self.degrees, self.most = self.base.sums["degrees"], self.base.sums["most"]
         self.table: DataFrame | None = self.base.table  # full state; None while only changes are written
         self.changes: list[_Kept] = []
         self.retired: list[_Kept] = []  # merged into others, but active elements may still be read from them
@@ -353,6 +348,9 @@ class _Population:
     def columns(self) -> list[str]:
         return self.base.table.columns
 
+    def even(self, parts: int, hub_incidences: int) -> bool:
+        return even(self.total, self.degrees, self.most, parts, hub_incidences)
+
     def speakers(self) -> DataFrame:
         return self.front if self.table is None else self.table.filter("active")
 
@@ -491,10 +489,10 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
     rows, done, settled, held, written, n_sent = [], 0, False, [], [], []
     with _fixed_plans(spark, parts):
         try:
-            rep, uni = (_Population(x, inc, side, parts) for x, inc, side in ((v, e) if unique_side == EDGE else (e, v)))
+            rep, uni = (_Population(x, inc, side) for x, inc, side in ((v, e) if unique_side == EDGE else (e, v)))
             for population, (_, inc, side) in zip((rep, uni), (v, e) if unique_side == EDGE else (e, v), strict=True):
                 inc = inc.select("src", "dst") if side.to is None else inc
-                held.append(Incidence.of(inc, population.base.table, population.base.sums["degrees"], parts, hub_incidences, graph.buckets > 0))
+                held.append(Incidence.of(inc, population.base.table, population.degrees, parts, hub_incidences, graph.buckets > 0))
             narrow = False
             if sparse is None:
                 sparse = SPARSE if rep.total + uni.total >= MANY_ELEMENTS else 0.0
@@ -519,7 +517,9 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
                         sent = messages(active, incidence, sender.side, done, ids)
                         if count_messages:
                             sent = sent.observe(seen := Observation(), F.count("*").alias("n"))
-                        inbox, heard = gather(sent, program, receiver.side)
+                        # a receiver gets as many messages as it could send, if they go to neighbours and incidences to both sides are the same
+                        deal = graph.mirrored and sender.side.to is None and receiver.even(parts, hub_incidences)
+                        inbox, heard = gather(sent, program, receiver.side, parts if deal else None)
                         wrote += receiver.hear_few(inbox, heard) if narrow else receiver.hear_all(inbox, heard)
                         said += seen.get["n"] if count_messages else 0
                         wrote += sender.has_sent(bound)

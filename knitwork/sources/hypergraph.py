@@ -15,7 +15,8 @@ MOST_ID = 4294967294
 class Hypergraph:
     """``vertices`` and ``hyperedges`` (id, weight); ``v2e`` (v, e) and ``e2v`` (e, v), both multisets.
 
-    ``buckets`` is the number of buckets by sender that the incidences are stored in, 0 if they are not.
+    ``buckets`` is the number of buckets by sender that the incidences are stored in, 0 if they are not. ``mirrored`` says that both
+    relations hold the same incidences, so that an element hears along as many as it sends along.
     """
 
     vertices: DataFrame
@@ -23,12 +24,13 @@ class Hypergraph:
     v2e: DataFrame
     e2v: DataFrame
     buckets: int = 0
+    mirrored: bool = False
 
     def dual(self) -> Hypergraph:
         """Vertices and hyperedges change places."""
         return Hypergraph(
             self.hyperedges, self.vertices,
-            self.e2v.select(F.col("e").alias("v"), F.col("v").alias("e")), self.v2e.select(F.col("v").alias("e"), F.col("e").alias("v")), self.buckets,
+            self.e2v.select(F.col("e").alias("v"), F.col("v").alias("e")), self.v2e.select(F.col("v").alias("e"), F.col("e").alias("v")), self.buckets, self.mirrored,
         )
 
     def vertex_degree(self) -> DataFrame:
@@ -89,5 +91,5 @@ def from_table(table: DataFrame, edge: str, vertex: str, vertices: DataFrame | N
     """An undirected hypergraph of two columns; element tables (id, weight) may add isolated elements."""
     inc = table.select(F.col(vertex).cast("long").alias("v"), F.col(edge).cast("long").alias("e")).filter("v IS NOT NULL AND e IS NOT NULL")
     return Hypergraph(
-        _elements(inc, "v") if vertices is None else vertices, _elements(inc, "e") if hyperedges is None else hyperedges, inc, inc.select("e", "v")
+        _elements(inc, "v") if vertices is None else vertices, _elements(inc, "e") if hyperedges is None else hyperedges, inc, inc.select("e", "v"), mirrored=True
     )
