@@ -19,6 +19,7 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from knitwork.plans.supersteps import EDGE, VERTEX
 from knitwork.sources.adjacency_text import read_adjacency
 from knitwork.sources.hypergraph import Hypergraph
 from knitwork.sources.placement_files import read_placement
+from knitwork.sources.shared import written
 
 #: Neighbours in one row, about.
 CHUNK = 65_536
@@ -54,11 +56,43 @@ class Layout:
     meta: dict[str, bool | int]
 
 
-def _lists(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
-    """Sorted ``neighbours`` (from ``to``) of each key, in chunks."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(chunk)).alias("chunks_"))
-    dealt = rows.join(sizes, keys).withColumn("chunk", F.pmod(F.xxhash64("to"), F.col("chunks_")).cast("int"))
-    return dealt.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("to")).alias("neighbours"))
+def _runs(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by ``keys`` and ``to`` as one row with all ``neighbours`` for each of the keys; the last keys of a batch wait for the next one."""
+
+    def listed(table: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), table.column("to").combine_chunks().slice(0, end))
+        return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(pa.array(starts)) for k in keys), lists], names=[*keys, "neighbours"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            new = np.zeros(table.num_rows, bool)
+            for k in keys:
+                values = table.column(k).to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            new[0] = True
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield listed(table, starts[:-1], int(starts[-1]))
+            held = table.slice(int(starts[-1]))
+        if held is not None:
+            yield listed(held, np.zeros(1, np.int64), held.num_rows)
+
+    return run
+
+
+def _lists(rows: DataFrame, sizes: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """Sorted ``neighbours`` (from ``to``) of each key, in chunks. ``sizes`` has the number ``n`` of rows of the keys, of which those with more
+    than a chunk are few, at most a row for each chunk."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = sizes.filter(F.col("n") > chunk).select(*keys, F.ceil(F.col("n") / F.lit(chunk)).alias("chunks_"))
+    dealt = rows.join(F.broadcast(large), keys, "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("to"), F.col("chunks_")), F.lit(0)).cast("int"))
+    dealt = dealt.select(*keys, "chunk", "to").repartition(parts, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "to")
+    return dealt.mapInArrow(_runs([*keys, "chunk"]), ", ".join(f"{k} long" for k in keys) + ", chunk int, neighbours array<long>")
 
 
 def _filled(rows: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,32 +108,37 @@ def build(graph: Hypergraph, parts: int, unique_side: str = EDGE, placed: DataFr
         raise ValueError(f"between 1 and {MOST_PARTS} partitions")
     v2e, e2v = graph.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst")), graph.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst"))
     replicas, uniques, there, back = (graph.vertices, graph.hyperedges, v2e, e2v) if unique_side == EDGE else (graph.hyperedges, graph.vertices, e2v, v2e)
+    # what several tables are made from is written once, so that it is not put together again from the source for each of them
+    counts = {"total_replica_elements": (replicas := written(replicas.select("id", "weight"), "layout-replicas")).count(), "total_unique_elements": (uniques := written(uniques.select("id", "weight"), "layout-uniques")).count()}
     where = placement.by_modulo(uniques, parts) if placed is None else placement.by_table(uniques, placed)
-    held = placement.copies(replicas, there, where, parts)
-    ids = placement.new_ids(held, parts)
+    local = written(placement.local(there, where), "layout-local")
+    held = written(placement.copies_of(replicas, there, local, parts), "layout-copies")
+    ids = written(placement.new_ids(held, parts), "layout-ids")
     degrees = held.groupBy("id").agg(F.sum("n_local").alias("total_degree"))
-    local = there.join(where.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "part", F.col("dst").alias("to"))
-    rows = _filled(held.drop("n_local"), _lists(local, ["id", "part"], chunk), ["id", "part"])
-    rows = rows.join(ids, "id").join(degrees, "id").join(replicas.select("id", "weight"), "id")
+    rows = _filled(held.drop("n_local"), _lists(local, held.withColumnRenamed("n_local", "n"), ["id", "part"], chunk), ["id", "part"])
+    rows = rows.join(ids.join(degrees, "id").join(replicas, "id"), "id")
     short = F.col("part").cast("short").alias("part")
 
     unknown = F.raise_error(F.concat(F.lit("no replica "), F.col("dst").cast("string"))).cast("long")
     moved = back.join(ids.withColumnRenamed("id", "dst"), "dst", "left").select(F.col("src").alias("id"), F.coalesce("new_id", unknown).alias("to"))
-    own = _filled(uniques.select("id", "weight").join(where, "id"), _lists(moved, ["id"], chunk), ["id"])
+    sizes = back.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    own = _filled(uniques.join(where, "id"), _lists(moved, sizes, ["id"], chunk), ["id"])
 
     servants = placement.servants(held).join(ids, "id").groupBy("new_id").agg(F.sort_array(F.collect_list(short)).alias("servant_parts"))
     return Layout(
         rows.select(short, F.col("id").alias("old_id"), "new_id", "total_degree", "weight", "chunk", "neighbours"),
         own.select(short, "id", "weight", "chunk", "neighbours"),
         servants.select(F.pmod("new_id", F.lit(parts)).cast("short").alias("part"), "new_id", "servant_parts"),
-        {"uniques_as_hyperedges": unique_side == EDGE, "total_replica_elements": replicas.count(), "total_unique_elements": uniques.count(), "partitions": parts},
+        {"uniques_as_hyperedges": unique_side == EDGE, **counts, "partitions": parts},
     )
 
 
 def write(layout: Layout, path: str, mode: str = "errorifexists") -> None:
-    """Parquet by partition, and one row of metadata."""
-    for name in _TABLES:
-        getattr(layout, name).repartition("part").write.mode(mode).partitionBy("part").parquet(f"{path}/{name}")
+    """Parquet by partition, in several files each where there are fewer partitions than tasks, and one row of metadata."""
+    shares = -(-4 * int(layout.replicas.sparkSession.conf.get("spark.sql.shuffle.partitions")) // layout.meta["partitions"])  # some for each task
+    for name, key in (("replicas", "new_id"), ("uniques", "id"), ("masters", "new_id")):
+        share = F.pmod(F.xxhash64(key), F.lit(shares))
+        getattr(layout, name).repartition("part", share).write.mode(mode).partitionBy("part").parquet(f"{path}/{name}")
     spark = layout.replicas.sparkSession
     spark.createDataFrame([(json.dumps(layout.meta),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 
@@ -121,8 +160,8 @@ def read(spark: SparkSession, path: str) -> Layout:
     return Layout(*(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _TABLES.items()), json.loads(spark.read.text(f"{path}/meta").head()[0]))
 
 
-def to_hypergraph(layout: Layout) -> Hypergraph:
-    """The hypergraph of a layout, with its old ids."""
+def to_hypergraph(layout: Layout, mirrored: bool = False) -> Hypergraph:
+    """The hypergraph of a layout, with its old ids; ``mirrored`` if the one that was laid out is."""
     kind = layout.meta["uniques_as_hyperedges"]
     replicas = layout.replicas.groupBy(F.col("old_id").alias("id")).agg(F.any_value("weight").alias("weight"))
     uniques = layout.uniques.groupBy("id").agg(F.any_value("weight").alias("weight"))
@@ -130,7 +169,7 @@ def to_hypergraph(layout: Layout) -> Hypergraph:
     there = layout.replicas.select(F.col("old_id").alias(own), F.explode("neighbours").alias(other))
     olds = layout.replicas.select("new_id", "old_id").distinct()
     back = layout.uniques.select(F.col("id").alias(other), F.explode("neighbours").alias("new_id")).join(olds, "new_id").select(other, F.col("old_id").alias(own))
-    return Hypergraph(replicas, uniques, there, back) if kind else Hypergraph(uniques, replicas, back, there)
+    return Hypergraph(replicas, uniques, there, back, mirrored=mirrored) if kind else Hypergraph(uniques, replicas, back, there, mirrored=mirrored)
 
 
 def partition(spark: SparkSession, source: str, parts: int, out: str, unique_side: str = EDGE, placement_folder: str | None = None, strict: bool = True, mode: str = "errorifexists") -> Layout:

@@ -27,11 +27,21 @@ def by_table(uniques: DataFrame, placement: DataFrame) -> DataFrame:
     return uniques.select("id").join(given, "id", "left").select("id", F.coalesce("part", missing).alias("part"))
 
 
+def local(incidence: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, part, to): every out-neighbour ``to`` of a replica in the partition that it lives in."""
+    return incidence.join(placed.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "part", F.col("dst").alias("to"))
+
+
 def copies(replicas: DataFrame, incidence: DataFrame, placed: DataFrame, parts: int) -> DataFrame:
     """(id, part, n_local): local out-neighbours of each copy. ``incidence`` is (src, dst) from replicas to uniques."""
-    local = incidence.join(placed.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "part").agg(F.count("*").alias("n_local"))
-    alone = replicas.select("id").join(incidence, F.col("id") == F.col("src"), "left_anti")
-    return local.unionByName(alone.select("id", F.pmod("id", F.lit(parts)).cast("long").alias("part"), F.lit(0).cast("long").alias("n_local")))
+    return copies_of(replicas, incidence, local(incidence, placed), parts)
+
+
+def copies_of(replicas: DataFrame, incidence: DataFrame, there: DataFrame, parts: int) -> DataFrame:
+    """``copies`` from ``there``, the rows of ``local``."""
+    counted = there.groupBy("id", "part").agg(F.count("*").alias("n_local"))
+    alone = replicas.select("id").join(incidence.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    return counted.unionByName(alone.select("id", F.pmod("id", F.lit(parts)).cast("long").alias("part"), F.lit(0).cast("long").alias("n_local")))
 
 
 def masters(held: DataFrame) -> DataFrame:
@@ -62,4 +72,4 @@ def replication(held: DataFrame) -> DataFrame:
     return held.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("replicas"), F.sum("n").alias("copies"), (F.sum("n") / F.count("*")).alias("factor"))
 
 
-__all__ = ["by_modulo", "by_table", "copies", "masters", "new_ids", "replication", "running_total", "servants"]
+__all__ = ["by_modulo", "by_table", "copies", "copies_of", "local", "masters", "new_ids", "replication", "running_total", "servants"]

@@ -8,6 +8,7 @@ All queries read their tables whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from knitwork.operators import forests, layout, placement
 from knitwork.plans.supersteps import EDGE, VERTEX, HyperProgram, Incidence, Side, half_step, initial_state, run
 from knitwork.sources import adjacency_text, placement_files
 from knitwork.sources.hypergraph import Hypergraph, from_table
-from knitwork.sources.shared import scratch
+from knitwork.sources.shared import scratch, written
 
 PARTS, BULK_QUANTITY = 4, 46
 #: Links that one task takes all of in components by forests, so few that these tables go through levels too; width of a bucket of path lengths.
@@ -188,6 +189,12 @@ def _written(spark: SparkSession, sf_dir: str, graph: Hypergraph, kind: str) ->
     return layout.read(spark, path)
 
 
+def _layout_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank over OP written as a layout and read back. Programs use incidences twice, so those that have to be joined are stored."""
+    g = layout.to_hypergraph(_written(spark, sf_dir, order_part(spark, sf_dir), "layout-rank"), mirrored=True)
+    return _rounded(run_algorithm("page-rank", replace(g, e2v=written(g.e2v, "layout-back")), 3).vertices)
+
+
 def _layout_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the uniques of a layout, through the text that it is exported to."""
     path = scratch(spark, "weights")
@@ -417,7 +424,7 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
             lambda s, d: (g := layout.to_hypergraph(_written(s, d, op(s, d), "layout"))).v2e.withColumn("kind", F.lit("v2e")).unionByName(g.e2v.withColumn("kind", F.lit("e2v"))),
             f"SELECT v, e, 'v2e' AS kind FROM ({_OP}) UNION ALL SELECT v, e, 'e2v' FROM ({_OP})",
         ),
-        "layout_page_rank": (lambda s, d: _rounded(run_algorithm("page-rank", layout.to_hypergraph(_written(s, d, op(s, d), "layout-rank")), 3).vertices), _rank_sql(3)),
+        "layout_page_rank": (_layout_rank, _rank_sql(3)),
         "command_components": (
             lambda s, d: _values(run_algorithm("connected-component", _partitioned(s, d)).vertices),
             "SELECT c_custkey::BIGINT AS id, c_nationkey::BIGINT AS value FROM customer",
