@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from knitwork.functions.programs import ALPHA, PAGE_RANK, components_program, connected_components, label_program, label_propagation, page_rank, run_algorithm, shortest_path, shortest_path_program
 from knitwork.operators import forests, layout, placement
-from knitwork.plans.supersteps import EDGE, VERTEX, HyperProgram, Incidence, Side, half_step, initial_state, run
+from knitwork.plans.supersteps import EDGE, VERTEX, HyperProgram, Incidence, Side, even, half_step, initial_state, run
 from knitwork.sources import adjacency_text, placement_files
 from knitwork.sources.hypergraph import Hypergraph, from_table
 from knitwork.sources.shared import scratch, written
@@ -110,12 +110,15 @@ def _label_sql(k: int) -> str:
 
 
 def _first_half(spark: SparkSession, sf_dir: str, program: HyperProgram) -> DataFrame:
-    """Hyperedges after one half-step from the vertices of OP."""
+    """Hyperedges after one half-step from the vertices of OP. Where no hyperedge is hot, messages are dealt into a fixed number of partitions,
+    so that no task reduces those of a whole part of the table."""
     g = order_part(spark, sf_dir)
     inc = g.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst"))
     back = g.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst"))
     senders, receivers = initial_state(g.vertices, inc, program.vertex), initial_state(g.hyperedges, back, program.edge)
-    return half_step(senders, Incidence(inc), receivers, program.vertex, program.edge, program)[1]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, total, most = receivers.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0)), F.coalesce(F.max("degree"), F.lit(0))).head()
+    return half_step(senders, Incidence(inc), receivers, program.vertex, program.edge, program, parts=parts if even(n, total, most, parts) else None)[1]
 
 
 def _relay(initial: str) -> Side:

@@ -58,3 +58,9 @@ def test_incidences_are_kept_as_columns(spark):
         kept = Incidence.of(inc, initial_state(chain(spark, 50).vertices, inc, shortest_path_program(0).vertex), 100, 4, 1_000_000)
         assert kept.dealt.columns == ["src", "dst"] and sorted(map(tuple, kept.dealt.collect())) == sorted(map(tuple, inc.collect()))
         kept.release()
+
+
+def test_a_half_step_deals_messages_into_a_fixed_number_of_partitions(spark):
+    """half_step_hist: tasks that reduce do not grow with the size of what is scanned or put together before them."""
+    plan = catalogue.queries()["half_step_hist"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
