@@ -19,7 +19,6 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from pyspark.sql.types import StructType
 from knitwork.operators import placement
 from knitwork.plans.supersteps import EDGE, VERTEX
 from knitwork.sources.adjacency_text import read_adjacency
-from knitwork.sources.hypergraph import Hypergraph
+from knitwork.sources.hypergraph import Hypergraph, frequent
 from knitwork.sources.placement_files import read_placement
 from knitwork.sources.shared import written
 
@@ -48,41 +47,14 @@ _TABLES = {
 @dataclass(frozen=True)
 class Layout:
     """``replicas`` (part, old_id, new_id, total_degree, weight, chunk, neighbours), ``uniques`` (part, id, weight, chunk, neighbours),
-    ``masters`` (part, new_id, servant_parts) of replicas with more than one copy, and what is the same for all partitions."""
+    ``masters`` (part, new_id, servant_parts) of replicas with more than one copy, and what is the same for all partitions. ``dealt`` says that
+    the rows of replicas and uniques come from as many tasks as there are, by id, and need not be dealt again to be written."""
 
     replicas: DataFrame
     uniques: DataFrame
     masters: DataFrame
     meta: dict[str, bool | int]
-
-
-def _runs(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by ``keys`` and ``to`` as one row with all ``neighbours`` for each of the keys; the last keys of a batch wait for the next one."""
-
-    def listed(table: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), table.column("to").combine_chunks().slice(0, end))
-        return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(pa.array(starts)) for k in keys), lists], names=[*keys, "neighbours"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
-            new = np.zeros(table.num_rows, bool)
-            for k in keys:
-                values = table.column(k).to_numpy()
-                new[1:] |= values[1:] != values[:-1]
-            new[0] = True
-            starts = np.flatnonzero(new)
-            if len(starts) > 1:
-                yield listed(table, starts[:-1], int(starts[-1]))
-            held = table.slice(int(starts[-1]))
-        if held is not None:
-            yield listed(held, np.zeros(1, np.int64), held.num_rows)
-
-    return run
+    dealt: bool = False
 
 
 def _lists(rows: DataFrame, sizes: DataFrame, keys: list[str], chunk: int) -> DataFrame:
@@ -91,8 +63,8 @@ def _lists(rows: DataFrame, sizes: DataFrame, keys: list[str], chunk: int) -> Da
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = sizes.filter(F.col("n") > chunk).select(*keys, F.ceil(F.col("n") / F.lit(chunk)).alias("chunks_"))
     dealt = rows.join(F.broadcast(large), keys, "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("to"), F.col("chunks_")), F.lit(0)).cast("int"))
-    dealt = dealt.select(*keys, "chunk", "to").repartition(parts, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "to")
-    return dealt.mapInArrow(_runs([*keys, "chunk"]), ", ".join(f"{k} long" for k in keys) + ", chunk int, neighbours array<long>")
+    # dealt before they are collected, so that lists are made once, each by one task
+    return dealt.select(*keys, "chunk", "to").repartition(parts, *keys, "chunk").groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("to")).alias("neighbours"))
 
 
 def _filled(rows: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,6 +80,8 @@ def build(graph: Hypergraph, parts: int, unique_side: str = EDGE, placed: DataFr
         raise ValueError(f"between 1 and {MOST_PARTS} partitions")
     v2e, e2v = graph.v2e.select(F.col("v").alias("src"), F.col("e").alias("dst")), graph.e2v.select(F.col("e").alias("src"), F.col("v").alias("dst"))
     replicas, uniques, there, back = (graph.vertices, graph.hyperedges, v2e, e2v) if unique_side == EDGE else (graph.hyperedges, graph.vertices, e2v, v2e)
+    if placed is None and graph.mirrored and set(graph.ends) == {"v", "e"}:
+        return _of_ends(uniques, there, back, parts, unique_side, chunk)
     # what several tables are made from is written once, so that it is not put together again from the source for each of them
     counts = {"total_replica_elements": (replicas := written(replicas.select("id", "weight"), "layout-replicas")).count(), "total_unique_elements": (uniques := written(uniques.select("id", "weight"), "layout-uniques")).count()}
     where = placement.by_modulo(uniques, parts) if placed is None else placement.by_table(uniques, placed)
@@ -119,26 +93,58 @@ def build(graph: Hypergraph, parts: int, unique_side: str = EDGE, placed: DataFr
     rows = rows.join(ids.join(degrees, "id").join(replicas, "id"), "id")
     short = F.col("part").cast("short").alias("part")
 
-    unknown = F.raise_error(F.concat(F.lit("no replica "), F.col("dst").cast("string"))).cast("long")
-    moved = back.join(ids.withColumnRenamed("id", "dst"), "dst", "left").select(F.col("src").alias("id"), F.coalesce("new_id", unknown).alias("to"))
+    moved = _moved(back, ids)
     sizes = back.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
     own = _filled(uniques.join(where, "id"), _lists(moved, sizes, ["id"], chunk), ["id"])
 
-    servants = placement.servants(held).join(ids, "id").groupBy("new_id").agg(F.sort_array(F.collect_list(short)).alias("servant_parts"))
     return Layout(
         rows.select(short, F.col("id").alias("old_id"), "new_id", "total_degree", "weight", "chunk", "neighbours"),
         own.select(short, "id", "weight", "chunk", "neighbours"),
-        servants.select(F.pmod("new_id", F.lit(parts)).cast("short").alias("part"), "new_id", "servant_parts"),
+        _masters(held, ids, parts),
         {"uniques_as_hyperedges": unique_side == EDGE, **counts, "partitions": parts},
     )
 
 
+def _of_ends(uniques: DataFrame, there: DataFrame, back: DataFrame, parts: int, unique_side: str, chunk: int) -> Layout:
+    """The layout by modulo of a hypergraph whose elements are the ends of its incidences. The partition of a unique follows from its id and
+    every element has neighbours, so lists are not joined with uniques or copies, and no element is looked for besides those in lists."""
+    home = lambda c: F.pmod(c, F.lit(parts)).cast("long")
+    none, short = F.lit(None).cast("string").alias("weight"), F.col("part").cast("short").alias("part")
+    local = there.select(F.col("src").alias("id"), home("dst").alias("part"), F.col("dst").alias("to"))
+    held = written(local.groupBy("id", "part").agg(F.count("*").alias("n_local")), "layout-copies")
+    ids = written(placement.new_ids(held, parts), "layout-ids")
+    about = ids.join(held.groupBy("id").agg(F.sum("n_local").alias("total_degree")), "id")
+    rows = _lists(local, held.withColumnRenamed("n_local", "n"), ["id", "part"], chunk).join(about, "id")
+    moved, sizes = _moved(back, ids), frequent(back.select(F.col("src").alias("id")), ["id"], chunk)
+    own = _lists(moved, sizes, ["id"], chunk).withColumn("part", home("id"))
+    return Layout(
+        rows.select(short, F.col("id").alias("old_id"), "new_id", "total_degree", none, "chunk", "neighbours"),
+        own.select(short, "id", none, "chunk", "neighbours"),
+        _masters(held, ids, parts),
+        {"uniques_as_hyperedges": unique_side == EDGE, "total_replica_elements": ids.count(), "total_unique_elements": uniques.count(), "partitions": parts},
+        dealt=True,
+    )
+
+
+def _moved(back: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, to): every out-neighbour of a unique by its new id."""
+    unknown = F.raise_error(F.concat(F.lit("no replica "), F.col("dst").cast("string"))).cast("long")
+    return back.join(ids.withColumnRenamed("id", "dst"), "dst", "left").select(F.col("src").alias("id"), F.coalesce("new_id", unknown).alias("to"))
+
+
+def _masters(held: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    servants = placement.servants(held).join(ids, "id").groupBy("new_id").agg(F.sort_array(F.collect_list(F.col("part").cast("short"))).alias("servant_parts"))
+    return servants.select(F.pmod("new_id", F.lit(parts)).cast("short").alias("part"), "new_id", "servant_parts")
+
+
 def write(layout: Layout, path: str, mode: str = "errorifexists") -> None:
     """Parquet by partition, in several files each where there are fewer partitions than tasks, and one row of metadata."""
     shares = -(-4 * int(layout.replicas.sparkSession.conf.get("spark.sql.shuffle.partitions")) // layout.meta["partitions"])  # some for each task
     for name, key in (("replicas", "new_id"), ("uniques", "id"), ("masters", "new_id")):
         share = F.pmod(F.xxhash64(key), F.lit(shares))
-        getattr(layout, name).repartition("part", share).write.mode(mode).partitionBy("part").parquet(f"{path}/{name}")
+        table = getattr(layout, name)
+        table = table if layout.dealt and name != "masters" else table.repartition("part", share)
+        table.write.mode(mode).partitionBy("part").parquet(f"{path}/{name}")
     spark = layout.replicas.sparkSession
     spark.createDataFrame([(json.dumps(layout.meta),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 

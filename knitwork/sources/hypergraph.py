@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ids above this are reserved.
 MOST_ID = 4294967294
+#: Counters by hash in ``frequent``, and how many of them at most are looked for by number.
+COUNTERS, FEW_SLOTS = 65_536, 256
 
 
 @dataclass(frozen=True)
@@ -16,7 +18,8 @@ class Hypergraph:
     """``vertices`` and ``hyperedges`` (id, weight); ``v2e`` (v, e) and ``e2v`` (e, v), both multisets.
 
     ``buckets`` is the number of buckets by sender that the incidences are stored in, 0 if they are not. ``mirrored`` says that both
-    relations hold the same incidences, so that an element hears along as many as it sends along.
+    relations hold the same incidences, so that an element hears along as many as it sends along. ``ends`` names the sides ("v", "e") whose
+    elements are just the ends of these incidences, each once and without a weight, so that elements need not be put together from their table.
     """
 
     vertices: DataFrame
@@ -25,12 +28,14 @@ class Hypergraph:
     e2v: DataFrame
     buckets: int = 0
     mirrored: bool = False
+    ends: tuple[str, ...] = ()
 
     def dual(self) -> Hypergraph:
         """Vertices and hyperedges change places."""
         return Hypergraph(
             self.hyperedges, self.vertices,
             self.e2v.select(F.col("e").alias("v"), F.col("v").alias("e")), self.v2e.select(F.col("v").alias("e"), F.col("e").alias("v")), self.buckets, self.mirrored,
+            tuple({"v": "e", "e": "v"}[side] for side in self.ends),
         )
 
     def vertex_degree(self) -> DataFrame:
@@ -79,6 +84,17 @@ def _degree(elements: DataFrame, inc: DataFrame, side: str) -> DataFrame:
     return elements.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def frequent(rows: DataFrame, keys: list[str], more_than: int) -> DataFrame:
+    """(keys, n) of all keys with more than so many rows. Rows are first counted by hash; keys are counted only where such a counter is that
+    high, so usually none are."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(COUNTERS))
+    full = [r["slot"] for r in rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).filter(F.col("n") > more_than).select("slot").collect()]
+    if not full:
+        return rows.select(*keys, F.lit(0).cast("long").alias("n")).limit(0)
+    candidates = rows.filter(slot.isin(full)) if len(full) <= FEW_SLOTS else rows
+    return candidates.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > more_than)
+
+
 def read(spark: SparkSession, path: str) -> Hypergraph:
     return Hypergraph(*(spark.read.parquet(f"{path}/{name}") for name in ("vertices", "hyperedges", "v2e", "e2v")))
 
@@ -90,6 +106,7 @@ def _elements(ids: DataFrame, column: str) -> DataFrame:
 def from_table(table: DataFrame, edge: str, vertex: str, vertices: DataFrame | None = None, hyperedges: DataFrame | None = None) -> Hypergraph:
     """An undirected hypergraph of two columns; element tables (id, weight) may add isolated elements."""
     inc = table.select(F.col(vertex).cast("long").alias("v"), F.col(edge).cast("long").alias("e")).filter("v IS NOT NULL AND e IS NOT NULL")
+    ends = tuple(side for side, given in (("v", vertices), ("e", hyperedges)) if given is None)
     return Hypergraph(
-        _elements(inc, "v") if vertices is None else vertices, _elements(inc, "e") if hyperedges is None else hyperedges, inc, inc.select("e", "v"), mirrored=True
+        _elements(inc, "v") if vertices is None else vertices, _elements(inc, "e") if hyperedges is None else hyperedges, inc, inc.select("e", "v"), mirrored=True, ends=ends
     )
