@@ -16,7 +16,8 @@ A state has any number of fields, a message too, and an inbox any number of
 aggregates over messages. Messages usually go to all neighbours; a side that
 names a receiver chooses, for each of its incidences, whom to write to and what.
 
-The states of both sides and the incidences are dealt by id once, and stay so
+The incidences are dealt by sender once, and states of elements that are just their ends
+are made where they lie. States and incidences stay so
 through all supersteps: a checkpoint keeps the partitioning, so a half-step has
 one exchange, of a row per message or per receiver and task, and what it moves
 follows the active set. A few senders with a large part of all incidences (hubs) would each
@@ -24,7 +25,7 @@ fill one task; their incidences stay spread out, and their few messages are
 broadcast instead.
 
 While few elements are active, states are not written anew: a half-step looks up
-those that heard something in the state so far and writes only what changed. The
+those that heard something in the last full state, held as columns, and writes only what changed. The
 changes lie over the last full state, a few tables deep; deeper ones are merged,
 and once they are a large part of it, the full state is written again.
 
@@ -38,7 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce as fold
 
 import pyarrow as pa
@@ -47,7 +48,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from knitwork.sources.hypergraph import Hypergraph
+from knitwork.sources.hypergraph import Hypergraph, frequent
 from knitwork.sources.shared import delete, shared_root
 
 VERTEX, EDGE = "hypervertex", "hyperedge"
@@ -63,6 +64,8 @@ SPARSE, DEEPEST, GROWTH = 0.05, 3, 0.25
 MANY_ELEMENTS = 1_000_000
 #: Active senders whose ids are looked at to choose ranges of chunks, and ranges at most.
 FEW_SENDERS, RANGES = 4096, 32
+#: Ids and numbers below this fit in one long in pairs.
+SMALL = 1 << 31
 #: Rows that a Python reduction holds before it reduces them.
 MERGED_AT = 200_000
 
@@ -126,7 +129,8 @@ class HyperProgram:
     """A pair of sides and the reduction of the messages to one receiver.
 
     ``reduce`` turns the column ``message`` into an aggregate, which is called inbox, for sides that do not name an inbox of their own.
-    ``combine``, where given, replaces the whole grouping of (dst, message) rows into (dst, inbox). ``merge`` is a Python function from an
+    ``combine``, where given, replaces the whole grouping of (dst, message) rows into (dst, inbox); ``combine_small`` may do the same faster for
+    messages that are ids, and is used where all ids are from 0 to below ``SMALL`` and incidences are fewer than that. ``merge`` is a Python function from an
     Arrow table of dst and message fields to one with the same columns and one row for each dst; it has to be associative, as it is applied
     to parts of the rows before the exchange and to their results after it. The aggregates then see its rows.
 
@@ -138,6 +142,7 @@ class HyperProgram:
     edge: Side
     reduce: Callable[[Column], Column] | None = None
     combine: Callable[[DataFrame], DataFrame] | None = None
+    combine_small: Callable[[DataFrame], DataFrame] | None = None
     needs_limit: bool = False
     merge: Callable[[pa.Table], pa.Table] | None = None
     bucket: float | None = None
@@ -188,7 +193,20 @@ class _Kept:
         self.table = table.observe(seen, *(v.alias(k) for k, v in wanted.items())).checkpoint(eager=True)
         self.sums: dict[str, int] = {k: seen.get[k] for k in wanted}
 
+    held = False
+
+    def hold(self) -> None:
+        """Kept as columns from its next use on, for many small lookups."""
+        self.table.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held = True
+
+    def give_back(self) -> None:
+        if self.held:
+            self.table.unpersist()
+            self.held = False
+
     def drop(self) -> None:
+        self.give_back()
         file = self.table._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
             delete(self.table.sparkSession, file.get())
@@ -212,8 +230,8 @@ class Incidence:
 
     @staticmethod
     def of(rows: DataFrame, state: DataFrame, total: int, parts: int, floor: int, stored: bool = False) -> Incidence:
-        """Kept in memory and on disk, recomputed from the source if an executor is lost. ``state`` has the degrees. ``stored`` rows already
-        lie in ``parts`` buckets by sender."""
+        """Kept in memory and on disk, recomputed from the source if an executor is lost. ``state`` has the degrees, of those that may be hubs at
+        least. ``stored`` rows already lie in ``parts`` buckets by sender."""
         most = max(floor, total // parts)
         hubs = tuple(r["id"] for r in state.filter(F.col("degree") > most).select("id").collect()) if total > floor else ()
         own = F.col("src").isin(*hubs) if hubs else F.lit(False)
@@ -222,6 +240,10 @@ class Incidence:
         dealt = (others if stored else others.repartition(parts, "src")).sortWithinPartitions("src")
         return Incidence(keep(dealt), hubs, keep(rows.filter(own).repartition(parts, "src", "dst").sortWithinPartitions("src")) if hubs else None)
 
+    def rows(self) -> DataFrame:
+        """All incidences, as they are kept."""
+        return self.dealt if self.spread is None else self.dealt.unionByName(self.spread)
+
     def deliver(self, speaking: DataFrame, ids: list[int] | None = None) -> DataFrame:
         """Columns of ``speaking``, which has src, by the receivers dst of each, with the attributes of incidences. ``ids``, where given, are
         all senders; chunks of others are left out where they lie together."""
@@ -323,26 +345,33 @@ def _sent(senders: DataFrame, sender: Side, bound: float | None = None) -> DataF
     return senders.withColumns({**after, "active": F.col("active") & (~now | F.lit(sender.stays_active))})
 
 
-def initial_state(elements: DataFrame, incidence: DataFrame, side: Side) -> DataFrame:
-    """id, weight, degree, high, aggregates around, fields and active of every element; ``incidence`` is (src, dst) with these as senders."""
+def initial_state(elements: DataFrame | None, incidence: DataFrame, side: Side) -> DataFrame:
+    """id, weight, degree, high, aggregates around, fields and active of every element; ``incidence`` is (src, dst) with these as senders.
+    Without ``elements`` they are the senders."""
     around = {"degree": F.count("*"), "high": F.max("dst"), **side.around()}
     out = incidence.groupBy(F.col("src").alias("id")).agg(*(v.alias(k) for k, v in around.items()))
-    state = elements.join(out, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    if elements is None:
+        state = out.select("id", F.lit(None).cast("string").alias("weight"), *around).sortWithinPartitions("id")
+    else:
+        state = elements.join(out, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return state.withColumns({**side.starting(), "active": side.starts_active()})
 
 
 class _Population:
     """The elements of one side while a program runs: a full state, and while few are active the changes since and the active ones."""
 
-    def __init__(self, elements: DataFrame, incidence: DataFrame, side: Side) -> None:
+    def __init__(self, elements: DataFrame | None, incidence: DataFrame, side: Side) -> None:
         self.side = side
-        self.base = _Kept(initial_state(elements, incidence, side), degrees=F.sum("degree"), most=F.max("degree"), active=F.count_if("active"))
+        self.base = _Kept(initial_state(elements, incidence, side), degrees=F.sum("degree"), most=F.max("degree"), active=F.count_if("active"), least=F.min("id"), largest=F.max("id"))
+        self.small = 0 <= self.base.sums["least"] and max(self.base.sums["largest"], self.base.sums["degrees"]) < SMALL
         self.total, self.active = self.base.sums["rows"], self.base.sums["active"]
         self.degrees, self.most = self.base.sums["degrees"], self.base.sums["most"]
         self.table: DataFrame | None = self.base.table  # full state; None while only changes are written
         self.changes: list[_Kept] = []
         self.retired: list[_Kept] = []  # merged into others, but active elements may still be read from them
         self.front: DataFrame | None = None  # active elements, while only changes are written
+        self.fronts: list[_Kept] = []  # the table that they are in, if it is of their own
+        self.first: float | None = None  # when the first of them is due, once it is known
 
     @property
     def columns(self) -> list[str]:
@@ -382,14 +411,15 @@ class _Population:
         if self.sent and self.side.after_send is not None:
             self._keep(self.table)
         self.front, self.table = self.table.filter("active"), None
+        self.base.hold()
 
     def widen(self) -> None:
         """Full states again."""
         if self.table is None:
             self._keep(self.whole())
-            for change in (*self.changes, *self.retired):
+            for change in (*self.changes, *self.retired, *self.fronts):
                 change.drop()
-            self.changes, self.retired, self.front = [], [], None
+            self.changes, self.retired, self.fronts, self.front = [], [], [], None
 
     #: Whether the side has sent since its state was written, and whether the active ones are read from several tables of changes.
     sent = quiet = False
@@ -397,7 +427,7 @@ class _Population:
     def _keep(self, table: DataFrame) -> int:
         before, self.base = self.base, _Kept(table, active=F.count_if("active"))
         before.drop()
-        self.table, self.sent = self.base.table, False
+        self.table, self.sent, self.first = self.base.table, False, None
         self.active = self.base.sums["active"]
         return self.total
 
@@ -408,7 +438,10 @@ class _Population:
     def hear_few(self, inbox: DataFrame, heard: Column) -> int:
         """Rows written: those that changed or became active, and at times all changes merged."""
         inbox = inbox.withColumnRenamed("dst", "id")
-        found = self._with_changes(inbox.join(self.base.table.select("id", self._packed().alias("base_")), "id")).drop("active")
+        # packed after the join, as only few rows are found
+        base = {c: f"base_{c}_" for c in self.columns if c != "id"}
+        found = inbox.join(self.base.table.withColumnsRenamed(base), "id").withColumn("base_", F.struct(*(F.col(x).alias(c) for c, x in base.items()))).drop(*base.values())
+        found = self._with_changes(found).drop("active")
         if self.active:
             found = found.join(self.front.select("id", F.lit(True).alias("active")), "id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
         else:
@@ -418,11 +451,16 @@ class _Population:
         new = _received(before, self.side, heard, [*self.columns, "before_", "was_"])
         changed = _Kept(new.filter(F.col("active") | ~F.struct(*fields).eqNullSafe(F.col("before_"))).drop("before_"), active=F.count_if("active"), was=F.count_if("was_"))
         self.quiet = self.active > 0
-        if self.quiet:  # those that were active and heard nothing stay so
+        self.first = None
+        if self.quiet:  # those that were active and heard nothing stay so; in a table of their own, or each step would look through all before it
             quiet = self.front.join(changed.table.select("id"), "id", "left_anti").select(*self.columns)
-            self.front = quiet.unionByName(changed.table.filter("active").select(*self.columns))
+            before, self.fronts = self.fronts, [_Kept(quiet.unionByName(changed.table.filter("active").select(*self.columns)))]
+            self.front, self.quiet = self.fronts[0].table, False
         else:
+            before, self.fronts = self.fronts, []
             self.front = changed.table.filter("active").select(*self.columns)
+        for front in before:
+            front.drop()
         self.active += changed.sums["active"] - changed.sums["was"]
         return self._add(changed)
 
@@ -433,6 +471,7 @@ class _Population:
         if sum(c.sums["rows"] for c in self.changes) > GROWTH * self.total:
             self.widen()
             self.front, self.table = self.table.filter("active"), None
+            self.base.hold()
             return written + self.total
         if len(self.changes) > DEEPEST:
             parts = [c.table.select("id", F.lit(k).alias("turn_"), self._packed().alias("state_")) for k, c in enumerate(self.changes)]
@@ -450,11 +489,14 @@ class _Population:
 
     def due(self) -> float | None:
         """When the first of the active ones is due."""
-        return self.speakers().agg(F.min(self.side.due())).collect()[0][0] if self.active else None
+        if self.first is None and self.active:
+            self.first = self.speakers().agg(F.min(self.side.due())).collect()[0][0]
+        return self.first if self.active else None
 
     def has_sent(self, bound: float | None = None) -> int:
         """Active elements have sent, if they were due. Rows written."""
         waiting = 0 if bound is None else self.speakers().filter(self.side.due() >= bound).count()
+        self.first = None
         if self.table is not None:
             self.table, self.sent = _sent(self.table, self.side, bound), True
             self.active = self.active if self.side.stays_active else waiting
@@ -483,16 +525,24 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
     shared_root(spark)
     v2e = graph.v2e.withColumnsRenamed({"v": "src", "e": "dst"})
     e2v = graph.e2v.withColumnsRenamed({"e": "src", "v": "dst"})
-    v, e = (graph.vertices, v2e, program.vertex), (graph.hyperedges, e2v, program.edge)
+    v, e = ((None if graph.mirrored and side in graph.ends else x, inc, does) for side, x, inc, does in (("v", graph.vertices, v2e, program.vertex), ("e", graph.hyperedges, e2v, program.edge)))
+    plain = graph.mirrored and {"v", "e"} <= set(graph.ends)  # all incidences have elements at both ends
     parts = graph.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     settles = not (program.vertex.stays_active or program.edge.stays_active)
     rows, done, settled, held, written, n_sent = [], 0, False, [], [], []
     with _fixed_plans(spark, parts):
         try:
-            rep, uni = (_Population(x, inc, side) for x, inc, side in ((v, e) if unique_side == EDGE else (e, v)))
-            for population, (_, inc, side) in zip((rep, uni), (v, e) if unique_side == EDGE else (e, v), strict=True):
-                inc = inc.select("src", "dst") if side.to is None else inc
-                held.append(Incidence.of(inc, population.base.table, population.degrees, parts, hub_incidences, graph.buckets > 0))
+            both = []
+            for elements, inc, side in (v, e) if unique_side == EDGE else (e, v):
+                inc = inc if side.to is not None or side.around() else inc.select("src", "dst")
+                total = both[0].degrees if both and plain else inc.count()
+                # incidences are dealt first, and degrees come from them as they lie; hubs are found without counting for every element
+                hubs = frequent(inc.select(F.col("src").alias("id")), ["id"], max(hub_incidences, total // parts)) if total > hub_incidences else inc.limit(0)
+                held.append(Incidence.of(inc, hubs.withColumnsRenamed({"n": "degree"}), total, parts, hub_incidences, graph.buckets > 0))
+                both.append(_Population(elements, held[-1].rows(), side))
+            rep, uni = both
+            if program.combine_small is not None and rep.small and uni.small:
+                program = replace(program, combine=program.combine_small)
             narrow = False
             if sparse is None:
                 sparse = SPARSE if rep.total + uni.total >= MANY_ELEMENTS else 0.0
@@ -531,6 +581,8 @@ def run(graph: Hypergraph, program: HyperProgram, unique_side: str = EDGE, limit
                     settled = True
                     break
             replicas, uniques = rep.whole(), uni.whole()
+            for population in both:
+                population.base.give_back()
         finally:
             for incidence in held:
                 incidence.release()
