@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_supersteps import by_id
 
-from knitwork.functions.programs import shortest_path_program
+from knitwork.functions.programs import label_program, shortest_path_program
 from knitwork.plans import catalogue, supersteps
 from knitwork.plans.supersteps import EDGE, VERTEX, run
 from knitwork.sources.hypergraph import Hypergraph, from_table
@@ -55,3 +55,17 @@ def test_lookups_read_columns_and_the_front_is_one_table(spark, monkeypatch, del
     assert held and all(x == (True, True) for x in held) and max(fronts) == 1
     assert found.supersteps == want.supersteps and by_id(found.vertices, "value", "active") == by_id(want.vertices, "value", "active") and by_id(found.hyperedges, "value") == by_id(want.hyperedges, "value")
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_small_labels_are_compared_as_numbers(spark):
+    """lp_k3: no sort for the most frequent label; the same as for ids that do not fit, of which ties go to the smaller as well."""
+    sent = net(spark).select(F.col("e").alias("dst"), (F.col("v") % 9).alias("message"))
+    sent = sent.unionByName(spark.createDataFrame([(200, 0), (200, supersteps.SMALL - 1), (201, supersteps.SMALL - 1)], "dst long, message long"))
+    program = label_program(EDGE)
+    small, any_id = program.combine_small(sent), program.combine(sent)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, any_id.collect()))
+    assert "SortAggregate" not in small._jdf.queryExecution().executedPlan().toString()
+    shift = 1 << 40
+    g, far = from_table(net(spark), "e", "v"), from_table(net(spark).select("e", (F.col("v") + shift).alias("v")), "e", "v")
+    near = by_id(run(g, program, EDGE, 2).vertices, "value")
+    assert by_id(run(far, program, EDGE, 2).vertices, "value") == {k + shift: (v + shift,) for k, (v,) in near.items()}
