@@ -125,7 +125,9 @@ def connected(graph: Hypergraph, together: int = TOGETHER, held: int = HELD) ->
     On undirected hypergraphs the same as the message passing program with hyperedges as uniques.
     """
     vertex = lambda c: -1 - F.col(c)  # noqa: E731  below all hyperedges
-    links = graph.v2e.select(F.col("e").alias("a"), vertex("v").alias("b")).unionByName(graph.e2v.select(F.col("e").alias("a"), vertex("v").alias("b")))
+    links = graph.v2e.select(F.col("e").alias("a"), vertex("v").alias("b"))
+    if not graph.mirrored:  # else both relations hold the same links
+        links = links.unionByName(graph.e2v.select(F.col("e").alias("a"), vertex("v").alias("b")))
     labels, rounds = components(links, together, held)
     of = lambda elements, node, alone: (
         elements.select("id").join(labels.select(node.alias("id"), "label"), "id", "left").select("id", F.coalesce("label", alone).alias("value"), F.lit(False).alias("active"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_supersteps import by_id
 
 from knitwork.functions.programs import label_program, shortest_path_program
+from knitwork.operators import forests
 from knitwork.plans import catalogue, supersteps
 from knitwork.plans.supersteps import EDGE, VERTEX, run
 from knitwork.sources.hypergraph import Hypergraph, from_table
@@ -69,3 +70,12 @@ def test_small_labels_are_compared_as_numbers(spark):
     g, far = from_table(net(spark), "e", "v"), from_table(net(spark).select("e", (F.col("v") + shift).alias("v")), "e", "v")
     near = by_id(run(g, program, EDGE, 2).vertices, "value")
     assert by_id(run(far, program, EDGE, 2).vertices, "value") == {k + shift: (v + shift,) for k, (v,) in near.items()}
+
+
+def test_forests_take_mirrored_links_once(spark, monkeypatch):
+    """cc_forests: each incidence is one link, unless the two relations may differ."""
+    counted, whole = [], forests.components
+    monkeypatch.setattr(forests, "components", lambda links, *a: counted.append(links.count()) or whole(links, *a))
+    g = from_table(net(spark), "e", "v")
+    once, twice = (forests.connected(x, 40) for x in (g, Hypergraph(g.vertices, g.hyperedges, g.v2e, g.e2v)))
+    assert counted == [450, 900] and by_id(once.vertices, "value") == by_id(twice.vertices, "value") and by_id(once.hyperedges, "value") == by_id(twice.hyperedges, "value")
